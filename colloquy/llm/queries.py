@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, simhash, toxicity
+from . import decontaminate, packing, pii, quality, simhash, toxicity, warc
 from .common import read_table
 
 
@@ -14,19 +15,49 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.scan(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *(f"n_{k}" for k in pii.KINDS), pii.digest().alias("base_sha256"), "spans")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.components(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.fingerprint_text().alias("fingerprint"), "component_id")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_decontaminate": op2_decontaminate,
+    "op6_packing": op6_packing,
+    "op7_pii": op7_pii,
     "op8_simhash": op8_simhash,
+    "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+        m AS (SELECT html, max(page_id) AS stored FROM p WHERE n >= 1000 GROUP BY html)
+        SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, sha1(p.html) AS payload_digest,
+               CASE WHEN m.stored <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN m.stored <> p.page_id THEN m.stored END AS refers_to
+        FROM p LEFT JOIN m ON p.html = m.html
+    """,
+}
