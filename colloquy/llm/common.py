@@ -80,3 +80,27 @@ def labelled_sample(labels: DataFrame, target: str, folds: int, held_out: int, b
         .agg(F.max("y").alias("y"))
     )
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+
+
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once: inside a lambda, an outer expression is computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(sizes: Column, block: int = 256) -> Column:
+    """Sums of what stands before each of an array of longs; in blocks, so long arrays take linear time."""
+
+    def sums(part: Column, start: Column) -> Column:
+        return F.aggregate(part, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    def whole(all_sizes: Column) -> Column:
+        count = F.ceil(F.size(all_sizes) / F.lit(block)).cast("int")
+        parts = F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.slice(all_sizes, (i - 1) * block + 1, F.lit(block))))
+        return let(parts, inner)
+
+    def inner(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x))
+        starts = sums(totals, F.lit(0).cast("long"))
+        return F.flatten(F.filter(F.zip_with(parts, starts, lambda p, s: F.when(p.isNotNull(), F.slice(sums(p, s), F.lit(1), F.size(p)))), lambda x: x.isNotNull()))
+
+    return F.coalesce(let(sizes, whole), F.array().cast("array<bigint>"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, packing, pii, quality, simhash, toxicity, warc
+from . import ann, chat, decontaminate, packing, pii, quality, secrets, simhash, toxicity, warc
 from .common import read_table
 
 
@@ -19,6 +19,21 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.preference_pairs(chat.self_pairs(read_table(spark, sf_dir, "conversations")))
+    return out.withColumnRenamed("pair_id", "conv_id")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_random")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
@@ -44,6 +59,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_decontaminate": op2_decontaminate,
+    "op3_ann": op3_ann,
+    "op4_chat": op4_chat,
+    "op5_secrets": op5_secrets,
     "op6_packing": op6_packing,
     "op7_pii": op7_pii,
     "op8_simhash": op8_simhash,
@@ -52,6 +70,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_chat": """
+        WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+        o AS (SELECT conv_id, role, coalesce(text, '') AS x,
+                     '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '< |') || chr(10) || '<|end|>' || chr(10) AS s,
+                     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i FROM t),
+        a AS (SELECT conv_id, min(i) AS f, max(i) AS l FROM o WHERE role = 'assistant' GROUP BY conv_id),
+        p AS (SELECT a.conv_id, f, l, sl.s AS last_s, CASE WHEN f < l THEN sf.s ELSE '' END AS first_s, f < l AND sf.x = sl.x AS same
+              FROM a JOIN o AS sl ON sl.conv_id = a.conv_id AND sl.i = l JOIN o AS sf ON sf.conv_id = a.conv_id AND sf.i = f),
+        q AS (SELECT p.*, CASE WHEN same THEN l ELSE l - 1 END AS n FROM p),
+        r AS (SELECT q.conv_id, string_agg(o.s, '' ORDER BY o.i) AS prompt FROM q JOIN o ON o.conv_id = q.conv_id AND o.i <= q.n GROUP BY q.conv_id)
+        SELECT q.conv_id, CAST(q.n AS BIGINT) AS prompt_turns, coalesce(r.prompt, '') AS prompt,
+               CASE WHEN same THEN '' ELSE last_s END AS chosen, CASE WHEN same THEN '' ELSE first_s END AS rejected,
+               CASE WHEN same THEN '' ELSE '14:' || length(last_s) END AS chosen_mask,
+               CASE WHEN same OR first_s = '' THEN '' ELSE '14:' || length(first_s) END AS rejected_mask
+        FROM q LEFT JOIN r ON r.conv_id = q.conv_id
+    """,
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
         m AS (SELECT html, max(page_id) AS stored FROM p WHERE n >= 1000 GROUP BY html)
