@@ -2,8 +2,9 @@
 
 A fingerprint's shard keys are chosen so that what is near shares one. With 64 bits and a radius of three,
 the four 16-bit blocks will do: two such fingerprints agree on one of them, so no link is lost. With 128 bits
-and the radius that a similarity of 0.8 gives, keys are samples of 20 bits; 40 of them find a link at a
-similarity of 0.85 more than nine times in ten and at 0.95 always but for one in a million.
+and the radius that a similarity of 0.8 gives, keys are samples of bits, five more than number the texts: so
+few of a key's shards hold texts by chance, at any size. 48 keys find a link at a similarity of 0.85 more than
+nine times in ten, and of a group of copies each member has several links.
 
 A shard's BK-tree (children keyed by their integer Hamming distance to the parent) gives the links in it. The
 tree holds leaders; what lies within half the radius of a leader is linked to it and kept beside it, so a large
@@ -24,13 +25,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import materialize, small_batches
 
 SHINGLE, SEED, RADIUS, BLOCKS = 3, 42, 3, 4
-#: For near copies: words of a shingle, 64-bit lanes, radius (of 128 bits, at the angle that a similarity of 0.8 means), keys and their bits.
-NEAR_SHINGLE, LANES, NEAR_RADIUS, KEYS, KEY_BITS = 5, 2, 20, 40, 20
+#: For near copies: words of a shingle, 64-bit lanes, radius (of 128 bits, at the angle that a similarity of 0.8 means), keys, and the bits of a key over those that number the texts.
+NEAR_SHINGLE, LANES, NEAR_RADIUS, KEYS, SPARE_BITS = 5, 2, 20, 48, 5
 #: Distinct fingerprints in a shard's part at most.
 PART = 2_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-_SAMPLES = np.stack([np.random.default_rng(k).permutation(64 * LANES)[:KEY_BITS] for k in range(KEYS)])
+_ORDERS = np.stack([np.random.default_rng(k).permutation(64 * LANES) for k in range(KEYS)])
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, lanes: int = 1) -> int:
@@ -256,18 +257,19 @@ def near_copies(docs: DataFrame, radius: int = NEAR_RADIUS) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "fp": pa.array(fp, pa.binary())})
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scale = 1 << np.arange(KEY_BITS)
+        scale = 1 << np.arange(bits_of_key, dtype=np.int64)
         for b in batches:
             if not b.num_rows:
                 continue
             bits = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little")
-            value = (bits[:, _SAMPLES] * scale).sum(2)  # rows x keys
+            value = np.stack([bits[:, order[:bits_of_key]] @ scale for order in _ORDERS], 1)  # rows x keys
             at = np.repeat(np.arange(b.num_rows), KEYS)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.tile(np.arange(KEYS, dtype=np.int32), b.num_rows)), pa.array(value.ravel().astype(np.int32))], ["node", "fp", "block", "value"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.tile(np.arange(KEYS, dtype=np.int32), b.num_rows)), pa.array(value.ravel())], ["node", "fp", "block", "value"])
 
     fps = materialize(_texts(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, fp binary"), "signatures")
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
-    rows = classes.select("node", "fp").mapInArrow(keyed, "node long, fp binary, block int, value int")
+    bits_of_key = min(62, max(classes.count(), 1).bit_length() + SPARE_BITS)
+    rows = classes.select("node", "fp").mapInArrow(keyed, "node long, fp binary, block int, value long")
     linked = materialize(roots(links(rows, radius)), "roots")
     named = classes.join(linked, "node", "left").select("fp", F.coalesce("root", "node").alias("kept"))
     return fps.join(named, "fp").where("doc_id <> kept").select(F.col("doc_id").alias("copy"), "kept").distinct()
