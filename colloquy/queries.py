@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import queries_core
+from .plans import queries_core, queries_search
 
-QUERIES = dict(queries_core.Q)
-ORACLE_SQL = dict(queries_core.SQL)
+QUERIES = queries_core.Q | queries_search.Q
+ORACLE_SQL = queries_core.SQL | queries_search.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
