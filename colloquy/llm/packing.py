@@ -10,7 +10,6 @@ Nothing is shuffled: a shard never spans tasks.
 from __future__ import annotations
 
 import os
-import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -28,9 +27,19 @@ WINDOW, END = 2048, 1
 #: A shard holds so many documents or tokens at most, unless one document has more.
 SHARD_DOCS, SHARD_TOKENS = 4096, 2_000_000
 K1, B, QUERY_TERMS, NEIGHBOURS = 1.2, 0.75, 12, 16
-CACHE_WORDS = 500_000
+#: Words as they stand, and their letters alone, that a worker keeps.
+CACHE_WORDS, CACHE_CORES = 400_000, 800_000
 
-_CORE = re.compile(r"([a-zà-öø-ÿ]+)([.,;:!?]?)")
+class _Slots(dict):
+    """The number of each word seen; new words wait for their ids."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        got = self[word] = len(self)
+        return got
 
 
 class Encoder:
@@ -45,37 +54,93 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, list[int]] = {}
-        self.cores: dict[str, list[int]] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint32).tobytes() for c in ".,;:!?"}
+        self.cores: dict[str, bytes] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slots = _Slots()
+        self.flat, self.held = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def _put(self, slots: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.held + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        self.flat[self.held : self.held + len(ids)] = ids
+        self.start[slots] = self.held + np.cumsum(sizes) - sizes
+        self.size[slots] = sizes
+        self.held += len(ids)
 
-    def _fill(self, missing: list[str]) -> None:
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.cores) > CACHE_WORDS:
+    def _learn(self) -> None:
+        """Ids of the words that wait: a plain word's are those of its letters in lower case and of the mark after it."""
+        words, self.slots.new = self.slots.new, []
+        if not words:
+            return
+        while len(self.slots) > len(self.start):
+            self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
+        if len(self.cores) > CACHE_CORES:
             self.cores.clear()
-        split, wanted = [], set()
-        for w in missing:
-            m = _CORE.fullmatch(w.lower())
-            parts = (m[1], m[2]) if m and m[2] else (m[1],) if m else (w,)
-            split.append((w, parts))
-            wanted.update(p for p in parts if p not in self.cores)
-        wanted = list(wanted)
-        for w, e in zip(wanted, self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False), strict=True):
-            self.cores[w] = e.ids
-        for w, parts in split:
-            self.words[w] = self.cores[parts[0]] if len(parts) == 1 else self.cores[parts[0]] + self.cores[parts[1]]
-
-    def encode(self, text: str) -> np.ndarray:
-        if "<|" in text or not text.isascii() and not unicodedata.is_normalized("NFC", text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = text.split()
-        missing = set(words).difference(self.words)
-        if missing:
-            held = len(self.words)
-            self._fill(list(missing))
-            if len(self.words) < held:  # the cache was emptied: fill what this text needs
-                self._fill(list(set(words).difference(self.words)))
-        return np.fromiter(chain.from_iterable(map(self.words.__getitem__, words)), np.uint32)
+        cores, parts, new = self.cores, [], {}
+        for w in words:
+            mark = w[-1]
+            core, mark = (w[:-1], mark) if mark in self.marks else (w, "")
+            if not core.isalpha() or max(core) > "ÿ":
+                core, mark = w, ""  # whole to the tokenizer
+            else:
+                core = core.lower()
+            parts.append((core, mark))
+            if core not in cores:
+                new[core] = None
+        if new:
+            self._tokenize(list(new))
+        ids = [cores[core] + self.marks[mark] if mark else cores[core] for core, mark in parts]
+        self._put(np.arange(len(self.slots) - len(words), len(self.slots)), np.frombuffer(b"".join(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
+
+    def _tokenize(self, cores: list[str]) -> None:
+        """Plain words many to a text, told apart by the token that ends each; others one by one."""
+        odd = [c for c in cores if not c.isalpha() or max(c) > "ÿ"]
+        plain = [c for c in cores if c.isalpha() and max(c) <= "ÿ"]
+        groups = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            closing = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(closing) != len(group):
+                odd += group
+                continue
+            raw = ids.tobytes()
+            for c, a, b in zip(group, [0, *closing], closing, strict=False):
+                self.cores[c] = raw[4 * a : 4 * b]
+        for c, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            self.cores[c] = np.array(e.ids, np.uint32).tobytes()
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        if len(self.slots) > CACHE_WORDS:
+            self._clear()
+        out: list[np.ndarray | None] = [None] * len(texts)
+        plain, numbers, counts = [], [], []
+        for i, text in enumerate(texts):
+            if "<|" in text or not text.isascii() and not unicodedata.is_normalized("NFC", text):
+                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                continue
+            words = text.split()
+            plain.append(i)
+            counts.append(len(words))
+            numbers.append(np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words)))
+        if plain:
+            self._learn()
+            slots = np.concatenate(numbers)
+            sizes = self.size[slots]
+            ends = np.cumsum(sizes)
+            total = int(ends[-1]) if len(ends) else 0
+            ids = self.flat[np.repeat(self.start[slots] - ends + sizes, sizes) + np.arange(total)]
+            upto = np.concatenate(([0], ends))[np.cumsum(counts)]
+            for i, part in zip(plain, np.split(ids, upto[:-1]), strict=True):
+                out[i] = part
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -217,8 +282,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool =
             return pa.RecordBatch.from_arrays(cols, names + ["input_ids"] * with_ids)
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = np.append(e.encode(text or ""), np.uint32(END))
+            for doc_id, found in zip(b.column(0).to_pylist(), e.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
+                own = np.append(found, np.uint32(END))
                 ids.append(own)
                 names_of.append(doc_id)
                 held += len(own)
