@@ -120,34 +120,32 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     error tells what failed: a missing segment, a wrong total, broken framing or a wrong digest; else null.
     """
     small_batches(spark, 1)  # a row is a file
-    schema = "page_id long, record_type string, refers_to long, digest string, origin string, segment long, total long, block binary"
-    arrow = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("digest", pa.string()), ("origin", pa.string()), ("segment", pa.int64()), ("total", pa.int64()), ("block", pa.binary())])
+    arrow = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("digest", pa.string()), ("origin", pa.string()), ("segment", pa.int64()), ("total", pa.int64()), ("block", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for raw in b.column(0).to_pylist():
                 out = []
                 for f, block in parse(zlib.decompress(raw, 31)):
-                    number = lambda k, f=f: int(re.sub(r"\D+", "", f[k])) if re.search(r"\d", f.get(k, "")) else None
-                    signed = int(f["x-page-id"]) if f.get("x-page-id") else None
-                    refers = re.search(r"-?\d+", f.get("warc-refers-to", ""))
-                    kind = f["warc-type"]
-                    out.append((signed, None if kind == "continuation" else kind, int(refers[0]) if refers else None, f.get("warc-payload-digest", "").removeprefix("sha1:") or None, f.get("warc-segment-origin-id") or f["warc-record-id"], number("warc-segment-number"), number("warc-segment-total-length"), block))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 8, arrow.types, strict=True)], schema=arrow)
+                    page, refers, kind = f.get("x-page-id"), re.search(r"-?\d+", f.get("warc-refers-to", "")), f["warc-type"]
+                    kind = None if kind == "continuation" else kind
+                    digest = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
+                    segment, total = f.get("warc-segment-number"), f.get("warc-segment-total-length")
+                    # a whole record is decoded here; a segment's block moves on
+                    found = (None, None, None) if segment else _payload(block, kind, digest)
+                    out.append((int(page) if page else None, kind, int(refers[0]) if refers else None, digest, f.get("warc-segment-origin-id") or f["warc-record-id"], int(segment) if segment else None, int(total) if total else None, block if segment else None, *found))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * len(arrow), arrow.types, strict=True)], schema=arrow)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    parsed = files.mapInArrow(run, schema)
-    # only segmented pages are shuffled with their blocks; others are decoded where they lie
-    whole = F.col("segment").isNull()
-    decoded = parsed.mapInArrow(_decode_whole, schema + ", payload_bytes long, payload_digest string, error string")
-    done = decoded.where(whole)
-    segments = decoded.where(~whole).groupBy("origin").agg(
+    names = ["page_id", "record_type", "refers_to", "digest", "payload_bytes", "payload_digest", "error"]
+    read_once = materialize(files.mapInArrow(run, "page_id long, record_type string, refers_to long, digest string, origin string, segment long, total long, block binary, payload_bytes long, payload_digest string, error string"), "records")
+    # only segmented pages are shuffled with their blocks
+    segments = read_once.where("segment is not null").groupBy("origin").agg(
         F.max("page_id").alias("page_id"), F.max("record_type").alias("record_type"), F.max("refers_to").alias("refers_to"), F.max("digest").alias("digest"),
         F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"),
     )
     joined = segments.mapInArrow(_decode_parts, "page_id long, record_type string, refers_to long, digest string, payload_bytes long, payload_digest string, error string")
-    names = ["page_id", "record_type", "refers_to", "digest", "payload_bytes", "payload_digest", "error"]
-    return done.select(names).unionByName(joined.select(names))
+    return read_once.where("segment is null").select(names).unionByName(joined.select(names))
 
 
 def _payload(block: bytes, kind: str | None, digest: str | None) -> tuple[int | None, str | None, str | None]:
@@ -166,17 +164,6 @@ def _payload(block: bytes, kind: str | None, digest: str | None) -> tuple[int |
 _DECODED = (pa.int64(), pa.string(), pa.string())
 
 
-def _decode_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        t = b.to_pydict()
-        alone = [s is None for s in t["segment"]]
-        got = [_payload(*x) if a else (None, None, None) for a, *x in zip(alone, t["block"], t["record_type"], t["digest"], strict=True)]
-        cols = list(zip(*got, strict=True)) or [()] * 3
-        blocks = pa.array([None if a else x for a, x in zip(alone, t["block"], strict=True)], pa.binary())
-        extra = [pa.array(c, k) for c, k in zip(cols, _DECODED, strict=True)]
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], blocks, *extra], [*b.schema.names, "payload_bytes", "payload_digest", "error"])
-
-
 def _decode_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         t = b.to_pydict()
