@@ -10,6 +10,7 @@ Nothing is shuffled: a shard never spans tasks.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -27,8 +28,23 @@ WINDOW, END = 2048, 1
 #: A shard holds so many documents or tokens at most, unless one document has more.
 SHARD_DOCS, SHARD_TOKENS = 4096, 2_000_000
 K1, B, QUERY_TERMS, NEIGHBOURS = 1.2, 0.75, 12, 16
-#: Words as they stand, and their letters alone, that a worker keeps.
-CACHE_WORDS, CACHE_CORES = 400_000, 800_000
+#: Words that a worker keeps.
+CACHE_WORDS = 800_000
+
+# the mark first, so that the search is for marks; what stands before it is looked at only there
+_MARK = re.compile(r"([.,;:!?])(?<=[^\W\d_].)(?=\s|\Z)")
+
+
+def _narrow(text: str) -> bool:
+    """Whether all characters are of Latin-1, whose lower case is one character each."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
 
 class _Slots(dict):
     """The number of each word seen; new words wait for their ids."""
@@ -57,8 +73,6 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.marks = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint32).tobytes() for c in ".,;:!?"}
-        self.cores: dict[str, bytes] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -75,46 +89,27 @@ class Encoder:
         self.held += len(ids)
 
     def _learn(self) -> None:
-        """Ids of the words that wait: a plain word's are those of its letters in lower case and of the mark after it."""
+        """Ids of the words that wait: plain ones many to a text, told apart by the token that ends each; others one by one."""
         words, self.slots.new = self.slots.new, []
         if not words:
             return
         while len(self.slots) > len(self.start):
             self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
-        if len(self.cores) > CACHE_CORES:
-            self.cores.clear()
-        cores, parts, new = self.cores, [], {}
-        for w in words:
-            mark = w[-1]
-            core, mark = (w[:-1], mark) if mark in self.marks else (w, "")
-            if not core.isalpha() or max(core) > "ÿ":
-                core, mark = w, ""  # whole to the tokenizer
-            else:
-                core = core.lower()
-            parts.append((core, mark))
-            if core not in cores:
-                new[core] = None
-        if new:
-            self._tokenize(list(new))
-        ids = [cores[core] + self.marks[mark] if mark else cores[core] for core, mark in parts]
-        self._put(np.arange(len(self.slots) - len(words), len(self.slots)), np.frombuffer(b"".join(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
-
-    def _tokenize(self, cores: list[str]) -> None:
-        """Plain words many to a text, told apart by the token that ends each; others one by one."""
-        odd = [c for c in cores if not c.isalpha() or max(c) > "ÿ"]
-        plain = [c for c in cores if c.isalpha() and max(c) <= "ÿ"]
+        first = len(self.slots) - len(words)
+        plain = [i for i, w in enumerate(words) if w.isalpha() and _narrow(w)]
+        whole = set(plain)
+        odd = [i for i in range(len(words)) if i not in whole]
         groups = [plain[i : i + 500] for i in range(0, len(plain), 500)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join([words[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.uint32)
-            closing = (np.flatnonzero(self.last[ids]) + 1).tolist()
-            if len(closing) != len(group):
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(group):
+                self._put(first + np.array(group), ids, np.diff(ends, prepend=0))
+            else:
                 odd += group
-                continue
-            raw = ids.tobytes()
-            for c, a, b in zip(group, [0, *closing], closing, strict=False):
-                self.cores[c] = raw[4 * a : 4 * b]
-        for c, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            self.cores[c] = np.array(e.ids, np.uint32).tobytes()
+        if odd:
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in odd], add_special_tokens=False)]
+            self._put(first + np.array(odd), np.fromiter(chain.from_iterable(got), np.uint32), np.array([len(x) for x in got], np.int64))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -126,7 +121,8 @@ class Encoder:
             if "<|" in text or not text.isascii() and not unicodedata.is_normalized("NFC", text):
                 out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
                 continue
-            words = text.split()
+            # a mark after a letter is a token of its own; so are words in lower case, where that has one form
+            words = (_MARK.sub(r" \1", text.lower()) if _narrow(text) else text).split()
             plain.append(i)
             counts.append(len(words))
             numbers.append(np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words)))
