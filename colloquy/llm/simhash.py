@@ -1,10 +1,10 @@
 """Near duplicates by SimHash: fingerprints, BK-trees within shards, linked components.
 
 A fingerprint's shard keys are chosen so that what is near shares one. With 64 bits and a radius of three,
-the four 16-bit blocks will do: two such fingerprints agree on one of them, so no link is lost. With 128 bits
-and the radius that a similarity of 0.8 gives, keys are samples of bits, five more than number the texts: so
-few of a key's shards hold texts by chance, at any size. 48 keys find a link at a similarity of 0.85 more than
-nine times in ten, and of a group of copies each member has several links.
+the four 16-bit blocks will do: two such fingerprints agree on one of them, so no link is lost. With 256 bits
+and the radius that a similarity of 0.8 gives, keys are samples of bits, four more than number the texts: so
+few of a key's shards hold texts by chance, at any size. Among 200,000 texts, 96 keys find a link at a
+similarity of 0.8 nine times in ten and at 0.85 nearly always, and a member of a group of copies has several.
 
 A shard's BK-tree (children keyed by their integer Hamming distance to the parent) gives the links in it. The
 tree holds leaders; what lies within half the radius of a leader is linked to it and kept beside it, so a large
@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import materialize, small_batches
 
 SHINGLE, SEED, RADIUS, BLOCKS = 3, 42, 3, 4
-#: For near copies: words of a shingle, 64-bit lanes, radius (of 128 bits, at the angle that a similarity of 0.8 means), keys, and the bits of a key over those that number the texts.
-NEAR_SHINGLE, LANES, NEAR_RADIUS, KEYS, SPARE_BITS = 5, 2, 20, 48, 5
+#: For near copies: words of a shingle, 64-bit lanes, radius (of 256 bits: 39 at the angle that a similarity of 0.8 means, and what chance adds nine times in ten), keys, and the bits of a key over those that number the texts.
+NEAR_SHINGLE, LANES, NEAR_RADIUS, KEYS, SPARE_BITS = 5, 4, 46, 96, 4
 #: Distinct fingerprints in a shard's part at most.
 PART = 2_000
 
@@ -157,16 +157,17 @@ def forest(left: list[int], right: list[int] | None, radius: int) -> list[tuple[
     return out
 
 
-def links(rows: DataFrame, radius: int, part: int = PART) -> DataFrame:
+def links(rows: DataFrame, radius: int, part: int = PART, classes: DataFrame | None = None) -> DataFrame:
     """Links a, b between nodes whose fingerprints are within the radius and share a key.
 
-    rows: node (long), fp (binary, or the same long), block and value, that is a key; a node's fingerprint is
-    the same in all of its rows.
+    rows: node (long), block and value, that is a key. classes: node and fp (binary); without it, nodes are
+    fingerprints of 64 bits themselves. Fingerprints move only with the rows of keys that nodes share.
     """
     large = rows.groupBy("block", "value").count().where(F.col("count") > 1).select("block", "value", F.ceil(F.col("count") / part).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    tasks = rows.join(large, ["block", "value"]).select("node", "fp", "block", "value", own.alias("own"), other)
+    tasks = rows.join(large, ["block", "value"]).select("node", "block", "value", own.alias("own"), other)
+    tasks = tasks.withColumn("fp", F.col("node")) if classes is None else tasks.join(classes.select("node", "fp"), "node")
     tasks = tasks.select("node", "fp", "block", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
     keys = ["block", "value", "i", "j"]
     # many shards are of a few rows: a partition's rows, sorted, hold whole shards one after the other
@@ -236,7 +237,7 @@ def components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     fps = materialize(fingerprints(docs), "fingerprints")
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     blocks = F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)).alias("value")) for i in range(BLOCKS)])
-    rows = classes.select(F.col("fp").alias("node"), "fp", F.explode(blocks).alias("s")).select("node", "fp", "s.*")
+    rows = classes.select(F.col("fp").alias("node"), F.explode(blocks).alias("s")).select("node", "s.*")
     linked = materialize(roots(links(rows, radius)), "roots")
     tops = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     heads = tops.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -247,7 +248,7 @@ def components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_copies(docs: DataFrame, radius: int = NEAR_RADIUS) -> DataFrame:
     """copy, kept: doc_ids of near copies and the least doc_id that links of such copies reach.
 
-    Fingerprints of 128 bits over shingles of five words are linked within the radius; rows that share a doc_id
+    Fingerprints of 256 bits over shingles of five words are linked within the radius; rows that share a doc_id
     are one node. Null texts count as empty and are copies of each other; rows of a null doc_id take no part.
     """
 
@@ -264,13 +265,13 @@ def near_copies(docs: DataFrame, radius: int = NEAR_RADIUS) -> DataFrame:
             bits = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little")
             value = np.stack([bits[:, order[:bits_of_key]] @ scale for order in _ORDERS], 1)  # rows x keys
             at = np.repeat(np.arange(b.num_rows), KEYS)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.tile(np.arange(KEYS, dtype=np.int32), b.num_rows)), pa.array(value.ravel())], ["node", "fp", "block", "value"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(np.tile(np.arange(KEYS, dtype=np.int32), b.num_rows)), pa.array(value.ravel())], ["node", "block", "value"])
 
     fps = materialize(_texts(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, fp binary"), "signatures")
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
     bits_of_key = min(62, max(classes.count(), 1).bit_length() + SPARE_BITS)
-    rows = classes.select("node", "fp").mapInArrow(keyed, "node long, fp binary, block int, value long")
-    linked = materialize(roots(links(rows, radius)), "roots")
+    rows = classes.select("node", "fp").mapInArrow(keyed, "node long, block int, value long")
+    linked = materialize(roots(links(rows, radius, classes=classes)), "roots")
     named = classes.join(linked, "node", "left").select("fp", F.coalesce("root", "node").alias("kept"))
     return fps.join(named, "fp").where("doc_id <> kept").select(F.col("doc_id").alias("copy"), "kept").distinct()
 
