@@ -103,3 +103,13 @@ def best_subset(units: DataFrame, budget: int, most: int, tries: int = 25_000) -
         return pd.DataFrame([(rows.query_id[i], rows.id[i]) for i in best[2]], columns=["query_id", "id"])
 
     return units.groupBy("query_id").applyInPandas(choose, "query_id long, id string")
+
+
+def fallback_context(windows: DataFrame, most: int = 5, budget: int = 4000) -> DataFrame:
+    """query_id, context of the first windows of each query: turns once, in order, cut at twice the budget in characters.
+
+    windows: query_id, rank, and turns as an array of struct session_id, turn_id, line.
+    """
+    each = windows.where(F.col("rank") <= most).select("query_id", F.explode("turns").alias("t"))
+    held = each.groupBy("query_id").agg(F.array_sort(F.collect_set(F.struct("t.session_id", "t.turn_id", "t.line"))).alias("t"))
+    return held.select("query_id", F.substring(F.array_join(F.transform("t", lambda t: t["line"]), "\n"), 1, 2 * budget).alias("context"))

@@ -105,3 +105,51 @@ def smallest_depth(sweep: DataFrame, tolerance: float) -> DataFrame:
 
 def lift(before: Column, after: Column) -> Column:
     return after - before
+
+
+def card_qrels(cards: DataFrame, turns: DataFrame, required: DataFrame, role: str) -> DataFrame:
+    """query_id, chunk_id, overlap, relevance of cards: as for windows, but only pointers to turns of the card's role count."""
+    spoken = turns.where(F.col("speaker") == role).select("session_id", "turn_id")
+    need = required.join(spoken, ["session_id", "turn_id"], "left_semi").distinct()
+    total = need.groupBy("query_id").agg(F.count("*").alias("needed"))
+    parts = cards.select("chunk_id", "session_id", F.explode(F.array_distinct("source_turn_ids")).alias("turn_id"))
+    overlap = parts.join(need, ["session_id", "turn_id"]).groupBy("query_id", "chunk_id").agg(F.count("*").alias("overlap"))
+    near = cards.select("chunk_id", "session_id").join(need.select("query_id", "session_id").distinct(), "session_id").select("query_id", "chunk_id")
+    rows = near.join(overlap, ["query_id", "chunk_id"], "left").join(total, "query_id")
+    grade = F.when(F.col("overlap") == F.col("needed"), 3).when(F.col("overlap") > 0, 2).otherwise(1)
+    return rows.select("query_id", "chunk_id", F.coalesce("overlap", F.lit(0)).alias("overlap"), grade.alias("relevance"))
+
+
+def preservation(pairs: DataFrame) -> DataFrame:
+    """Per case the share of protected tokens that a rewritten query still holds; no tokens are all kept. pairs: case_id, tokens, rewritten."""
+    kept = F.size(F.filter("tokens", lambda t: F.contains(F.col("rewritten"), t)))
+    return pairs.select("case_id", F.when(F.size("tokens") > 0, kept / F.size("tokens")).otherwise(F.lit(1.0)).alias("preserved"))
+
+
+def assembly_quality(before: DataFrame, after: DataFrame, qrels: DataFrame) -> DataFrame:
+    """Per case how many relevant items assembly kept and dropped, and how many of what it kept are noise.
+
+    before, after: case_id, id; qrels: case_id, id, relevance.
+    """
+    rel = qrels.where("relevance > 0").select("case_id", "id", F.lit(1).alias("wanted"))
+    kept = after.select("case_id", "id", F.lit(1).alias("kept"))
+    rows = before.select("case_id", "id").distinct().join(kept, ["case_id", "id"], "left").join(rel, ["case_id", "id"], "left")
+    n = lambda c: F.count_if(c)
+    wanted, stays = F.col("wanted").isNotNull(), F.col("kept").isNotNull()
+    by = rows.groupBy("case_id").agg(n(wanted).alias("relevant"), n(wanted & stays).alias("retained"), n(stays).alias("final"))
+    rate = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
+    return by.select("case_id", rate(F.col("retained"), F.col("relevant")).alias("retention"), rate(F.col("relevant") - F.col("retained"), F.col("relevant")).alias("drop"), rate(F.col("final") - F.col("retained"), F.col("final")).alias("noise"))
+
+
+def answer_overlap(answers: DataFrame) -> DataFrame:
+    """Per case the shares of answer words in the context and of question words in the answer, and their harmonic mean.
+
+    answers: case_id, question, answer, context.
+    """
+    from ..functions import text as tx
+
+    q, a, c = (tx.word_set(F.col(x)) for x in ("question", "answer", "context"))
+    share = lambda x, y: F.when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.size(x)).otherwise(F.lit(0.0))
+    rows = answers.select("case_id", share(a, c).alias("faithful"), share(q, a).alias("relevant"))
+    both = F.col("faithful") + F.col("relevant")
+    return rows.withColumn("harmonic", F.when(both > 0, 2 * F.col("faithful") * F.col("relevant") / both).otherwise(F.lit(0.0)))

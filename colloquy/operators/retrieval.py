@@ -183,3 +183,14 @@ def tfidf_similarity(documents: DataFrame, queries: DataFrame) -> DataFrame:
     own = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
     dots = asked.join(weighted, "term").groupBy("query_id", "id").agg(F.sum(F.col("q") * F.col("w")).alias("dot"))
     return dots.join(norms, "id").join(own, "query_id").select("query_id", "id", (F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("similarity"))
+
+
+def window_rescore(hits: DataFrame, windows: DataFrame, queries: DataFrame, k: int, weight: float = 0.35) -> DataFrame:
+    """Window hits with their score raised by the numbers that they share with the query, in the new order.
+
+    hits: query_id, id, score; windows: id, content, anchor (a header that counts a tenth).
+    """
+    both = hits.join(windows, "id").join(queries, "query_id")
+    exact = tx.numeric_score(F.col("query"), F.col("content"), F.col("anchor"))
+    rows = both.select("query_id", "id", exact.alias("exact"), (F.col("score") + weight * exact).alias("score"))
+    return top(rows, [F.desc("score"), F.asc("id")], k)

@@ -615,3 +615,97 @@ def i1(spark, d):
     return work_list(docs, state, "doc_id")
 
 
+
+
+@query("r8_window_rescoring", f"""WITH x AS (SELECT page_id AS id, html AS content, url AS anchor, {_NUM.format("html")} AS c, {_NUM.format("url")} AS a FROM pages),
+z AS (SELECT id, 1.0 / (1 + id) + 0.35 * CASE WHEN len(a) > 0 THEN least(1.0, len(list_intersect(a, c)) / len(a) + 0.1) ELSE 0.0 END AS score FROM x)
+SELECT id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY round(score, 6) DESC, id) AS INTEGER) AS rank FROM z ORDER BY round(score, 6) DESC, id LIMIT 20""")
+def r8(spark, d):
+    p = table(spark, d, "pages")
+    hits = p.select(F.col("page_id").alias("query_id"), F.col("page_id").alias("id"), (1.0 / (1 + F.col("page_id"))).alias("score"))
+    w = p.select(F.col("page_id").alias("id"), F.col("html").alias("content"), F.col("url").alias("anchor"))
+    q = p.select(F.col("page_id").alias("query_id"), F.col("url").alias("query"))
+    rows = rt.window_rescore(hits, w, q, 1).select(F.lit(1).alias("query_id"), "id", F.round("score", 6).alias("score"))
+    return rt.top(rows, [F.desc("score"), F.asc("id")], 20).select("id", "score", "rank")
+
+
+@query("b8_fallback_context", f"""{UNITS}, k AS (SELECT DISTINCT query_id, u.session_id, turn_id FROM (SELECT query_id, session_id, rank, unnest(ids) AS turn_id FROM u) u WHERE rank <= 2)
+SELECT query_id, substr(string_agg(t.speaker || ': ' || t.text, chr(10) ORDER BY k.session_id, k.turn_id), 1, 2000) AS context FROM k JOIN t USING (session_id, turn_id) GROUP BY query_id""")
+def b8(spark, d):
+    u = _units(spark, d).select("query_id", "rank", "session_id", F.explode("source_turn_ids").alias("turn_id")).join(sg.turns(spark, d), ["session_id", "turn_id"])
+    w = u.groupBy("query_id", "rank").agg(F.collect_list(F.struct("session_id", "turn_id", F.concat_ws(": ", "speaker", "text").alias("line"))).alias("turns"))
+    return assembly.fallback_context(w, 2, 1000)
+
+
+@query("v5_card_qrels", f"""{CARDS}, need AS (SELECT session_id, list(turn_id) AS want FROM t WHERE speaker = 'student' AND length(text) > 100 GROUP BY 1)
+SELECT session_id AS query_id, chunk_id, len(list_intersect(source_turn_ids, want)) AS overlap, CASE WHEN len(list_intersect(source_turn_ids, want)) = len(want) THEN 3 WHEN len(list_intersect(source_turn_ids, want)) > 0 THEN 2 ELSE 1 END AS relevance FROM mc JOIN need USING (session_id)""")
+def v5(spark, d):
+    t = sg.turns(spark, d)
+    need = t.where("length(text) > 100").select(F.col("session_id").alias("query_id"), "session_id", "turn_id")
+    return metrics.card_qrels(sg.misconceptions(spark, d), t, need, "student").withColumn("overlap", F.col("overlap").cast("long"))
+
+
+@query("v9_token_preservation", f"""WITH x AS (SELECT page_id AS case_id, {_NUM.format("url")} AS n, html FROM pages) SELECT case_id, CASE WHEN len(n) > 0 THEN round(len(list_filter(n, lambda v: contains(html, v))) / len(n), 9) ELSE 1.0 END AS preserved FROM x""")
+def v9(spark, d):
+    p = table(spark, d, "pages").select(F.col("page_id").alias("case_id"), tx.numbers(F.col("url")).alias("tokens"), F.col("html").alias("rewritten"))
+    return metrics.preservation(p).withColumn("preserved", F.round("preserved", 9))
+
+
+@query("v10_fusion_lift", f"""WITH {LANES}, q1 AS (SELECT CAST(label AS BIGINT) AS query_id, vec_id AS id FROM embeddings), f AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1.0 / (60 + rank)), 9) DESC, id) AS rank FROM lanes GROUP BY query_id, id),
+ra AS (SELECT query_id, min(rank) AS r FROM lanes JOIN q1 USING (query_id, id) WHERE lane = 'lexical' GROUP BY 1), rb AS (SELECT query_id, min(rank) AS r FROM f JOIN q1 USING (query_id, id) GROUP BY 1)
+SELECT q.query_id, round(coalesce(1 / ra.r, 0), 9) AS raw, round(coalesce(1 / rb.r, 0), 9) AS fused, round(coalesce(1 / rb.r, 0) - coalesce(1 / ra.r, 0), 9) AS lift FROM (SELECT DISTINCT query_id FROM q1) q LEFT JOIN ra USING (query_id) LEFT JOIN rb USING (query_id)""")
+def v10(spark, d):
+    lanes, q = _lanes(spark, d), _qrels(spark, d)
+    fused = rt.top(rt.fuse(lanes).withColumn("rrf", F.round("rrf", 9)), [F.desc("rrf"), F.asc("id")], 30)
+    raw = metrics.ranking(lanes.where("lane = 'lexical'").select("query_id", "id", "rank"), q, 15).select("query_id", F.col("reciprocal_rank").alias("raw"))
+    new = metrics.ranking(fused.select("query_id", "id", "rank"), q, 30).select("query_id", F.col("reciprocal_rank").alias("fused"))
+    rows = raw.join(new, "query_id")
+    return rows.select("query_id", F.round("raw", 9).alias("raw"), F.round("fused", 9).alias("fused"), F.round(metrics.lift(F.col("raw"), F.col("fused")), 9).alias("lift"))
+
+
+@query("v12_assembly_quality", f"""{UNITS}, x AS (SELECT query_id AS case_id, session_id || '_' || start AS id, rank <= 1 AS kept, start = 0 AS wanted FROM u)
+SELECT case_id, count(*) FILTER (WHERE kept AND wanted) / nullif(count(*) FILTER (WHERE wanted), 0) AS retention, count(*) FILTER (WHERE NOT kept AND wanted) / nullif(count(*) FILTER (WHERE wanted), 0) AS drop,
+count(*) FILTER (WHERE kept AND NOT wanted) / nullif(count(*) FILTER (WHERE kept), 0) AS noise FROM x GROUP BY case_id""")
+def v12(spark, d):
+    u = _units(spark, d).select(F.col("query_id").alias("case_id"), "id", "rank")
+    q = u.select("case_id", "id", F.col("id").endswith("_0").cast("int").alias("relevance"))
+    return metrics.assembly_quality(u.select("case_id", "id"), u.where("rank <= 1").select("case_id", "id"), q)
+
+
+@query("v13_storage_snapshot", f"{CARDS}, x AS (SELECT 'mc' AS kind, session_id FROM mc UNION ALL SELECT 'st', session_id FROM st) SELECT kind, count(*) AS records, count(*) FILTER (WHERE session_id NOT IN (SELECT session_id FROM s WHERE total_turns > 4)) AS orphans FROM x GROUP BY kind")
+def v13(spark, d):
+    s = sg.sessions(spark, d).where("total_turns > 4").select("session_id")
+    out = None
+    for kind, cards in (("mc", sg.misconceptions(spark, d)), ("st", sg.strategies(spark, d))):
+        orphans = evidence.orphan_rows(cards, s, "session_id", "session_id").agg(F.count("*").alias("orphans"))
+        one = cards.agg(F.lit(kind).alias("kind"), F.count("*").alias("records")).join(F.broadcast(orphans))  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("e7_answer_overlap", f"""{CARDS}, x AS (SELECT session_id AS case_id, {words("s.question_text")} AS q, {words("pedagogical_goal")} AS a, {words("key_aha_question")} AS c FROM st JOIN s USING (session_id)),
+y AS (SELECT case_id, CASE WHEN len(a) > 0 THEN len(list_intersect(a, c)) / len(a) ELSE 0.0 END AS f, CASE WHEN len(q) > 0 THEN len(list_intersect(q, a)) / len(q) ELSE 0.0 END AS r FROM x)
+SELECT case_id, round(f, 9) AS faithful, round(r, 9) AS relevant, CASE WHEN f + r > 0 THEN round(2 * f * r / (f + r), 9) ELSE 0.0 END AS harmonic FROM y""")
+def e7(spark, d):
+    st = sg.strategies(spark, d).join(sg.sessions(spark, d).select("session_id", "question_text"), "session_id")
+    a = metrics.answer_overlap(st.select(F.col("session_id").alias("case_id"), F.col("question_text").alias("question"), F.col("pedagogical_goal").alias("answer"), F.col("key_aha_question").alias("context")))
+    return a.select("case_id", *[F.round(c, 9).alias(c) for c in ("faithful", "relevant", "harmonic")])
+
+
+@query("b3_model_rerank", f"""WITH {LANES}, xr AS (SELECT l.query_id, CAST(l.id AS VARCHAR) AS id, len(list_intersect(list_distinct(string_split_regex(trim(lower(b.text)), '\\s+')), list_distinct(string_split_regex(trim(lower(d.text)), '\\s+')))) / len(list_distinct(string_split_regex(trim(lower(b.text)), '\\s+'))) AS score
+FROM lanes l JOIN benchmark b ON b.item_id = l.query_id JOIN documents d ON d.doc_id = l.id WHERE lane = 'lexical') SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS INTEGER) AS reranker_rank, round(score, 9) AS reranker_score FROM xr""")
+def b3(spark, d):
+    from ..operators import providers
+
+    lanes = _lanes(spark, d).where("lane = 'lexical'").select("query_id", "id")
+    rows = lanes.join(_asked(spark, d), "query_id").join(_docs(spark, d).select("id", F.col("document").alias("text")), "id")
+    out = providers.rerank(rows.select("query_id", F.col("id").cast("string").alias("id"), "query", "text"), providers.overlap_reranker)
+    return out.withColumn("reranker_score", F.round("reranker_score", 9))
+
+
+@query("r18_embedding_batches", f"WITH {T} SELECT count(DISTINCT text) AS vectors, 64 AS dimension FROM t")
+def r18(spark, d):
+    from ..operators import providers
+
+    made = providers.embed_texts(sg.turns(spark, d), "text", providers.hashed_embedder(), providers.Contract("hash", "md5", 64, "1"))
+    return made.agg(F.count_distinct("cache_key").alias("vectors"), F.max(F.size("embedding")).alias("dimension"))

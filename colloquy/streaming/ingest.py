@@ -17,29 +17,27 @@ _STATE = "turn_id int, speaker string, messages int, first_seq long, last_seq lo
 
 
 def close_turns(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A turn is given out when another speaker follows; the open turn is the state. Rows come in order of seq in a batch."""
+    """A turn is given out when another speaker follows, or a row without a speaker, which ends the session; the open turn is the state."""
     turn = state.get if state.exists else None
     done = []
-    rows = pd.concat(list(batches)) if not state.hasTimedOut else pd.DataFrame()
-    for r in rows.sort_values("seq").itertuples(index=False) if len(rows) else ():
-        if turn is not None and turn[1] == r.speaker:
+    for r in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
+        speaker = r.speaker if isinstance(r.speaker, str) else None
+        if turn is not None and turn[1] == speaker:
             turn = (turn[0], turn[1], turn[2] + 1, turn[3], int(r.seq))
             continue
         if turn is not None:
             done.append((key[0], *turn))
-        turn = (turn[0] + 1 if turn is not None else 1, r.speaker, 1, int(r.seq), int(r.seq))
-    if state.hasTimedOut:
-        done.append((key[0], *turn))
-        state.remove()
-    elif turn is not None:
+        turn = (turn[0] + 1 if turn is not None else 1, speaker, 1, int(r.seq), int(r.seq)) if speaker else None
+    if turn is not None:
         state.update(turn)
-        state.setTimeoutDuration(600_000)
+    elif state.exists:
+        state.remove()
     yield pd.DataFrame(done, columns=["session_id", "turn_id", "speaker", "messages", "first_seq", "last_seq"])
 
 
 def stream_turns(messages: DataFrame) -> DataFrame:
-    """Closed turns of a stream of session_id, seq, speaker; a session that is quiet for ten minutes closes its last turn."""
-    return messages.groupBy("session_id").applyInPandasWithState(close_turns, TURN, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    """Closed turns of a stream of session_id, seq, speaker; messages of a session come in the order of their batches."""
+    return messages.groupBy("session_id").applyInPandasWithState(close_turns, TURN, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def event_counts(events: DataFrame, size: str = "10 minutes", late: str = "30 minutes") -> DataFrame:

@@ -288,13 +288,14 @@ def test_streamed_turns_equal_batch_turns(spark, tmp_path):
     from colloquy.streaming import ingest
 
     schema = "session_id long, seq long, speaker string"
-    for n, rows in enumerate(([(1, 1, "student"), (1, 2, "student")], [(1, 3, "tutor"), (1, 4, "student")])):
+    for n, rows in enumerate(([(1, 1, "student"), (1, 2, "student")], [(1, 3, "tutor"), (1, 4, "student"), (1, 5, None)])):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in/b{n}")
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"file://{tmp_path}/in")
-    q = ingest.stream_turns(src).writeStream.format("memory").queryName("closed").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
-    assert q.awaitTermination(90)  # a processing-time timeout keeps other triggers busy for ever
+    q = ingest.stream_turns(src).writeStream.format("memory").queryName("closed").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/cp").start()
+    q.processAllAvailable()
+    q.stop()
     got = sorted((r.turn_id, r.speaker, r.messages) for r in spark.sql("select * from closed").collect())
-    assert got == [(1, "student", 2), (2, "tutor", 1)]
+    assert got == [(1, "student", 2), (2, "tutor", 1), (3, "student", 1)]
 
 
 def test_streamed_upsert(spark, tmp_path):
