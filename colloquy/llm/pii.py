@@ -232,23 +232,24 @@ def train(table: list[tuple[list[str], list[str]]] | None = None, rounds: int =
     """Maximum likelihood with a quadratic penalty, by Adam; forward and backward run over all lines at once."""
     table = table or training_table()
     index, phi, k = {y: i for i, y in enumerate(LABELS)}, _features(), len(LABELS)
-    longest, n = max(len(w) for w, _ in table), len(table)
-    codes, gold, here = np.zeros((n, longest), np.int64), np.zeros((n, longest), np.int64), np.zeros((n, longest), bool)
+    longest, n, d = max(len(w) for w, _ in table), len(table), int(_features().max()) + 1
+    shape = np.zeros((n, longest, d), np.float32)
+    gold, here = np.zeros((n, longest), np.int64), np.zeros((n, longest), bool)
     for r, (words, labels) in enumerate(table):
         raw = np.frombuffer(" ".join(words).encode(), np.uint8)
-        codes[r, : len(words)] = codes_of(raw, *words_of(raw))
+        codes = codes_of(raw, *words_of(raw))
+        np.put_along_axis(shape[r, : len(words)], phi[codes], 1, 1)
         gold[r, : len(words)] = [index[y] for y in labels]
         here[r, : len(words)] = True
-    before, after = np.zeros_like(here), np.zeros_like(here)
-    before[:, 1:], after[:, :-1] = here[:, 1:], here[:, 1:]
-    d = int(phi.max()) + 1
-    w, steps = np.zeros((3, d, k)), np.zeros((k, k))
+    # what a word sees: itself, the word before, the word after; nothing beyond its line
+    before, after = np.zeros_like(shape), np.zeros_like(shape)
+    before[:, 1:], after[:, :-1] = shape[:, :-1], shape[:, 1:]
+    seen = np.concatenate((shape, before, after), 2).reshape(n * longest, 3 * d) * here.reshape(-1, 1)
+    w, steps = np.zeros((3 * d, k)), np.zeros((k, k))
     moments = [[np.zeros_like(w), np.zeros_like(w)], [np.zeros_like(steps), np.zeros_like(steps)]]
-    feats = phi[codes]
-    prev_f, next_f = np.roll(feats, 1, 1), np.roll(feats, -1, 1)
     first = Field._first()
     for it in range(1, rounds + 1):
-        e = w[0][feats].sum(2) + (w[1][prev_f].sum(2) * before[..., None]) + (w[2][next_f].sum(2) * after[..., None])
+        e = (seen @ w.astype(np.float32)).reshape(n, longest, k).astype(np.float64)
         tr = steps + _ALLOWED
         a = np.zeros((n, longest, k))
         a[:, 0] = e[:, 0] + first
@@ -267,17 +268,13 @@ def train(table: list[tuple[list[str], list[str]]] | None = None, rounds: int =
             b[:, t - 1] = np.where(here[:, t, None], m + np.log(np.exp(x - m[..., None]).sum(2)), 0)
         p = np.exp(a + b - z[:, None, None]) * here[..., None]
         p[np.arange(n)[:, None], np.arange(longest), gold] -= here
-        gw = np.zeros_like(w)
-        for slot, f, mask in ((0, feats, here), (1, prev_f, before), (2, next_f, after)):
-            q = p * mask[..., None]
-            for c in range(f.shape[2]):
-                np.add.at(gw[slot], f[mask][:, c], q[mask])
+        gw = seen.T @ p.reshape(-1, k).astype(np.float32)
         np.add.at(pair, (gold[:, :-1][here[:, 1:]], gold[:, 1:][here[:, 1:]]), -1)
         for x, g, mom in ((w, gw / n + 2e-4 * w, moments[0]), (steps, pair / n + 2e-4 * steps, moments[1])):
             mom[0][:] = 0.9 * mom[0] + 0.1 * g
             mom[1][:] = 0.98 * mom[1] + 0.02 * g * g
             x -= 0.15 * (mom[0] / (1 - 0.9**it)) / (np.sqrt(mom[1] / (1 - 0.98**it)) + 1e-8)
-    return Field(w.astype(np.float32), (steps + _ALLOWED).astype(np.float32))
+    return Field(w.reshape(3, d, k).astype(np.float32), (steps + _ALLOWED).astype(np.float32))
 
 
 @lru_cache(maxsize=2)
