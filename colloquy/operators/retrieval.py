@@ -60,25 +60,25 @@ def top(rows: DataFrame, by: list, k: int, group: str = "query_id") -> DataFrame
 
 
 def hashed_features(text: Column) -> Column:
-    """Words and pairs of characters of a lower-case text."""
+    """Words and pairs of characters of a lower-case text, in linear time: characters are split once and zipped with their successors."""
     low = F.lower(F.coalesce(text, F.lit("")))
     words = F.regexp_extract_all(low, F.lit("(?U)\\w+"), F.lit(0))
-    pairs = F.when(F.length(low) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(words, pairs)
+    chars = F.filter(F.split(low, ""), lambda c: c != "")
+    pairs = F.zip_with(chars, F.slice(chars, F.lit(2), F.greatest(F.length(low), F.lit(1))), lambda a, b: F.concat(a, b))
+    return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
 
 
 def hashed_vectors(documents: DataFrame, dim: int = 128) -> DataFrame:
     """id, i, v: the components of a unit vector from hashed features; their place and sign come from md5.
 
-    dim is a power of two up to 256, so the last byte alone decides the place.
+    dim is a power of two up to 256, so the last byte alone decides the place. Signs are summed by place before
+    the shuffle, so at most dim rows of a document move.
     """
     if dim not in (2, 4, 8, 16, 32, 64, 128, 256):
         raise ValueError("dim must be a power of two up to 256")
-    f = documents.select("id", F.explode(hashed_features(F.col("document"))).alias("f")).groupBy("id", "f").agg(F.count("*").alias("n"))
-    digest = F.md5("f")
-    place = (F.conv(F.substring(digest, 31, 2), 16, 10).cast("int") % dim).alias("i")
-    sign = F.when(F.conv(F.substring(digest, 29, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-    parts = f.select("id", place, (F.col("n") * sign).alias("v")).groupBy("id", "i").agg(F.sum("v").cast("double").alias("v")).where("v <> 0")
+    digests = documents.select("id", F.explode(hashed_features(F.col("document"))).alias("f")).select("id", F.unhex(F.substring(F.md5("f"), 29, 4)).alias("h"))
+    byte = lambda at: F.conv(F.hex(F.substring("h", at, 1)), 16, 10).cast("int")
+    parts = digests.select("id", (byte(2) % dim).alias("i"), F.when(byte(1) % 2 == 0, 1).otherwise(-1).alias("v")).groupBy("id", "i").agg(F.sum("v").cast("double").alias("v")).where("v <> 0")
     return parts.withColumn("v", F.col("v") / F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("id"))))
 
 
