@@ -118,3 +118,21 @@ def rebind_cards(cards: DataFrame, turns: DataFrame, role: str, quote: str) -> D
     own = turns.where((F.col("speaker") == role) & ~F.col("is_noise")).groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("turn_id", "text"))).alias("t"))
     kept = F.exists("t", lambda t: tx.same_quote(F.col(quote), t["text"]))
     return cards.join(own, "session_id").select(*[c for c in cards.columns if c not in (quote, "source_turn_ids")], F.when(kept, F.col(quote)).otherwise(F.element_at("t", 1)["text"]).alias(quote), F.transform("t", lambda t: t["turn_id"]).alias("source_turn_ids"))
+
+
+def chunks(strategy: str, windows: DataFrame, cards: DataFrame | None) -> tuple[DataFrame, str | None]:
+    """Chunks (chunk_id, content) by strategy, and a warning: primary is cards, fallback windows, hybrid both.
+
+    Without cards primary raises, and hybrid gives windows with the warning.
+    """
+    if strategy not in ("primary", "fallback", "hybrid"):
+        raise ValueError(f"unknown strategy {strategy}")
+    w = windows.select("chunk_id", "content")
+    if strategy == "fallback":
+        return w, None
+    if cards is None:
+        if strategy == "primary":
+            raise ValueError("cards are needed")
+        return w, "no cards: windows only"
+    c = cards.select("chunk_id", "content")
+    return (c, None) if strategy == "primary" else (c.unionByName(w), None)
