@@ -15,22 +15,27 @@ from colloquy.llm.common import materialize, read_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't predicted toxic; null and empty texts stay."""
     return toxicity.reject(docs, read_table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the least doc_id; null and empty texts are copies of each other."""
     return simhash.keep_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item within a tenth of its characters; an empty benchmark drops none."""
     return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data in text replaced by its kind and n_chars made to fit; null stays null."""
     return pii.redact(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a window; a null or empty text is its end token alone."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
