@@ -1,10 +1,11 @@
 """Near duplicates by SimHash: fingerprints, BK-trees within shards, linked components.
 
 A fingerprint's shard keys are chosen so that what is near shares one. With 64 bits and a radius of three,
-the four 16-bit blocks will do: two such fingerprints agree on one of them, so no link is lost. With 256 bits
-and the radius that a similarity of 0.8 gives, keys are samples of bits, four more than number the texts: so
-few of a key's shards hold texts by chance, at any size. Among 200,000 texts, 96 keys find a link at a
-similarity of 0.8 nine times in ten and at 0.85 nearly always, and a member of a group of copies has several.
+the four 16-bit blocks will do: two such fingerprints agree on one of them, so no link is lost. Near copies are
+texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8, and their keys are shingles: in
+any one order of all shingles, two such sets share one of the first fifth of either (prefix filter), at any number
+of texts. Shingles that many texts hold come last in that order, so they are keys of few. Fingerprints of 256 bits
+within a wide radius leave candidates, and the sets themselves decide which of these are linked.
 
 A shard's BK-tree (children keyed by their integer Hamming distance to the parent) gives the links in it. The
 tree holds leaders; what lies within half the radius of a leader is linked to it and kept beside it, so a large
@@ -25,30 +26,41 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import materialize, small_batches
 
 SHINGLE, SEED, RADIUS, BLOCKS = 3, 42, 3, 4
-#: For near copies: words of a shingle, 64-bit lanes, radius (of 256 bits: 39 at the angle that a similarity of 0.8 means, and what chance adds nine times in ten), keys, and the bits of a key over those that number the texts.
-NEAR_SHINGLE, LANES, NEAR_RADIUS, KEYS, SPARE_BITS = 5, 4, 46, 96, 4
+#: For near copies: words of a shingle, 64-bit lanes, and the radius (of 256 bits) that a similarity of 0.8 was once judged by.
+NEAR_SHINGLE, LANES, NEAR_RADIUS = 5, 4, 46
+#: Near copies have this Jaccard similarity at least. Candidates lie within so many of 256 bits: 39 are expected at 0.8, 48 in the shortest texts, and 80 is five deviations more.
+SIMILAR, CANDIDATE_RADIUS = (4, 5), 80
 #: Distinct fingerprints in a shard's part at most.
 PART = 2_000
+#: Shingle sets in a part of a group of candidates at most.
+SETS = 1_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-_ORDERS = np.stack([np.random.default_rng(k).permutation(64 * LANES) for k in range(KEYS)])
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, lanes: int = 1) -> int:
     """SimHash of a whole text; 0 without words, null too. Further lanes of 64 bits come from mixed hashes."""
+    return _signs(shingles(text, shingle), lanes)
+
+
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of a text's shingles in order; of all its words if these are fewer, none without words."""
     raw = (text or "").encode("utf-8", "replace").lower()  # bytes: only A-Z changes, only ASCII space splits
     words = raw.split()
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     hash_of = xxhash.xxh64_intdigest
     if n <= shingle:
-        h = np.array([hash_of(joined, SEED)], "<u8")
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))[: n - shingle + 1].tolist()
-        h = np.array([hash_of(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], "<u8")
+        return np.array([hash_of(joined, SEED)], "<u8")
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[: n - shingle + 1].tolist()
+    return np.array([hash_of(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], "<u8")
+
+
+def _signs(h: np.ndarray, lanes: int) -> int:
+    """SimHash of hashes; 0 of none."""
     out = 0
     for lane in range(lanes):
         mixed = h if not lane else (h ^ h >> np.uint64(29)) * _MIX[lane - 1]
@@ -245,35 +257,110 @@ def components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_copies(docs: DataFrame, radius: int = NEAR_RADIUS) -> DataFrame:
+def first(own: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The shingles of a sorted set of which any set similar to it holds one among its own first; the common (sorted) come last."""
+    least, of = SIMILAR
+    n = len(own) - -(-least * len(own) // of) + 1 if len(own) else 0
+    if not len(common) or not n:
+        return own[:n]
+    last = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
+    return np.concatenate((own[~last], own[last]))[:n]
+
+
+def similar(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets (sorted, without repeats) whose Jaccard similarity is high enough."""
+    least, of = SIMILAR
+    sizes = np.array([len(x) for x in sets], np.int64)
+    _, terms, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shared = counts[terms] > 1
+    terms, owner = terms[shared], owner[shared]
+    postings, heads = owner[np.argsort(terms, kind="stable")], np.concatenate(([0], np.cumsum(np.where(counts > 1, counts, 0))))
+    rows = np.searchsorted(owner, np.arange(len(sets) + 1))
+    label = np.arange(len(sets))
+    out: list[tuple[int, int]] = []
+    for x in range(1, len(sets)):
+        own = terms[rows[x] : rows[x + 1]]
+        both = np.zeros(len(sets), np.int64)
+        for at in range(0, len(own), 4096):
+            a, n = heads[own[at : at + 4096]], counts[own[at : at + 4096]]
+            ends = np.cumsum(n)
+            both += np.bincount(postings[np.repeat(a - ends + n, n) + np.arange(ends[-1])], minlength=len(sets))
+        for y in np.flatnonzero((least + of) * both[:x] >= least * (sizes[:x] + sizes[x])).tolist():
+            if label[y] != label[x]:
+                label[label == label[x]] = label[y]
+                out.append((y, x))
+    return out
+
+
+def _alike(sets: DataFrame, groups: DataFrame, part: int = SETS) -> DataFrame:
+    """Links a, b between similar sets (node, own) of one group (node, root); of large groups, in pairs of parts."""
+    parts = groups.groupBy("root").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    tasks = groups.join(parts, "root").select("node", "root", own.alias("at"), other)
+    tasks = tasks.select("node", "root", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j")).join(sets, "node")
+    dealt = tasks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, names, held = None, [], []
+        for b in batches:
+            out: list[tuple[int, int]] = []
+            for node, own, *at in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                if at != key:
+                    out += [(names[x], names[y]) for x, y in (similar(held) if len(held) > 1 else [])]
+                    key, names, held = at, [], []
+                names.append(node)
+                held.append(np.frombuffer(own, "<u8"))
+            yield _edges(out)
+        yield _edges([(names[x], names[y]) for x, y in (similar(held) if len(held) > 1 else [])])
+
+    return dealt.select("node", "own", "root", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, common: int = PART) -> DataFrame:
     """copy, kept: doc_ids of near copies and the least doc_id that links of such copies reach.
 
-    Fingerprints of 256 bits over shingles of five words are linked within the radius; rows that share a doc_id
-    are one node. Null texts count as empty and are copies of each other; rows of a null doc_id take no part.
+    Texts are linked if their sets of five-word shingles have a Jaccard similarity of at least 0.8; rows that share
+    a doc_id are one node. Null texts count as empty and are copies of each other; rows of a null doc_id take no
+    part. Shingles that are keys of more than `common` texts come last in the order of keys.
     """
+    texts = _texts(docs).where("doc_id is not null")
+    none = np.zeros(0, "<u8")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *(first(np.unique(shingles(t, NEAR_SHINGLE)), none) for t in b.column(1).to_pylist())]).view(np.int64))], ["value"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = [fingerprint(t, NEAR_SHINGLE, LANES).to_bytes(8 * LANES, "little") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "fp": pa.array(fp, pa.binary())})
+            sets = [np.unique(shingles(t, NEAR_SHINGLE)) for t in b.column(1).to_pylist()]
+            digest = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+            fp = [_signs(x, LANES).to_bytes(8 * LANES, "little") for x in sets]
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "digest": pa.array(digest, pa.binary()), "fp": pa.array(fp, pa.binary()), "keys": pa.array([first(x, often).tobytes() for x in sets], pa.binary())})
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scale = 1 << np.arange(bits_of_key, dtype=np.int64)
         for b in batches:
-            if not b.num_rows:
-                continue
-            bits = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little")
-            value = np.stack([bits[:, order[:bits_of_key]] @ scale for order in _ORDERS], 1)  # rows x keys
-            at = np.repeat(np.arange(b.num_rows), KEYS)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(np.tile(np.arange(KEYS, dtype=np.int32), b.num_rows)), pa.array(value.ravel())], ["node", "block", "value"])
-
-    fps = materialize(_texts(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, fp binary"), "signatures")
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
-    bits_of_key = min(62, max(classes.count(), 1).bit_length() + SPARE_BITS)
-    rows = classes.select("node", "fp").mapInArrow(keyed, "node long, block int, value long")
-    linked = materialize(roots(links(rows, radius, classes=classes)), "roots")
-    named = classes.join(linked, "node", "left").select("fp", F.coalesce("root", "node").alias("kept"))
-    return fps.join(named, "fp").where("doc_id <> kept").select(F.col("doc_id").alias("copy"), "kept").distinct()
+            held = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+            at = np.repeat(np.arange(b.num_rows), [len(x) for x in held])
+            value = np.concatenate([none.view(np.int64), *held])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(np.zeros(len(at), np.int32)), pa.array(value)], ["node", "block", "value"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingles(t, NEAR_SHINGLE)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "own"])
+
+    counts = texts.mapInArrow(keys, "value long").groupBy("value").count()
+    often = np.sort(np.array([r.value for r in counts.where(F.col("count") > common).collect()], np.int64).view("<u8"))
+    signed = materialize(texts.mapInArrow(run, "doc_id long, digest binary, fp binary, keys binary"), "signatures")
+    classes = materialize(signed.groupBy("digest").agg(F.min(F.struct("doc_id", "fp", "keys")).alias("s")).select("digest", F.col("s.doc_id").alias("node"), "s.fp", "s.keys"), "classes")
+    rows = classes.select("node", "keys").mapInArrow(keyed, "node long, block int, value long")
+    groups = materialize(roots(links(rows, CANDIDATE_RADIUS, classes=classes)), "candidates")
+    groups = materialize(groups.unionByName(groups.select(F.col("root").alias("node"), "root")).distinct(), "groups")
+    sets = texts.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(whole, "node long, own binary").distinct()
+    linked = materialize(roots(_alike(sets, groups)), "roots")
+    named = classes.join(linked, "node", "left").select("digest", F.coalesce("root", "node").alias("kept"))
+    return signed.select("doc_id", "digest").join(named, "digest").where("doc_id <> kept").select(F.col("doc_id").alias("copy"), "kept").distinct()
 
 
 def fingerprint_text(fp: str = "fp") -> Column:

@@ -508,6 +508,39 @@ def test_near_copies_go_and_others_stay(spark, docs):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def similarity(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+@pytest.mark.parametrize("common", [2000, 3])
+def test_near_copies_are_all_texts_of_a_similarity_and_no_others(spark, common):
+    r = random.Random(11)
+    line, texts = prose(30, 900), []
+    for i in range(60):
+        words = prose(r.choice([6, 40, 150, 400]), 1000 + i).split()
+        texts.append(" ".join(words) + (f" {line}" if i % 2 else ""))
+        for _ in range(3):  # changes in one place: similarities from 0.5 to 1
+            at, n = r.randrange(len(words)), r.randint(0, max(1, len(words) // 4))
+            texts.append(" ".join(words[:at] + [f"other{r.random()}" for _ in words[at : at + n]] + words[at + n :]) + (f" {line}" if i % 2 else ""))
+    top = list(range(len(texts)))
+    for i, a in enumerate(texts):
+        for j in range(i):
+            if similarity(a, texts[j]) >= 0.8 and top[i] != top[j]:
+                low, high = sorted((top[i], top[j]))
+                top = [low if x == high else x for x in top]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.copy: x.kept for x in simhash.near_copies(d, common=common).collect()}
+    assert got == {i: x for i, x in enumerate(top) if i != x} and 20 < len(got) < 150
+
+
+def test_parts_of_a_group_of_candidates_are_compared_with_each_other(spark):
+    sets = [(i, np.sort(np.arange(100) + i * 5).astype("<u8").tobytes()) for i in range(40)]
+    rows = spark.createDataFrame(sets, "node long, own binary")
+    edges = simhash._alike(rows, rows.select("node", F.lit(0).cast("long").alias("root")), part=7)
+    assert {x.root for x in simhash.roots(edges).collect()} == {0} and {abs(x.a - x.b) for x in edges.collect()} <= {1, 2}
+
+
 def test_fingerprints_meet_any_table(spark, docs):
     rows = simhash.components(docs).collect()
     assert len(rows) == len(EDGE)
