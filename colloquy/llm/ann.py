@@ -38,7 +38,8 @@ def beam_search(x: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, bea
         done[live, pick[live]] = True
         near = graph[ids[live, pick[live]]]
         new = (near >= 0) & ~seen[live[:, None], near]
-        seen[live[:, None], near] |= near >= 0
+        at, nth = np.nonzero(near >= 0)  # -1 would stand for the last point
+        seen[live[at], near[at, nth]] = True
         d = np.where(new, 2 - 2 * np.matmul(x[near], q[live][:, :, None])[:, :, 0], np.inf).astype(np.float32)
         all_d = np.concatenate((dist[live], d), 1)
         keep = np.argpartition(all_d, beam - 1, 1)[:, :beam]

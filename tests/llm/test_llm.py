@@ -183,6 +183,22 @@ def test_neighbours_recall_and_order(spark):
     assert len(got) == 50 and found / 250 >= 0.9
 
 
+def test_beams_hold_no_point_twice():
+    r = np.random.default_rng(3)
+    for n in (20, 60, 300):
+        x = ann.unit(r.normal(size=(n, 8)))
+        graph, start = ann.build(x)
+        ids, _ = ann.beam_search(x, graph, start, ann.unit(x[-1:] + 0.1 * r.normal(size=(40, 8))), ann.SEARCH_BEAM)
+        assert all(len(set(row[row >= 0].tolist())) == (row >= 0).sum() for row in ids)
+
+
+def test_neighbours_of_the_last_point_are_distinct(spark):
+    r = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, r.normal(size=6).tolist()) for i in range(60)], "vec_id long, embedding array<double>")
+    rows = ann.nearest(df, df, shard=20).collect()
+    assert len({(x.query_id, x.vec_id) for x in rows}) == len(rows) == 300
+
+
 def test_neighbours_meet_any_table(spark):
     rows = [(i, [1.0, 0.0]) for i in range(20)] + [(0, [1.0, 0.0]), (50, [0.0, 1.0]), (51, None), (52, [0.0, 0.0]), (53, [float("nan"), 1.0]), (54, [None, 1.0]), (55, [float("inf"), 1.0]), (60, [1.0, 2.0, 3.0]), (None, [1.0, 0.0])]
     df = spark.createDataFrame([(i, e, 1.0) for i, e in rows], "vec_id long, embedding array<float>, score double")
