@@ -38,6 +38,7 @@ LEET = {
 CHANNEL, UNSEEN, SKIP, GAP = 1.0, -14.0, 0.2, 1.0
 CACHE_WORDS = 300_000
 
+_SIGNS = frozenset(LEET)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t.\-_*~]{1,3}[^\s.\-_*~]){3,}(?!\w)")
 _DOTTED = re.compile(r"\S(?:[.\-_*~][^\s.\-_*~]){3,}[.,;:!?]*")
@@ -71,33 +72,33 @@ class Channel:
 
     def decode(self, seen: str) -> str:
         """The likeliest reading of seen: lower case; a gap is a character of _GAPS."""
-        n = len(seen)
-        beams: list[dict[str, tuple[float, str]]] = [{} for _ in range(n + 1)]
-        beams[0]["  "] = (0.0, "")
-
-        def put(at: int, two: str, value: float, text: str) -> None:
-            old = beams[at].get(two)
-            if old is None or value > old[0]:
-                beams[at][two] = (value, text)
-
-        for i in range(n):
-            c = seen[i]
-            run = 1
-            while i + run < n and seen[i + run] == c:
-                run += 1
-            for two, (value, text) in sorted(beams[i].items(), key=lambda kv: -kv[1][0])[:24]:
+        beams: dict[str, tuple[float, tuple | None]] = {"  ": (0.0, None)}  # the text as its last character and what stood before
+        before = ""
+        for c in seen:
+            after: dict[str, tuple[float, tuple | None]] = {}
+
+            def put(two: str, value: float, text: tuple | None) -> None:
+                old = after.get(two)
+                if old is None or value > old[0]:
+                    after[two] = (value, text)
+
+            readings = [(c, 0.0), *((x, CHANNEL) for x in LEET.get(c, ""))]
+            for two, (value, text) in sorted(beams.items(), key=lambda kv: -kv[1][0])[:24]:
                 if c in _GAPS:
-                    put(i + 1, two, value - SKIP, text)
+                    put(two, value - SKIP, text)
                     if two[1] != " ":
-                        put(i + 1, "  ", value + self.step(two, " ") - GAP, text + " ")
+                        put("  ", value + self.step(two, " ") - GAP, (text, " "))
                     continue
-                readings = [(c, 0.0), *((x, CHANNEL) for x in LEET.get(c, ""))]
+                if c == before:  # a run read as one letter
+                    put(two, value - SKIP, text)
                 for x, cost in readings:
-                    moved = value + self.step(two, x) - cost
-                    put(i + 1, two[1] + x, moved, text + x)
-                    for k in range(2, run + 1):  # a run read as one letter
-                        put(i + k, two[1] + x, moved - SKIP * (k - 1), text + x)
-        return max((value + self.step(two, " "), text) for two, (value, text) in beams[n].items())[1]
+                    put(two[1] + x, value + self.step(two, x) - cost, (text, x))
+            beams, before = after, c
+        text, out = max(((value + self.step(two, " "), text) for two, (value, text) in beams.items()), key=lambda v: v[0])[1], []
+        while text:
+            text, x = text
+            out.append(x)
+        return "".join(reversed(out))
 
 
 class Model:
@@ -107,6 +108,8 @@ class Model:
         self.weights, self.channel, self.prior = weights, channel, prior
         #: No word has weight unless it begins so, once runs of a letter count as one letter.
         self.starts = {_DOUBLE.sub(r"\1", x.lstrip("^"))[:3] for x in weights}
+        self.begun = {x[:n] for x in self.starts for n in (1, 2)}
+        self.longest = max(map(len, weights), default=0)
         self.cache = _Words(self)
 
     def __reduce__(self):
@@ -131,14 +134,17 @@ class Model:
             return 0.0
         return self.run(word)
 
-    def run(self, seen: str) -> float:
-        """The strongest word in what a lattice reads, in parts of 300 characters; with gaps in it, a word may begin after any of them."""
-        best = 0.0
-        for at in range(0, len(seen), 300):
-            read = self.channel.decode(seen[at : at + 300])
-            joined = "".join(read.split())
-            words = [joined[i:] for i in range(len(joined) - 3)] if not _GAPS.isdisjoint(seen) else read.split()
-            best = max([best, *map(self.plain, words)])
+    def run(self, seen: str, anywhere: bool = True) -> float:
+        """The strongest word in what a lattice reads; with gaps in it and if so asked, a word may begin after any of them."""
+        read = self.channel.decode(seen)
+        best = max(map(self.plain, read.split()), default=0.0)
+        if anywhere and not _GAPS.isdisjoint(seen):
+            for part in _LETTERS.findall("".join(read.split())):
+                for i in range(len(part) - 3):
+                    ways = ["^" + part[i : i + n] for n in BEGINNINGS if i + n <= len(part)]
+                    if len(part) - i <= self.longest:
+                        ways.append(part[i:])
+                    best = max(best, *(self.weights.get(x, 0.0) for x in ways))
         return best
 
     def score(self, text: str | None) -> float:

@@ -106,6 +106,17 @@ def test_toxicity_on_held_out_rows_and_disguises(spark):
     assert toxicity.reject(d, lab).count() == 266
 
 
+def test_a_word_anywhere_in_a_long_run_is_found(spark):
+    d, lab = toxic_corpus(spark)
+    model = toxicity.fit(d, lab)
+    other = "karanolitu" * 40
+    for at in range(130, 160):
+        run = " ".join(other[:at] + "vilefool" + other[: 320 - at])
+        assert model.score(run) >= 0.5, at
+    assert model.score(" ".join(other)) < 0.5
+    assert model.score("vilefooo" + "o" * 50_000 + "l") >= 0.5
+
+
 def test_classifiers_meet_any_table(spark, docs, labels):
     for m in (quality, toxicity):
         rows = m.classify(docs, labels).collect()
