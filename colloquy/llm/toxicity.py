@@ -118,21 +118,36 @@ class Model:
     def plain(self, word: str) -> float:
         return max((self.weights[x] for x in features(word) if x in self.weights), default=0.0)
 
+    def may(self, word: str, anywhere: bool) -> bool:
+        """Whether a reading of the word holds the start of one with weight, after a sign or (if so asked) anywhere."""
+        found: set[str] = {""}
+        for c in word:
+            if c in _GAPS:
+                found = {*found, ""}
+                continue
+            after: set[str] = set()
+            for x in (c, *LEET.get(c, "")):
+                if x.isalpha():
+                    for got in found:
+                        now = got if got.endswith(x) else got + x
+                        if now in self.starts:
+                            return True
+                        if now in self.begun:
+                            after.add(now)
+            if anywhere or not c.isalpha():
+                after.add("")
+            found = after
+        return False
+
     def word(self, raw: str) -> float:
         """The weight of a raw word as the channel reads it; a word whose lattice has one path, or whose readings all weigh nothing, isn't decoded."""
         word = clean(raw)
-        if word.isalpha():
-            once = _DOUBLE.sub(r"\1", word)
-            if once[:3] not in self.starts:
-                return 0.0
-            own = self.plain(word)
-            if own or once == word:
-                return own
-        elif not any(c in LEET for c in word) and not _DOTTED.fullmatch(word):
-            return self.plain(word)
-        elif not any(map(str.isalpha, word)):
-            return 0.0
-        return self.run(word)
+        own = self.plain(word)
+        leet, dotted = not _SIGNS.isdisjoint(word), bool(_DOTTED.fullmatch(word))
+        if not (leet or dotted or _DOUBLE.search(word) or not _GAPS.isdisjoint(word)):
+            return own
+        anywhere = dotted or leet and not word.isalpha() and not _GAPS.isdisjoint(word)
+        return max(own, self.run(word, anywhere)) if self.may(word, anywhere) else own
 
     def run(self, seen: str, anywhere: bool = True) -> float:
         """The strongest word in what a lattice reads; with gaps in it and if so asked, a word may begin after any of them."""

@@ -106,6 +106,18 @@ def test_toxicity_on_held_out_rows_and_disguises(spark):
     assert toxicity.reject(d, lab).count() == 266
 
 
+def test_disguises_in_words_that_seem_plain(spark):
+    d, lab = toxic_corpus(spark)
+    model = toxicity.fit(d, lab)
+    base = prose(50, 9)
+    for word in ("vilefооl", "gruррertrаsh vilеfool", "viiiile-fool", "viiiilefool's", "vi-le-fool", "(viilefool)-kara", "vilеfool"):
+        assert model.score(f"{base} {word} {base}") >= 0.5, word
+    for word in ("kara-no", "li-ble", "tuwen's", "12-34-5", "кора", "5417", "mmmm-oooo", "$$$"):
+        assert model.score(f"{base} {word} {base}") < 0.5, word
+    signs = toxicity.Model({"isti": 5.0, "^isti": 5.0}, model.channel, 0.0)
+    assert signs.word("15+1") > 0 and signs.word("1571") > 0 and signs.word("77777") == 0
+
+
 def test_a_word_anywhere_in_a_long_run_is_found(spark):
     d, lab = toxic_corpus(spark)
     model = toxicity.fit(d, lab)
