@@ -24,8 +24,8 @@ from .common import fold, labelled_sample, materialize, small_batches
 FOLDS, HELD_OUT = 5, 0
 #: Labelled documents that a fit reads at most.
 FIT_ROWS = 30_000
-#: Features and trigrams that a model holds at most: the bound of what goes to each task.
-MAX_FEATURES, MAX_TRIGRAMS = 20_000, 60_000
+#: Features that a model holds at most; its trigrams are those of all documents, as many as there are.
+MAX_FEATURES = 20_000
 #: A feature needs so many distinct words before it, so copies of one text don't make one, such a share of toxic documents, and a chance below this that any came by luck.
 CONTEXTS, PRECISION, ERROR = 3, 0.9, 1e-6
 BEGINNINGS = (4, 5, 6)
@@ -37,6 +37,8 @@ LEET = {
 }
 CHANNEL, UNSEEN, SKIP, GAP = 1.0, -14.0, 0.2, 1.0
 CACHE_WORDS = 300_000
+#: Words that a task holds before their trigrams are counted.
+COUNTED_WORDS = 200_000
 
 _SIGNS = frozenset(LEET)
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -185,37 +187,59 @@ class _Words(dict):
         return got
 
 
+class _Parts(dict):
+    """The letter parts of each raw word seen."""
+
+    def __missing__(self, raw: str) -> list[str]:
+        got = self[raw] = _LETTERS.findall(clean(raw))
+        return got
+
+
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT, bound: int = FIT_ROWS) -> Model:
-    """Counts over at most `bound` labelled documents, summed where the rows lie; what is kept has a fixed bound.
+    """Features from at most `bound` labelled documents, trigrams of whole words from all; counts are summed where the rows lie.
 
-    With no labelled rows the model holds nothing and every score is below 0.5.
+    A document counts once for each word in it. With no labelled rows the model holds nothing and every score is below 0.5.
     """
     small_batches(docs.sparkSession)
     sample = labelled_sample(labels, target, folds, held_out, bound)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("y", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left").select("y", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
         grams: Counter[str] = Counter()
+        held: Counter[str] = Counter()
         docs_of = [0, 0]
+        parts = _Parts()
+
+        def spell() -> None:
+            for w, n in held.items():
+                p = f"  {w} "
+                for i in range(len(p) - 2):
+                    grams[p[i : i + 3]] += n
+            held.clear()
+
         for b in batches:
             for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held.update(set().union(*map(parts.__getitem__, set((text or "").split()))))
+                if len(held) > COUNTED_WORDS:
+                    spell()
+                if len(parts) > CACHE_WORDS:
+                    parts.clear()
+                if y is None:
+                    continue
                 y = int(y > 0)
                 docs_of[y] += 1
-                before, mine, words = "", {}, set()
+                before, mine = "", {}
                 for raw in (text or "").split():
                     word = clean(raw)
                     for x in features(word):
                         mine[x] = mine.get(x, 0) | 1 << zlib.crc32(before.encode("utf-8", "replace")) % 63
-                    words.update(_LETTERS.findall(word))
                     before = word
                 for x, mask in mine.items():
                     s = seen[x]
                     s[y] += 1
                     s[2] |= mask if y else 0
-                for w in words:
-                    p = f"  {w[:40]} "
-                    grams.update(p[i : i + 3] for i in range(len(p) - 2))
+        spell()
         keep = [(x, s) for x, s in seen.items()]
         out = [("#docs", docs_of[1], docs_of[0], 0), *((x, s[1], s[0], s[2]) for x, s in keep), *(("=" + g, n, 0, 0) for g, n in grams.items())]
         for at in range(0, len(out), 50_000):
@@ -232,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", folds: int =
     evidence = F.bit_count("m") / p * (p * F.log(p / base) + (1 - p) * F.log((1 - p) / (1 - base)))
     chosen = _top(words.where((p >= PRECISION) & (evidence >= log(max(words.count(), 1) / ERROR))), MAX_FEATURES)
     weights = {r.f: log((r.t + 0.5) / (toxic + 1)) - log((r.c + 0.5) / (others + 1)) for r in chosen}
-    grams = _top(sums.where(F.col("f").startswith("=")), MAX_TRIGRAMS)
+    grams = sums.where(F.col("f").startswith("=")).orderBy("f").collect()
     return Model(weights, _channel({r.f[1:]: r.t for r in grams}), log((toxic + 1) / (others + 1)))
 
 

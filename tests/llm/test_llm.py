@@ -129,6 +129,13 @@ def test_a_word_anywhere_in_a_long_run_is_found(spark):
     assert model.score("vilefooo" + "o" * 50_000 + "l") >= 0.5
 
 
+def test_trigrams_are_those_of_all_documents(spark):
+    d, lab = toxic_corpus(spark)
+    more = spark.createDataFrame([(10_000, "quyzzyx " + "a" * 45 + "bcd"), (None, "jfjwq")], "doc_id long, text string")
+    model = toxicity.fit(d.unionByName(more), lab, bound=50)
+    assert {"quy", "yzz", "zyx", "abc", "cd ", "jfj"} <= set(model.channel.trigrams)
+
+
 def test_classifiers_meet_any_table(spark, docs, labels):
     for m in (quality, toxicity):
         rows = m.classify(docs, labels).collect()
