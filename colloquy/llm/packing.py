@@ -27,7 +27,7 @@ from .common import small_batches
 WINDOW, END = 2048, 1
 #: A shard holds so many documents or tokens at most, unless one document has more.
 SHARD_DOCS, SHARD_TOKENS = 4096, 2_000_000
-K1, B, QUERY_TERMS, NEIGHBOURS = 1.2, 0.75, 12, 16
+K1, B = 1.2, 0.75
 #: Words that a worker keeps.
 CACHE_WORDS = 800_000
 
@@ -164,22 +164,17 @@ class Index:
         self.heads = np.concatenate(([0], np.cumsum(df)))
         self.df = df
 
-    def neighbours(self, seed: int, used: np.ndarray, most: int) -> np.ndarray:
-        """Unused documents that share the seed's weightiest terms, best first, ties by order."""
+    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
+        """All unused documents that share a term with the seed, best first, ties by order."""
         a, b = self.rows[seed], self.rows[seed + 1]
-        own, weight = self.term[a:b], self.weight[a:b]
-        shared = self.df[own] > 1
-        own, weight = own[shared], weight[shared]
+        own = self.term[a:b]
+        own = own[self.df[own] > 1]
         if not len(own):
             return own
-        if len(own) > QUERY_TERMS:
-            own = own[np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]]
         slices = [slice(self.heads[t], self.heads[t + 1]) for t in own]
         scores = np.bincount(np.concatenate([self.posting_docs[s] for s in slices]), np.concatenate([self.posting_weights[s] for s in slices]), self.n)
         scores[used] = 0
         found = np.flatnonzero(scores)
-        if len(found) > most:
-            found = found[np.argpartition(-scores[found], most)[:most]]
         return found[np.lexsort((found, -scores[found]))]
 
 
@@ -193,7 +188,7 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[list[tu
     seed = -1
     while True:
         if not queue and seed >= 0 and row:
-            queue = index.neighbours(seed, used, NEIGHBOURS).tolist()[::-1]
+            queue = index.neighbours(seed, used).tolist()[::-1]
             seed = -1  # a window asks once; with no neighbours left, documents follow in order
         if queue:
             doc = queue.pop()

@@ -385,6 +385,15 @@ def test_packing_puts_like_documents_together():
     assert same / total > 0.8
 
 
+def test_packing_draws_all_that_share_a_term():
+    r = np.random.default_rng(1)
+    docs = [100 * (i % 3 + 1) + r.integers(0, 30, 20) for i in range(300)]
+    assert [d % 3 for d, _, _ in next(packing.pack_shard(docs, 2000))] == [0] * 100
+    heavy = np.repeat(np.arange(12), 2)
+    docs = [np.append(heavy, 12), *(np.arange(100 * i, 100 * i + 25) for i in range(1, 20)), heavy, np.append(np.arange(5000, 5024), 12)]
+    assert [d for d, _, _ in next(packing.pack_shard(docs, 70))] == [0, 20, 21]
+
+
 def test_packing_meets_any_table(spark, docs):
     distinct = docs.dropDuplicates(["doc_id"]).where("doc_id is not null")
     t = Tokenizer.from_file(WORD_BPE)
