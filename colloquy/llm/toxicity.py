@@ -144,6 +144,10 @@ class Model:
     def word(self, raw: str) -> float:
         """The weight of a raw word as the channel reads it; a word whose lattice has one path, or whose readings all weigh nothing, isn't decoded."""
         word = clean(raw)
+        if word.isalpha() and _SIGNS.isdisjoint(word):
+            once = _DOUBLE.sub(r"\1", word)
+            if self.starts.isdisjoint((once[:1], once[:2], once[:3])):
+                return 0.0
         own = self.plain(word)
         leet, dotted = not _SIGNS.isdisjoint(word), bool(_DOTTED.fullmatch(word))
         if not (leet or dotted or _DOUBLE.search(word) or not _GAPS.isdisjoint(word)):
