@@ -2,8 +2,9 @@
 
 A word that may be disguised becomes a lattice of characters: each leet sign may stand for letters,
 a run of one letter may be shorter, and gaps between single letters may be no gaps. The Viterbi path
-under a character trigram model is the restored word. The score comes from words and word beginnings
-that tell toxic documents from others among the labelled rows.
+under a character trigram model is the restored word. The score is a logistic regression with a quadratic
+penalty over what the restored text holds: words, their beginnings and their character n-grams, with
+evidence for and against. Features come from the labelled sample by a likelihood-ratio test.
 """
 
 from __future__ import annotations
@@ -16,19 +17,25 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from math import exp, log
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import fold, labelled_sample, materialize, small_batches
 
 FOLDS, HELD_OUT = 5, 0
 #: Labelled documents that a fit reads at most.
-FIT_ROWS = 30_000
-#: Features that a model holds at most; its trigrams are those of all documents, as many as there are.
-MAX_FEATURES = 20_000
-#: A feature needs so many distinct words before it, so copies of one text don't make one, such a share of toxic documents, and a chance below this that any came by luck.
-CONTEXTS, PRECISION, ERROR = 3, 0.9, 1e-6
-BEGINNINGS = (4, 5, 6)
+FIT_ROWS = 20_000
+#: Features that a model holds at most, those of most evidence; its trigrams are those of all documents, as many as there are.
+MAX_FEATURES = 50_000
+#: A feature needs so many distinct words before it, so copies of one text don't make one, and so much evidence in nats.
+CONTEXTS, EVIDENCE = 3, 4.0
+#: Words that are looked for in disguise have such a share of toxic documents, and a chance below this that any of them came by luck.
+PRECISION, ERROR = 0.9, 1e-3
+BEGINNINGS, GRAMS = (4, 5, 6), (3, 4, 5)
+#: The quadratic penalty of the regression, and its rounds.
+PENALTY, ROUNDS = 0.5, 200
 #: What a sign may stand for, and the cost of that reading in nats.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -57,8 +64,14 @@ def clean(word: str) -> str:
 
 
 def features(word: str) -> list[str]:
-    """A restored word and its beginnings, these marked ^."""
-    return [x for part in _LETTERS.findall(word) if len(part) > 3 for x in (part, *("^" + part[:n] for n in BEGINNINGS if len(part) >= n))]
+    """A restored word, its beginnings (marked ^) and the n-grams of its letters with its ends (marked ~)."""
+    out = []
+    for part in _LETTERS.findall(word):
+        out.append(part)
+        out += ["^" + part[:n] for n in BEGINNINGS if len(part) >= n]
+        ends = f"^{part}$"
+        out += ["~" + ends[i : i + n] for n in GRAMS for i in range(len(ends) - n + 1)]
+    return out
 
 
 @dataclass
@@ -73,7 +86,10 @@ class Channel:
         return got if got is not None else self.backoff.get(c, UNSEEN) - 2.0
 
     def decode(self, seen: str) -> str:
-        """The likeliest reading of seen: lower case; a gap is a character of _GAPS."""
+        """The likeliest reading of seen, over all paths: lower case; a gap is a character of _GAPS.
+
+        A state is the last two characters read, so there are at most the squared number of readings of a sign.
+        """
         beams: dict[str, tuple[float, tuple | None]] = {"  ": (0.0, None)}  # the text as its last character and what stood before
         before = ""
         for c in seen:
@@ -85,7 +101,7 @@ class Channel:
                     after[two] = (value, text)
 
             readings = [(c, 0.0), *((x, CHANNEL) for x in LEET.get(c, ""))]
-            for two, (value, text) in sorted(beams.items(), key=lambda kv: -kv[1][0])[:24]:
+            for two, (value, text) in beams.items():
                 if c in _GAPS:
                     put(two, value - SKIP, text)
                     if two[1] != " ":
@@ -104,24 +120,29 @@ class Channel:
 
 
 class Model:
-    """Weights of features, the channel, and the log-odds of a toxic document."""
+    """Weights of features, the channel, the log-odds of a document without features, and what is looked for in disguise."""
 
-    def __init__(self, weights: dict[str, float], channel: Channel, prior: float) -> None:
+    def __init__(self, weights: dict[str, float], channel: Channel, prior: float, strong: frozenset[str] | None = None) -> None:
         self.weights, self.channel, self.prior = weights, channel, prior
-        #: No word has weight unless it begins so, once runs of a letter count as one letter.
-        self.starts = {_DOUBLE.sub(r"\1", x.lstrip("^"))[:3] for x in weights}
+        self.strong = frozenset(x for x, w in weights.items() if w >= 1 and x[0] != "~") if strong is None else strong
+        #: No word is looked for unless it begins so, once runs of a letter count as one letter.
+        self.starts = {_DOUBLE.sub(r"\1", x.lstrip("^"))[:3] for x in self.strong}
         self.begun = {x[:n] for x in self.starts for n in (1, 2)}
-        self.longest = max(map(len, weights), default=0)
+        self.longest = max(map(len, self.strong), default=0)
         self.cache = _Words(self)
 
     def __reduce__(self):
-        return Model, (self.weights, self.channel, self.prior)
+        return Model, (self.weights, self.channel, self.prior, self.strong)
+
+    def plain(self, word: str) -> tuple[str, ...]:
+        """The features of a word that have weight."""
+        return tuple([x for x in features(word) if x in self.weights])
 
-    def plain(self, word: str) -> float:
-        return max((self.weights[x] for x in features(word) if x in self.weights), default=0.0)
+    def weigh(self, found) -> float:
+        return sum(map(self.weights.__getitem__, found))
 
     def may(self, word: str, anywhere: bool) -> bool:
-        """Whether a reading of the word holds the start of one with weight, after a sign or (if so asked) anywhere."""
+        """Whether a reading of the word holds the start of one that is looked for, after a sign or (if so asked) anywhere."""
         found: set[str] = {""}
         for c in word:
             if c in _GAPS:
@@ -141,53 +162,62 @@ class Model:
             found = after
         return False
 
-    def word(self, raw: str) -> float:
-        """The weight of a raw word as the channel reads it; a word whose lattice has one path, or whose readings all weigh nothing, isn't decoded."""
+    def evidence(self, raw: str) -> tuple[str, ...]:
+        """Features of a raw word as the channel reads it, or as it stands if that weighs more.
+
+        A word isn't decoded if its lattice has one path, or if no reading holds what is looked for.
+        """
         word = clean(raw)
-        if word.isalpha() and _SIGNS.isdisjoint(word):
-            once = _DOUBLE.sub(r"\1", word)
-            if self.starts.isdisjoint((once[:1], once[:2], once[:3])):
-                return 0.0
         own = self.plain(word)
         leet, dotted = not _SIGNS.isdisjoint(word), bool(_DOTTED.fullmatch(word))
         if not (leet or dotted or _DOUBLE.search(word) or not _GAPS.isdisjoint(word)):
             return own
+        if not leet and word.isalpha():
+            once = _DOUBLE.sub(r"\1", word)
+            if self.starts.isdisjoint((once[:1], once[:2], once[:3])):
+                return own
         anywhere = dotted or leet and not word.isalpha() and not _GAPS.isdisjoint(word)
-        return max(own, self.run(word, anywhere)) if self.may(word, anywhere) else own
+        return max(own, self.run(word, anywhere), key=self.weigh) if self.may(word, anywhere) else own
+
+    def word(self, raw: str) -> float:
+        """What the evidence of a raw word weighs."""
+        return self.weigh(set(self.evidence(raw)))
 
-    def run(self, seen: str, anywhere: bool = True) -> float:
-        """The strongest word in what a lattice reads; with gaps in it and if so asked, a word may begin after any of them."""
+    def run(self, seen: str, anywhere: bool = True) -> tuple[str, ...]:
+        """Features of what a lattice reads; with gaps in it and if so asked, a word looked for may begin after any of them."""
         read = self.channel.decode(seen)
-        best = max(map(self.plain, read.split()), default=0.0)
+        out = [x for part in read.split() for x in self.plain(part)]
         if anywhere and not _GAPS.isdisjoint(seen):
             for part in _LETTERS.findall("".join(read.split())):
-                for i in range(len(part) - 3):
-                    ways = ["^" + part[i : i + n] for n in BEGINNINGS if i + n <= len(part)]
-                    if len(part) - i <= self.longest:
-                        ways.append(part[i:])
-                    best = max(best, *(self.weights.get(x, 0.0) for x in ways))
-        return best
-
-    def score(self, text: str | None) -> float:
-        """0 to 1: the strongest evidence in the restored text, and a little for more of it. Null counts as empty."""
+                for i in range(len(part)):
+                    for n in range(BEGINNINGS[0], min(self.longest, len(part) - i) + 1):
+                        if part[i : i + n] in self.strong:
+                            out += self.plain(part[i : i + n])
+                    out += [x for n in BEGINNINGS if i + n <= len(part) and (x := "^" + part[i : i + n]) in self.strong and x in self.weights]
+        return tuple(out)
+
+    def found(self, text: str | None) -> set[str]:
+        """The features in a restored text. Null counts as empty."""
         words = set((text or "").split())
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        known = self.cache.__getitem__
-        found = [v for v in map(known, words) if v] if words and max(map(known, words)) else []
-        found += [v for m in _SPACED.finditer(text or "") if (v := self.run(m.group().lower()))]
-        logit = self.prior - 2 + (max(found) + 2 + 0.1 * min(len(found), 20) if found else 0)
+        out = set().union(*filter(None, map(self.cache.__getitem__, words)))
+        return out.union(*(self.run(m.group().lower()) for m in _SPACED.finditer(text or "")))
+
+    def score(self, text: str | None) -> float:
+        """0 to 1: the logistic of what the restored text holds."""
+        logit = self.prior + self.weigh(self.found(text))
         return 1 / (1 + exp(-max(-30.0, min(30.0, logit))))
 
 
 class _Words(dict):
-    """The weight of each raw word seen; a subclass for __missing__, so known words never leave C."""
+    """The evidence of each raw word seen; a subclass for __missing__, so known words never leave C."""
 
     def __init__(self, model: Model) -> None:
         self.model = model
 
-    def __missing__(self, raw: str) -> float:
-        got = self[raw] = self.model.word(raw)
+    def __missing__(self, raw: str) -> tuple[str, ...]:
+        got = self[raw] = self.model.evidence(raw)
         return got
 
 
@@ -200,19 +230,34 @@ class _Parts(dict):
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT, bound: int = FIT_ROWS) -> Model:
-    """Features from at most `bound` labelled documents, trigrams of whole words from all; counts are summed where the rows lie.
+    """Trigrams of whole words from all documents; features and their weights from at most `bound` labelled ones.
 
-    A document counts once for each word in it. With no labelled rows the model holds nothing and every score is below 0.5.
+    Counts are summed where the rows lie. A document counts once for each feature in it, and equal texts are one row
+    of the regression. With no labelled rows the model holds nothing and every score is below 0.5. Null texts count
+    as empty; labels of ids that docs lacks take no part; other columns are not read; an empty table fits nothing.
     """
     small_batches(docs.sparkSession)
     sample = labelled_sample(labels, target, folds, held_out, bound)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left").select("y", "text")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    channel = _channel({r.g: r.n for r in _trigrams(texts).collect()})
+    labelled = materialize(texts.join(F.broadcast(sample), "doc_id").select(F.col("y"), "text"), "labelled")
+    sums = materialize(_counts(labelled), "features")
+    toxic, others = next(((r.t, r.c) for r in sums.where("f = '#docs'").collect()), (0, 0))
+    prior = log((toxic + 1) / (others + 1)) if toxic + others else -2.0
+    if not toxic or not others:
+        return Model({}, channel, min(prior, -2.0) if not toxic else max(prior, 2.0), frozenset())
+    chosen = _chosen(sums, toxic / (toxic + others))
+    odds = {r.f: log((r.t + 0.5) / (toxic + 1)) - log((r.c + 0.5) / (others + 1)) for r in chosen}
+    strong = frozenset(r.f for r in chosen if r.strong)
+    return _regression(labelled, Model(odds, channel, prior, strong))
+
+
+def _trigrams(texts: DataFrame) -> DataFrame:
+    """g, n: the trigrams of the words of all documents; a word counts once in a document."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
         grams: Counter[str] = Counter()
         held: Counter[str] = Counter()
-        docs_of = [0, 0]
         parts = _Parts()
 
         def spell() -> None:
@@ -223,49 +268,100 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", folds: int =
             held.clear()
 
         for b in batches:
-            for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for text in b.column(0).to_pylist():
                 held.update(set().union(*map(parts.__getitem__, set((text or "").split()))))
                 if len(held) > COUNTED_WORDS:
                     spell()
                 if len(parts) > CACHE_WORDS:
                     parts.clear()
-                if y is None:
-                    continue
+        spell()
+        if grams:
+            yield pa.RecordBatch.from_pydict({"g": pa.array(list(grams)), "n": pa.array(list(grams.values()), pa.int64())})
+
+    return texts.select("text").mapInArrow(count, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
+
+
+def _counts(labelled: DataFrame) -> DataFrame:
+    """f, t, c, mt, mc: toxic and other documents that hold a feature, and hashed sets of the words before it in either."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+        known: dict[str, tuple[str, list[str]]] = {}
+        docs_of = [0, 0]
+        for b in batches:
+            for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 y = int(y > 0)
                 docs_of[y] += 1
-                before, mine = "", {}
+                words: dict[str, int] = {}
+                before = 0
                 for raw in (text or "").split():
-                    word = clean(raw)
-                    for x in features(word):
-                        mine[x] = mine.get(x, 0) | 1 << zlib.crc32(before.encode("utf-8", "replace")) % 63
-                    before = word
+                    words[raw] = words.get(raw, 0) | 1 << before
+                    before = zlib.crc32(raw.encode("utf-8", "replace")) % 63
+                mine: dict[str, int] = {}
+                for raw, mask in words.items():
+                    own = known.get(raw)
+                    if own is None:
+                        if len(known) > CACHE_WORDS:
+                            known.clear()
+                        own = known[raw] = features(clean(raw))
+                    for x in own:
+                        mine[x] = mine.get(x, 0) | mask
                 for x, mask in mine.items():
                     s = seen[x]
-                    s[y] += 1
-                    s[2] |= mask if y else 0
-        spell()
-        keep = [(x, s) for x, s in seen.items()]
-        out = [("#docs", docs_of[1], docs_of[0], 0), *((x, s[1], s[0], s[2]) for x, s in keep), *(("=" + g, n, 0, 0) for g, n in grams.items())]
+                    s[1 - y] += 1
+                    s[3 - y] |= mask
+        out = [("#docs", docs_of[1], docs_of[0], 0, 0), *((x, *s) for x, s in seen.items())]
         for at in range(0, len(out), 50_000):
-            f, t, c, m = zip(*out[at : at + 50_000], strict=True)
-            yield pa.RecordBatch.from_pydict({"f": pa.array(f), "t": pa.array(t, pa.int64()), "c": pa.array(c, pa.int64()), "m": pa.array(m, pa.int64())})
+            f, *numbers = zip(*out[at : at + 50_000], strict=True)
+            yield pa.RecordBatch.from_pydict({"f": pa.array(f), **{k: pa.array(v, pa.int64()) for k, v in zip(("t", "c", "mt", "mc"), numbers, strict=True)}})
 
-    sums = rows.mapInArrow(count, "f string, t long, c long, m long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.bit_or("m").alias("m"))
-    sums = materialize(sums.where(F.col("f").startswith("#") | F.col("f").startswith("=") | (F.bit_count("m") >= CONTEXTS)), "words")
-    words = sums.where(~F.col("f").startswith("#") & ~F.col("f").startswith("="))
-    toxic, others = next(((r.t, r.c) for r in sums.where("f = '#docs'").collect()), (0, 0))
-    base = min(max(toxic / max(toxic + others, 1), 1e-6), 0.5)
-    # a likelihood-ratio test against the share of toxic documents, over all words tried; contexts, not copies, are the evidence
-    p = F.least(F.col("t") / (F.col("t") + F.col("c")), F.lit(1 - 1e-9))
-    evidence = F.bit_count("m") / p * (p * F.log(p / base) + (1 - p) * F.log((1 - p) / (1 - base)))
-    chosen = _top(words.where((p >= PRECISION) & (evidence >= log(max(words.count(), 1) / ERROR))), MAX_FEATURES)
-    weights = {r.f: log((r.t + 0.5) / (toxic + 1)) - log((r.c + 0.5) / (others + 1)) for r in chosen}
-    grams = sums.where(F.col("f").startswith("=")).orderBy("f").collect()
-    return Model(weights, _channel({r.f[1:]: r.t for r in grams}), log((toxic + 1) / (others + 1)))
+    rows = labelled.mapInArrow(count, "f string, t long, c long, mt long, mc long")
+    sums = rows.groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.bit_or("mt").alias("mt"), F.bit_or("mc").alias("mc"))
+    return sums.where((F.col("f") == "#docs") | (F.greatest(F.bit_count("mt"), F.bit_count("mc")) >= CONTEXTS))
 
 
-def _top(rows: DataFrame, most: int) -> list:
-    return rows.orderBy(F.desc("t"), "f").limit(most).collect()
+def _chosen(sums: DataFrame, base: float) -> list:
+    """f, t, c, strong of the features whose share of toxic documents differs from the base share by enough evidence.
+
+    Contexts, not copies, are the evidence: a feature counts for no more documents than it has words before it.
+    """
+    words = sums.where("f <> '#docs'")
+    tried = max(words.count(), 1)
+    p = F.col("t") / (F.col("t") + F.col("c"))
+    up = p > base
+    contexts, share = F.when(up, F.bit_count("mt")).otherwise(F.bit_count("mc")), F.when(up, p).otherwise(1 - p)
+    sure = lambda x: F.least(F.greatest(x, F.lit(1e-9)), F.lit(1 - 1e-9))
+    gain = sure(p) * F.log(sure(p) / base) + (1 - sure(p)) * F.log((1 - sure(p)) / (1 - base))
+    evidence = F.when(contexts >= 60, F.col("t") + F.col("c")).otherwise(F.least(F.col("t") + F.col("c"), contexts / share)) * gain
+    rated = words.where(contexts >= CONTEXTS).select("f", "t", "c", evidence.alias("evidence"), (up & (p >= PRECISION) & (evidence >= log(tried / ERROR)) & ~F.col("f").startswith("~") & (F.length("f") > 3)).alias("strong"))
+    return rated.where(F.col("evidence") >= EVIDENCE).orderBy(F.desc("evidence"), "f").limit(MAX_FEATURES).collect()
+
+
+def _regression(labelled: DataFrame, first: Model) -> Model:
+    """The model whose weights fit the labelled rows, by Adam and, for the bias, Newton's method; rows reach the driver as the numbers of their features."""
+    names = sorted(first.weights)
+    number = {x: i for i, x in enumerate(names)}
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            held = [np.sort(np.array([number[x] for x in first.found(t)], "<i4")).tobytes() for t in texts]
+            yield pa.RecordBatch.from_pydict({"y": b.column(0).cast(pa.int32()), "text": pa.array([xxhash.xxh3_128_digest((t or "").encode("utf-8", "replace")) for t in texts], pa.binary()), "held": pa.array(held, pa.binary())})
+
+    # equal texts are one row
+    rows = sorted((r.text, int(r.y > 0), r.held) for r in labelled.mapInArrow(numbers, "y int, text binary, held binary").groupBy("text").agg(F.max("y").alias("y"), F.first("held").alias("held")).collect())
+    held = [np.frombuffer(bytes(x), "<i4") for _, _, x in rows]
+    y, d, n = np.array([x for _, x, _ in rows], float), len(names), len(rows)
+    row, column = np.repeat(np.arange(n), [len(x) for x in held]), np.concatenate([np.zeros(0, "<i4"), *held]).astype(np.int64)
+    theta, mean, square, bias = np.zeros(d), np.zeros(d), np.zeros(d), first.prior
+    for it in range(1, ROUNDS + 1):
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, theta[column], n) + bias, -30, 30)))
+        slope = np.bincount(column, (p - y)[row], d) + PENALTY * theta
+        mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope * slope
+        theta -= 0.05 * (1 - it / (ROUNDS + 10)) * (mean / (1 - 0.9**it)) / (np.sqrt(square / (1 - 0.99**it)) + 1e-8)
+        # the bias has no penalty and a curvature of its own
+        bias -= float(np.clip((p - y).sum() / max((p * (1 - p)).sum(), 1e-3), -1, 1))
+    return Model(dict(zip(names, theta.tolist(), strict=True)), first.channel, bias, first.strong)
 
 
 def _channel(counts: dict[str, int]) -> Channel:
@@ -279,7 +375,7 @@ def _channel(counts: dict[str, int]) -> Channel:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Columns doc_id, score, predicted for each row of docs; whole texts, null as empty; other columns are not read."""
+    """Columns doc_id, score, predicted for each row of docs; whole texts, null as empty, repeated rows each; other columns are not read."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +388,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted: fitted outside the held-out fold, applied to every document."""
+    """doc_id, held_out, score, predicted: fitted outside the held-out fold, applied to every document.
+
+    Null and empty texts have the score of a document without features; a null doc_id is never held out; repeated
+    rows are each scored; an empty table gives none.
+    """
     out = score(docs, fit(docs, labels))
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", "predicted")
 
