@@ -9,6 +9,7 @@ Nothing is shuffled: a shard never spans tasks.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -26,12 +27,16 @@ from .common import small_batches
 
 WINDOW, END = 2048, 1
 #: A shard holds so many documents or tokens at most, unless one document has more.
-SHARD_DOCS, SHARD_TOKENS = 4096, 2_000_000
+SHARD_DOCS, SHARD_TOKENS = 2048, 1_000_000
 K1, B = 1.2, 0.75
+#: Terms in more than this fraction of a shard's documents have their weights in a matrix.
+DENSE = 16
 #: Words that a worker keeps.
 CACHE_WORDS = 800_000
 
 # the mark first, so that the search is for marks; what stands before it is looked at only there
+#: White space to Python, but not to the tokenizer.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 _MARK = re.compile(r"([.,;:!?])(?<=[^\W\d_].)(?=\s|\Z)")
 
 
@@ -62,7 +67,8 @@ class Encoder:
     """Ids of a tokenizer that drops white space and lower-cases, word by word, with words kept.
 
     White space always ends a token of such a vocabulary, so a text's ids are those of its words. Texts that
-    aren't in composed form, or that hold the signs around special tokens, go to the tokenizer whole.
+    aren't in composed form, that hold the signs around special tokens, or that hold characters which are white
+    space to Python alone go to the tokenizer whole; so do all texts, if the tokenizer is of another kind.
     """
 
     def __init__(self, path: str) -> None:
@@ -71,6 +77,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
+        about = json.loads(self.tokenizer.to_str())
+        steps = (about["normalizer"] or {}).get("normalizers", [])
+        #: Whether white space is dropped, letters are lower-cased, and a word's last token is marked.
+        self.by_word = about["model"].get("end_of_word_suffix") == "</w>" and [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": "\\s+"}
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._clear()
@@ -118,7 +128,7 @@ class Encoder:
         out: list[np.ndarray | None] = [None] * len(texts)
         plain, numbers, counts = [], [], []
         for i, text in enumerate(texts):
-            if "<|" in text or not text.isascii() and not unicodedata.is_normalized("NFC", text):
+            if not self.by_word or "<|" in text or _SEPARATORS.search(text) or not text.isascii() and not unicodedata.is_normalized("NFC", text):
                 out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
                 continue
             # a mark after a letter is a token of its own; so are words in lower case, where that has one form
@@ -163,6 +173,13 @@ class Index:
         self.posting_docs, self.posting_weights = doc[order], self.weight[order]
         self.heads = np.concatenate(([0], np.cumsum(df)))
         self.df = df
+        # long posting lists are rows of a matrix: sums of whole rows take no places to look up
+        common = np.flatnonzero((df > n // DENSE) & (df > 1))
+        self.dense = np.full(len(df), -1)
+        self.dense[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), n), np.float32)
+        at = self.dense[self.term]
+        self.matrix[at[at >= 0], doc[at >= 0]] = self.weight[at >= 0]
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
         """All unused documents that share a term with the seed, best first, ties by order."""
@@ -171,11 +188,16 @@ class Index:
         own = own[self.df[own] > 1]
         if not len(own):
             return own
-        slices = [slice(self.heads[t], self.heads[t + 1]) for t in own]
-        scores = np.bincount(np.concatenate([self.posting_docs[s] for s in slices]), np.concatenate([self.posting_weights[s] for s in slices]), self.n)
+        at = self.dense[own]
+        asked = np.zeros(len(self.matrix), np.float32)
+        asked[at[at >= 0]] = 1
+        scores = (asked @ self.matrix).astype(np.float64)
+        slices = [slice(self.heads[t], self.heads[t + 1]) for t in own[at < 0]]
+        if slices:
+            scores += np.bincount(np.concatenate([self.posting_docs[s] for s in slices]), np.concatenate([self.posting_weights[s] for s in slices]), self.n)
         scores[used] = 0
         found = np.flatnonzero(scores)
-        return found[np.lexsort((found, -scores[found]))]
+        return found[np.argsort(-scores[found], kind="stable")]
 
 
 def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
