@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Rows in an Arrow batch that goes to Python: texts may be long, so a batch holds few.
-ARROW_ROWS = 256
+#: Rows and bytes in an Arrow batch that goes to Python: texts may be long, so a batch holds few; one longer text goes alone.
+ARROW_ROWS, ARROW_BYTES = 256, 16 << 20
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
@@ -19,9 +21,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where unset, one is made and set."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where unset in local mode, one is made and set.
+
+    On a cluster no machine's own folder is shared, so there an unset one is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="colloquy-")
         spark.conf.set("spark.checkpoint.dir", where)
         spark.sparkContext.setCheckpointDir(where)
@@ -52,15 +59,31 @@ def _clean() -> None:
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
+    return written(df, tag)[0]
+
+
+def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """A table as written to the shared folder, and where."""
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def settled(make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """The written result of make; what it wrote on its way, which nothing reads any more, is removed."""
+    mark = len(_WRITTEN)
+    out = materialize(make(), tag)
+    for spark, path in _WRITTEN[mark:-1]:
+        remove(spark, path)
+    del _WRITTEN[mark:-1]
+    return out
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound what one Arrow batch holds, as texts may be very long."""
+    """Bound what one Arrow batch holds, as texts may be very long; the session keeps these settings, as plans are run later."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -1,7 +1,9 @@
 """Near duplicates by SimHash: fingerprints, BK-trees within shards, linked components.
 
 A fingerprint's shard keys are chosen so that what is near shares one. With 64 bits and a radius of three,
-the four 16-bit blocks will do: two such fingerprints agree on one of them, so no link is lost. Near copies are
+the four 16-bit blocks will do: two such fingerprints agree on one of them, so no link is lost. Where there are so
+many fingerprints that such shards are large, keys are of two blocks of five or of three of six, which lose none
+either, and shards stay small at any number of fingerprints. Near copies are
 texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8, and their keys are shingles: in
 any one order of all shingles, two such sets share one of the first fifth of either (prefix filter), at any number
 of texts. Shingles that many texts hold come last in that order, so they are keys of few. Fingerprints of 256 bits
@@ -17,23 +19,28 @@ fingerprints. Equal fingerprints are one node throughout.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize, small_batches
+from .common import materialize, remove, small_batches, written
 
-SHINGLE, SEED, RADIUS, BLOCKS = 3, 42, 3, 4
-#: For near copies: words of a shingle, 64-bit lanes, and the radius (of 256 bits) that a similarity of 0.8 was once judged by.
-NEAR_SHINGLE, LANES, NEAR_RADIUS = 5, 4, 46
+SHINGLE, SEED, RADIUS = 3, 42, 3
+#: Blocks that a key may be made of; more make keys rarer and their number larger.
+SAME = (1, 2, 3)
+#: For near copies: words of a shingle, and 64-bit lanes.
+NEAR_SHINGLE, LANES = 5, 4
 #: Near copies have this Jaccard similarity at least. Candidates lie within so many of 256 bits: 39 are expected at 0.8, 48 in the shortest texts, and 80 is five deviations more.
 SIMILAR, CANDIDATE_RADIUS = (4, 5), 80
 #: Distinct fingerprints in a shard's part at most.
 PART = 2_000
 #: Shingle sets in a part of a group of candidates at most.
 SETS = 1_000
+#: Common shingles that come last in the order of keys, the commonest: the bound of what goes to each task. Any order loses no link.
+COMMON = 200_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -221,8 +228,8 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def roots(edges: DataFrame) -> DataFrame:
     """node, root (the least node that links reach) for each node in edges a, b: alternating large and small stars."""
-    edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
+    edges, path = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    spark, seen = edges.sparkSession, None
     while True:
         # large star: the larger neighbours of a node join the least of the node and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -231,25 +238,50 @@ def roots(edges: DataFrame) -> DataFrame:
         # small star: a node's smaller neighbours join the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        edges = materialize(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        before = path
+        edges, path = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        remove(spark, before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == now:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = now
 
 
+def blocks_of_key(fingerprints: int, radius: int, part: int = PART) -> int:
+    """The least number of blocks whose keys deal so many spread fingerprints into shards of a part at most."""
+    return next((k for k in SAME if fingerprints <= part << 64 * k // (radius + k)), SAME[-1])
+
+
+def keyed(fps: DataFrame, radius: int, same: int) -> DataFrame:
+    """node, block, value: the keys of each fingerprint fp, each of `same` blocks out of radius + `same`.
+
+    Two fingerprints that differ in at most radius bits differ in so many blocks at most, so they share a key.
+    """
+    n = radius + same
+    cuts = [64 * i // n for i in range(n + 1)]
+    block = lambda i: F.shiftrightunsigned("fp", cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1)) if n > 1 else F.col("fp")
+
+    def value(chosen: tuple[int, ...]) -> Column:
+        out = F.lit(0).cast("long")
+        for i in chosen:
+            out = F.shiftleft(out, cuts[i + 1] - cuts[i]).bitwiseOR(block(i))
+        return out
+
+    keys = F.array(*[F.struct(F.lit(i).alias("block"), value(chosen).alias("value")) for i, chosen in enumerate(combinations(range(n), same))])
+    return fps.select(F.col("fp").alias("node"), F.explode(keys).alias("s")).select("node", "s.*")
+
+
 def components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id (the least doc_id that links reach) for each row of docs; no link is lost.
 
     Null texts count as empty, and empty texts share fingerprint 0. Repeated rows stay. A null doc_id is
     never a component's id unless all of its ids are null. An empty table gives an empty table.
     """
-    if not 0 <= radius < BLOCKS:
-        raise ValueError(f"radius must be below the {BLOCKS} blocks of a fingerprint")
+    if not 0 <= radius <= 7:
+        raise ValueError("radius must be from 0 to 7")
     fps = materialize(fingerprints(docs), "fingerprints")
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    blocks = F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)).alias("value")) for i in range(BLOCKS)])
-    rows = classes.select(F.col("fp").alias("node"), F.explode(blocks).alias("s")).select("node", "s.*")
+    rows = keyed(classes.select("fp"), radius, blocks_of_key(classes.count(), radius))
     linked = materialize(roots(links(rows, radius)), "roots")
     tops = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     heads = tops.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -323,7 +355,8 @@ def near_copies(docs: DataFrame, common: int = PART) -> DataFrame:
 
     Texts are linked if their sets of five-word shingles have a Jaccard similarity of at least 0.8; rows that share
     a doc_id are one node. Null texts count as empty and are copies of each other; rows of a null doc_id take no
-    part. Shingles that are keys of more than `common` texts come last in the order of keys.
+    part. Shingles that are keys of more than `common` texts come last in the order of keys. Other columns are not
+    read; an empty table gives no rows.
     """
     texts = _texts(docs).where("doc_id is not null")
     none = np.zeros(0, "<u8")
@@ -339,7 +372,7 @@ def near_copies(docs: DataFrame, common: int = PART) -> DataFrame:
             fp = [_signs(x, LANES).to_bytes(8 * LANES, "little") for x in sets]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "digest": pa.array(digest, pa.binary()), "fp": pa.array(fp, pa.binary()), "keys": pa.array([first(x, often).tobytes() for x in sets], pa.binary())})
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
             at = np.repeat(np.arange(b.num_rows), [len(x) for x in held])
@@ -351,10 +384,10 @@ def near_copies(docs: DataFrame, common: int = PART) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingles(t, NEAR_SHINGLE)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "own"])
 
     counts = texts.mapInArrow(keys, "value long").groupBy("value").count()
-    often = np.sort(np.array([r.value for r in counts.where(F.col("count") > common).collect()], np.int64).view("<u8"))
+    often = np.sort(np.array([r.value for r in counts.where(F.col("count") > common).orderBy(F.desc("count"), "value").limit(COMMON).collect()], np.int64).view("<u8"))
     signed = materialize(texts.mapInArrow(run, "doc_id long, digest binary, fp binary, keys binary"), "signatures")
     classes = materialize(signed.groupBy("digest").agg(F.min(F.struct("doc_id", "fp", "keys")).alias("s")).select("digest", F.col("s.doc_id").alias("node"), "s.fp", "s.keys"), "classes")
-    rows = classes.select("node", "keys").mapInArrow(keyed, "node long, block int, value long")
+    rows = classes.select("node", "keys").mapInArrow(spread, "node long, block int, value long")
     groups = materialize(roots(links(rows, CANDIDATE_RADIUS, classes=classes)), "candidates")
     groups = materialize(groups.unionByName(groups.select(F.col("root").alias("node"), "root")).distinct(), "groups")
     sets = texts.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(whole, "node long, own binary").distinct()
@@ -369,6 +402,14 @@ def fingerprint_text(fp: str = "fp") -> Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, without near copies of a smaller doc_id; of repeated rows one stays, rows of a null doc_id stay."""
+    """The rows of docs, all columns, without near copies of a smaller doc_id.
+
+    Of rows that are equal in all columns (but maps, which can't be compared) one stays; rows that share a doc_id are
+    one document and stay or go together. All rows of a null doc_id stay. Null and empty texts are copies of each
+    other. An empty table stays empty.
+    """
     copies = near_copies(docs).select(F.col("copy").alias("doc_id")).distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    compared = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    # rows without an id aren't dealt by it: they would all meet in one task
+    kept = docs.where("doc_id is not null").join(copies, "doc_id", "left_anti").select(docs.columns).dropDuplicates(compared)
+    return kept.unionByName(docs.where("doc_id is null"))
