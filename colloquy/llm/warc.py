@@ -8,6 +8,7 @@ orders them by number, checks the total and removes the chunked framing.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -74,30 +75,68 @@ def records(page_id: int | None, url: str | None, html: str | None, refers_to: i
         yield ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode() + part
 
 
+def members(raw: bytes) -> tuple[bytes, str | None]:
+    """What an archive's file holds: all gzip members one after the other, or the bytes as they are; and what is wrong with it."""
+    if not raw.startswith(b"\x1f\x8b"):
+        return raw, None
+    out, at, view = [], 0, memoryview(raw)
+    while at < len(raw):
+        one = zlib.decompressobj(31)
+        while at < len(raw) and not one.eof:
+            part = view[at : at + 65_536]
+            try:
+                out.append(one.decompress(part))
+            except zlib.error as e:
+                return b"".join(out), f"broken gzip member: {e}"
+            at += len(part) - len(one.unused_data)
+        if not one.eof:
+            return b"".join(out), "gzip member without end"
+        while at < len(raw) and raw[at] == 0:  # padding
+            at += 1
+    return b"".join(out), None
+
+
 def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (lower-case names) and block of each record of an archive."""
-    at = 0
-    while raw.startswith(b"WARC/", at):
-        end = raw.index(b"\r\n\r\n", at)
-        lines = raw[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+    """Header fields (lower-case names) and block of each record of an archive; no fields for bytes that are no record."""
+    at, size = 0, len(raw)
+    while at < size:
+        if raw.startswith(_END.encode(), at):
+            at += 4
+            continue
+        end = raw.find(b"\r\n\r\n", at) if raw.startswith(b"WARC/", at) else -1
+        lines = raw[at:end].decode("utf-8", "replace").split("\r\n")[1:] if end >= 0 else []
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        at = end + 4 + int(fields["content-length"])
-        yield fields, raw[end + 4 : at]
-        at += 4
+        length = fields.get("content-length", "")
+        after = end + 4 + int(length) if length.isascii() and length.isdigit() else size + 1
+        if after <= size and "warc-type" in fields:
+            yield fields, raw[end + 4 : after]
+            at = after
+            continue
+        # what isn't a record goes on to where the next one seems to begin
+        following = raw.find(b"\r\n\r\nWARC/", at + 1)
+        following = size if following < 0 else following + 4
+        yield {}, raw[at:following]
+        at = following
 
 
 def write(pages: DataFrame, path: str) -> None:
     """Archives of pages (page_id, url, html) at path, gzip-compressed; null html counts as empty.
 
     Of equal payloads of at least REVISIT_BYTES bytes, the page with the largest page_id is stored and others
-    refer to it. Repeated rows of that page are each stored; a null page_id never refers to another.
+    refer to it. Repeated rows of that page are each stored; a null page_id never refers to another. An empty table
+    gives archives without records.
     """
     spark = pages.sparkSession
     small_batches(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.when(F.octet_length("html") >= REVISIT_BYTES, F.sha1(F.col("html").cast("binary"))))
-    stored = rows.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("stored"), F.count("*").alias("n")).where("n > 1").select("digest", "stored")
-    rows = rows.join(stored, "digest", "left").select("page_id", "url", "html", F.when(F.col("page_id") != F.col("stored"), F.col("stored")).alias("refers_to"))
+    # what refers to what is found without the payloads; these are dealt by page, so no payload's copies meet in one task
+    large = rows.where("digest is not null")
+    keys = large.select("page_id", "digest")
+    stored = keys.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("digest", "refers_to")
+    refers = keys.join(stored, "digest").where("page_id <> refers_to").distinct()
+    large = large.join(refers, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
+    rows = large.unionByName(rows.where("digest is null").select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId(), 0
@@ -117,7 +156,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """page_id, record_type, refers_to, payload_bytes, payload_digest, error for each page in archives at path.
 
     payload_* are of the payload as reassembled; null in a revisit, whose record has the digest it names.
-    error tells what failed: a missing segment, a wrong total, broken framing or a wrong digest; else null.
+    error tells what failed: a missing segment, a wrong total, broken framing, a wrong digest, bytes that are no
+    record or a broken gzip member; else null. Files are plain or of any number of gzip members, each file as large
+    as a task can hold. Records of other kinds than pages (requests, metadata) are left out.
     """
     small_batches(spark, 1)  # a row is a file
     arrow = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("digest", pa.string()), ("origin", pa.string()), ("segment", pa.int64()), ("total", pa.int64()), ("block", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("error", pa.string())])
@@ -126,17 +167,25 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for raw in b.column(0).to_pylist():
                 out = []
-                for f, block in parse(zlib.decompress(raw, 31)):
+                archive, wrong = members(raw)
+                if wrong:
+                    out.append((*[None] * 10, wrong))
+                for f, block in parse(archive):
+                    if not f:
+                        out.append((*[None] * 10, f"{len(block)} bytes that are no record"))
+                        continue
                     page, refers, kind = f.get("x-page-id"), re.search(r"-?\d+", f.get("warc-refers-to", "")), f["warc-type"]
+                    if kind not in ("response", "revisit", "resource", "continuation"):
+                        continue
                     kind = None if kind == "continuation" else kind
-                    digest = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
+                    digest = _hex(f.get("warc-payload-digest"))
                     segment, total = f.get("warc-segment-number"), f.get("warc-segment-total-length")
                     # a whole record is decoded here; a segment's block moves on
                     found = (None, None, None) if segment else _payload(block, kind, digest)
-                    out.append((int(page) if page else None, kind, int(refers[0]) if refers else None, digest, f.get("warc-segment-origin-id") or f["warc-record-id"], int(segment) if segment else None, int(total) if total else None, block if segment else None, *found))
+                    out.append((int(page) if page else None, kind, int(refers[0]) if refers else None, digest, f.get("warc-segment-origin-id") or f.get("warc-record-id"), int(segment) if segment else None, int(total) if total else None, block if segment else None, *found))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * len(arrow), arrow.types, strict=True)], schema=arrow)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").load(path).select("content")
     names = ["page_id", "record_type", "refers_to", "digest", "payload_bytes", "payload_digest", "error"]
     read_once = materialize(files.mapInArrow(run, "page_id long, record_type string, refers_to long, digest string, origin string, segment long, total long, block binary, payload_bytes long, payload_digest string, error string"), "records")
     small_batches(spark)
@@ -149,17 +198,28 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return read_once.where("segment is null").select(names).unionByName(joined.select(names))
 
 
+def _hex(digest: str | None) -> str | None:
+    """A SHA-1 header as lower-case hex, whether it is in hex or base 32; null for none and for other digests."""
+    kind, _, value = (digest or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    return base64.b32decode(value.upper()).hex() if re.fullmatch("[A-Za-z2-7]{32}", value) else value.lower() or None
+
+
 def _payload(block: bytes, kind: str | None, digest: str | None) -> tuple[int | None, str | None, str | None]:
     """Bytes and digest of a block's payload, and what is wrong with it."""
     if kind == "revisit":
         return None, digest, None
     try:
         head, _, body = block.partition(b"\r\n\r\n")
-        payload = dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
+        if not head.startswith(b"HTTP/"):
+            payload = block  # a resource
+        else:
+            payload = dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
     except ValueError as e:
         return None, None, str(e)
     got = hashlib.sha1(payload).hexdigest()
-    return len(payload), got, None if got == digest else "wrong digest"
+    return len(payload), got, None if digest in (None, got) else "wrong digest"
 
 
 _DECODED = (pa.int64(), pa.string(), pa.string())
@@ -185,7 +245,8 @@ def _decode_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def round_trip(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each page, from archives written and read back.
 
-    A revisit's size is that of the stored payload it refers to. A record that can't be read back raises.
+    A revisit's size is that of the stored payload it refers to. A record that can't be read back raises. Other
+    columns are not read; an empty table gives no rows.
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
