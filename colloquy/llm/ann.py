@@ -102,6 +102,11 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: fl
     return graph, start
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that no square overflows; that changes no digit of a cosine."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1])
+
+
 def unit(v: np.ndarray) -> np.ndarray:
     """Unit vectors in single precision; scaled by the largest part first, so no square overflows."""
     v = v / np.abs(v).max(1, keepdims=True)
@@ -125,7 +130,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHA
     Ties go to the smaller vec_id; equal vectors are one point of the graph that stands for its k + 1 smallest
     ids, which are all that any query can need. Vectors that are null, zero or not finite take no part on either
     side, and vectors are compared with those of their own length. Repeated equal rows count once. Fewer
-    than k candidates give fewer rows; an empty table gives none.
+    than k candidates give fewer rows; an empty table gives none. Other columns are not read.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -169,8 +174,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHA
 
 def _search(r: dict, k: int) -> pa.RecordBatch:
     """The k best ids of one shard for each query of one block."""
-    v, ids, counts = np.frombuffer(r["v"]).reshape(-1, r["dim"]), np.frombuffer(r["ids"], np.int64).reshape(-1, k + 1), np.frombuffer(r["counts"], np.int64)
-    q, q_ids = np.frombuffer(r["q"]).reshape(-1, r["dim"]), np.frombuffer(r["q_ids"], np.int64)
+    v, ids, counts = scaled(np.frombuffer(r["v"]).reshape(-1, r["dim"])), np.frombuffer(r["ids"], np.int64).reshape(-1, k + 1), np.frombuffer(r["counts"], np.int64)
+    q, q_ids = scaled(np.frombuffer(r["q"]).reshape(-1, r["dim"])), np.frombuffer(r["q_ids"], np.int64)
     graph = np.frombuffer(r["graph"], np.int32).reshape(len(v), -1)
     norms = np.sqrt((v * v).sum(1))
     out: list[list] = [[], [], []]
