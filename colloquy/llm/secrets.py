@@ -10,6 +10,9 @@ has its own threshold. Candidates that the rule does not reject are the secrets
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import let, materialize, running
@@ -19,7 +22,9 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # a run of fewer than 20 can't hold a longer one, so these are the runs that count
 HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
-#: False discoveries that the rule allows among those it calls not random.
+#: What a candidate holds: words and numbers as they stand in prose hold no letters beside digits. () lets the tests decide alone.
+NEEDS = ("[0-9]", "[A-Za-z]")
+#: False rejections of randomness that the rule allows among its rejections.
 RATE = 0.05
 #: p-values are counted in steps of a hundredth of a decade.
 STEPS, LEAST = 100, 1e-290
@@ -89,9 +94,9 @@ def _p_value(chars: Column, alphabet: Column) -> Column:
     return let(F.transform(chars, lambda c: F.instr(alphabet, c)), tests)
 
 
-def tested(spans: Column) -> Column:
-    """Candidates with their p-value that they are random: struct start, end, p; those without a digit or all digits drop."""
-    good = F.filter(spans, lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
+def tested(spans: Column, needs: tuple[str, ...] = NEEDS) -> Column:
+    """Candidates with their p-value that they are random: struct start, end, p; those that lack one of `needs` drop."""
+    good = F.filter(spans, lambda s: reduce(and_, [s["value"].rlike(x) for x in needs], F.lit(True)))
 
     def one(s: Column) -> Column:
         bare = F.translate(F.regexp_replace(s["value"], "=+$", ""), "-_", "+/")
@@ -134,12 +139,13 @@ def _named(spans: Column, kind: int) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("at"), s["end"].alias("end"), F.lit(KINDS[kind]).alias("kind")))
 
 
-def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
+def scan(docs: DataFrame, rate: float = RATE, needs: tuple[str, ...] = NEEDS) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_spans, spans for each row of docs.
 
     Spans are kind:start:end in code points, comma-joined, by start and then kind; base ones are of the exact
     patterns, and a random one that overlaps any of them is left out. Null texts count as empty; repeated rows
-    are each reported; other columns are not read; an empty table gives none.
+    are each reported; other columns are not read; an empty table gives none. The rate bounds false rejections of
+    randomness among the candidates; what isn't rejected may still be no secret.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     low = F.lower("text")
@@ -147,11 +153,11 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     assign = F.when(low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("key"), F.filter(located(F.col("text"), ASSIGN, 1), lambda s: F.length(s["value"]) >= 6)).otherwise(_none())
     access = F.when(F.col("text").contains("AKIA"), located(F.col("text"), ACCESS)).otherwise(_none())
     hexes = F.when(F.col("text").rlike("[0-9a-f]{24}"), located(F.col("text"), HEX)).otherwise(_none())
-    more = F.when(F.col("text").rlike("[0-9]") & F.col("text").rlike("[A-Za-z0-9+/_-]{20}"), located(F.col("text"), CANDIDATE)).otherwise(_none())
+    more = F.when(reduce(and_, [F.col("text").rlike(x) for x in (*needs, "[A-Za-z0-9+/_-]{20}")]), located(F.col("text"), CANDIDATE)).otherwise(_none())
     found = rows.select("doc_id", assign.alias("assign"), access.alias("access"), hexes.alias("hex"), more.alias("more"))
     base = F.concat(*[_named(F.col(k), i) for i, k in enumerate(KINDS[:3])])
     # regular expressions ran once per row above: the arrays are passed on as values, not repeated
-    bound = found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]], F.sort_array(base).alias("base"), F.when(F.size("more") > 0, tested(F.col("more"))).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,p:double>>")).alias("candidates"))
+    bound = found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]], F.sort_array(base).alias("base"), F.when(F.size("more") > 0, tested(F.col("more"), needs)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,p:double>>")).alias("candidates"))
     held = materialize(bound, "secrets")
     limits = thresholds(held, rate)
     if limits:
