@@ -79,7 +79,8 @@ _SPACE[[32, *range(9, 14)]] = True
 _DIGIT_BIN = np.searchsorted([0, 1, 2, 3, 6, 9, 12, 19], np.arange(256), "left")  # 0 1 2 3 4-6 7-9 10-12 13-19 more
 #: Bits of the code and how many values each part has: digits, capitals, lower case, @, dots, dashes, brackets, others, leading +.
 _SHIFTS, _SIZES = (0, 4, 6, 7, 8, 11, 13, 14, 15), (9, 3, 2, 2, 5, 4, 2, 2, 2)
-_LONG = 7 << 8 | 15  # no word of under 200 bytes has this code
+#: Words of more bytes are counted one by one: a lane of the packed counts holds less than 256.
+_LANE_FULL = 255
 
 
 def codes_of(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -88,10 +89,12 @@ def codes_of(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
         return np.zeros(0, np.int64)
     lanes = np.add.reduceat(_PACKED[raw] * ~_SPACE[raw], starts)
     n = [(lanes >> np.uint64(8 * i) & np.uint64(255)).astype(np.int64) for i in range(8)]
+    for w in np.flatnonzero(ends - starts > _LANE_FULL).tolist():
+        for lane, k in enumerate(np.bincount(_LANE[raw[starts[w] : ends[w]]], minlength=8).tolist()):
+            n[lane][w] = min(k, _LANE_FULL)
     first = raw[starts]
     code = _DIGIT_BIN[n[0]] | np.minimum(n[1], 2) << 4 | (n[2] > 0) << 6 | (n[3] > 0) << 7 | np.minimum(n[4], 4) << 8
-    code |= np.minimum(n[5], 3) << 11 | (n[6] > 0) << 13 | (n[7] > 0) << 14 | (first == 43) << 15
-    return np.where(ends - starts > 200, _LONG, code)
+    return code | np.minimum(n[5], 3) << 11 | (n[6] > 0) << 13 | (n[7] > 0) << 14 | (first == 43) << 15
 
 
 def _features() -> np.ndarray:
@@ -311,10 +314,14 @@ def field_spans(field: Field, texts: list[str]) -> list[list[tuple[int, int, str
             spans[-1][1] = w
         else:
             spans.append([w, w, k])
+    at, upto, chars = -1, 0, 0  # a text is decoded once, span by span
     for a, b, k in spans:
         kind = LABELS[labels[a]].rstrip("+")
         lo = int(starts[a] - offsets[k])
-        start = len(raws[k][:lo].decode("utf-8", "replace"))
+        if k != at:
+            at, upto, chars = k, 0, 0
+        chars += len(raws[k][upto:lo].decode("utf-8", "replace"))
+        upto, start = lo, chars
         seen = raws[k][lo : int(ends[b] - offsets[k])].decode("utf-8", "replace")
         cut = seen.lstrip(_TRIM + ("(" if seen.count("(") > seen.count(")") else ""))
         start += len(seen) - len(cut)
@@ -354,7 +361,8 @@ def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_spans, spans for each row of docs.
 
     Spans are kind:start:end in code points, comma-joined, by start and then kind; counts are of the exact
-    ones. Null texts count as empty; repeated rows are each reported; other columns are not read.
+    ones. Null texts count as empty; repeated rows are each reported; other columns are not read; an empty table
+    gives none.
     """
     field = field or train()
     small_batches(docs.sparkSession)
@@ -388,7 +396,10 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """The rows of docs, all columns, with every span in text replaced by its kind, and n_chars, if there, made to fit; null stays null."""
+    """The rows of docs, all columns, with every span in text replaced by its kind, and n_chars, if there, made to fit.
+
+    Null stays null and empty empty; repeated rows all stay; an empty table stays empty.
+    """
     field = field or train()
     small_batches(docs.sparkSession)
     weights, steps, schema, names = field.weights.tobytes(), field.steps.tobytes(), docs.schema, docs.columns
