@@ -12,8 +12,12 @@ _TURNS = "array<struct<role:string,text:string>>"
 
 
 def rendered(turn: Column) -> Column:
-    """One turn between its markers; a marker's opening sign inside a text is taken apart."""
-    return F.concat(F.lit("<|"), turn["role"], F.lit("|>\n"), F.replace(turn["text"], F.lit("<|"), F.lit("< |")), F.lit("\n<|end|>\n"))
+    """One turn between its markers; signs of markers inside a role or a text are taken apart."""
+    return F.concat(F.lit("<|"), _role(turn), F.lit("|>\n"), F.replace(turn["text"], F.lit("<|"), F.lit("< |")), F.lit("\n<|end|>\n"))
+
+
+def _role(turn: Column) -> Column:
+    return F.replace(F.replace(F.replace(turn["role"], F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >")), F.lit("\n"), F.lit(" "))
 
 
 def clean_turns(turns: Column) -> Column:
@@ -32,7 +36,7 @@ def _mask(turns: Column) -> Column:
 
     def spans(ts: Column) -> Column:
         before = running(F.transform(ts, lambda t: F.length(rendered(t)).cast("long")))
-        head = lambda t: F.length(t["role"]) + 5
+        head = lambda t: F.length(_role(t)) + 5
         placed = F.zip_with(ts, before, lambda t, b: F.struct(t["role"].alias("role"), (b + head(t)).alias("start"), (b + F.length(rendered(t))).alias("end")))
         return F.transform(F.filter(placed, lambda p: p["role"].isin(*TRAINED)), lambda p: F.concat_ws(":", p["start"].cast("string"), p["end"].cast("string")))
 
@@ -45,7 +49,8 @@ def preference_pairs(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
     pairs has the columns key, chosen and rejected, these as arrays of struct role, text. The prompt is the
     longest run of leading turns that both share; what follows on each side is its completion, and the masks
     tell which code points of a completion are learnt. Null or empty conversations give empty strings; equal
-    conversations are all prompt, with two empty completions. Repeated rows stay; other columns are not read.
+    conversations are all prompt, with two empty completions. Repeated rows stay; other columns are not read; an
+    empty table gives none.
     """
     rows = pairs.select(F.col(key), clean_turns(F.col("chosen")).alias("chosen"), clean_turns(F.col("rejected")).alias("rejected"))
     rows = rows.withColumn("n", common_prefix(F.col("chosen"), F.col("rejected")))
@@ -63,19 +68,21 @@ def preference_pairs(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
 
 
 def self_pairs(conversations: DataFrame) -> DataFrame:
-    """pair_id, chosen, rejected from conversations (conv_id, turn, role, text) that have an assistant turn.
+    """pair_id, chosen, rejected from conversations (conv_id, turn, role, text).
 
-    Chosen ends with the conversation's last assistant turn; rejected has its first assistant turn in that
-    place, or nothing there if it has only one. Repeated rows count once; turns of one number are ordered by
+    Chosen ends with the conversation's last assistant turn. Rejected has in that place the text of its first
+    assistant turn or, if there is only one, that of its first turn, said again by the assistant. A conversation
+    without an assistant turn is paired with itself. Repeated rows count once; turns of one number are ordered by
     role and text, nulls first. Rows without a conv_id take no part.
     """
     turns = conversations.select(F.col("conv_id").alias("pair_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).where("pair_id is not null")
     # set, not list: repeated rows are dropped before the shuffle
     rows = turns.groupBy("pair_id").agg(F.sort_array(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
     places = F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("places", places).where(F.size("places") > 0)
+    rows = rows.withColumn("places", places)
     bare = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    rows = rows.select("pair_id", bare.alias("turns"), F.element_at("places", -1).alias("last"), F.element_at("places", 1).alias("first"))
-    before = F.slice("turns", F.lit(1), F.col("last"))
-    other = F.when(F.col("first") < F.col("last"), F.slice("turns", F.col("first") + 1, F.lit(1))).otherwise(F.array().cast(_TURNS))
-    return rows.select("pair_id", F.slice("turns", F.lit(1), F.col("last") + 1).alias("chosen"), F.concat(before, other).alias("rejected"))
+    rows = rows.select("pair_id", bare.alias("turns"), F.try_element_at("places", F.lit(-1)).alias("last"), F.try_element_at("places", F.lit(1)).alias("first"))
+    again = F.get("turns", F.when(F.col("first") < F.col("last"), F.col("first")).otherwise(F.lit(0)))
+    other = F.array(F.struct(F.lit("assistant").alias("role"), again["text"].alias("text"))).cast(_TURNS)
+    chosen, rejected = F.slice("turns", F.lit(1), F.col("last") + 1), F.concat(F.slice("turns", F.lit(1), F.col("last")), other)
+    return rows.select("pair_id", F.coalesce(chosen, "turns").alias("chosen"), F.coalesce(rejected, "turns").alias("rejected"))

@@ -11,48 +11,62 @@ from . import ann, chat, decontaminate, packing, pii, quality, secrets, simhash,
 from .common import read_table
 
 
+# Each query reads a whole table. Null and empty texts, ties, repeated rows, empty tables and further columns have the
+# results that its operator's docstring states; a query passes them on as they are.
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score, for null and empty texts too."""
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and each benchmark item in it; null and empty texts hold none."""
     return decontaminate.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of every vector whose id is divisible by 50; unusable vectors take no part, ties go to the smaller id."""
     vectors = read_table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each conversation; null roles are unknown, null texts empty, repeated rows count once."""
     out = chat.preference_pairs(chat.self_pairs(read_table(spark, sf_dir, "conversations")))
     return out.withColumnRenamed("pair_id", "conv_id")
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; null and empty texts hold no secret."""
     out = secrets.scan(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_random")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each piece; a null or empty text is its end id alone."""
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; null and empty texts hold no personal data."""
     out = pii.scan(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", *(f"n_{k}" for k in pii.KINDS), pii.digest().alias("base_sha256"), "spans")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; null, empty and blank texts share fingerprint zero and a component."""
     out = simhash.components(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.fingerprint_text().alias("fingerprint"), "component_id")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each page; a null html is an empty payload."""
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score, for null and empty texts too."""
     return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
@@ -73,17 +87,17 @@ ORACLE_SQL: dict[str, str] = {
     "op4_chat": """
         WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
         o AS (SELECT conv_id, role, coalesce(text, '') AS x,
-                     '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '< |') || chr(10) || '<|end|>' || chr(10) AS s,
+                     '<|' || replace(replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '|>', '| >'), chr(10), ' ') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '< |') || chr(10) || '<|end|>' || chr(10) AS s,
                      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i FROM t),
-        a AS (SELECT conv_id, min(i) AS f, max(i) AS l FROM o WHERE role = 'assistant' GROUP BY conv_id),
-        p AS (SELECT a.conv_id, f, l, sl.s AS last_s, CASE WHEN f < l THEN sf.s ELSE '' END AS first_s, f < l AND sf.x = sl.x AS same
-              FROM a JOIN o AS sl ON sl.conv_id = a.conv_id AND sl.i = l JOIN o AS sf ON sf.conv_id = a.conv_id AND sf.i = f),
+        a AS (SELECT conv_id, min(i) FILTER (WHERE role = 'assistant') AS f, coalesce(max(i) FILTER (WHERE role = 'assistant'), max(i)) AS l FROM o GROUP BY conv_id),
+        p AS (SELECT a.conv_id, f, l, sl.s AS last_s, '<|assistant|>' || chr(10) || replace(sf.x, '<|', '< |') || chr(10) || '<|end|>' || chr(10) AS first_s, f IS NULL OR sf.x = sl.x AS same
+              FROM a JOIN o AS sl ON sl.conv_id = a.conv_id AND sl.i = l JOIN o AS sf ON sf.conv_id = a.conv_id AND sf.i = CASE WHEN f < l THEN f ELSE 1 END),
         q AS (SELECT p.*, CASE WHEN same THEN l ELSE l - 1 END AS n FROM p),
         r AS (SELECT q.conv_id, string_agg(o.s, '' ORDER BY o.i) AS prompt FROM q JOIN o ON o.conv_id = q.conv_id AND o.i <= q.n GROUP BY q.conv_id)
         SELECT q.conv_id, CAST(q.n AS BIGINT) AS prompt_turns, coalesce(r.prompt, '') AS prompt,
                CASE WHEN same THEN '' ELSE last_s END AS chosen, CASE WHEN same THEN '' ELSE first_s END AS rejected,
                CASE WHEN same THEN '' ELSE '14:' || length(last_s) END AS chosen_mask,
-               CASE WHEN same OR first_s = '' THEN '' ELSE '14:' || length(first_s) END AS rejected_mask
+               CASE WHEN same THEN '' ELSE '14:' || length(first_s) END AS rejected_mask
         FROM q LEFT JOIN r ON r.conv_id = q.conv_id
     """,
     "op9_warc": """
