@@ -149,7 +149,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> Da
 
     The distance counts edits of characters after lower-casing and joining white space; an item's budget is
     that share of its length, rounded down. Whole texts are read, null as empty; repeated rows of docs are
-    each reported, repeated item ids once with their nearest text. Other columns are not read.
+    each reported, repeated item ids once with their nearest text. Other columns are not read; an empty table or
+    an empty benchmark gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -176,7 +177,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> Da
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
-    """The rows of docs, all columns, in whose text no item is within its budget."""
+    """The rows of docs, all columns, in whose text no item is within its budget; null and empty texts hold none.
+
+    Repeated rows all stay or all go; an empty benchmark drops none.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     at, schema = docs.columns.index("text"), docs.schema
