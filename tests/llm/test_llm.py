@@ -64,6 +64,19 @@ def test_quality_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) and zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in rows)
 
 
+def test_statistics_equal_plain_counts():
+    odds = lambda k, n: math.log((k + 0.5) / (max(n - k, 0) + 0.5))
+    for text in (None, "", "  \n", "one", "a a b\n\nB. 12% é|x\na a b", prose(300, 4) + "!?\n" + prose(20, 5)):
+        t = text or ""
+        words, lines, raw = t.split(), [x for x in t.split("\n") if x], t.encode()
+        share = lambda chars: odds(sum(raw.count(c) for c in chars.encode()), len(raw))
+        want = [math.log(1 + len(words)), math.log(1 + (sum(map(len, words)) / len(words) if words else 0)), odds(len(set(words)), len(words))]
+        want += [odds(sum(words[i] == words[i + 1] for i in range(len(words) - 1)), max(len(words) - 1, 0)), odds(max([words.count(w) for w in set(words)], default=0), len(words))]
+        want += [math.log(1 + max(map(len, words), default=0)), odds(sum(len(w) <= 3 for w in words), len(words)), math.log(1 + len(lines)), odds(len(set(lines)), len(lines)), math.log(1 + (len(t) / len(lines) if lines else 0))]
+        want += [share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share("0123456789"), share(".,;:'\"()-"), share("!?"), share("#$%&*@^~=+<>[]{}_\\/`"), share("|"), odds(sum(b > 127 for b in raw), len(raw))]
+        assert quality.statistics(text) == pytest.approx(want)
+
+
 def test_discriminant_is_the_textbook_one():
     r = np.random.default_rng(0)
     x = {0: r.normal(0, 1, (400, 3)), 1: r.normal(1, 2, (300, 3))}
@@ -136,6 +149,51 @@ def test_trigrams_are_those_of_all_documents(spark):
     assert {"quy", "yzz", "zyx", "abc", "cd ", "jfj"} <= set(model.channel.trigrams)
 
 
+def test_decoder_finds_the_best_of_all_readings():
+    """Against every path of small lattices: each sign read as itself or what it stands for, or, in a run, left out."""
+    from itertools import product
+
+    r = random.Random(2)
+    counts = {"".join(x): r.randint(1, 50) for x in product(" aeilst", repeat=3) if r.random() < 0.5}
+    channel = toxicity._channel(counts)
+    for _ in range(150):
+        seen = "".join(r.choice("aeilst1543@") for _ in range(r.randint(1, 5)))
+        best = -1e9
+        ways = [[(c, 0.0), *((x, toxicity.CHANNEL) for x in toxicity.LEET.get(c, ""))] + ([("", toxicity.SKIP)] if i and c == seen[i - 1] else []) for i, c in enumerate(seen)]
+        values = {}
+        for path in product(*ways):
+            text = "".join(x for x, _ in path)
+            padded = "  " + text + " "
+            value = sum(channel.step(padded[i : i + 2], padded[i + 2]) for i in range(len(padded) - 2)) - sum(cost for _, cost in path)
+            values[text] = max(value, values.get(text, -1e9))
+            best = max(best, value)
+        assert values[channel.decode(seen)] == pytest.approx(best, abs=1e-9), seen
+
+
+def test_score_is_the_logistic_of_what_a_text_holds(spark):
+    d, lab = toxic_corpus(spark)
+    model = toxicity.fit(d, lab)
+    for text in ("", None, prose(40, 1), f"{prose(30, 2)} vilefool {prose(5, 3)}", f"{prose(30, 2)} grubbertr@sh vilefool. vilefool"):
+        held = {x for w in (text or "").replace("@", "a").replace(".", "").split() for x in toxicity.features(w)} & set(model.weights)
+        assert model.score(text) == pytest.approx(1 / (1 + math.exp(-model.prior - sum(model.weights[x] for x in held))), rel=1e-9)
+
+
+def test_regression_is_at_its_optimum(spark):
+    """The penalised likelihood's slope is near zero, so the weights are those that a plain solver would find."""
+    d, lab = toxic_corpus(spark)
+    model = toxicity.fit(d, lab)
+    sample = {r.doc_id: r.toxic for r in lab.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    slope, bias = dict.fromkeys(model.weights, 0.0), 0.0
+    for r in d.collect():
+        if r.doc_id in sample:
+            off = model.score(r.text) - sample[r.doc_id]
+            bias += off
+            for x in model.found(r.text):
+                slope[x] += off
+    rest = [s + toxicity.PENALTY * model.weights[x] for x, s in slope.items()]
+    assert max(map(abs, rest)) < 1.5 and abs(bias) < 1.5
+
+
 def test_classifiers_meet_any_table(spark, docs, labels):
     for m in (quality, toxicity):
         rows = m.classify(docs, labels).collect()
@@ -213,6 +271,31 @@ def test_neighbours_recall_and_order(spark):
     assert len(got) == 50 and found / 250 >= 0.9
 
 
+def test_neighbours_over_many_shards(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.collect()
+    ids = np.array([r.vec_id for r in rows])
+    m = np.array([r.embedding for r in rows], float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 50 = 0"), shard=200).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    found = 0
+    for q, near in got.items():
+        s = m @ m[np.flatnonzero(ids == q)[0]]
+        s[ids == q] = -2
+        found += len(near & set(ids[np.lexsort((ids, -s))[:5]].tolist()))
+    assert len(rows) >= 8 * 200 and found / (5 * len(got)) >= 0.9
+
+
+def test_cosines_of_very_large_and_small_vectors(spark):
+    rows = [(0, [1e200, 0.0]), (1, [2e200, 1e200]), (2, [1e-200, 1e-200]), (3, [0.0, 1.0])]
+    df = spark.createDataFrame([(*r, 5) for r in rows], "vec_id long, embedding array<double>, query_id int")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.nearest(df, df).collect()}
+    assert [got[0, i][0] for i in (1, 2, 3)] == [1, 2, 3]
+    assert got[0, 1][1] == pytest.approx(2 / math.sqrt(5)) and got[3, 1][1] == pytest.approx(math.sqrt(0.5))
+
+
 def test_beams_hold_no_point_twice():
     r = np.random.default_rng(3)
     for n in (20, 60, 300):
@@ -266,11 +349,24 @@ def test_longest_common_prefix(spark):
 def test_conversations_of_any_shape(spark):
     rows = [(1, 0, "user", "q"), (1, 0, "user", "q"), (1, 1, "assistant", None), (2, 0, "user", "only"), (None, 0, "assistant", "x"), (3, None, None, None), (3, 1, "assistant", "a")]
     c = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, chosen string")
-    out = chat.preference_pairs(chat.self_pairs(c))
-    assert {r.pair_id for r in out.collect()} == {1, 3}
+    out = {r.pair_id: r for r in chat.preference_pairs(chat.self_pairs(c)).collect()}
+    say = lambda role, x: f"<|{role}|>\n{x}\n<|end|>\n"
+    assert set(out) == {1, 2, 3}
+    assert (out[1].prompt, out[1].chosen, out[1].rejected) == (say("user", "q"), say("assistant", ""), say("assistant", "q"))
+    assert (out[2].prompt, out[2].chosen, out[2].rejected) == (say("user", "only"), "", "")
+    assert (out[3].prompt, out[3].chosen, out[3].rejected) == (say("unknown", ""), say("assistant", "a"), say("assistant", ""))
     assert chat.preference_pairs(chat.self_pairs(c.limit(0))).count() == 0
 
 
+def test_long_conversations_and_roles_like_markers(spark):
+    turns = [(1, i, "user" if i % 2 == 0 else "assistant", "w" * 50 + str(i)) for i in range(3001)] + [(2, 0, "<|x|>\ny", "t"), (2, 1, "assistant", "a")]
+    c = spark.createDataFrame([(*t, 1, "p") for t in turns], "conv_id long, turn long, role string, text string, pair_id int, rejected string")
+    out = {r.pair_id: r for r in chat.preference_pairs(chat.self_pairs(c)).collect()}
+    assert out[1].prompt_turns == 2999 and out[1].prompt.count("<|end|>") == 2999
+    assert out[1].chosen == "<|assistant|>\n" + "w" * 50 + "2999\n<|end|>\n" and out[1].rejected == "<|assistant|>\n" + "w" * 50 + "1\n<|end|>\n"
+    assert out[2].prompt == "<|< |x| > y|>\nt\n<|end|>\n"
+
+
 # 5 secrets
 
 
@@ -308,6 +404,26 @@ def test_randomness_battery(spark):
     assert sum(out[1000 + i] for i in range(200)) <= 10
 
 
+def test_thresholds_equal_the_plain_rule(spark):
+    """Benjamini and Hochberg's rule within each class of lengths, on p-values rounded down to steps as stated."""
+    r = random.Random(9)
+    rows = [(0, n, 10 ** -(r.random() ** 3 * 8)) for n in (r.randint(20, 120) for _ in range(500))]
+    spans = spark.createDataFrame([([x],) for x in rows], "candidates array<struct<start:bigint,end:bigint,p:double>>")
+    want = {}
+    for size in {int(math.log2(n)) for _, n, _ in rows}:
+        steps = sorted((math.floor(-math.log10(p) * secrets.STEPS) for _, n, p in rows if int(math.log2(n)) == size), reverse=True)
+        passed = [s for s in steps if 10 ** (-s / secrets.STEPS) <= secrets.RATE * sum(x >= s for x in steps) / len(steps)]
+        if passed:
+            want[size] = min(passed)
+    assert secrets.thresholds(spans) == want and want
+
+
+def test_what_a_candidate_needs_is_a_parameter(spark):
+    r = random.Random(3)
+    d = spark.createDataFrame([(1, "key " + "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(60)))], "doc_id long, text string")
+    assert secrets.scan(d).first().n_random == 0 and secrets.scan(d, needs=()).first().n_random == 1
+
+
 def test_p_values_follow_their_tests(spark):
     r = random.Random(1)
     s = "".join(r.choice("0123456789abcdef") for _ in range(64))
@@ -403,6 +519,39 @@ def test_packing_meets_any_table(spark, docs):
     assert packing.pack(docs, WORD_BPE).agg(F.count_distinct("sequence_id")).first()[0] > 0
 
 
+def test_neighbours_are_ranked_by_the_textbook_formula():
+    r = np.random.default_rng(7)
+    docs = [np.concatenate((r.integers(0, 12, r.integers(1, 30)), 100 + r.integers(0, 900, r.integers(1, 40)))) for _ in range(80)]
+    index, n, mean = packing.Index(docs), 80, sum(map(len, docs)) / 80
+    df = {t: sum(t in d for d in docs) for t in {int(t) for d in docs for t in d}}
+    used = np.zeros(n, bool)
+    used[[3, 8]] = True
+    assert (index.dense >= 0).any() and (index.dense < 0).any()
+    for seed in range(0, 80, 9):
+        want = {}
+        for i, d in enumerate(docs):
+            shared = {int(t) for t in docs[seed]} & {int(t) for t in d}
+            tf = {t: int((d == t).sum()) for t in shared}
+            k = packing.K1 * (1 - packing.B + packing.B * len(d) / mean)
+            value = sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * (packing.K1 + 1) / (tf[t] + k) for t in shared if df[t] > 1)
+            if value and not used[i]:
+                want[i] = value
+        got = index.neighbours(seed, used).tolist()
+        assert set(got) == set(want)
+        assert all(want[a] >= want[b] - 1e-4 for a, b in zip(got, got[1:], strict=False))
+
+
+def test_encoder_equals_the_tokenizer_on_any_character():
+    e = packing.encoder(WORD_BPE)
+    assert e.by_word
+    chars = [chr(c) for c in (*range(0x3000), *range(0xFB00, 0xFFFF), 0x10400, 0x1E900, 0x1F642)]
+    texts = [f"alpha{c}beta Gam{c} {c}{c}don't{c}. {c}, x{c}{c}y" for c in chars]
+    r = random.Random(12)
+    texts += ["".join(r.choice(["a", "B", " ", ".", "'s", "1", "\x1c", "\x1f", "\x85", "\u200b", "é", "e\u0301", "İ", "ς", "Σ", "的"]) for _ in range(r.randint(0, 30))) for _ in range(1500)]
+    for text, ids in zip(texts, e.encode(texts), strict=True):
+        assert ids.tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 @pytest.mark.parametrize("text", ["don't stop.", "a,b;; c!!", "İstanbul ΣΑΣ ß.", "x́y é", "<|endoftext|> a", "ª. º, é! 1. 2.", "tab\tnew\nline\x0bv\x85n m", "ſ K", ""])
 def test_encoder_equals_the_tokenizer(text):
     e = packing.encoder(WORD_BPE)
@@ -413,7 +562,7 @@ def test_encoder_equals_the_tokenizer(text):
 
 
 def base_pii(text):
-    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text if "@" in text else "")]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
         d = re.sub(r"[^0-9]", "", m[0])
@@ -450,6 +599,17 @@ def test_field_accuracy_and_added_spans():
     assert list(pii.find(field, [clean, ""])) == [([], []), ([], [])]
 
 
+def test_shapes_of_long_words_and_places_of_many_spans():
+    long = b"1" * 300 + b"a" * 2000 + b"." * 700
+    raw = np.frombuffer(long + b" " + b"1" * 20 + b"a.....", np.uint8)
+    a, b = pii.codes_of(raw, *pii.words_of(raw)).tolist()
+    assert a == b
+    field = pii.train()
+    text = "é " + " wörd ".join(f"(555) 555-{1000 + i}" for i in range(400)) + "\n" + "x" * 500
+    (_, spans), = pii.find(field, [text])
+    assert len(spans) >= 390 and all(re.fullmatch(r"\(?555\) 555-\d{4}", text[a:b]) for a, b, _ in spans)
+
+
 def test_viterbi_is_the_best_path():
     field = pii.train(rounds=15)
     r = random.Random(1)
@@ -517,22 +677,24 @@ def test_components_equal_brute_force(spark):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {i: (f"{fps[i]:016x}", want[i]) for i in rows}
 
 
-@pytest.mark.parametrize("radius,part", [(3, 2000), (3, 7), (1, 5)])
-def test_links_lose_nothing_in_dense_groups(spark, radius, part):
+@pytest.mark.parametrize("radius,part,same", [(3, 2000, 1), (3, 7, 1), (1, 5, 1), (3, 2000, 2), (3, 7, 3), (1, 5, 2), (0, 5, 1)])
+def test_links_lose_nothing_in_dense_groups(spark, radius, part, same):
     r = random.Random(radius)
     seeds = [r.getrandbits(64) for _ in range(6)]
     xs = sorted({s ^ sum(1 << r.randrange(64) for _ in range(r.randint(0, 4))) for s in seeds for _ in range(40)})
     signed = [x - (1 << 64) if x >> 63 else x for x in xs]
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    blocks = F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)).alias("value")) for i in range(4)])
-    rows = df.select(F.col("fp").alias("node"), F.explode(blocks).alias("s")).select("node", "s.*")
-    edges = simhash.links(rows, radius, part)
+    edges = simhash.links(simhash.keyed(df, radius, same), radius, part)
     top = {x.node: x.root for x in simhash.roots(edges).collect()}
     want = components_of(dict(zip(signed, xs, strict=True)), radius)
     groups = lambda m: sorted(sorted(i for i in signed if m.get(i, i) == k) for k in {m.get(i, i) for i in signed})
     assert groups(top) == groups(want)
 
 
+def test_keys_thin_out_as_fingerprints_grow():
+    assert [simhash.blocks_of_key(n, 3) for n in (10, 10**8, 10**9, 10**12, 10**15)] == [1, 1, 2, 3, 3]
+
+
 def test_bk_tree_finds_all_within():
     r = random.Random(1)
     xs = {r.getrandbits(24) for _ in range(400)}
@@ -560,9 +722,29 @@ def test_near_copies_go_and_others_stay(spark, docs):
     assert out.columns == docs.columns
     ids = sorted(r.doc_id for r in out.where("doc_id is not null").collect())
     assert ids == [1, 4, 5, 7, 8, 9, 10, 11] and out.where("doc_id is null").count() == 2
+    rows = [(1, "a b", "x"), (1, "a b", "x"), (1, "a b", "y"), (None, "a b", "x"), (None, "a b", "x"), (2, "a b", "x"), (3, None, "x"), (4, "", "x")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, copy string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "", r.copy) for r in kept) == [(0, "a b", "x"), (0, "a b", "x"), (1, "a b", "x"), (1, "a b", "y"), (3, "", "x")]
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def alike(texts):
+    """The least id that links of texts with a similarity of 0.8 or more reach, by comparing all pairs."""
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    top = {i: i for i in texts}
+    ids = sorted(texts)
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            both = len(sets[a] & sets[b])
+            if top[a] != top[b] and (5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both)):
+                low, high = sorted((top[a], top[b]))
+                top = {i: low if x == high else x for i, x in top.items()}
+    return top
+
+
 def similarity(a, b):
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split())]
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
@@ -651,6 +833,31 @@ def test_broken_segments_are_told(spark):
             assert got[0].error
 
 
+def test_archives_of_other_writers(spark, tmp_path):
+    import base64
+    import gzip
+
+    def record(kind, body, **more):
+        fields = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:{zlib.crc32(body)}>", "Content-Length": len(body)} | {k.replace("_", "-"): v for k, v in more.items()}
+        return ("WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n").encode() + body + b"\r\n\r\n"
+
+    page = lambda i: b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + b"page %d" % i
+    digest = "sha1:" + base64.b32encode(hashlib.sha1(b"page 1").digest()).decode()
+    parts = [record("warcinfo", b"software: x"), record("response", page(1), X_Page_Id=1, WARC_Payload_Digest=digest), record("response", page(2), X_Page_Id=2), record("resource", b"bare", X_Page_Id=3)]
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    (tmp_path / "plain.warc").write_bytes(b"".join(parts))
+    (tmp_path / "junk.warc").write_bytes(parts[1] + b"nothing here" + b"\r\n\r\n" + parts[2])
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(parts[1]) + gzip.compress(parts[2])[:-20])
+    got = {}
+    for r in warc.read(spark, f"file://{tmp_path}").collect():
+        got[r.page_id, r.payload_bytes, r.error] = got.get((r.page_id, r.payload_bytes, r.error), 0) + 1
+    assert got[1, 6, None] == 4 and got[2, 6, None] >= 3 and got[3, 4, None] == 2
+    errors = sorted(e for _, _, e in got if e)
+    assert len(errors) >= 2 and any("are no record" in e for e in errors) and any("gzip" in e for e in errors)
+    many = b"".join(gzip.compress(record("response", page(i), X_Page_Id=i)) for i in range(2000))
+    assert sum(1 for f, _ in warc.parse(warc.members(many)[0]) if f) == 2000
+
+
 # pipeline
 
 
@@ -660,8 +867,7 @@ def test_pipeline_equals_its_stages(spark):
     model = toxicity.fit(d, read(spark, "labels"))
     rows = {r.doc_id: r.text for r in d.collect()}
     rows = {i: t for i, t in rows.items() if model.score(t) < 0.5}
-    fps = {i: simhash.fingerprint(t, simhash.NEAR_SHINGLE, simhash.LANES) for i, t in rows.items()}
-    tops = components_of(fps, simhash.NEAR_RADIUS)
+    tops = alike(rows)
     items = [decontaminate.normal(r.text) for r in read(spark, "benchmark").collect()]
     kept = {i: t for i, t in rows.items() if tops[i] == i and not any(s in decontaminate.normal(t) for s in items)}
     t = Tokenizer.from_file(WORD_BPE)
