@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from math import exp, log
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -43,9 +44,10 @@ LEET = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "і": "i",
 }
 CHANNEL, UNSEEN, SKIP, GAP = 1.0, -14.0, 0.2, 1.0
-CACHE_WORDS = 300_000
-#: Words that a task holds before their trigrams are counted.
-COUNTED_WORDS = 200_000
+#: Words whose evidence a task holds; words whose features, and features whose counts, a task of the fit holds.
+CACHE_WORDS, KNOWN_WORDS, COUNTED = 300_000, 20_000, 300_000
+#: Tasks that share the labelled documents.
+PARTS = 32
 
 _SIGNS = frozenset(LEET)
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -63,17 +65,22 @@ def clean(word: str) -> str:
     return word.lower().rstrip(".,;:!?\"')]}").lstrip("\"'([{")
 
 
-def features(word: str) -> list[str]:
-    """A restored word, its beginnings (marked ^) and the n-grams of its letters with its ends (marked ~)."""
-    out = []
+def features(word: str) -> set[str]:
+    """Each part of a restored word between ^ and $, its beginnings, and all n-grams of these: pieces of what ends() gives."""
+    out = set()
     for part in _LETTERS.findall(word):
-        out.append(part)
-        out += ["^" + part[:n] for n in BEGINNINGS if len(part) >= n]
-        ends = f"^{part}$"
-        out += ["~" + ends[i : i + n] for n in GRAMS for i in range(len(ends) - n + 1)]
+        marked = f"^{part}$"
+        out.add(marked)
+        out.update([marked[: n + 1] for n in BEGINNINGS if len(part) >= n])
+        out.update([marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)])
     return out
 
 
+def ends(word: str) -> str:
+    """The letter parts of a word between their marks."""
+    return f"^{word}$" if word.isalpha() else "".join([f"^{part}$" for part in _LETTERS.findall(word)])
+
+
 @dataclass
 class Channel:
     """A character trigram model as log-probabilities, and the Viterbi decoder over lattices."""
@@ -120,15 +127,23 @@ class Channel:
 
 
 class Model:
-    """Weights of features, the channel, the log-odds of a document without features, and what is looked for in disguise."""
+    """Weights of features, the channel, the log-odds of a document without features, and the words looked for in disguise.
+
+    An automaton over the features finds all that a word holds in one pass.
+    """
 
     def __init__(self, weights: dict[str, float], channel: Channel, prior: float, strong: frozenset[str] | None = None) -> None:
         self.weights, self.channel, self.prior = weights, channel, prior
-        self.strong = frozenset(x for x, w in weights.items() if w >= 1 and x[0] != "~") if strong is None else strong
+        self.strong = frozenset(x for x, w in weights.items() if w >= 1 and len(x) > 4) if strong is None else strong
         #: No word is looked for unless it begins so, once runs of a letter count as one letter.
-        self.starts = {_DOUBLE.sub(r"\1", x.lstrip("^"))[:3] for x in self.strong}
+        self.starts = {_DOUBLE.sub(r"\1", x.strip("^$"))[:3] for x in self.strong}
         self.begun = {x[:n] for x in self.starts for n in (1, 2)}
         self.longest = max(map(len, self.strong), default=0)
+        self.automaton = ahocorasick.Automaton()
+        for x in weights:
+            self.automaton.add_word(x, x)
+        if weights:
+            self.automaton.make_automaton()
         self.cache = _Words(self)
 
     def __reduce__(self):
@@ -136,10 +151,10 @@ class Model:
 
     def plain(self, word: str) -> tuple[str, ...]:
         """The features of a word that have weight."""
-        return tuple([x for x in features(word) if x in self.weights])
+        return tuple([x for _, x in self.automaton.iter(ends(word))]) if self.weights else ()
 
     def weigh(self, found) -> float:
-        return sum(map(self.weights.__getitem__, found))
+        return sum(map(self.weights.__getitem__, set(found)))
 
     def may(self, word: str, anywhere: bool) -> bool:
         """Whether a reading of the word holds the start of one that is looked for, after a sign or (if so asked) anywhere."""
@@ -181,7 +196,7 @@ class Model:
 
     def word(self, raw: str) -> float:
         """What the evidence of a raw word weighs."""
-        return self.weigh(set(self.evidence(raw)))
+        return self.weigh(self.evidence(raw))
 
     def run(self, seen: str, anywhere: bool = True) -> tuple[str, ...]:
         """Features of what a lattice reads; with gaps in it and if so asked, a word looked for may begin after any of them."""
@@ -191,10 +206,11 @@ class Model:
             for part in _LETTERS.findall("".join(read.split())):
                 for i in range(len(part)):
                     for n in range(BEGINNINGS[0], min(self.longest, len(part) - i) + 1):
-                        if part[i : i + n] in self.strong:
+                        if f"^{part[i : i + n]}$" in self.strong:
                             out += self.plain(part[i : i + n])
-                    out += [x for n in BEGINNINGS if i + n <= len(part) and (x := "^" + part[i : i + n]) in self.strong and x in self.weights]
-        return tuple(out)
+                        elif n in BEGINNINGS and f"^{part[i : i + n]}" in self.strong:
+                            out.append(f"^{part[i : i + n]}")
+        return tuple([x for x in out if x in self.weights])
 
     def found(self, text: str | None) -> set[str]:
         """The features in a restored text. Null counts as empty."""
@@ -206,7 +222,7 @@ class Model:
 
     def score(self, text: str | None) -> float:
         """0 to 1: the logistic of what the restored text holds."""
-        logit = self.prior + self.weigh(self.found(text))
+        logit = self.prior + sum(map(self.weights.__getitem__, self.found(text)))
         return 1 / (1 + exp(-max(-30.0, min(30.0, logit))))
 
 
@@ -221,14 +237,6 @@ class _Words(dict):
         return got
 
 
-class _Parts(dict):
-    """The letter parts of each raw word seen."""
-
-    def __missing__(self, raw: str) -> list[str]:
-        got = self[raw] = _LETTERS.findall(clean(raw))
-        return got
-
-
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT, bound: int = FIT_ROWS) -> Model:
     """Trigrams of whole words from all documents; features and their weights from at most `bound` labelled ones.
 
@@ -253,41 +261,58 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", folds: int =
 
 
 def _trigrams(texts: DataFrame) -> DataFrame:
-    """g, n: the trigrams of the words of all documents; a word counts once in a document."""
+    """g, n: the trigrams of the words of all documents, with two blanks before a word and one after it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: Counter[str] = Counter()
-        held: Counter[str] = Counter()
-        parts = _Parts()
-
-        def spell() -> None:
-            for w, n in held.items():
-                p = f"  {w} "
-                for i in range(len(p) - 2):
-                    grams[p[i : i + 3]] += n
-            held.clear()
-
         for b in batches:
-            for text in b.column(0).to_pylist():
-                held.update(set().union(*map(parts.__getitem__, set((text or "").split()))))
-                if len(held) > COUNTED_WORDS:
-                    spell()
-                if len(parts) > CACHE_WORDS:
-                    parts.clear()
-        spell()
+            grams.update(trigrams([t for t in b.column(0).to_pylist() if t]))
         if grams:
             yield pa.RecordBatch.from_pydict({"g": pa.array(list(grams)), "n": pa.array(list(grams.values()), pa.int64())})
 
     return texts.select("text").mapInArrow(count, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
 
+def trigrams(texts: list[str]) -> dict[str, int]:
+    """How often each trigram stands in the words of texts, all at once: characters are numbered, a trigram is a number."""
+    plain = [t if t.isascii() or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t) for t in texts]
+    codes = np.frombuffer("\n".join(plain).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    present, hidden = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+    present[codes], hidden[list(_HIDDEN)] = True, True
+    if (present & hidden).any():
+        codes = codes[~hidden[codes]]
+    letters = [chr(c) for c in np.flatnonzero(present).tolist() if _LETTERS.fullmatch(chr(c))]
+    number = np.zeros(0x110000, np.int32)
+    number[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+    blank = np.zeros(2, np.int32)  # before the first word and after the last
+    ids = np.concatenate((blank, number[codes], blank)).astype(np.int64 if len(letters) >= 1000 else np.int32)
+    two, one, own = ids[:-2], ids[1:-1], ids[2:]
+    k = len(letters) + 1
+    found = [((two * k + one) * k + own)[one > 0]]  # a word's letters in the middle: what is before and after may be a blank
+    found.append(ids[1:][(ids[1:] > 0) & (ids[:-1] == 0)])  # its first letter after two blanks
+    keys = np.concatenate(found)
+    if k**3 <= 1 << 24:
+        counts = np.bincount(keys, minlength=1)
+        keys = np.flatnonzero(counts)
+        counts = counts[keys]
+    else:
+        keys, counts = np.unique(keys, return_counts=True)
+    names = [" ", *letters]
+    return {names[g // (k * k)] + names[g // k % k] + names[g % k]: n for g, n in zip(keys.tolist(), counts.tolist(), strict=True)}
+
+
 def _counts(labelled: DataFrame) -> DataFrame:
     """f, t, c, mt, mc: toxic and other documents that hold a feature, and hashed sets of the words before it in either."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
-        known: dict[str, tuple[str, list[str]]] = {}
+        known: dict[str, set[str]] = {}
         docs_of = [0, 0]
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            f, *numbers = zip(*rows, strict=True)
+            return pa.RecordBatch.from_pydict({"f": pa.array(f), **{k: pa.array(v, pa.int64()) for k, v in zip(("t", "c", "mt", "mc"), numbers, strict=True)}})
+
         for b in batches:
             for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 y = int(y > 0)
@@ -301,7 +326,7 @@ def _counts(labelled: DataFrame) -> DataFrame:
                 for raw, mask in words.items():
                     own = known.get(raw)
                     if own is None:
-                        if len(known) > CACHE_WORDS:
+                        if len(known) > KNOWN_WORDS:
                             known.clear()
                         own = known[raw] = features(clean(raw))
                     for x in own:
@@ -310,12 +335,12 @@ def _counts(labelled: DataFrame) -> DataFrame:
                     s = seen[x]
                     s[1 - y] += 1
                     s[3 - y] |= mask
-        out = [("#docs", docs_of[1], docs_of[0], 0, 0), *((x, *s) for x, s in seen.items())]
-        for at in range(0, len(out), 50_000):
-            f, *numbers = zip(*out[at : at + 50_000], strict=True)
-            yield pa.RecordBatch.from_pydict({"f": pa.array(f), **{k: pa.array(v, pa.int64()) for k, v in zip(("t", "c", "mt", "mc"), numbers, strict=True)}})
+                if len(seen) > COUNTED:  # sums are added up after the shuffle
+                    yield batch([(x, *s) for x, s in seen.items()])
+                    seen.clear()
+        yield batch([("#docs", docs_of[1], docs_of[0], 0, 0), *((x, *s) for x, s in seen.items())])
 
-    rows = labelled.mapInArrow(count, "f string, t long, c long, mt long, mc long")
+    rows = labelled.repartition(PARTS).mapInArrow(count, "f string, t long, c long, mt long, mc long")
     sums = rows.groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.bit_or("mt").alias("mt"), F.bit_or("mc").alias("mc"))
     return sums.where((F.col("f") == "#docs") | (F.greatest(F.bit_count("mt"), F.bit_count("mc")) >= CONTEXTS))
 
@@ -333,7 +358,7 @@ def _chosen(sums: DataFrame, base: float) -> list:
     sure = lambda x: F.least(F.greatest(x, F.lit(1e-9)), F.lit(1 - 1e-9))
     gain = sure(p) * F.log(sure(p) / base) + (1 - sure(p)) * F.log((1 - sure(p)) / (1 - base))
     evidence = F.when(contexts >= 60, F.col("t") + F.col("c")).otherwise(F.least(F.col("t") + F.col("c"), contexts / share)) * gain
-    rated = words.where(contexts >= CONTEXTS).select("f", "t", "c", evidence.alias("evidence"), (up & (p >= PRECISION) & (evidence >= log(tried / ERROR)) & ~F.col("f").startswith("~") & (F.length("f") > 3)).alias("strong"))
+    rated = words.where(contexts >= CONTEXTS).select("f", "t", "c", evidence.alias("evidence"), (up & (p >= PRECISION) & (evidence >= log(tried / ERROR)) & F.col("f").startswith("^") & (F.length("f") > BEGINNINGS[0])).alias("strong"))
     return rated.where(F.col("evidence") >= EVIDENCE).orderBy(F.desc("evidence"), "f").limit(MAX_FEATURES).collect()
 
 
@@ -349,7 +374,7 @@ def _regression(labelled: DataFrame, first: Model) -> Model:
             yield pa.RecordBatch.from_pydict({"y": b.column(0).cast(pa.int32()), "text": pa.array([xxhash.xxh3_128_digest((t or "").encode("utf-8", "replace")) for t in texts], pa.binary()), "held": pa.array(held, pa.binary())})
 
     # equal texts are one row
-    rows = sorted((r.text, int(r.y > 0), r.held) for r in labelled.mapInArrow(numbers, "y int, text binary, held binary").groupBy("text").agg(F.max("y").alias("y"), F.first("held").alias("held")).collect())
+    rows = sorted((r.text, int(r.y > 0), r.held) for r in labelled.repartition(PARTS).mapInArrow(numbers, "y int, text binary, held binary").groupBy("text").agg(F.max("y").alias("y"), F.first("held").alias("held")).collect())
     held = [np.frombuffer(bytes(x), "<i4") for _, _, x in rows]
     y, d, n = np.array([x for _, x, _ in rows], float), len(names), len(rows)
     row, column = np.repeat(np.arange(n), [len(x) for x in held]), np.concatenate([np.zeros(0, "<i4"), *held]).astype(np.int64)
