@@ -127,7 +127,7 @@ def test_disguises_in_words_that_seem_plain(spark):
         assert model.score(f"{base} {word} {base}") >= 0.5, word
     for word in ("kara-no", "li-ble", "tuwen's", "12-34-5", "кора", "5417", "mmmm-oooo", "$$$"):
         assert model.score(f"{base} {word} {base}") < 0.5, word
-    signs = toxicity.Model({"isti": 5.0, "^isti": 5.0}, model.channel, 0.0)
+    signs = toxicity.Model({"^isti$": 5.0, "^isti": 5.0}, model.channel, 0.0)
     assert signs.word("15+1") > 0 and signs.word("1571") > 0 and signs.word("77777") == 0
 
 
@@ -149,6 +149,19 @@ def test_trigrams_are_those_of_all_documents(spark):
     assert {"quy", "yzz", "zyx", "abc", "cd ", "jfj"} <= set(model.channel.trigrams)
 
 
+def test_trigrams_equal_plain_counts():
+    texts = ["", "a", "Ab cD.e", "ﬁne soft\u00adware x1y2z", "é的b  的" + "\U00010400k", prose(200, 8), "12 34"]
+    want = {}
+    for t in texts:
+        for w in re.findall(r"[^\W\d_]+", toxicity.unicodedata.normalize("NFKC", t).lower().replace("\u00ad", "")):
+            p = f"  {w} "
+            for i in range(len(p) - 2):
+                want[p[i : i + 3]] = want.get(p[i : i + 3], 0) + 1
+    assert toxicity.trigrams(texts) == want
+    many = "".join(map(chr, range(0x4E00, 0x4E00 + 600)))
+    assert toxicity.trigrams([many])[many[5:8]] == 1
+
+
 def test_decoder_finds_the_best_of_all_readings():
     """Against every path of small lattices: each sign read as itself or what it stands for, or, in a run, left out."""
     from itertools import product
