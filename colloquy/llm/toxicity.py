@@ -30,13 +30,13 @@ FOLDS, HELD_OUT = 5, 0
 FIT_ROWS = 20_000
 #: Features that a model holds at most, those of most evidence; its trigrams are those of all documents, as many as there are.
 MAX_FEATURES = 50_000
-#: A feature needs so many distinct words before it, so copies of one text don't make one, and so much evidence in nats.
-CONTEXTS, EVIDENCE = 3, 4.0
+#: A feature needs so many distinct words before it, so copies of one text don't make one, so much evidence in nats, and a share of toxic documents so many times the usual one or below.
+CONTEXTS, EVIDENCE, EFFECT = 3, 3.0, 2.0
 #: Words that are looked for in disguise have such a share of toxic documents, and a chance below this that any of them came by luck.
 PRECISION, ERROR = 0.9, 1e-3
 BEGINNINGS, GRAMS = (4, 5, 6), (3, 4, 5)
 #: The quadratic penalty of the regression, and its rounds.
-PENALTY, ROUNDS = 0.5, 200
+PENALTY, ROUNDS = 0.3, 200
 #: What a sign may stand for, and the cost of that reading in nats.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -44,8 +44,8 @@ LEET = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "і": "i",
 }
 CHANNEL, UNSEEN, SKIP, GAP = 1.0, -14.0, 0.2, 1.0
-#: Words whose evidence a task holds; words whose features, and features whose counts, a task of the fit holds.
-CACHE_WORDS, KNOWN_WORDS, COUNTED = 300_000, 20_000, 300_000
+#: Words whose evidence a task holds; words or features whose counts a task of the fit holds.
+CACHE_WORDS, COUNTED = 300_000, 300_000
 #: Tasks that share the labelled documents.
 PARTS = 32
 
@@ -249,13 +249,18 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", folds: int =
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     channel = _channel({r.g: r.n for r in _trigrams(texts).collect()})
     labelled = materialize(texts.join(F.broadcast(sample), "doc_id").select(F.col("y"), "text"), "labelled")
-    sums = materialize(_counts(labelled), "features")
-    toxic, others = next(((r.t, r.c) for r in sums.where("f = '#docs'").collect()), (0, 0))
+    words = materialize(_words(labelled), "words")
+    toxic, others = next(((r.t, r.c) for r in words.where("w = '#docs'").collect()), (0, 0))
     prior = log((toxic + 1) / (others + 1)) if toxic + others else -2.0
     if not toxic or not others:
         return Model({}, channel, min(prior, -2.0) if not toxic else max(prior, 2.0), frozenset())
-    chosen = _chosen(sums, toxic / (toxic + others))
-    odds = {r.f: log((r.t + 0.5) / (toxic + 1)) - log((r.c + 0.5) / (others + 1)) for r in chosen}
+    sums = materialize(_counts(words), "features")
+    all_words = sums.where("f = '#words'").first()
+    t, c = (all_words.t, all_words.c) if all_words else (0, 0)
+    if not t or not c:
+        return Model({}, channel, prior, frozenset())
+    chosen = _chosen(sums, t / (t + c))
+    odds = {r.f: log((r.t + 0.5) / (t + 1)) - log((r.c + 0.5) / (c + 1)) for r in chosen}
     strong = frozenset(r.f for r in chosen if r.strong)
     return _regression(labelled, Model(odds, channel, prior, strong))
 
@@ -301,56 +306,71 @@ def trigrams(texts: list[str]) -> dict[str, int]:
     return {names[g // (k * k)] + names[g // k % k] + names[g % k]: n for g, n in zip(keys.tolist(), counts.tolist(), strict=True)}
 
 
-def _counts(labelled: DataFrame) -> DataFrame:
-    """f, t, c, mt, mc: toxic and other documents that hold a feature, and hashed sets of the words before it in either."""
+_COUNTS = "t long, c long, mt long, mc long"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
-        known: dict[str, set[str]] = {}
-        docs_of = [0, 0]
 
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            f, *numbers = zip(*rows, strict=True)
-            return pa.RecordBatch.from_pydict({"f": pa.array(f), **{k: pa.array(v, pa.int64()) for k, v in zip(("t", "c", "mt", "mc"), numbers, strict=True)}})
+def _summed(rows: DataFrame, by: str) -> DataFrame:
+    return rows.groupBy(by).agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.bit_or("mt").alias("mt"), F.bit_or("mc").alias("mc"))
+
+
+def _batch(name: str, rows: list[tuple]) -> pa.RecordBatch:
+    key, *numbers = zip(*rows, strict=True) if rows else [()] * 5
+    return pa.RecordBatch.from_pydict({name: pa.array(key, pa.string()), **{k: pa.array(v, pa.int64()) for k, v in zip(("t", "c", "mt", "mc"), numbers, strict=True)}})
+
 
+def _words(labelled: DataFrame) -> DataFrame:
+    """w, t, c, mt, mc: toxic and other documents that hold a word, and hashed sets of the words before it in either; #docs counts documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
         for b in batches:
             for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 y = int(y > 0)
-                docs_of[y] += 1
-                words: dict[str, int] = {}
+                words: dict[str, int] = {"#docs": 0}
                 before = 0
                 for raw in (text or "").split():
                     words[raw] = words.get(raw, 0) | 1 << before
                     before = zlib.crc32(raw.encode("utf-8", "replace")) % 63
-                mine: dict[str, int] = {}
-                for raw, mask in words.items():
-                    own = known.get(raw)
-                    if own is None:
-                        if len(known) > KNOWN_WORDS:
-                            known.clear()
-                        own = known[raw] = features(clean(raw))
-                    for x in own:
-                        mine[x] = mine.get(x, 0) | mask
-                for x, mask in mine.items():
+                for x, mask in words.items():
                     s = seen[x]
                     s[1 - y] += 1
                     s[3 - y] |= mask
                 if len(seen) > COUNTED:  # sums are added up after the shuffle
-                    yield batch([(x, *s) for x, s in seen.items()])
+                    yield _batch("w", [(x, *s) for x, s in seen.items()])
+                    seen.clear()
+        yield _batch("w", [(x, *s) for x, s in seen.items()])
+
+    return _summed(labelled.repartition(PARTS).mapInArrow(count, "w string, " + _COUNTS), "w")
+
+
+def _counts(words: DataFrame) -> DataFrame:
+    """f, t, c, mt, mc of each feature: the sums of the words that hold it; #words has those of all words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+        for b in batches:
+            for w, t, c, mt, mc in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                for x in ("#words", *features(clean(w))):
+                    s = seen[x]
+                    s[0] += t
+                    s[1] += c
+                    s[2] |= mt
+                    s[3] |= mc
+                if len(seen) > COUNTED:
+                    yield _batch("f", [(x, *s) for x, s in seen.items()])
                     seen.clear()
-        yield batch([("#docs", docs_of[1], docs_of[0], 0, 0), *((x, *s) for x, s in seen.items())])
+        yield _batch("f", [(x, *s) for x, s in seen.items()])
 
-    rows = labelled.repartition(PARTS).mapInArrow(count, "f string, t long, c long, mt long, mc long")
-    sums = rows.groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.bit_or("mt").alias("mt"), F.bit_or("mc").alias("mc"))
-    return sums.where((F.col("f") == "#docs") | (F.greatest(F.bit_count("mt"), F.bit_count("mc")) >= CONTEXTS))
+    sums = _summed(words.where("w <> '#docs'").mapInArrow(count, "f string, " + _COUNTS), "f")
+    return sums.where((F.col("f") == "#words") | (F.greatest(F.bit_count("mt"), F.bit_count("mc")) >= CONTEXTS))
 
 
 def _chosen(sums: DataFrame, base: float) -> list:
-    """f, t, c, strong of the features whose share of toxic documents differs from the base share by enough evidence.
+    """f, t, c, strong of the features whose share of toxic documents differs from the base share by enough evidence and effect.
 
     Contexts, not copies, are the evidence: a feature counts for no more documents than it has words before it.
     """
-    words = sums.where("f <> '#docs'")
+    words = sums.where("f <> '#words'")
     tried = max(words.count(), 1)
     p = F.col("t") / (F.col("t") + F.col("c"))
     up = p > base
@@ -358,8 +378,8 @@ def _chosen(sums: DataFrame, base: float) -> list:
     sure = lambda x: F.least(F.greatest(x, F.lit(1e-9)), F.lit(1 - 1e-9))
     gain = sure(p) * F.log(sure(p) / base) + (1 - sure(p)) * F.log((1 - sure(p)) / (1 - base))
     evidence = F.when(contexts >= 60, F.col("t") + F.col("c")).otherwise(F.least(F.col("t") + F.col("c"), contexts / share)) * gain
-    rated = words.where(contexts >= CONTEXTS).select("f", "t", "c", evidence.alias("evidence"), (up & (p >= PRECISION) & (evidence >= log(tried / ERROR)) & F.col("f").startswith("^") & (F.length("f") > BEGINNINGS[0])).alias("strong"))
-    return rated.where(F.col("evidence") >= EVIDENCE).orderBy(F.desc("evidence"), "f").limit(MAX_FEATURES).collect()
+    rated = words.where(contexts >= CONTEXTS).select("f", "t", "c", evidence.alias("evidence"), ((p >= base * EFFECT) | (p <= base / EFFECT)).alias("effect"), (up & (p >= PRECISION) & (evidence >= log(tried / ERROR)) & F.col("f").startswith("^") & (F.length("f") > BEGINNINGS[0])).alias("strong"))
+    return rated.where((F.col("evidence") >= EVIDENCE) & F.col("effect")).orderBy(F.desc("evidence"), "f").limit(MAX_FEATURES).collect()
 
 
 def _regression(labelled: DataFrame, first: Model) -> Model:
