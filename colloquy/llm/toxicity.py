@@ -45,7 +45,7 @@ LEET = {
 }
 CHANNEL, UNSEEN, SKIP, GAP = 1.0, -14.0, 0.2, 1.0
 #: Words whose evidence a task holds; words or features whose counts a task of the fit holds.
-CACHE_WORDS, COUNTED = 300_000, 300_000
+CACHE_WORDS, COUNTED = 200_000, 150_000
 #: Tasks that share the labelled documents.
 PARTS = 32
 
