@@ -31,7 +31,7 @@ def compress_turns(messages: DataFrame) -> DataFrame:
     whole = runs.groupBy("session_id", "turn_id", "is_tutor").agg(F.sort_array(F.collect_list(F.struct("seq", "message", "move"))).alias("parts"))
     moves = F.filter(F.transform("parts", lambda p: p["move"]), lambda m: m.isNotNull() & (m != "") & ~m.isin(*tx.NO_MOVE))
     raw = F.transform("parts", lambda p: p["message"])
-    out = whole.select("session_id", "turn_id", "is_tutor", raw.alias("raw_messages"), tx.clean_pandas(F.array_join(raw, " ")).alias("c"), F.array_distinct(moves).alias("talk_moves"))
+    out = whole.select("session_id", "turn_id", "is_tutor", raw.alias("raw_messages"), tx.clean(F.array_join(raw, " ")).alias("c"), F.array_distinct(moves).alias("talk_moves"))
     return out.select("session_id", "turn_id", F.when(F.col("is_tutor"), "tutor").otherwise("student").alias("speaker"), "is_tutor", "raw_messages", F.col("c.text").alias("text"), "talk_moves", F.col("c.is_noise").alias("is_noise"))
 
 

@@ -40,7 +40,7 @@ def like(a: str, b: str) -> str:
 
 @query("f1_clean_messages")
 def f1(spark, d):
-    c = sg.turns(spark, d).select("session_id", "turn_id", tx.clean_pandas("text").alias("c"))
+    c = sg.turns(spark, d).select("session_id", "turn_id", tx.clean(F.col("text")).alias("c"))
     return c.select("session_id", "turn_id", "c.text", "c.is_noise")
 
 

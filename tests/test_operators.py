@@ -19,16 +19,16 @@ def one(spark, value, expression):
 
 def test_cleaning_keeps_formulas_and_hides_names(spark):
     text = r"Hi Sophie, my name is Alex  Smith. Solve \(x  +  1\) and $y$. Call 555-123-4567 or a.b@c.org" + "\n\n\nbye"
-    got = one(spark, text, lambda c: tx.clean_pandas(c)["text"])
+    got = one(spark, text, lambda c: tx.clean(c)["text"])
     assert r"\(x  +  1\)" in got and "$y$" in got
     assert "Alex" not in got and "Sophie" not in got and "[PHONE_NUMBER]" in got and "[EMAIL]" in got and "\n\n" not in got
-    assert one(spark, None, lambda c: tx.clean_pandas(c)["is_noise"])
+    assert one(spark, None, lambda c: tx.clean(c)["is_noise"])
 
 
 @pytest.mark.parametrize("text,noise", [("Hello!", True), ("ok", True), ("thx so much", True), ("why is it 4", False), ("", True)])
 def test_greetings(spark, text, noise):
     assert one(spark, text, tx.is_greeting) == noise
-    assert one(spark, text, lambda c: tx.clean_pandas(c)["is_noise"]) == noise
+    assert one(spark, text, lambda c: tx.clean(c)["is_noise"]) == noise
 
 
 def test_canonical_evidence(spark):
