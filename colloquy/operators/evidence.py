@@ -20,11 +20,10 @@ def citation_hit_rate(citations: DataFrame, turns: DataFrame) -> DataFrame:
     return audit_citations(citations, turns).agg(F.count("*").alias("n"), F.count_if("valid").alias("hits"), F.try_divide(F.count_if("valid").cast("double"), F.count("*").cast("double")).alias("rate"))
 
 
-def evidence_catalog(evidence: DataFrame) -> DataFrame:
-    """evidence_id of each distinct turn in order of first sight (at); turns with two texts are conflicts."""
-    first = evidence.groupBy("session_id", "turn_id").agg(F.min("at").alias("at"), F.min_by("speaker", "at").alias("speaker"), F.min_by("text", "at").alias("text"), (F.count_distinct("speaker", "text") > 1).alias("conflict"))
-    # a catalogue is what one answer cites: a few rows
-    return first.withColumn("evidence_id", F.format_string("E%03d", F.row_number().over(Window.orderBy("at", "session_id", "turn_id"))))
+def evidence_catalog(evidence: DataFrame, case: str) -> DataFrame:
+    """evidence_id of each distinct turn of a case in order of first sight (at); turns with two texts are conflicts."""
+    first = evidence.groupBy(*dict.fromkeys((case, "session_id", "turn_id"))).agg(F.min("at").alias("at"), F.min_by("speaker", "at").alias("speaker"), F.min_by("text", "at").alias("text"), (F.count_distinct("speaker", "text") > 1).alias("conflict"))
+    return first.withColumn("evidence_id", F.format_string("E%03d", F.row_number().over(Window.partitionBy(case).orderBy("at", "session_id", "turn_id"))))
 
 
 def materialize_citations(cited: DataFrame, catalog: DataFrame) -> DataFrame:

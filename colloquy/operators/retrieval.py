@@ -1,7 +1,8 @@
 """Lexical and vector retrieval and their fusion, for one query or many at once.
 
 Every operator takes a queries table, so a batch of queries is one job. Postings and statistics are tables;
-a query's terms join the postings, so documents without any of them are never touched.
+words that no query has are dropped before anything is shuffled. What comes from the queries is broadcast if it
+is small, which is counted, and joined otherwise.
 """
 
 from __future__ import annotations
@@ -29,6 +30,15 @@ def metadata_matches(columns: dict[str, Column], where: dict) -> Column:
     return out
 
 
+#: Rows of a query set that go to every task at most.
+SMALL = 200_000
+
+
+def small(rows: DataFrame, most: int = SMALL) -> DataFrame:
+    """Rows marked for broadcast if they are few; counting stops at the bound."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def postings(documents: DataFrame) -> DataFrame:
     """term, id, tf, length of each document (id, document)."""
     words = documents.select("id", tx.tokens(F.col("document")).alias("t"))
@@ -36,8 +46,8 @@ def postings(documents: DataFrame) -> DataFrame:
 
 
 def collection_statistics(documents: DataFrame) -> DataFrame:
-    """documents, mean_length: one row, over all documents, whatever is filtered later."""
-    return documents.agg(F.count("*").alias("documents"), F.avg(F.size(tx.tokens(F.col("document")))).alias("mean_length"))
+    """documents, mean_length: one row, over all documents, whatever is filtered later. Tokens are counted, not collected."""
+    return documents.agg(F.count("*").alias("documents"), F.avg(tx.token_count(F.col("document"))).alias("mean_length"))
 
 
 def bm25(documents: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -45,11 +55,17 @@ def bm25(documents: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0
     if k1 <= 0 or not 0 <= b <= 1:
         raise ValueError("k1 must be positive and b within 0 and 1")
     terms = queries.select("query_id", F.explode(F.array_distinct(tx.tokens(F.col("query")))).alias("term"))
-    p = postings(documents).join(terms.select("term").distinct(), "term", "left_semi")
+    few = terms.limit(SMALL + 1).count() <= SMALL
+    mark = F.broadcast if few else lambda rows: rows
+    asked = mark(terms.select("term").distinct())
+    words = documents.select("id", tx.tokens(F.col("document")).alias("t")).select("id", F.size("t").alias("length"), F.explode("t").alias("term"))
+    # words that no query has go before the shuffle; a term's documents are spread, as they are dealt by document
+    p = words.join(asked, "term", "left_semi").groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
     df = p.groupBy("term").agg(F.count("*").alias("df"))
-    scored = p.join(df, "term").crossJoin(F.broadcast(collection_statistics(documents)))  # one row
+    weighed = mark(terms.join(df, "term"))  # no more rows than terms
+    scored = p.join(weighed, "term").crossJoin(F.broadcast(collection_statistics(documents)))  # one row
     weight = sc.okapi(F.col("tf"), F.col("df"), F.col("length"), F.col("documents"), F.greatest("mean_length", F.lit(1e-9)), k1, b)
-    return scored.select("term", "id", weight.alias("w")).join(terms, "term").groupBy("query_id", "id").agg(F.sum("w").alias("bm25"))
+    return scored.groupBy("query_id", "id").agg(F.sum(weight).alias("bm25"))
 
 
 def top(rows: DataFrame, by: list, k: int, group: str = "query_id") -> DataFrame:
@@ -83,27 +99,32 @@ def hashed_vectors(documents: DataFrame, dim: int = 128) -> DataFrame:
 
 
 def vector_scores(vectors: DataFrame, queries: DataFrame, alpha: float = 0.5) -> DataFrame:
-    """query_id, id, cos, distance, dense of every vector (id, embedding) for a bounded set of queries (query_id, query_vector).
+    """query_id, id, cos, distance, dense of every vector (id, embedding) for a stated set of queries (query_id, query_vector).
 
-    The queries are a stated set that goes to each task; vectors are read once and never shuffled.
+    A small set goes to each task: vectors are read once and never shuffled.
     """
-    both = vectors.select("id", "embedding").crossJoin(F.broadcast(queries.select("query_id", "query_vector")))
+    both = vectors.select("id", "embedding").crossJoin(small(queries.select("query_id", "query_vector"), SMALL // 20))
     cos, dist = sc.cosine(F.col("embedding"), F.col("query_vector")), sc.euclidean(F.col("embedding"), F.col("query_vector"))
     rows = both.select("query_id", "id", cos.alias("cos"), dist.alias("distance"))
     return rows.withColumn("dense", sc.dense(F.col("cos"), sc.distance_similarity(F.col("distance")), alpha))
 
 
-def hybrid(dense: DataFrame, lexical: DataFrame, k: int, weight: float = 0.35) -> DataFrame:
+def hybrid(dense: DataFrame, lexical: DataFrame, k: int, weight: float = 0.35, queries: int | None = None) -> DataFrame:
     """Pools of both lanes put together, rescored and ranked: query_id, id, dense, bm25, hybrid, channels, rank.
 
-    The dense pool has max(5k, 20) documents, the lexical one k; lexical scores count as a share of the best
-    in the pool. A document of one pool has its own score of the other lane too, 0 where it has none.
+    Each pool has max(5k, 20) documents; lexical scores count as a share of the best in the pool. A document of
+    one pool has its own score of the other lane too, 0 where it has none. Pools are cut before they are shuffled.
+    With the number of queries given, and pools that are small in all, dense scores are looked up where they are
+    made, so pairs outside the pools never move; lexical scores lie where their sums were made.
     """
     pool = max(5 * k, 20)
     d = top(dense, [F.desc("dense"), F.asc("id")], pool).select("query_id", "id", F.lit("dense").alias("channel"))
     x = top(lexical.where("bm25 > 0"), [F.desc("bm25"), F.asc("id")], pool).select("query_id", "id", F.lit("bm25").alias("channel"))
     ids = d.unionByName(x).groupBy("query_id", "id").agg(F.array_join(F.array_sort(F.collect_set("channel")), "+").alias("channels"))
-    rows = ids.join(dense.select("query_id", "id", "dense"), ["query_id", "id"], "left").join(lexical, ["query_id", "id"], "left")
+    own = dense.select("query_id", "id", "dense")
+    if queries is not None and 2 * pool * queries <= SMALL:
+        own = own.join(F.broadcast(ids.select("query_id", "id")), ["query_id", "id"], "left_semi")
+    rows = ids.join(own, ["query_id", "id"], "left").join(lexical, ["query_id", "id"], "left")
     rows = rows.withColumns({"dense": F.coalesce("dense", F.lit(0.0)), "bm25": F.coalesce("bm25", F.lit(0.0))})
     best = F.max("bm25").over(Window.partitionBy("query_id"))
     rows = rows.withColumn("hybrid", sc.hybrid(F.col("dense"), F.col("bm25"), best, weight))
@@ -129,35 +150,116 @@ def attach_evidence(hits: DataFrame, cards: DataFrame, turns: DataFrame) -> Data
     return hits.join(held, "id", "left")
 
 
+# Words by which a query names a lane, a review, a question id; and words of the domain.
+TUTOR_WORDS = ("导师", "老师", "教学策略", "引导", "tutor", "teacher", "strategy")
+STUDENT_WORDS = ("学生", "错因", "误区", "困惑", "student", "misconception")
+REVIEW_WORDS, ID_WORDS = ("回顾",), ("题目", "question", "qid")
+DOMAIN_WORDS = ("舍入", "round", "fraction", "分数", "ratio", "median", "probability", "temperature", "angle", "volume", "function")
+#: A question's beginning counts from so many characters on.
+FRAGMENT = 8
+
+
+def _names(text: Column, words: tuple[str, ...]) -> Column:
+    return tx.any_of([F.contains(F.lower(text), F.lit(w)) for w in words])
+
+
+def _long_words(text: Column) -> Column:
+    return F.filter(tx.word_set(text), lambda w: F.length(w) > 1)
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    """What scores need of a query, once a query: words, numbers, the question in it, ids, and the lane it names."""
+    q = F.col("query")
+    ids = F.transform(F.regexp_extract_all(q, F.lit(r"(?<!\d)\d{5,18}(?!\d)"), F.lit(0)), lambda x: x.cast("long"))
+    tutor, student = _names(q, TUTOR_WORDS), _names(q, STUDENT_WORDS)
+    return queries.select(
+        "query_id", "query", _long_words(q).alias("q_words"), tx.signatures(q).alias("q_numbers"), tx.compact(tx.question_fragment(q)).alias("q_fragment"), ids.alias("q_ids"),
+        F.when(tutor, "TUTOR_STRATEGY").when(student, "MISCONCEPTION").alias("q_lane"),
+        F.when(tutor & ~student, "TUTOR_STRATEGY").when(student & ~tutor, "MISCONCEPTION").alias("q_prefers"),
+        _names(q, REVIEW_WORDS).alias("q_reviews"), (_names(q, ID_WORDS) & (F.size(ids) > 0)).alias("q_by_id"),
+    )
+
+
+def _described(cards: DataFrame) -> DataFrame:
+    question = F.coalesce(F.col("question_text"), F.lit(""))
+    more = cards if "question_id" in cards.columns else cards.withColumn("question_id", F.lit(None).cast("long"))
+    return more.select("chunk_id", "card_type", "session_id", "question_id", "searchable", _long_words(question).alias("c_question"), _long_words(F.col("searchable")).alias("c_words"), tx.compact(question).alias("c_fragment"), F.regexp_replace(question, r"\D", "").alias("c_digits"))
+
+
+def _pairs(cards: DataFrame, asked: DataFrame) -> DataFrame:
+    """query_id, chunk_id of cards that can score: they share a word, a question's beginning, two digits, an id or the lane."""
+    tag = lambda kind, values: F.transform(values, lambda x: F.concat(F.lit(kind), x.cast("string")))
+    start = lambda c: F.when(F.length(c) >= FRAGMENT, F.array(F.substring(c, 1, FRAGMENT))).otherwise(F.array().cast("array<string>"))
+    digits = F.transform(F.sequence(F.lit(1), F.greatest(F.length("c_digits") - 1, F.lit(1))), lambda i: F.substr(F.col("c_digits"), i, F.lit(2)))
+    of_card = F.concat(tag("w", F.array_union("c_question", "c_words")), tag("b", start(F.col("c_fragment"))), tag("n", digits), tag("i", F.array_compact(F.array("question_id"))), tag("l", F.array("card_type")))
+    of_query = F.concat(tag("w", F.col("q_words")), tag("b", start(F.col("q_fragment"))), tag("n", F.transform("q_numbers", lambda x: F.substring(x, 1, 2))), tag("i", F.col("q_ids")), tag("l", F.array_compact(F.array("q_lane"))))
+    left = cards.select("chunk_id", F.explode(F.array_distinct(of_card)).alias("key"))
+    right = small(asked.select("query_id", F.explode(F.array_distinct(of_query)).alias("key")))
+    return left.join(right, "key").select("query_id", "chunk_id").distinct()
+
+
+def _features(pairs: DataFrame, cards: DataFrame, asked: DataFrame) -> DataFrame:
+    both = pairs.join(cards, "chunk_id").join(small(asked), "query_id")
+    exact = F.coalesce(F.array_contains("q_ids", F.col("question_id")), F.lit(False)) & (F.size("q_ids") > 0)
+    numeric = F.size(F.filter("q_numbers", lambda s: F.contains(F.col("c_digits"), s)))
+    prefix = F.when((F.length("q_fragment") >= FRAGMENT) & F.startswith("c_fragment", F.col("q_fragment")), F.length("q_fragment")).otherwise(0)
+    shared = lambda c: F.size(F.array_intersect("q_words", c))
+    domain = sum([(F.contains(F.lower("query"), F.lit(w)) & F.contains(F.lower("searchable"), F.lit(w))).cast("int") for w in DOMAIN_WORDS], F.lit(0))
+    rows = both.where(~F.col("q_by_id") | exact).select(
+        "query_id", "chunk_id", "card_type", "session_id", "q_prefers", "q_reviews", exact.cast("int").alias("exact_question"), numeric.alias("numeric_overlap"), prefix.alias("question_prefix"),
+        shared("c_question").alias("question_overlap"), domain.alias("domain_overlap"), shared("c_words").alias("lexical_overlap"), F.when(F.col("card_type") == F.col("q_lane"), 100).otherwise(0).alias("lane_bias"),
+    )
+    score = (F.col("exact_question") + F.col("numeric_overlap")) * 1000 + F.col("question_prefix") * 100 + F.col("question_overlap") * 10 + F.col("domain_overlap") * 20 + F.col("lane_bias") + F.col("lexical_overlap")
+    return rows.withColumn("score", score.cast("long"))
+
+
 def card_scores(cards: DataFrame, queries: DataFrame) -> DataFrame:
-    """Lexical scores of cards (chunk_id, card_type, question_text, searchable) for a bounded set of queries.
+    """Lexical scores of cards (chunk_id, card_type, session_id, question_text, searchable; question_id if there) for a set of queries.
+
+    Seven weighted terms: the question's id or a number of the query in the question 1000 each, a shared beginning of
+    eight characters or more 100 a character, words of the domain 20, shared question words 10, shared words 1, and 100
+    for the lane that the query names. A query that asks by id scores that question's cards alone. Cards are found by
+    what they share with a query, so no card meets a query that it has nothing in common with.
+    """
+    own, asked = _described(cards), _asked(queries)
+    return _features(_pairs(own, asked), own, asked).where("score > 0")
+
+
+def card_pool(cards: DataFrame, queries: DataFrame, dense: DataFrame) -> DataFrame:
+    """Scored cards widened by dense hits (query_id, chunk_id, card_type, embedding_rank, embedding_score), with channels.
 
-    Six weighted terms: numbers of the query in the question 1000 each, a shared beginning of eight characters
-    or more 100 each, shared question words 10, shared words 1, and 100 for the lane that the query names.
+    A dense hit brings its card in without a lexical score and never changes one. A hit of an unknown card, or in
+    another lane than its card's, raises.
     """
-    both = cards.crossJoin(F.broadcast(queries))
-    digits = F.regexp_replace(F.coalesce("question_text", F.lit("")), r"\D", "")
-    asked = tx.word_set(F.col("query"))
-    long = lambda words: F.filter(words, lambda w: F.length(w) > 1)
-    compact = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)[^\w]+", "")
-    fragment = compact(F.col("query"))
-    numeric = F.size(F.filter(tx.signatures(F.col("query")), lambda s: F.contains(digits, s)))
-    prefix = F.when((F.length(fragment) >= 8) & F.startswith(compact(F.col("question_text")), fragment), F.length(fragment)).otherwise(0)
-    question = F.size(F.array_intersect(long(asked), long(tx.word_set(F.col("question_text")))))
-    words = F.size(F.array_intersect(long(asked), long(tx.word_set(F.col("searchable")))))
-    low = F.lower("query")
-    tutor, student = F.contains(low, F.lit("tutor")), F.contains(low, F.lit("student"))
-    bias = F.when(((F.col("card_type") == "TUTOR_STRATEGY") & tutor) | ((F.col("card_type") == "MISCONCEPTION") & student & ~tutor), 100).otherwise(0)
-    rows = both.select("query_id", "chunk_id", "card_type", "session_id", numeric.alias("numeric_overlap"), prefix.alias("question_prefix"), question.alias("question_overlap"), words.alias("lexical_overlap"), bias.alias("lane_bias"))
-    score = F.col("numeric_overlap") * 1000 + F.col("question_prefix") * 100 + F.col("question_overlap") * 10 + F.col("lane_bias") + F.col("lexical_overlap")
-    return rows.withColumn("score", score.cast("long")).where("score > 0")
+    own, asked = _described(cards), _asked(queries)
+    lane = dense.join(own.select("chunk_id", F.col("card_type").alias("true_type")), "chunk_id", "left")
+    wrong = lane.where("true_type is null or card_type <> true_type").select("chunk_id", "true_type").first()
+    if wrong:
+        raise ValueError(f"dense hit {wrong.chunk_id} " + ("has no card" if wrong.true_type is None else "is of another lane"))
+    hits = dense.groupBy("query_id", "chunk_id").agg(F.min("embedding_rank").alias("embedding_rank"), F.max("embedding_score").alias("embedding_score"))
+    pairs = _pairs(own, asked).unionByName(hits.select("query_id", "chunk_id")).distinct()
+    rows = _features(pairs, own, asked).join(hits, ["query_id", "chunk_id"], "left").where("score > 0 or embedding_rank is not null")
+    channels = F.concat_ws("+", F.when(F.col("score") > 0, "lexical"), F.when(F.col("embedding_rank").isNotNull(), "dense"))
+    return rows.withColumn("channels", channels)
+
+
+def card_order(dense: bool) -> list[Column]:
+    """The lexicographic order of a query's cards: what they share decides, and dense scores only between equals."""
+    c = F.col
+    numeric = c("numeric_overlap") > 0
+    first = [
+        F.when(c("q_prefers").isNull() | (c("card_type") != c("q_prefers")), 1).otherwise(0), F.when(c("q_reviews") & numeric, 0).otherwise(1),
+        c("numeric_overlap").desc(), c("question_prefix").desc(), F.when(numeric, c("session_id")).otherwise(F.lit(10**9)), c("question_overlap").desc(),
+        c("domain_overlap").desc(), c("lexical_overlap").desc(), c("session_id").asc(), c("chunk_id").asc(),
+    ]
+    return [*first, F.coalesce("embedding_score", F.lit(0.0)).desc(), F.coalesce("embedding_rank", F.lit(10**9))] if dense else first
 
 
 def rank_cards(scored: DataFrame, limit: int = 15) -> DataFrame:
-    """Cards in their fixed lexicographic order, at most `limit` of each lane."""
-    order = [F.desc("numeric_overlap"), F.desc("question_prefix"), F.when(F.col("numeric_overlap") > 0, F.col("session_id")).otherwise(10**9), F.desc("question_overlap"), F.desc("lexical_overlap"), F.asc("session_id"), F.asc("chunk_id")]
-    lane = Window.partitionBy("query_id", "card_type").orderBy(*order)
-    return scored.withColumn("lane_rank", F.row_number().over(lane)).where(F.col("lane_rank") <= limit)
+    """Cards in their fixed lexicographic order (position), at most `limit` of each lane."""
+    order = card_order("embedding_rank" in scored.columns)
+    lane = scored.withColumn("lane_rank", F.row_number().over(Window.partitionBy("query_id", "card_type").orderBy(*order))).where(F.col("lane_rank") <= limit)
+    return lane.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
 
 
 def parents(lanes: DataFrame, limit: int = 5) -> DataFrame:

@@ -164,9 +164,10 @@ def p5(spark, d):
     return t.where((F.col("speaker") == "student") & ~F.col("is_noise") & hit).orderBy("session_id", "turn_id").limit(50).select("session_id", "turn_id", "text")
 
 
-@query("p6_turn_lookup", f"WITH {T} SELECT session_id, turn_id, speaker, text FROM t WHERE session_id = 7 AND turn_id IN (1, 2, 4)")
+@query("p6_turn_lookup", f"WITH {T} SELECT session_id, turn_id, speaker, text FROM t WHERE turn_id IN (1, 2, 4)")
 def p6(spark, d):
-    return sg.turns(spark, d).where((F.col("session_id") == 7) & F.col("turn_id").isin(1, 2, 4)).select("session_id", "turn_id", "speaker", "text")
+    asked = sg.sessions(spark, d).select("session_id", F.explode(F.array(*[F.lit(i) for i in (1, 2, 4)])).alias("turn_id"))  # the turns that are looked up
+    return sg.turns(spark, d).join(asked, ["session_id", "turn_id"]).select("session_id", "turn_id", "speaker", "text")
 
 
 @query("p7_metadata_filter", "SELECT event_id FROM events WHERE event_type IN ('click', 'view') AND user_id IS DISTINCT FROM 3 AND props IS NOT NULL")
@@ -248,10 +249,10 @@ def j5(spark, d):
     return analytics.pair_representatives(labels, analytics.pairs(labels, sg.sessions(spark, d), None))
 
 
-@query("j6_orphan_nodes", "SELECT c_custkey AS node_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("j6_orphan_nodes", "SELECT c_custkey AS node_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def j6(spark, d):
     nodes = table(spark, d, "customer").select(F.col("c_custkey").alias("node_id"))
-    edges = table(spark, d, "orders").select((-F.col("o_orderkey") - 1).alias("source_node_id"), F.col("o_custkey").alias("target_node_id"))
+    edges = table(spark, d, "orders").where("o_totalprice > 300000").select((-F.col("o_orderkey") - 1).alias("source_node_id"), F.col("o_custkey").alias("target_node_id"))
     return graph.orphans(nodes, edges)
 
 
@@ -417,9 +418,11 @@ def a14(spark, d):
     return graph.merge_nodes(sg.projection(spark, d).nodes())
 
 
-@query("g9_illegal_duplicates", f"{GRAPH} SELECT node_id, node_type, count(DISTINCT session_id) AS sessions FROM n GROUP BY node_id, node_type HAVING count(DISTINCT session_id) > 1 AND node_type NOT IN ('QUESTION', 'SUBJECT', 'TALK_MOVE', 'MISCONCEPTION_CONCEPT', 'STRATEGY_CONCEPT')")
+@query("g9_illegal_duplicates", f"{GRAPH}, m AS (SELECT node_id, node_type, session_id FROM n UNION ALL SELECT node_id, node_type, session_id + 1000000 FROM n WHERE node_type IN ('TURN', 'SUBJECT') AND session_id % 3 = 0) SELECT node_id, node_type, count(DISTINCT session_id) AS sessions FROM m GROUP BY node_id, node_type HAVING count(DISTINCT session_id) > 1 AND node_type NOT IN ('QUESTION', 'SUBJECT', 'TALK_MOVE', 'MISCONCEPTION_CONCEPT', 'STRATEGY_CONCEPT')")
 def g9(spark, d):
-    return graph.illegal_duplicates(sg.projection(spark, d).nodes())
+    nodes = sg.projection(spark, d).nodes()
+    planted = nodes.where("node_type in ('TURN', 'SUBJECT') and source_session_id % 3 = 0").withColumn("source_session_id", F.col("source_session_id") + 1_000_000)
+    return graph.illegal_duplicates(nodes.unionByName(planted))
 
 
 @query("a13_edge_types", f"{GRAPH} SELECT edge_type, count(*) AS n FROM e GROUP BY edge_type")

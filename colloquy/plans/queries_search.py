@@ -72,9 +72,9 @@ def f5(spark, d):
     return sg.turns(spark, d).select("session_id", "turn_id", tx.canonical_pandas("text").alias("canonical"))
 
 
-@query("f6_quote_turn", f"{CARDS} SELECT chunk_id AS quote_id, min(turn_id) AS turn_id FROM mc JOIN t USING (session_id) WHERE contains(regexp_replace(text, '\\s+', ' ', 'g'), trim(regexp_replace(deep_mechanism, '\\s+', ' ', 'g'))) GROUP BY chunk_id")
+@query("f6_quote_turn", f"{CARDS} SELECT chunk_id AS quote_id, min(turn_id) AS turn_id FROM mc JOIN t USING (session_id) WHERE contains(regexp_replace(text, '\\s+', ' ', 'g'), trim(regexp_replace(misconception_name, '\\s+', ' ', 'g'))) GROUP BY chunk_id")
 def f6(spark, d):
-    q = sg.misconceptions(spark, d).select(F.col("chunk_id").alias("quote_id"), "session_id", F.col("deep_mechanism").alias("quote"))
+    q = sg.misconceptions(spark, d).select(F.col("chunk_id").alias("quote_id"), "session_id", F.col("misconception_name").alias("quote"))
     return evidence.find_quote(q, sg.turns(spark, d))
 
 
@@ -253,7 +253,7 @@ h AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hybrid DE
 def _hybrid(spark, d):
     dense = rt.vector_scores(_vectors(spark, d), _vector_queries(spark, d)).select("query_id", "id", F.round("dense", 6).alias("dense"))
     lexical = _bm25(spark, d).join(_vector_queries(spark, d).select("query_id"), "query_id", "left_semi")
-    return rt.hybrid(dense, lexical, 20)
+    return rt.hybrid(dense, lexical, 20, queries=_vector_queries(spark, d).count())
 
 
 @query("r6_hybrid_ranking", f"WITH {HYB} SELECT query_id, id, round(hybrid, 6) AS hybrid, channels, rank FROM h WHERE rank <= 20")
@@ -312,23 +312,28 @@ def _cards(spark, d):
 
 
 _LONG = "list_filter({}, lambda w: length(w) > 1)"
+_any = lambda c, values: "(" + " OR ".join(f"contains(lower({c}), '{v}')" for v in values) + ")"
 CARD = f"""{CARDS}, c AS (SELECT chunk_id, 'MISCONCEPTION' AS card_type, session_id, question_text, misconception_name || ' ' || deep_mechanism AS searchable FROM mc JOIN s USING (session_id)
 UNION ALL SELECT chunk_id, 'TUTOR_STRATEGY', session_id, question_text, pedagogical_goal || ' ' || key_aha_question FROM st JOIN s USING (session_id)),
 a AS (SELECT item_id AS query_id, text AS query FROM benchmark),
-z AS (SELECT query_id, chunk_id, card_type, session_id, len(list_intersect({_LONG.format(words("query"))}, {_LONG.format(words("question_text"))})) AS qo,
-len(list_intersect({_LONG.format(words("query"))}, {_LONG.format(words("searchable"))})) AS lo FROM c, a)"""
+qa AS (SELECT query_id, query, {_LONG.format(words("query"))} AS qw, list_distinct(list_filter(list_transform(regexp_extract_all(query, '\\d[\\d ,.]*\\d'), lambda v: regexp_replace(v, '\\D', '', 'g')), lambda v: length(v) >= 2)) AS qn,
+regexp_replace(lower(regexp_replace(query, '^[” \\t\\r\\n？?]+|[” \\t\\r\\n？?]+$', '', 'g')), '\\s+', '', 'g') AS qf, {_any("query", rt.TUTOR_WORDS)} AS tu, {_any("query", rt.STUDENT_WORDS)} AS stu FROM a),
+ca AS (SELECT *, {_LONG.format(words("question_text"))} AS cq, {_LONG.format(words("searchable"))} AS cw, regexp_replace(question_text, '\\D', '', 'g') AS cd, regexp_replace(lower(question_text), '\\s+', '', 'g') AS cf FROM c),
+z AS (SELECT query_id, chunk_id, card_type, session_id, len(list_intersect(qw, cq)) AS qo, len(list_intersect(qw, cw)) AS lo, len(list_filter(qn, lambda s: contains(cd, s))) AS nu, CASE WHEN length(qf) >= 8 AND starts_with(cf, qf) THEN length(qf) ELSE 0 END AS px,
+{" + ".join(f"CASE WHEN contains(lower(query), '{w}') AND contains(lower(searchable), '{w}') THEN 1 ELSE 0 END" for w in rt.DOMAIN_WORDS)} AS dm, CASE WHEN card_type = CASE WHEN tu THEN 'TUTOR_STRATEGY' WHEN stu THEN 'MISCONCEPTION' END THEN 100 ELSE 0 END AS lb FROM ca, qa),
+sc AS (SELECT *, CAST(nu * 1000 + px * 100 + qo * 10 + dm * 20 + lb + lo AS BIGINT) AS score FROM z)"""
 
 
 def _scored(spark, d):
     return rt.card_scores(_cards(spark, d), _asked(spark, d))
 
 
-@query("r15_card_scores", f"{CARD} SELECT query_id, chunk_id, CAST(qo * 10 + lo AS BIGINT) AS score FROM z WHERE qo * 10 + lo > 0")
+@query("r15_card_scores", f"{CARD} SELECT query_id, chunk_id, score FROM sc WHERE score > 0")
 def r15(spark, d):
     return _scored(spark, d).select("query_id", "chunk_id", "score")
 
 
-@query("w11_lane_cap", f"""{CARD}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, card_type ORDER BY qo DESC, lo DESC, session_id, chunk_id) AS k FROM z WHERE qo * 10 + lo > 0) SELECT query_id, card_type, chunk_id, CAST(k AS INTEGER) AS lane_rank FROM o WHERE k <= 15""")
+@query("w11_lane_cap", f"""{CARD}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, card_type ORDER BY nu DESC, px DESC, CASE WHEN nu > 0 THEN session_id ELSE 1000000000 END, qo DESC, dm DESC, lo DESC, session_id, chunk_id) AS k FROM sc WHERE score > 0) SELECT query_id, card_type, chunk_id, CAST(k AS INTEGER) AS lane_rank FROM o WHERE k <= 15""")
 def w11(spark, d):
     return rt.rank_cards(_scored(spark, d)).select("query_id", "card_type", "chunk_id", "lane_rank")
 
@@ -420,17 +425,18 @@ def e8(spark, d):
     return evidence.citation_hit_rate(_cited(spark, d), sg.turns(spark, d))
 
 
-@query("e2_catalog", f"WITH {T} SELECT printf('E%03d', row_number() OVER (ORDER BY -turn_id)) AS evidence_id, session_id, turn_id, text, false AS conflict FROM t WHERE session_id = 7")
+@query("e2_catalog", f"WITH {T} SELECT printf('E%03d', row_number() OVER (PARTITION BY session_id ORDER BY -turn_id)) AS evidence_id, session_id, turn_id, text, turn_id % 5 = 0 AS conflict FROM t")
 def e2(spark, d):
-    seen = sg.turns(spark, d).where("session_id = 7").withColumn("at", -F.col("turn_id"))
-    return evidence.evidence_catalog(seen.unionByName(seen.withColumn("at", F.col("at") + 100))).select("evidence_id", "session_id", "turn_id", "text", "conflict")
+    seen = sg.turns(spark, d).withColumn("at", -F.col("turn_id"))
+    again = seen.withColumn("at", F.col("at") + 100).withColumn("text", F.when(F.col("turn_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return evidence.evidence_catalog(seen.unionByName(again), "session_id").select("evidence_id", "session_id", "turn_id", "text", "conflict")
 
 
-@query("e3_citation_status", f"WITH {T}, k AS (SELECT DISTINCT 'E' || turn_id AS e FROM t WHERE speaker = 'student'), x AS (SELECT 'E' || turn_id AS evidence_id, count(*) AS n FROM t WHERE session_id IN (7, 8) GROUP BY 1) SELECT evidence_id, CASE WHEN evidence_id NOT IN (SELECT e FROM k) THEN 'UNKNOWN' WHEN n > 1 THEN 'DUPLICATE' ELSE 'OK' END AS status FROM x")
+@query("e3_citation_status", f"WITH {T} SELECT 'S' || session_id || 'E' || turn_id AS evidence_id, CASE WHEN speaker <> 'student' THEN 'UNKNOWN' WHEN turn_id % 3 = 0 THEN 'DUPLICATE' ELSE 'OK' END AS status FROM t")
 def e3(spark, d):
-    e = F.concat(F.lit("E"), F.col("turn_id").cast("string")).alias("evidence_id")
+    e = F.concat(F.lit("S"), F.col("session_id").cast("string"), F.lit("E"), F.col("turn_id").cast("string")).alias("evidence_id")
     t = sg.turns(spark, d)
-    return evidence.materialize_citations(t.where("session_id in (7, 8)").select(e), t.where("speaker = 'student'").select(e).distinct())
+    return evidence.materialize_citations(t.select(e).unionByName(t.where("turn_id % 3 = 0").select(e)), t.where("speaker = 'student'").select(e))
 
 
 def _claims(spark, d):
@@ -492,13 +498,13 @@ def v2(spark, d):
 def _graded(spark, d):
     t, s = sg.turns(spark, d), sg.sessions(spark, d)
     w = windows.window_chunks(t, s, 3, 2)
-    need = t.where("speaker = 'student'").join(s.where("total_turns = 8").select("session_id"), "session_id", "left_semi").select(F.col("session_id").alias("query_id"), "session_id", "turn_id")
-    cases = s.where("total_turns = 8").select(F.col("session_id").alias("query_id"), "subject_path")
+    need = t.where("speaker = 'student'").select(F.col("session_id").alias("query_id"), "session_id", "turn_id")
+    cases = s.select(F.col("session_id").alias("query_id"), "subject_path")
     return w, metrics.graded_qrels(w, need, cases)
 
 
 GRADED = f"""{T}, {S}, {windows_sql(3, 2)}, wc AS (SELECT 'session_' || session_id || '_win_' || first_turn || '_' || last_turn AS chunk_id, session_id, subject_path, ids FROM w JOIN s USING (session_id)),
-need AS (SELECT session_id AS query_id, list(turn_id) AS want, any_value(subject_path) AS sp FROM t JOIN s USING (session_id) WHERE speaker = 'student' AND total_turns = 8 GROUP BY 1),
+need AS (SELECT session_id AS query_id, list(turn_id) AS want, any_value(subject_path) AS sp FROM t JOIN s USING (session_id) WHERE speaker = 'student' GROUP BY 1),
 gr AS (SELECT query_id, chunk_id, CASE WHEN session_id = query_id THEN len(list_intersect(ids, want)) ELSE 0 END AS overlap, len(want) AS needed FROM wc, need WHERE session_id = query_id OR subject_path = sp),
 gq AS (SELECT query_id, chunk_id, overlap, CASE WHEN overlap = needed THEN 3 WHEN overlap > 0 THEN 2 ELSE 1 END AS relevance FROM gr)"""
 

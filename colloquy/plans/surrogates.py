@@ -59,26 +59,28 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("session_id")
     rows = t.groupBy("session_id").agg(
         F.count("*").alias("total_turns"), F.count_if(F.col("speaker") == "student").alias("student_turn_count"), F.count_if(F.col("speaker") == "tutor").alias("tutor_turn_count"),
-        F.substring(F.min_by("text", F.when(F.col("speaker") == "student", F.col("turn_id"))), 1, 60).alias("question_text"),
+        F.min_by("text", F.when(F.col("speaker") == "student", F.col("turn_id"))).alias("question_text"),
     )
     gate = (F.col("total_turns") >= 2) & (F.col("student_turn_count") > 0) & (F.col("tutor_turn_count") > 0)
     return rows.select("session_id", (s % 50 + 1).alias("question_id"), (s % 7).alias("tutor_id"), _pick(SUBJECTS, s).alias("subject_path"), "question_text", "total_turns", "student_turn_count", "tutor_turn_count", gate.alias("has_valid_tutoring"))
 
 
 def _cards(spark: SparkSession, d: str, role: str) -> DataFrame:
+    """The first and the last text of a role, all of its texts, and where they are."""
     own = turns(spark, d).where(F.col("speaker") == role)
-    return own.groupBy("session_id").agg(F.min_by("text", "turn_id").alias("head"), F.max_by("text", "turn_id").alias("tail"), F.array_sort(F.collect_list("turn_id")).alias("source_turn_ids")).join(sessions(spark, d).select("session_id", "question_id", "subject_path"), "session_id")
+    every = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn_id", "text"))), lambda t: t["text"]), " ")
+    return own.groupBy("session_id").agg(F.min_by("text", "turn_id").alias("head"), F.max_by("text", "turn_id").alias("tail"), every.alias("every"), F.array_sort(F.collect_list("turn_id")).alias("source_turn_ids")).join(sessions(spark, d).select("session_id", "question_id", "subject_path"), "session_id")
 
 
 def misconceptions(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("session_id").cast("string")
-    return _cards(spark, d, "student").select(F.concat(F.lit("session_"), s, F.lit("_misconception")).alias("chunk_id"), "session_id", "question_id", "subject_path", F.substring("head", 1, 40).alias("misconception_name"), F.substring("tail", 1, 80).alias("deep_mechanism"), F.col("head").alias("quote"), "source_turn_ids")
+    return _cards(spark, d, "student").select(F.concat(F.lit("session_"), s, F.lit("_misconception")).alias("chunk_id"), "session_id", "question_id", "subject_path", F.col("head").alias("misconception_name"), F.col("every").alias("deep_mechanism"), F.col("head").alias("quote"), "source_turn_ids")
 
 
 def strategies(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("session_id")
     moves = F.when(s % 2 == 1, F.array(F.lit("Press for Accuracy"), F.lit("ask"))).otherwise(F.array(F.lit("Revoicing")))
-    return _cards(spark, d, "tutor").select(F.concat(F.lit("session_"), s.cast("string"), F.lit("_tutor_strategy")).alias("chunk_id"), "session_id", "question_id", "subject_path", F.substring("head", 1, 60).alias("pedagogical_goal"), _pick(CATEGORIES, s).alias("strategy_category"), F.col("tail").alias("key_aha_question"), moves.alias("talk_moves"), "source_turn_ids")
+    return _cards(spark, d, "tutor").select(F.concat(F.lit("session_"), s.cast("string"), F.lit("_tutor_strategy")).alias("chunk_id"), "session_id", "question_id", "subject_path", F.col("every").alias("pedagogical_goal"), _pick(CATEGORIES, s).alias("strategy_category"), F.col("tail").alias("key_aha_question"), moves.alias("talk_moves"), "source_turn_ids")
 
 
 def projection(spark: SparkSession, d: str) -> graph.Projection:
@@ -93,15 +95,15 @@ T = """t AS (SELECT conv_id + 1 AS session_id, CAST(turn + 1 AS INTEGER) AS turn
   CASE role WHEN 'user' THEN 'student' WHEN 'assistant' THEN 'tutor' ELSE 'system' END AS speaker,
   role = 'assistant' AS is_tutor, text, role = 'system' AS is_noise FROM conversations)"""
 S = f"""s AS (SELECT session_id, session_id % 50 + 1 AS question_id, session_id % 7 AS tutor_id, {_case(SUBJECTS, "session_id")} AS subject_path,
-  substr(min_by(text, turn_id) FILTER (WHERE speaker = 'student'), 1, 60) AS question_text, count(*) AS total_turns,
+  min_by(text, turn_id) FILTER (WHERE speaker = 'student') AS question_text, count(*) AS total_turns,
   count(*) FILTER (WHERE speaker = 'student') AS student_turn_count, count(*) FILTER (WHERE speaker = 'tutor') AS tutor_turn_count FROM t GROUP BY session_id)"""
-MC = """mc AS (SELECT 'session_' || a.session_id || '_misconception' AS chunk_id, a.session_id, s.question_id, s.subject_path, substr(head, 1, 40) AS misconception_name,
-  substr(tail, 1, 80) AS deep_mechanism, head AS quote, source_turn_ids FROM (SELECT session_id, min_by(text, turn_id) AS head, max_by(text, turn_id) AS tail,
+MC = """mc AS (SELECT 'session_' || a.session_id || '_misconception' AS chunk_id, a.session_id, s.question_id, s.subject_path, head AS misconception_name,
+  every AS deep_mechanism, head AS quote, source_turn_ids FROM (SELECT session_id, min_by(text, turn_id) AS head, string_agg(text, ' ' ORDER BY turn_id) AS every,
   list(turn_id ORDER BY turn_id) AS source_turn_ids FROM t WHERE speaker = 'student' GROUP BY session_id) a JOIN s USING (session_id))"""
-ST = f"""st AS (SELECT 'session_' || a.session_id || '_tutor_strategy' AS chunk_id, a.session_id, s.question_id, s.subject_path, substr(head, 1, 60) AS pedagogical_goal,
+ST = f"""st AS (SELECT 'session_' || a.session_id || '_tutor_strategy' AS chunk_id, a.session_id, s.question_id, s.subject_path, every AS pedagogical_goal,
   {_case(CATEGORIES, "a.session_id")} AS strategy_category, tail AS key_aha_question,
   CASE WHEN a.session_id % 2 = 1 THEN ['Press for Accuracy', 'ask'] ELSE ['Revoicing'] END AS talk_moves, source_turn_ids
-  FROM (SELECT session_id, min_by(text, turn_id) AS head, max_by(text, turn_id) AS tail, list(turn_id ORDER BY turn_id) AS source_turn_ids
+  FROM (SELECT session_id, string_agg(text, ' ' ORDER BY turn_id) AS every, max_by(text, turn_id) AS tail, list(turn_id ORDER BY turn_id) AS source_turn_ids
   FROM t WHERE speaker = 'tutor' GROUP BY session_id) a JOIN s USING (session_id))"""
 CARDS = f"WITH {T}, {S}, {MC}, {ST}"
 
