@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -82,8 +83,6 @@ def best_subset(units: DataFrame, budget: int, most: int, tries: int = 25_000) -
         rows = rows.sort_values(["rank", "id"]).reset_index(drop=True)
         items = [(int(t), frozenset(k)) for t, k in zip(rows.tokens, rows.turn_keys, strict=True)]
         n, total = len(items), 0
-        from math import comb
-
         for size in range(1, min(most, n) + 1):
             total += comb(n, size)
         best: tuple = (0, 0, ())
@@ -105,6 +104,81 @@ def best_subset(units: DataFrame, budget: int, most: int, tries: int = 25_000) -
     return units.groupBy("query_id").applyInPandas(choose, "query_id long, id string")
 
 
+def coverage_subset(units: DataFrame, budget: int, most: int, tries: int = 25_000) -> DataFrame:
+    """The subset of a query's units that covers most, within the budget: query_id, id, position.
+
+    units: query_id, id, rank, tokens, session_id, turn_ids (array of int), parent_turns (those turns that a parent card
+    points to), card_ids (parent cards it touches), roles. Compared are, in order: parent turns, cards, turns, ends of
+    sessions, roles; then fewer sessions and better ranks. Subsets that hold both ends of every session come first, and
+    among them turns and unbroken runs from the start, to the end and anywhere count before the rest. All subsets are
+    tried while there are at most `tries`; beyond, units are taken by rank while they fit.
+    """
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["rank", "id"]).reset_index(drop=True).iloc[: max(20, 4 * most)]
+        best = _covering(rows, budget, most) if sum(comb(len(rows), k) for k in range(1, min(most, len(rows)) + 1)) <= tries else _fitting(rows, budget, most)
+        return pd.DataFrame([(rows.query_id[i], rows.id[i], n) for n, i in enumerate(best, 1)], columns=["query_id", "id", "position"])
+
+    return units.groupBy("query_id").applyInPandas(choose, "query_id long, id string, position int")
+
+
+def _fitting(rows: pd.DataFrame, budget: int, most: int) -> list[int]:
+    taken: list[int] = []
+    for i, tokens in enumerate(rows.tokens):
+        if len(taken) < most and int(rows.tokens.iloc[taken].sum()) + tokens <= budget:
+            taken.append(i)
+    return taken
+
+
+def _bits(values) -> list[int]:
+    """Sets of values as bits of numbers, so that a union is an or."""
+    place: dict = {}
+    return [sum(1 << place.setdefault(v, len(place)) for v in set(own)) for own in values]
+
+
+def _covering(rows: pd.DataFrame, budget: int, most: int) -> list[int]:
+    n, sessions = len(rows), rows.session_id.tolist()
+    places = [{(s, int(t)) for t in ids} for s, ids in zip(sessions, rows.turn_ids, strict=True)]
+    spans = [(min(t for _, t in p), max(t for _, t in p)) if p else (1 << 31, -1) for p in places]
+    ends: list[set] = [set() for _ in range(n)]
+    for s in set(sessions):
+        own = [i for i in range(n) if sessions[i] == s]
+        ends[min(own, key=lambda i: (spans[i][0], i))].add((s, "start"))
+        ends[max(own, key=lambda i: (spans[i][1], -i))].add((s, "end"))
+    every = set().union(*ends)
+    edge = {s: (min(spans[i][0] for i in range(n) if sessions[i] == s), max(spans[i][1] for i in range(n) if sessions[i] == s)) for s in set(sessions)}
+    parent = _bits([{(s, int(t)) for t in ids} for s, ids in zip(sessions, rows.parent_turns, strict=True)])
+    sets = [parent, _bits(rows.card_ids), _bits(places), _bits(ends), _bits(rows.roles), _bits([[s] for s in sessions])]
+    tokens, ranks, all_ends = rows.tokens.tolist(), rows["rank"].tolist(), len(every)
+
+    def runs(picked: tuple[int, ...]) -> tuple[int, int, int]:
+        """Turns in the runs from the first turn, to the last, and in the longest run, summed over sessions."""
+        out = [0, 0, 0]
+        for s in {sessions[i] for i in picked}:
+            low, high = edge[s]
+            line = "".join("x" if any((s, t) in places[i] for i in picked) else " " for t in range(low, high + 1))
+            for k, size in enumerate((len(line) - len(line.lstrip("x")), len(line) - len(line.rstrip("x")), max(map(len, line.split())))):
+                out[k] += size
+        return out[0], out[1], out[2]
+
+    best: tuple = ()
+    for size in range(1, min(most, n) + 1):
+        for picked in combinations(range(n), size):
+            if sum(tokens[i] for i in picked) > budget:
+                continue
+            held = [0] * 6
+            for i in picked:
+                held = [a | b[i] for a, b in zip(held, sets, strict=True)]
+            parents, cards, turns, at_ends, roles, spread = (x.bit_count() for x in held)
+            rest = (parents, cards, turns, at_ends, roles, -spread, -sum(ranks[i] for i in picked), tuple(-ranks[i] for i in picked))
+            whole = at_ends == all_ends
+            if whole:
+                start, end, longest = runs(picked)
+                rest = (turns, start, end, longest, *rest)
+            best = max(best, (whole, rest, picked), key=lambda b: b[:2]) if best else (whole, rest, picked)
+    return list(best[2]) if best else []
+
+
 def fallback_context(windows: DataFrame, most: int = 5, budget: int = 4000) -> DataFrame:
     """query_id, context of the first windows of each query: turns once, in order, cut at twice the budget in characters.
 

@@ -89,6 +89,26 @@ def validate_cards(cards: DataFrame, turns: DataFrame, sessions: DataFrame, role
     return rows.withColumn("reason", reason).where("reason is not null").select("chunk_id", "reason")
 
 
+def merge_audit(cards: DataFrame, audit: DataFrame, turns: DataFrame, role: str) -> DataFrame:
+    """Cards (chunk_id, session_id, source_turn_ids, quotes) with the pointers that a second look (chunk_id, turn_ids) adds, and their texts among the quotes.
+
+    An added turn that isn't there or isn't the role's raises; a text that a quote already says in canonical form isn't added.
+    """
+    added = audit.select("chunk_id", F.explode("turn_ids").alias("turn_id")).join(cards.select("chunk_id", "session_id"), "chunk_id")
+    known = added.join(turns.select("session_id", "turn_id", "speaker"), ["session_id", "turn_id"], "left")
+    wrong = known.where(F.col("speaker").isNull() | (F.col("speaker") != role)).select("chunk_id", "turn_id").first()
+    if wrong:
+        raise ValueError(f"audit of {wrong.chunk_id} points to turn {wrong.turn_id}, which isn't the {role}'s")
+    all_ids = cards.select("chunk_id", "session_id", F.explode("source_turn_ids").alias("turn_id")).unionByName(added.select("chunk_id", "session_id", "turn_id")).distinct()
+    told = all_ids.join(turns.select("session_id", "turn_id", "text"), ["session_id", "turn_id"], "left").withColumn("key", tx.canonical_pandas(F.coalesce("text", F.lit(""))))
+    by = told.groupBy("chunk_id").agg(F.array_sort(F.collect_set("turn_id")).alias("ids"), F.sort_array(F.collect_list(F.struct("turn_id", "text", "key"))).alias("told"))
+    said = cards.select("chunk_id", F.explode("quotes").alias("q")).withColumn("key", tx.canonical_pandas("q")).groupBy("chunk_id").agg(F.collect_set("key").alias("keys"))
+    rows = cards.join(by, "chunk_id", "left").join(said, "chunk_id", "left")
+    keys, told = F.coalesce("keys", F.array().cast("array<string>")), F.coalesce("told", F.array().cast("array<struct<turn_id:int,text:string,key:string>>"))
+    fresh = F.filter(told, lambda t, i: ~F.array_contains(keys, t["key"]) & ~F.exists(F.slice(told, F.lit(1), i), lambda u: u["key"] == t["key"]))
+    return rows.select("chunk_id", "session_id", F.coalesce("ids", "source_turn_ids").alias("source_turn_ids"), F.concat("quotes", F.transform(fresh, lambda t: t["text"])).alias("quotes"))
+
+
 def id_parity(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     """key, side of ids that only one table has."""
     a = expected.select(key).distinct().withColumn("e", F.lit(True))

@@ -74,6 +74,40 @@ def chunk_structure(windows: DataFrame, turns: DataFrame) -> DataFrame:
     return p.join(F.broadcast(c)).select(rate("valid", "pointers").alias("pointer_validity"), rate("covered", "turns").alias("coverage"), rate("emitted", "original").alias("inflation"))  # one row each
 
 
+#: Depths, and the gates of a retrieval run: metric, what it must reach (or stay below), whether it blocks a case, and a run.
+DEPTHS = (1, 3, 5, 20)
+GATES = (
+    ("recall_at_1", 0.0, False, False), ("recall_at_3", 0.90, True, True), ("recall_at_5", 0.95, True, True), ("recall_at_20", 0.98, True, True), ("candidate_recall_at_20", 0.98, True, True),
+    ("precision_at_5", 0.0, False, False), ("noise_ratio_at_5", 0.05, False, False), ("mrr", 0.85, True, True), ("ndcg_at_5", 0.90, True, True), ("latency_ms", 300.0, False, True),
+)
+
+
+def retrieval_gates(ranked: DataFrame, qrels: DataFrame, latency: DataFrame, slices: str | None = None) -> DataFrame:
+    """scope, slice, case_id, metric, value, threshold, hard_gate, status of a retrieval run: each case, all cases, and each slice.
+
+    ranked: query_id, id, rank; qrels: query_id, id, relevance; latency: query_id, latency_ms and, if asked, a slice
+    column. Recall of one case must be whole; noise and latency must stay below; a run's latency is its 95th percentile.
+    """
+    wide = latency.select("query_id", "latency_ms", (F.col(slices).cast("string") if slices else F.lit(None).cast("string")).alias("slice"))
+    for k in DEPTHS:
+        m = ranking(ranked, qrels, k).select("query_id", F.col("recall").alias(f"recall_at_{k}"), F.col("precision").alias(f"precision_at_{k}"), F.col("ndcg").alias(f"ndcg_at_{k}"), F.col("reciprocal_rank").alias(f"mrr_{k}"))
+        wide = wide.join(m, "query_id", "left")
+    wide = wide.withColumns({"candidate_recall_at_20": F.col("recall_at_20"), "noise_ratio_at_5": 1 - F.col("precision_at_5"), "mrr": F.col("mrr_20")})
+    each = wide.select("query_id", "slice", F.explode(F.array(*[F.struct(F.lit(name).alias("metric"), F.col(name).cast("double").alias("value"), F.lit(limit).alias("limit"), F.lit(by_case).alias("by_case"), F.lit(by_run).alias("by_run")) for name, limit, by_case, by_run in GATES])).alias("m")).select("query_id", "slice", "m.*")
+    below = F.col("metric").isin("noise_ratio_at_5", "latency_ms")
+    status = lambda limit: F.when(F.col("value").isNull(), "UNMEASURED").when(F.when(below, F.col("value") <= limit).otherwise(F.col("value") >= limit), "SUCCESS").otherwise("FAILED")
+    case_limit = F.when(F.col("metric").contains("recall_at_"), F.lit(1.0)).otherwise(F.col("limit"))
+    cases = each.select(F.lit("case").alias("scope"), "slice", F.col("query_id").alias("case_id"), "metric", "value", case_limit.alias("threshold"), F.col("by_case").alias("hard_gate"), status(case_limit).alias("status"))
+
+    def run(scope: str, rows: DataFrame, part) -> DataFrame:
+        value = F.when(F.col("metric") == "latency_ms", F.percentile("value", 0.95)).otherwise(F.avg("value"))
+        by = rows.groupBy(part.alias("slice"), "metric", "limit", "by_run").agg(value.alias("value"))
+        return by.select(F.lit(scope).alias("scope"), "slice", F.lit(None).cast("long").alias("case_id"), F.when(F.col("metric") == "latency_ms", "latency_p95_ms").otherwise(F.col("metric")).alias("metric"), "value", F.col("limit").alias("threshold"), F.col("by_run").alias("hard_gate"), status(F.col("limit")).alias("status"))
+
+    out = cases.unionByName(run("aggregate", each, F.lit(None).cast("string")))
+    return out.unionByName(run("slice", each.where("slice is not null"), F.col("slice"))) if slices else out
+
+
 def roll_up(observations: DataFrame, by: list[str], tail: bool = False) -> DataFrame:
     """Per metric: value (mean, or 95th percentile), cases, unmeasured, passed and the Wilson interval of passing.
 

@@ -6,6 +6,8 @@ into their few windows and grouped; no range join and no pass over pairs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as tx
@@ -23,6 +25,13 @@ def window_starts(n: Column, size: int, step: int, stop_at_end: bool) -> Column:
     return F.sequence(F.lit(0), last.cast("int"), F.lit(step))
 
 
+def gap_free(n: Column, size: int, step: int) -> Column:
+    """gap_free_starts as an array column, for a column of numbers of turns."""
+    last = F.floor((n - 1) / step).cast("int")
+    fill = lambda i: F.sequence(i * step, F.greatest(i * step, F.least((i + 1) * step, n) - 1), F.lit(max(size, 1))) if step > size else F.array(i * step)
+    return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), fill))).otherwise(F.array().cast("array<int>"))
+
+
 def gap_free_starts(n: int, size: int, step: int) -> list[int]:
     """Starts that leave no position uncovered even if steps are longer than windows: further starts fill the gaps."""
     starts, covered, at = [], 0, 0
@@ -30,13 +39,18 @@ def gap_free_starts(n: int, size: int, step: int) -> list[int]:
         while covered < at:
             starts.append(covered)
             covered += size
-        starts.append(at)
+        if at < n:
+            starts.append(at)
         covered = max(covered, at + size)
         at += step
     return starts
 
 
-def sliding_windows(turns: DataFrame, size: int = 6, step: int = 3, stop_at_end: bool = True, body: str = "text") -> DataFrame:
+def _line(t: Column) -> Column:
+    return F.concat(F.lit("[Turn "), t["turn_id"].cast("string"), F.lit("] "), t["speaker"], F.lit(": "), F.coalesce(t["text"], F.lit("")))
+
+
+def sliding_windows(turns: DataFrame, size: int = 6, step: int = 3, stop_at_end: bool = True, body: str = "text", line: Callable[[Column], Column] = _line) -> DataFrame:
     """session_id, start, first_turn, last_turn, source_turn_ids, content of each window.
 
     Content has a line for each turn, speaker first. With the stop a window that reaches the end is the last.
@@ -45,7 +59,6 @@ def sliding_windows(turns: DataFrame, size: int = 6, step: int = 3, stop_at_end:
     starts = F.filter(window_starts(F.col("n"), size, step, stop_at_end), lambda s: (F.col("pos") >= s) & (F.col("pos") < s + size))
     each = placed.withColumn("start", F.explode(starts))
     held = each.groupBy("session_id", "start").agg(F.sort_array(F.collect_list(F.struct("turn_id", "speaker", F.col(body).alias("text")))).alias("t"))
-    line = lambda t: F.concat(F.lit("[Turn "), t["turn_id"].cast("string"), F.lit("] "), t["speaker"], F.lit(": "), F.coalesce(t["text"], F.lit("")))
     return held.select(
         "session_id", "start", F.element_at("t", 1)["turn_id"].alias("first_turn"), F.element_at("t", -1)["turn_id"].alias("last_turn"),
         F.transform("t", lambda t: t["turn_id"]).alias("source_turn_ids"), F.array_join(F.transform("t", line), "\n").alias("content"),
@@ -59,6 +72,67 @@ def window_chunks(turns: DataFrame, sessions: DataFrame, size: int = 6, step: in
     return made.select(F.concat(F.lit("session_"), F.col("session_id").cast("string"), F.lit("_win_"), F.col("first_turn").cast("string"), F.lit("_"), F.col("last_turn").cast("string")).alias("chunk_id"), "session_id", "question_id", "subject_path", "first_turn", "last_turn", content.alias("content"), tx.token_estimate_words(content).alias("token_count"), "source_turn_ids")
 
 
+# What experimental chunkers write around dialogue.
+_HEADER = ("[考纲考点]: ", "\n[题目题干]: ", "\n[选项分布]: ", "\n--- [师生互动实录] ---\n")
+_PARENT = ("=== PARENT SESSION (", ") ===\n[考点]: ", "\n[题干]: ", "\n[选项]: ", "\n--- 完整辅导实录 ---\n")
+_CARD = ("【学生认知错因卡】\n[考点路径]: ", "\n[原题干]: ", "\n[备选选项]: ", "\n[学生疑惑与典型错解原声]:\n")
+_STRATEGY = ("【名师破局引导策略卡】\n[考点路径]: ", "\n[原题干]: ", "\n[核心启发式提问与分步脚手架实录]:\n")
+QUOTES, PROMPT_CHARS = 3, 15
+
+
+def _spoken(t: Column) -> Column:
+    return F.concat(F.lit("[Turn "), t["turn_id"].cast("string"), F.lit(" - "), t["speaker"], F.lit("]: "), F.coalesce(t["text"], F.lit("")))
+
+
+def _about(sessions: DataFrame) -> DataFrame:
+    """session_id, path, stem, options of each session; options is an array of label and text, or missing."""
+    options = F.array_join(F.transform("options", lambda o: F.concat_ws(": ", o["label"], o["text"])), ", ") if "options" in sessions.columns else F.lit("")
+    return sessions.select("session_id", F.coalesce("subject_path", F.lit("Unknown Subject")).alias("path"), F.coalesce("question_text", F.lit("")).alias("stem"), F.coalesce(options, F.lit("")).alias("options"))
+
+
+def _around(parts: tuple[str, ...], *values: Column) -> Column:
+    return F.concat(*[x for pair in zip((F.lit(p) for p in parts), values, strict=True) for x in pair])
+
+
+def _chunk_id(kind: str) -> Column:
+    return F.concat(F.col("session_id").cast("string"), F.lit(f"_{kind}_"), F.col("first_turn").cast("string"), F.lit("_"), F.col("last_turn").cast("string"))
+
+
+def header_chunks(turns: DataFrame, sessions: DataFrame, size: int = 2, step: int = 2) -> DataFrame:
+    """chunk_id, session_id, source_turn_ids, content: pairs of turns under a header of subject, question and options."""
+    made = sliding_windows(turns, size, step, line=_spoken).join(_about(sessions), "session_id")
+    options = F.when(F.col("options") == "", "No Options").otherwise(F.col("options"))
+    return made.select(_chunk_id("hi").alias("chunk_id"), "session_id", "source_turn_ids", _around(_HEADER, F.col("path"), F.col("stem"), options, F.col("content")).alias("content"))
+
+
+def parent_child_chunks(turns: DataFrame, sessions: DataFrame, size: int = 2, step: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Children (chunk_id, parent_id, source_turn_ids, content) to search, and each session once as parent (parent_id, content) to read."""
+    about = _about(sessions)
+    parent_id = F.concat(F.lit("parent_"), F.col("session_id").cast("string")).alias("parent_id")
+    bare = sliding_windows(turns, size, step, line=lambda t: F.concat(F.lit("["), t["speaker"], F.lit("]: "), F.coalesce(t["text"], F.lit("")))).join(about, "session_id")
+    children = bare.select(_chunk_id("child").alias("chunk_id"), parent_id, "source_turn_ids", F.concat(F.lit("["), F.col("path"), F.lit("] "), F.col("content")).alias("content"))
+    whole = turns.groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn_id", "speaker", "text"))), _spoken), "\n").alias("spoken")).join(about, "session_id")
+    return children, whole.select(parent_id, _around(_PARENT, F.col("session_id").cast("string"), F.col("path"), F.col("stem"), F.col("options"), F.col("spoken")).alias("content"))
+
+
+def distilled_chunks(turns: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Two cards a session: the first student quotes, and the tutor's longer prompts with their moves; noise is left out.
+
+    Both are summaries: three quotes, and prompts of more than fifteen characters, are the feature.
+    """
+    moves = F.array_join("talk_moves", ",") if "talk_moves" in turns.columns else F.lit("")
+    spoken = turns.where(~F.coalesce("is_noise", F.lit(False))).withColumn("moves", moves)
+    said = F.concat(F.lit("Turn "), F.col("turn_id").cast("string"), F.when(F.col("is_tutor"), F.concat(F.lit(" ("), F.col("moves"), F.lit(")"))).otherwise(F.lit("")), F.lit(': "'), F.coalesce("text", F.lit("")), F.lit('"'))
+    by = spoken.groupBy("session_id", "is_tutor").agg(F.sort_array(F.collect_list(F.struct("turn_id", said.alias("said"), (F.length("text") > PROMPT_CHARS).alias("long")))).alias("t"))
+    both = sessions.select("session_id", F.explode(F.array(F.lit(False), F.lit(True))).alias("is_tutor")).join(turns.select("session_id").distinct(), "session_id", "left_semi").join(by, ["session_id", "is_tutor"], "left").join(_about(sessions), "session_id")
+    told = F.coalesce("t", F.array().cast("array<struct<turn_id:int,said:string,long:boolean>>"))
+    lines = lambda xs: F.array_join(F.transform(xs, lambda x: x["said"]), "\n")
+    card = _around(_CARD, F.col("path"), F.col("stem"), F.col("options"), lines(F.slice(told, F.lit(1), F.lit(QUOTES))))
+    strategy = _around(_STRATEGY, F.col("path"), F.col("stem"), lines(F.filter(told, lambda x: x["long"])))
+    name = F.concat(F.col("session_id").cast("string"), F.when(F.col("is_tutor"), "_distilled_strategy").otherwise("_distilled_misconception"))
+    return both.select(name.alias("chunk_id"), "session_id", F.transform(told, lambda x: x["turn_id"]).alias("source_turn_ids"), F.when(F.col("is_tutor"), strategy).otherwise(card).alias("content"))
+
+
 def anchored_windows(windows: DataFrame, anchors: DataFrame, complete: DataFrame | None = None) -> DataFrame:
     """Windows of a session that hold an anchor's turn, or any window of a session in complete, with parent_ids.
 

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+from ..operators.providers import Model, until_valid
 from .router import Route, normal, protected_tokens
 
 # Plan type, analytics operation, perspectives and report by intent.
@@ -27,6 +28,58 @@ CAPABILITIES = {
 }
 
 
+#: What richer capabilities need: whose tables, the table, and its columns, each under any of its names.
+REQUIREMENTS = {
+    "DIALOGUE_EVIDENCE": ("source", "turns", (("session_id", "intervention_id"), ("turn_id",), ("speaker",), ("text",))),
+    "BUSINESS_ANALYTICS": ("analytics", "manifest", (("source_hash", "source_artifact_hash"), ("graph_version", "analytics_version"), ("build_status", "status"))),
+    "RETAKE_COHORT": ("analytics", "student_features", (("session_id",), ("student_key",), ("attempt_number",), ("measured_at",))),
+    "ABILITY_COHORT": ("analytics", "student_features", (("session_id",), ("student_key",), ("historic_question_count",), ("historic_correctness",), ("measured_at",))),
+}
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """Whether a capability is there, and if not, what is missing."""
+
+    capability: str
+    available: bool
+    coverage: float
+    missing: tuple[str, ...] = ()
+    source: str = ""
+
+
+def snapshots(source: dict[str, DataFrame], analytics: dict[str, DataFrame] | None = None) -> dict[str, Snapshot]:
+    """Every capability as the tables are just now. Column names count in any case; an empty table is no capability."""
+    out = {}
+    for name, (whose, table, columns) in REQUIREMENTS.items():
+        tables = source if whose == "source" else analytics
+        first = sorted(names[0] for names in columns)
+        df = (tables or {}).get(table)
+        if tables is None:
+            missing = (whose, table, *first)
+        elif df is None:
+            missing = (table, *first)
+        else:
+            there = {c.lower() for c in df.columns}
+            missing = tuple(sorted(names[0] for names in columns if there.isdisjoint(names)))
+            if not missing and df.isEmpty():
+                missing = (f"{table}:non_empty",)
+        out[name] = Snapshot(name, not missing, float(not missing), missing, whose)
+    return out
+
+
+def require(names: list[str], held: dict[str, Snapshot]) -> list[Snapshot]:
+    """The named capabilities, in that order; LookupError at the first that isn't there, ValueError at a name that is none."""
+    out = []
+    for name in names:
+        if name not in held:
+            raise ValueError(f"unknown capability {name}")
+        if not held[name].available:
+            raise LookupError(f"{name} lacks {', '.join(held[name].missing)}")
+        out.append(held[name])
+    return out
+
+
 @dataclass
 class Plan:
     kind: str
@@ -81,6 +134,21 @@ def public_status(stages: dict[str, str]) -> str:
     return next((s for s in order if s in stages.values()), "UNMEASURED")
 
 
+def rewrite_with(model: Model, query: str, glossary: list[dict], tries: int = 3) -> dict[str, str]:
+    """The query from three perspectives as a model writes them, from the same glossary context; ValueError after so many invalid answers."""
+    wanted = {"misconception_query": str, "strategy_query": str, "curriculum_query": str, "extracted_keywords": list}
+
+    def check(answer: object) -> dict[str, str]:
+        if not isinstance(answer, dict) or set(answer) != set(wanted):
+            raise ValueError(f"the answer must hold {', '.join(wanted)}")
+        for name, kind in wanted.items():
+            if not isinstance(answer[name], kind) or kind is str and not answer[name].strip():
+                raise ValueError(f"{name} must be a {kind.__name__} that isn't blank")
+        return {"raw": query, **{name.removesuffix("_query"): answer[name] for name in wanted if name.endswith("_query")}}
+
+    return until_valid(model, [{"role": "user", "content": "\n\n".join(rewrite(query, glossary).values())}], check, tries)
+
+
 def rewrite(query: str, glossary: list[dict]) -> dict[str, str]:
     """The query as it is and from three perspectives; glossary terms are added, protected tokens stay as written."""
     q = normal(query)

@@ -1,14 +1,14 @@
-"""The registered queries of the engine's own operators and their SQL."""
+"""All queries of the engine and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import queries_core, queries_search
+from .plans import queries_core as core, queries_more as more, queries_search as search
 
-QUERIES = queries_core.Q | queries_search.Q
-ORACLE_SQL = queries_core.SQL | queries_search.SQL
+QUERIES = {**core.Q, **search.Q, **more.Q}
+ORACLE_SQL = {**core.SQL, **search.SQL, **more.SQL}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["m3_recurring_misconceptions"](spark, sf_dir)
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return QUERIES["m3_recurring_misconceptions"](spark, d)

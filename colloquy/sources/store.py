@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -43,19 +47,56 @@ def read_raw(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder in the shared one that spark.checkpoint.dir names; in local mode, where that is unset, a temporary one."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="colloquy-")
+    return f"{where.rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
+def _previous(path: str) -> str:
+    return f"{path.rstrip('/')}.previous"
+
+
+def _replace(spark: SparkSession, beside: str, path: str) -> None:
+    """Put what is beside a path in its place. The old content steps aside first and goes last, so at any moment one of both is whole."""
+    fs, target = _fs(spark, path)
+    new, old = _fs(spark, beside)[1], _fs(spark, _previous(path))[1]
+    recover(spark, path)
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"{path} can't be moved aside")
+    if not fs.rename(new, target):
+        if fs.exists(old):
+            fs.rename(old, target)
+        raise OSError(f"{path} can't be put in place")
+    fs.delete(old, True)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """After a writer that died between its renames: the old content comes back if the new one isn't there, and goes if it is."""
+    fs, target = _fs(spark, path)
+    old = _fs(spark, _previous(path))[1]
+    if not fs.exists(old):
+        return
+    if fs.exists(target):
+        fs.delete(old, True)
+    elif not fs.rename(old, target):
+        raise OSError(f"{path} can't be recovered")
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
-    """All or nothing: written beside the path, then renamed over it."""
-    spark = df.sparkSession
+    """All or nothing: written beside the path, then put in its place; a failure at any point leaves the old or the new rows."""
     beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     df.write.option("ignoreNullFields", "false").json(beside)
-    fs, target = _fs(spark, path)
-    if fs.exists(target):
-        fs.delete(target, True)
-    fs.rename(_fs(spark, beside)[1], target)
+    _replace(df.sparkSession, beside, path)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType, key: str) -> DataFrame:
-    """Rows in order of key; a malformed line or a repeated key raises, blank lines don't count."""
+    """Rows in order of key; a malformed line or a repeated key raises, blank lines don't count. A broken write is undone first."""
+    recover(spark, path)
     rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     twice = rows.groupBy(key).count().where("count > 1").select(key).first()
     if twice:
@@ -72,7 +113,11 @@ def file_hash(spark: SparkSession, path: str) -> str:
 
 
 class GraphStore:
-    """Graph tables by version; a version counts once its manifest, written last, is READY."""
+    """Graph tables by version; a version counts once its manifest, written last, is READY.
+
+    Each write has a folder of its own and adds a row to the manifest, so a failed one changes nothing: the last READY
+    write of a version is what readers open, while and after another is made.
+    """
 
     TABLES = {"nodes": "node_id", "edges": "edge_id", "labels": "assignment_id"}
 
@@ -81,10 +126,11 @@ class GraphStore:
 
     def write(self, version: str, source_hash: str, nodes: DataFrame, edges: DataFrame, labels: DataFrame, built_at: str) -> None:
         """Write a version. Repeated edge ids, dangling edges or counts that differ make it FAILED, with the reason."""
-        at = f"{self.path}/{version}"
+        build = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+        at = f"{self.path}/{version}/{build}"
         frames = {"nodes": graph.merge_nodes(nodes), "edges": edges, "labels": labels}
         for name, df in frames.items():
-            df.write.mode("overwrite").parquet(f"{at}/{name}")
+            df.write.parquet(f"{at}/{name}")
         kept = {name: self.spark.read.parquet(f"{at}/{name}") for name in frames}
         reason = None
         if kept["edges"].groupBy("edge_id").count().where("count > 1").first():
@@ -92,21 +138,21 @@ class GraphStore:
         elif graph.dangling(kept["edges"], kept["nodes"]).first():
             reason = "dangling edge"
         counts = {name: df.count() for name, df in kept.items()}
-        row = (version, source_hash, counts["nodes"], counts["edges"], "FAILED" if reason else "READY", built_at, reason)
-        manifest = self.spark.createDataFrame([row], "graph_version string, source_hash string, node_count long, edge_count long, build_status string, built_at_utc string, failure_reason string")
-        manifest.withColumn("built_at_utc", F.to_timestamp("built_at_utc")).write.mode("overwrite").parquet(f"{at}/manifest")
+        row = (version, build, source_hash, counts["nodes"], counts["edges"], counts["labels"], "FAILED" if reason else "READY", built_at, reason)
+        manifest = self.spark.createDataFrame([row], "graph_version string, build string, source_hash string, node_count long, edge_count long, label_count long, build_status string, built_at_utc string, failure_reason string")
+        manifest.coalesce(1).withColumn("built_at_utc", F.to_timestamp("built_at_utc")).write.mode("append").parquet(f"{self.path}/{version}/manifest")
         if reason:
             raise ValueError(f"graph {version}: {reason}")
 
     def open(self, version: str, source_hash: str) -> dict[str, DataFrame]:
         """The tables of a READY version of that source, each in order of its key."""
-        rows = self.spark.read.parquet(f"{self.path}/{version}/manifest").where("build_status = 'READY'").limit(2).collect()
-        if len(rows) != 1:
+        last = self.spark.read.parquet(f"{self.path}/{version}/manifest").where("build_status = 'READY'").orderBy(F.desc("build")).first()
+        if last is None:
             raise ValueError(f"graph {version} isn't ready")
-        if rows[0].source_hash != source_hash:
+        if last.source_hash != source_hash:
             raise ValueError(f"graph {version} is of another source")
-        out = {name: self.spark.read.parquet(f"{self.path}/{version}/{name}") for name in self.TABLES}
-        if (out["nodes"].count(), out["edges"].count()) != (rows[0].node_count, rows[0].edge_count):
+        out = {name: self.spark.read.parquet(f"{self.path}/{version}/{last.build}/{name}") for name in self.TABLES}
+        if tuple(out[name].count() for name in self.TABLES) != (last.node_count, last.edge_count, last.label_count):
             raise ValueError(f"graph {version} lacks rows of its manifest")
         return {name: df.orderBy(key) for (name, key), df in zip(self.TABLES.items(), out.values(), strict=True)}
 
@@ -128,11 +174,88 @@ def promote(batch: DataFrame, expected: DataFrame, key: str, path: str) -> None:
     wrong = evidence.id_parity(expected, batch, key).limit(5).collect()
     if wrong:
         raise ValueError("ids differ: " + ", ".join(f"{r[0]} {r.side}" for r in wrong))
-    batch.write.mode("errorifexists").parquet(path)
+    spark, beside = batch.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    fs, target = _fs(spark, path)
+    if fs.exists(target):
+        raise ValueError(f"{path} is there already")
+    batch.write.parquet(beside)
+    if not fs.rename(_fs(spark, beside)[1], target):
+        raise OSError(f"{path} can't be put in place")
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, whole or not at all: written beside its path, then put in its place."""
+    fs, beside = _fs(spark, f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(beside)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    _replace(spark, beside.toString(), path)
+
+
+def write_report(spark: SparkSession, path: str, title: str, about: dict, observations: list[dict]) -> None:
+    """A run's report in a new folder: run.json, observations, failures and slices as JSON lines, and summary.md, which comes last.
+
+    observations: a run's few rows with metric, scope, status, value, threshold. The folder must not be there yet.
+    """
+    fs, folder = _fs(spark, path)
+    if fs.exists(folder):
+        raise ValueError(f"{path} is there already")
+    failures = [o for o in observations if o["status"] != "SUCCESS"]
+    line = lambda o: json.dumps(o, ensure_ascii=False, default=str, sort_keys=True) + "\n"
+    counts = {s: sum(o["status"] == s for o in observations) for s in sorted({o["status"] for o in observations})}
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    names = ("metric", "scope", "status", "value", "threshold")
+    table = [f"| {' | '.join(names)} |", "|-" * len(names) + "|", *(f"| {' | '.join(cell(o.get(n)) for n in names)} |" for o in failures)] if failures else ["None."]
+    summary = [f"# {title}", "", *(f"- {k}: {cell(v)}" for k, v in about.items()), "", "## Status counts", "", *(f"- {s}: {n}" for s, n in counts.items()), "", "## What failed", "", *table, ""]
+    write_text(spark, f"{path}/run.json", json.dumps({"title": title, **about, "observations": observations}, ensure_ascii=False, default=str, indent=2, sort_keys=True) + "\n")
+    for name, rows in (("observations", observations), ("failures", failures), ("slices", [o for o in observations if o.get("scope") == "slice"])):
+        write_text(spark, f"{path}/{name}.jsonl", "".join(map(line, rows)))
+    write_text(spark, f"{path}/summary.md", "\n".join(summary))
+
+
+def open_vectors(spark: SparkSession, path: str, tries: int = 2, opener: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """A vector table, opened again if its first opening fails with an I/O error; other errors and the last one raise."""
+    for left in range(tries - 1, -1, -1):
+        try:
+            return (opener or spark.read.parquet)(path)
+        except OSError:
+            if not left:
+                raise
+    raise ValueError("tries must be positive")
+
+
+def vector_metadata(rows: DataFrame) -> DataFrame:
+    """id and a map of metadata from key-value rows (id, key, string_value, int_value, float_value, bool_value) of a vector database."""
+    value = F.coalesce("string_value", F.col("int_value").cast("string"), F.col("float_value").cast("string"), F.col("bool_value").cast("string"))
+    return rows.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_set(F.struct("key", value.alias("value"))))).alias("metadata"))
+
+
+def snapshot(spark: SparkSession, path: str) -> str:
+    """A copy of a folder that later writes to it don't touch: its path."""
+    to = scratch(spark)
+    fs, source = _fs(spark, path)
+    util = spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil
+    other, target = _fs(spark, to)
+    if not util.copy(fs, source, other, target, False, spark.sparkContext._jsc.hadoopConfiguration()):
+        raise OSError(f"{path} can't be copied")
+    return to
 
 
-def write_report(rows: list[dict], title: str) -> tuple[str, str]:
-    """A few rows of a report as JSON and as a Markdown table."""
-    names = list(rows[0]) if rows else []
-    table = ["| " + " | ".join(names) + " |", "|" + "-|" * len(names)] + ["| " + " | ".join(str(r[n]) for n in names) + " |" for r in rows]
-    return json.dumps(rows, ensure_ascii=False, default=str, sort_keys=True), "\n".join([f"# {title}", "", *(table if rows else ["no rows"])])
+def fetch(spark: SparkSession, sources: list[str], path: str, read: Callable[[str], bytes]) -> str:
+    """The first source that can be read, put at path whole; which one it was. The reader is given, as there may be no network."""
+    why = []
+    for source in sources:
+        try:
+            data = read(source)
+        except OSError as e:
+            why.append(f"{source}: {e}")
+            continue
+        fs, beside = _fs(spark, f"{path}.{uuid.uuid4().hex}")
+        out = fs.create(beside)
+        out.write(bytearray(data))
+        out.close()
+        _replace(spark, beside.toString(), path)
+        return source
+    raise OSError("no source could be read: " + "; ".join(why))

@@ -47,15 +47,23 @@ def event_counts(events: DataFrame, size: str = "10 minutes", late: str = "30 mi
 
 
 def upsert_stream(rows: DataFrame, path: str, keys: list[str], checkpoint: str) -> DataStreamWriter:
-    """Merge each batch into versions under path: a batch that runs again writes its own version again."""
+    """Merge each batch into versions under path: a batch that runs again writes its own version again.
+
+    Of a batch's rows with one key the greatest counts, compared column by column. The last two versions stay, so a
+    reader of the one before isn't disturbed.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         from ..sources.tables import upsert
 
         spark = batch.sparkSession
-        new = batch.dropDuplicates(keys)
+        rest = [c for c in batch.columns if c not in keys]
+        new = batch.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("r")).select(*keys, "r.*").select(batch.columns) if rest else batch.distinct()
         if number:
             new = upsert(spark.read.parquet(f"{path}/v{number - 1}"), new, keys)
         new.write.mode("overwrite").parquet(f"{path}/v{number}")
+        if number > 1:
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v{number - 2}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
