@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import re
 import tempfile
@@ -48,13 +49,28 @@ def read_raw(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder in the shared one that spark.checkpoint.dir names; in local mode, where that is unset, a temporary one."""
+    """A fresh folder in the shared one that spark.checkpoint.dir names; in local mode, where that is unset, a temporary one. It goes at the driver's exit."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="colloquy-")
-    return f"{where.rstrip('/')}/store-{uuid.uuid4().hex}"
+    path = f"{where.rstrip('/')}/store-{uuid.uuid4().hex}"
+    _SCRATCH.append((spark, path))
+    return path
+
+
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _SCRATCH:
+        try:
+            fs, p = _fs(spark, path)
+            fs.delete(p, True)
+        except Exception:  # the session has ended: its folder goes with the cluster's job
+            return
 
 
 def _previous(path: str) -> str:
