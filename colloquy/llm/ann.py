@@ -3,7 +3,8 @@
 Distinct vectors are dealt into shards of bounded size. In a shard, points join the graph in rounds: a
 greedy search from the medoid proposes neighbours, and relaxed pruning keeps an edge to a neighbour only if
 no kept neighbour is closer to it by the factor alpha, so edges point in diverse directions. Queries come in
-blocks; each block is searched in each shard, and the nearest of all shards are ranked by exact cosine.
+blocks; each shard goes to one task, where the blocks follow it and are searched one after the other, and the
+nearest of all shards are ranked by exact cosine.
 """
 
 from __future__ import annotations
@@ -121,7 +122,9 @@ def usable(embedding: str = "embedding"):
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64)
+    """Rows of one length, none of them null or with nulls, as a matrix."""
+    flat = [c.flatten().to_numpy(zero_copy_only=False) for c in getattr(column, "chunks", [column])]
+    return np.concatenate(flat).astype(np.float64, copy=False).reshape(len(column), -1)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD) -> DataFrame:
@@ -156,38 +159,52 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHA
     blocks = max(1, ceil(asked.count() / QUERY_BLOCK))
 
     def block(key: tuple, table: pa.Table) -> pa.Table:
-        return pa.table({"dim": [key[0].as_py()], "q": [_matrix(table.column("embedding")).tobytes()], "q_ids": [np.array(table.column("vec_id").to_pylist(), np.int64).tobytes()]}, schema=pa.schema([("dim", pa.int32()), ("q", pa.binary()), ("q_ids", pa.binary())]))
+        return pa.table({"dim": [key[0].as_py()], "block": [key[1].as_py()], "q": [_matrix(table.column("embedding")).tobytes()], "q_ids": [np.array(table.column("vec_id").to_pylist(), np.int64).tobytes()]}, schema=pa.schema([("dim", pa.int32()), ("block", pa.int32()), ("q", pa.binary()), ("q_ids", pa.binary())]))
 
     asked = asked.select("vec_id", "embedding", F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    packed = asked.groupBy("dim", "block").applyInArrow(block, "dim int, q binary, q_ids binary")
-    pairs = built.join(packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))), ["dim", "shard"])
+    packed = asked.groupBy("dim", "block").applyInArrow(block, "dim int, block int, q binary, q_ids binary")
+    sent = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    # a shard moves once, and its task meets it before the blocks: it isn't copied beside each of them
+    both = built.withColumn("block", F.lit(-1)).unionByName(sent, allowMissingColumns=True)
+    met = both.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "block")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, None
         for b in batches:
-            for r in b.to_pylist():
-                yield _search(r, k)
-
-    found = pairs.select("dim", "start", "v", "ids", "counts", "graph", "q", "q_ids").mapInArrow(search, "query_id long, vec_id long, score double")
+            for row in range(b.num_rows):
+                r = b.slice(row, 1).to_pylist()[0]
+                if r["v"] is not None:
+                    at, held = (r["dim"], r["shard"]), _Shard(r, k)
+                elif at == (r["dim"], r["shard"]):  # else no vector of this length is in the shard
+                    yield held.search(r["q"], r["q_ids"])
+
+    found = met.select("dim", "shard", "start", "v", "ids", "counts", "graph", "q", "q_ids").mapInArrow(search, "query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search(r: dict, k: int) -> pa.RecordBatch:
-    """The k best ids of one shard for each query of one block."""
-    v, ids, counts = scaled(np.frombuffer(r["v"]).reshape(-1, r["dim"])), np.frombuffer(r["ids"], np.int64).reshape(-1, k + 1), np.frombuffer(r["counts"], np.int64)
-    q, q_ids = scaled(np.frombuffer(r["q"]).reshape(-1, r["dim"])), np.frombuffer(r["q_ids"], np.int64)
-    graph = np.frombuffer(r["graph"], np.int32).reshape(len(v), -1)
-    norms = np.sqrt((v * v).sum(1))
-    out: list[list] = [[], [], []]
-    x, unit_q = unit(v), unit(q)
-    for at in range(0, len(q), 512):
-        near, dist = beam_search(x, graph, r["start"], unit_q[at : at + 512], SEARCH_BEAM)
-        near = np.take_along_axis(near, np.argsort(dist, 1, kind="stable")[:, : 4 * k], 1)
-        for one, own, candidates in zip(q[at : at + 512], q_ids[at : at + 512].tolist(), near, strict=True):
-            candidates = candidates[candidates >= 0]
-            scores = (v[candidates] * one).sum(1) / (norms[candidates] * np.sqrt((one * one).sum()))
-            best = sorted((-s, i) for s, c in zip(scores.tolist(), candidates.tolist(), strict=True) for i in ids[c, : counts[c]].tolist() if i != own)[:k]
-            out[0] += [own] * len(best)
-            out[1] += [i for _, i in best]
-            out[2] += [-s for s, _ in best]
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
+class _Shard:
+    """A shard's vectors and graph, made ready once for all blocks of queries."""
+
+    def __init__(self, r: dict, k: int) -> None:
+        self.k, self.dim, self.start = k, r["dim"], r["start"]
+        self.v, self.ids, self.counts = scaled(np.frombuffer(r["v"]).reshape(-1, self.dim)), np.frombuffer(r["ids"], np.int64).reshape(-1, k + 1), np.frombuffer(r["counts"], np.int64)
+        self.graph = np.frombuffer(r["graph"], np.int32).reshape(len(self.v), -1)
+        self.norms, self.x = np.sqrt((self.v * self.v).sum(1)), unit(self.v)
+
+    def search(self, block: bytes, block_ids: bytes) -> pa.RecordBatch:
+        """The k best ids of the shard for each query of one block."""
+        q, q_ids = scaled(np.frombuffer(block).reshape(-1, self.dim)), np.frombuffer(block_ids, np.int64)
+        unit_q = unit(q)
+        out: list[list] = [[], [], []]
+        for at in range(0, len(q), 512):
+            near, dist = beam_search(self.x, self.graph, self.start, unit_q[at : at + 512], SEARCH_BEAM)
+            near = np.take_along_axis(near, np.argsort(dist, 1, kind="stable")[:, : 4 * self.k], 1)
+            for one, own, candidates in zip(q[at : at + 512], q_ids[at : at + 512].tolist(), near, strict=True):
+                candidates = candidates[candidates >= 0]
+                scores = (self.v[candidates] * one).sum(1) / (self.norms[candidates] * np.sqrt((one * one).sum()))
+                best = sorted((-s, i) for s, c in zip(scores.tolist(), candidates.tolist(), strict=True) for i in self.ids[c, : self.counts[c]].tolist() if i != own)[: self.k]
+                out[0] += [own] * len(best)
+                out[1] += [i for _, i in best]
+                out[2] += [-s for s, _ in best]
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])

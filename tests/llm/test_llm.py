@@ -325,6 +325,16 @@ def test_neighbours_of_the_last_point_are_distinct(spark):
     assert len({(x.query_id, x.vec_id) for x in rows}) == len(rows) == 300
 
 
+def test_neighbours_do_not_depend_on_blocks(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, r.normal(size=6).tolist()) for i in range(150)], "vec_id long, embedding array<double>")
+    asked = df.unionByName(spark.createDataFrame([(999, [1.0, 2.0])], df.schema))  # no vector has this length
+    one = sorted(map(tuple, ann.nearest(df, asked, shard=40).collect()))
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 20)
+    assert sorted(map(tuple, ann.nearest(df, asked, shard=40).collect())) == one
+    assert len(one) == 150 * 5 and 999 not in {x[0] for x in one}
+
+
 def test_neighbours_meet_any_table(spark):
     rows = [(i, [1.0, 0.0]) for i in range(20)] + [(0, [1.0, 0.0]), (50, [0.0, 1.0]), (51, None), (52, [0.0, 0.0]), (53, [float("nan"), 1.0]), (54, [None, 1.0]), (55, [float("inf"), 1.0]), (60, [1.0, 2.0, 3.0]), (None, [1.0, 0.0])]
     df = spark.createDataFrame([(i, e, 1.0) for i, e in rows], "vec_id long, embedding array<float>, score double")
