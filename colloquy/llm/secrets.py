@@ -134,6 +134,19 @@ def thresholds(candidates: DataFrame, rate: float = RATE) -> dict[int, int]:
     return {r["size"]: r["step"] for r in passed.groupBy("size").agg(F.min("step").alias("step")).collect()}
 
 
+def _apart(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of others, which are in order and apart: the last that starts before a span's end is looked up by halving."""
+
+    def among(held: Column) -> Column:
+        def before(end: Column) -> Column:
+            return F.aggregate(F.array(*[F.lit(1 << i) for i in range(30, -1, -1)]), F.lit(0), lambda n, step: F.when((step <= F.size(held) - n) & (F.try_element_at(held, n + step)["start"] < end), n + step).otherwise(n))
+
+        clear = lambda s: let(before(s["end"]), lambda n: (n == 0) | (F.get(held, n - 1)["end"] <= s["start"]))
+        return F.when(F.size(held) > 0, F.filter(spans, clear)).otherwise(spans)
+
+    return let(others, among)
+
+
 def _named(spans: Column, kind: int) -> Column:
     """Spans of one kind, in the order in which they sort."""
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("at"), s["end"].alias("end"), F.lit(KINDS[kind]).alias("kind")))
@@ -166,9 +179,10 @@ def scan(docs: DataFrame, rate: float = RATE, needs: tuple[str, ...] = NEEDS) ->
     else:
         limit = lambda c: F.lit(None).cast("int")
 
-    def kept(base_spans: Column) -> Column:
-        return F.filter(F.col("candidates"), lambda c: (limit(c).isNull() | (_step(c["p"]) < limit(c))) & ~F.exists(base_spans, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-
-    added = _named(kept(F.col("base")), 3)
+    random = F.filter("candidates", lambda c: limit(c).isNull() | (_step(c["p"]) < limit(c)))
+    of = lambda kind: F.filter("base", lambda b: b["kind"] == F.lit(kind))
+    for kind in KINDS[:3]:
+        random = _apart(random, of(kind))
+    added = _named(random, 3)
     spell = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     return held.select("doc_id", *[f"n_{k}" for k in KINDS[:3]], F.size(added).cast("long").alias("n_random"), spell(F.col("base")).alias("base_spans"), spell(F.sort_array(F.concat("base", added))).alias("spans"))

@@ -476,6 +476,21 @@ def test_running_sums(spark):
         assert got == [sum(xs[:i]) for i in range(n)]
 
 
+def test_spans_apart_from_many_others(spark):
+    r = np.random.default_rng(8)
+
+    def spans(n):
+        cuts = np.sort(r.choice(400, 2 * n, replace=False)).tolist()
+        return list(zip(cuts[::2], cuts[1::2], strict=True))
+
+    rows = [(i, spans(int(r.integers(0, 40))), spans(int(r.integers(0, 40)))) for i in range(200)]
+    span = "array<struct<start:bigint,end:bigint>>"
+    df = spark.createDataFrame(rows, f"i long, a {span}, b {span}")
+    got = {x.i: [tuple(s) for s in x.c] for x in df.select("i", secrets._apart(F.col("a"), F.col("b")).alias("c")).collect()}
+    assert got == {i: [s for s in a if not any(o[0] < s[1] and s[0] < o[1] for o in b)] for i, a, b in rows}
+    assert any(got.values())
+
+
 # 6 packing
 
 
