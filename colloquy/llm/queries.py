@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, chat, decontaminate, packing, pii, quality, secrets, simhash, toxicity, warc
+from . import ann, chat, decontaminate, kmv, packing, pii, quality, secrets, simhash, toxicity, warc
 from .common import read_table
 
 
@@ -70,6 +70,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op12_kmv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each day with a used click and each ordered pair of kinds."""
+    return kmv.window_algebra(read_table(spark, sf_dir, "clicks"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_decontaminate": op2_decontaminate,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
+    "op12_kmv": op12_kmv,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -108,4 +114,40 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN m.stored <> p.page_id THEN m.stored END AS refers_to
         FROM p LEFT JOIN m ON p.html = m.html
     """,
+    "op12_kmv": """
+        WITH u AS (SELECT DISTINCT client_id, kind, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS day,
+                          CAST('0x' || substr(md5(CAST(client_id AS VARCHAR)), 1, 16) AS UBIGINT) AS h
+                   FROM clicks WHERE client_id IS NOT NULL AND kind IS NOT NULL AND ts IS NOT NULL),
+        days AS (SELECT DISTINCT day FROM u),
+        kinds AS (SELECT DISTINCT kind FROM u),
+        ends AS (SELECT day AS d FROM days UNION SELECT day - 30 FROM days),
+        m AS (SELECT DISTINCT e.d, u.kind, u.client_id, u.h FROM ends e JOIN u ON u.day BETWEEN e.d - 27 AND e.d),
+        n AS (SELECT d, kind, count(*) AS n FROM m GROUP BY d, kind),
+        s AS (SELECT d, kind, h FROM m QUALIFY row_number() OVER (PARTITION BY d, kind ORDER BY h) <= 2048),
+        p AS (SELECT day, a.kind AS kind_a, b.kind AS kind_b FROM days, kinds a, kinds b),
+        both_ AS (SELECT p.day, kind_a, kind_b, count(*) AS n FROM p JOIN m a ON a.d = p.day AND a.kind = kind_a
+                  JOIN m b ON b.d = p.day - 30 AND b.kind = kind_b AND b.client_id = a.client_id GROUP BY p.day, kind_a, kind_b),
+        e AS (SELECT p.*, coalesce(na.n, 0) AS a, coalesce(nb.n, 0) AS b, coalesce(both_.n, 0) AS ab FROM p
+              LEFT JOIN n na ON na.d = p.day AND na.kind = kind_a LEFT JOIN n nb ON nb.d = p.day - 30 AND nb.kind = kind_b
+              LEFT JOIN both_ USING (day, kind_a, kind_b)),
+        sides AS (SELECT p.day, kind_a, kind_b, h, 0 AS side FROM p JOIN s ON s.d = p.day AND s.kind = kind_a
+                  UNION ALL SELECT p.day, kind_a, kind_b, h, 1 FROM p JOIN s ON s.d = p.day - 30 AND s.kind = kind_b),
+        sample AS (SELECT day, kind_a, kind_b, h, min(side) = 0 AS in_a, max(side) = 1 AS in_b FROM sides GROUP BY day, kind_a, kind_b, h
+                   QUALIFY row_number() OVER (PARTITION BY day, kind_a, kind_b ORDER BY h) <= 2048),
+        c AS (SELECT day, kind_a, kind_b, count(*) AS k, max(h) AS top, CAST(count(*) FILTER (WHERE in_a AND in_b) AS DOUBLE) AS ab,
+                     CAST(count(*) FILTER (WHERE in_a AND NOT in_b) AS DOUBLE) AS a FROM sample GROUP BY day, kind_a, kind_b),
+        t AS (SELECT *, 2047 / ((CAST(top AS DOUBLE) + 1) / power(2, 64)) AS n FROM c),
+        x AS (SELECT *, greatest(0.0, 1 - 2048 / n) AS rest, 3 * n * sqrt(greatest(0.0, 1 - 2048 / n) / 2046) AS err,
+                     9 * greatest(0.0, 1 - 2048 / n) / 2048 AS z, ab / 2048 AS pb, a / 2048 AS pa FROM t),
+        y AS (SELECT *, n * greatest((pb + z / 2) / (1 + z) + sqrt(z * pb * (1 - pb) + z * z / 4) / (1 + z) - pb, pb - (pb + z / 2) / (1 + z) + sqrt(z * pb * (1 - pb) + z * z / 4) / (1 + z)) AS eb,
+                     n * greatest((pa + z / 2) / (1 + z) + sqrt(z * pa * (1 - pa) + z * z / 4) / (1 + z) - pa, pa - (pa + z / 2) / (1 + z) + sqrt(z * pa * (1 - pa) + z * z / 4) / (1 + z)) AS ea FROM x)
+        SELECT CAST(e.day AS BIGINT) AS day, e.kind_a, e.kind_b, CAST(e.a + e.b - e.ab AS BIGINT) AS n_union, CAST(e.ab AS BIGINT) AS n_both, CAST(e.a - e.ab AS BIGINT) AS n_only_a,
+               CASE WHEN k = 2048 THEN y.n ELSE CAST(coalesce(k, 0) AS DOUBLE) END AS est_union,
+               CASE WHEN k = 2048 THEN pb * y.n ELSE coalesce(y.ab, 0.0) END AS est_both,
+               CASE WHEN k = 2048 THEN pa * y.n ELSE coalesce(y.a, 0.0) END AS est_only_a,
+               CASE WHEN k = 2048 THEN err + 1 ELSE 0.0 END AS err_union,
+               CASE WHEN k = 2048 THEN sqrt(eb * eb + (pb * err) * (pb * err)) + 1 ELSE 0.0 END AS err_both,
+               CASE WHEN k = 2048 THEN sqrt(ea * ea + (pa * err) * (pa * err)) + 1 ELSE 0.0 END AS err_only_a
+        FROM e LEFT JOIN y USING (day, kind_a, kind_b)
+    """,
 }
