@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, chat, decontaminate, kmv, packing, pii, quality, secrets, simhash, toxicity, warc
+from . import ann, chat, collocations, decontaminate, kmv, packing, pii, quality, secrets, simhash, toxicity, warc
 from .common import read_table
 
 
@@ -75,6 +75,11 @@ def op12_kmv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmv.window_algebra(read_table(spark, sf_dir, "clicks"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first phrases of each language, counted over all texts."""
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_decontaminate": op2_decontaminate,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
     "op12_kmv": op12_kmv,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -150,4 +156,20 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN k = 2048 THEN sqrt(ea * ea + (pa * err) * (pa * err)) + 1 ELSE 0.0 END AS err_only_a
         FROM e LEFT JOIN y USING (day, kind_a, kind_b)
     """,
+    "op13_collocations": r"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        grams AS (SELECT lang, len, list_slice(w, i, i + len - 1) AS g FROM (SELECT lang, w, len, unnest(range(1, length(w) - len + 2)) AS i FROM lists, (SELECT unnest([1, 2, 3, 4]) AS len))),
+        n AS (SELECT lang, CAST(sum(length(w)) AS BIGINT) AS n FROM lists GROUP BY lang),
+        f AS (SELECT lang, len, g, count(*) AS f FROM grams GROUP BY lang, len, g HAVING count(*) >= 30),
+        cuts AS (SELECT lang, len, g, f AS a, unnest(range(1, len)) AS k FROM f WHERE len >= 2),
+        scored AS (SELECT c.*, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * c.a // (x.f + y.f) AS BIGINT) AS score FROM cuts c
+                   JOIN f x ON x.lang = c.lang AND x.g = list_slice(c.g, 1, k) JOIN f y ON y.lang = c.lang AND y.g = list_slice(c.g, k + 1, c.len)),
+        low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+        parts AS (SELECT lang, list_slice(g, i, i + m - 1) AS g, f FROM (SELECT lang, g, f, m, unnest(range(1, len - m + 2)) AS i FROM f, (SELECT unnest([2, 3]) AS m) WHERE len > m)),
+        longest AS (SELECT lang, g, max(f) AS f FROM parts GROUP BY lang, g),
+        kept AS (SELECT low.*, array_to_string(low.g, ' ') AS phrase FROM low LEFT JOIN longest USING (lang, g) WHERE longest.f IS NULL OR 100::HUGEINT * longest.f < 80::HUGEINT * low.a)
+        SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM kept k JOIN n USING (lang) QUALIFY rank <= 2000
+    """,
 }
