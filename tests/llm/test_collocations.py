@@ -24,9 +24,10 @@ def split(text):
 def plain(rows, top):
     f, n = Counter(), Counter()
     for text, lang in rows:
+        lang = "und" if lang is None else lang
         for w in split(text):
-            n[lang or "und"] += len(w)
-            f.update((lang or "und", tuple(w[i : i + k])) for k in range(1, 5) for i in range(len(w) - k + 1))
+            n[lang] += len(w)
+            f.update((lang, tuple(w[i : i + k])) for k in range(1, 5) for i in range(len(w) - k + 1))
     f = {k: v for k, v in f.items() if v >= 30}
     out = {}
     for (lang, g), a in f.items():
