@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, chat, collocations, decontaminate, kmv, packing, pii, quality, secrets, simhash, toxicity, warc
+from . import ann, chat, collocations, decontaminate, kmv, minhash, packing, pii, quality, secrets, simhash, toxicity, warc
 from .common import read_table
 
 
@@ -70,6 +70,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; null, empty and blank texts are linked with nothing."""
+    return minhash.components(read_table(spark, sf_dir, "documents"))
+
+
 def op12_kmv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each day with a used click and each ordered pair of kinds."""
     return kmv.window_algebra(read_table(spark, sf_dir, "clicks"))
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
+    "op11_minhash": op11_minhash,
     "op12_kmv": op12_kmv,
     "op13_collocations": op13_collocations,
 }
@@ -120,6 +126,19 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN m.stored <> p.page_id THEN m.stored END AS refers_to
         FROM p LEFT JOIN m ON p.html = m.html
     """,
+    "op11_minhash": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS g
+              FROM (SELECT doc_id, w, unnest(range(1, greatest(length(w) - 2, 1) + 1)) AS i FROM d WHERE length(w) > 0))),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+        links AS (SELECT p.a, p.b FROM pairs p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * both_ >= 85 * (x.n + y.n - both_)),
+        reach AS (SELECT a AS doc_id, b AS other FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+        least AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CAST(least(d.doc_id, coalesce(least.other, d.doc_id)) AS BIGINT) AS component_id,
+               d.doc_id <= coalesce(least.other, d.doc_id) AS kept
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
+    """,
     "op12_kmv": """
         WITH u AS (SELECT DISTINCT client_id, kind, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS day,
                           CAST('0x' || substr(md5(CAST(client_id AS VARCHAR)), 1, 16) AS UBIGINT) AS h
