@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import text as tx
 from ..operators import assembly, evidence, metrics, retrieval as rt, windows
+from ..sources import postings, store
 from ..sources.tables import work_list
 from . import surrogates as sg
 from .surrogates import CARDS, S, T, table, windows_sql
@@ -173,6 +174,19 @@ def _asked(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+_OPEN: dict[tuple, postings.Snapshot] = {}
+
+
+def _index(spark, d) -> postings.Snapshot:
+    """The index of the documents: written when a query first asks, and again when the table's files change."""
+    key = (spark.sparkContext.applicationId, store.listing(spark, f"{d}/documents.parquet"))
+    if key not in _OPEN:
+        index = postings.LexicalIndex(spark, store.scratch(spark))
+        index.write("documents", _docs(spark, d))
+        _OPEN[key] = index.open("documents")
+    return _OPEN[key]
+
+
 BM = f"""p AS (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest({tok("text")}) AS term FROM documents) GROUP BY id, term),
 len AS (SELECT id, sum(tf) AS length FROM p GROUP BY id), sz AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(length) FROM len) / (SELECT count(*) FROM documents) AS mean),
 df AS (SELECT term, count(*) AS df FROM p GROUP BY term), qt AS (SELECT DISTINCT item_id AS query_id, unnest({tok("text")}) AS term FROM benchmark),
@@ -181,14 +195,14 @@ b AS (SELECT query_id, p.id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5
 
 @query("a11_document_frequency", f"WITH {BM} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 9) AS idf FROM df, sz")
 def a11(spark, d):
-    docs = _docs(spark, d)
-    df = rt.postings(docs).groupBy("term").agg(F.count("*").alias("df"))
-    rows = df.crossJoin(F.broadcast(rt.collection_statistics(docs)))  # one row
-    return rows.select("term", "df", F.round(F.log1p((F.col("documents") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 9).alias("idf"))
+    index = _index(spark, d)
+    return index.frequencies().select("term", "df", F.round(F.log1p((index.documents - F.col("df") + 0.5) / (F.col("df") + 0.5)), 9).alias("idf"))
 
 
-def _bm25(spark, d):
-    return rt.bm25(_docs(spark, d), _asked(spark, d)).withColumn("bm25", F.round("bm25", 6))
+def _bm25(spark, d, ids=None):
+    asked = _asked(spark, d)
+    asked = asked if ids is None else asked.join(ids.select("query_id"), "query_id", "left_semi")
+    return _index(spark, d).scores(asked).withColumn("bm25", F.round("bm25", 6))
 
 
 @query("r1_bm25", f"WITH {BM} SELECT query_id, count(*) AS documents, round(sum(round(bm25, 6)), 3) AS total, round(max(bm25), 6) AS best FROM b GROUP BY query_id")
@@ -201,6 +215,11 @@ def k2(spark, d):
     return rt.top(_bm25(spark, d), [F.desc("bm25"), F.asc("id")], 20)
 
 
+@query("k2_bm25_essential", SQL["k2_bm25_top"])
+def k2_essential(spark, d):
+    return _index(spark, d).top(_asked(spark, d), 20)
+
+
 HASH = r"""f AS (SELECT session_id * 100 + turn_id AS id, f, count(*) AS n FROM (SELECT session_id, turn_id, unnest(list_concat(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), list_transform(range(1, length(text)), lambda i: substr(lower(text), i, 2)))) AS f FROM t) GROUP BY 1, 2),
 v0 AS (SELECT id, CAST(('0x' || substr(md5(f), 31, 2)) AS INTEGER) % 128 AS i, CAST(sum(n * CASE WHEN CAST(('0x' || substr(md5(f), 29, 2)) AS INTEGER) % 2 = 0 THEN 1 ELSE -1 END) AS DOUBLE) AS v FROM f GROUP BY 1, 2)"""
 
@@ -252,7 +271,7 @@ h AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hybrid DE
 
 def _hybrid(spark, d):
     dense = rt.vector_scores(_vectors(spark, d), _vector_queries(spark, d)).select("query_id", "id", F.round("dense", 6).alias("dense"))
-    lexical = _bm25(spark, d).join(_vector_queries(spark, d).select("query_id"), "query_id", "left_semi")
+    lexical = _bm25(spark, d, _vector_queries(spark, d))
     return rt.hybrid(dense, lexical, 20, queries=_vector_queries(spark, d).count())
 
 
@@ -271,7 +290,7 @@ UNION ALL SELECT query_id, 'vector', id, rank FROM (SELECT query_id, id, row_num
 
 def _lanes(spark, d):
     ids = _vector_queries(spark, d).select("query_id")
-    lexical = rt.top(_bm25(spark, d).join(ids, "query_id", "left_semi"), [F.desc("bm25"), F.asc("id")], 15).select("query_id", F.lit("lexical").alias("lane"), "id", "rank")
+    lexical = rt.top(_bm25(spark, d, ids), [F.desc("bm25"), F.asc("id")], 15).select("query_id", F.lit("lexical").alias("lane"), "id", "rank")
     dense = rt.vector_scores(_vectors(spark, d), _vector_queries(spark, d)).select("query_id", "id", F.round("dense", 6).alias("dense"))
     return lexical.unionByName(rt.top(dense, [F.desc("dense"), F.asc("id")], 15).select("query_id", F.lit("vector").alias("lane"), "id", "rank"))
 

@@ -48,6 +48,12 @@ def read_raw(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
+def listing(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files: what changes when the table is written again."""
+    fs, at = _fs(spark, path)
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at)))
+
+
 def scratch(spark: SparkSession) -> str:
     """A fresh folder in the shared one that spark.checkpoint.dir names; in local mode, where that is unset, a temporary one. It goes at the driver's exit."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
