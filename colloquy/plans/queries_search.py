@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import text as tx
-from ..operators import assembly, evidence, metrics, retrieval as rt, windows
+from ..operators import assembly, evidence, metrics, retrieval as rt, vectors as vq, windows
 from ..sources import postings, store
 from ..sources.tables import work_list
 from . import surrogates as sg
@@ -259,6 +259,15 @@ def r13(spark, d):
     return rt.top(s, [F.asc("distance"), F.asc("id")], 10)
 
 
+@query("r21_quantised_nearest")
+def r21(spark, d):
+    """The ten nearest found of every twentieth vector, among all: approximate, so tests hold it against r13's exact distances."""
+    rows = _vectors(spark, d)
+    dim = rows.select(F.size("embedding").alias("n")).where("n > 0").groupBy("n").count().orderBy(F.desc("count"), "n").first()
+    index = vq.build(rows, dim.n if dim else vq.PARTS)
+    return index.search(rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector")), 10)
+
+
 HYB = f"""{BM}, {VEC}, bb AS (SELECT query_id, id, round(bm25, 6) AS bm25 FROM b WHERE query_id IN (SELECT query_id FROM q)), yy AS (SELECT query_id, id, round(dense, 6) AS dense FROM y),
 dp AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, id) AS k FROM yy) WHERE k <= 100),
 bp AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, id) AS k FROM bb WHERE bm25 > 0) WHERE k <= 100),
