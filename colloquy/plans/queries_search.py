@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import text as tx
 from ..operators import assembly, evidence, metrics, retrieval as rt, vectors as vq, windows
-from ..sources import postings, store
+from ..sources import postings, runs, store
 from ..sources.tables import work_list
 from . import surrogates as sg
 from .surrogates import CARDS, S, T, table, windows_sql
@@ -651,6 +651,34 @@ def i1(spark, d):
 
 
 
+@query("i2_resumed_batches", """SELECT CAST(doc_id % 6 AS BIGINT) AS batch, count(*) AS documents, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS signs,
+CASE WHEN doc_id % 6 IN (1, 4) THEN 2 ELSE 1 END AS attempts, CAST(1 AS BIGINT) AS commits FROM documents GROUP BY doc_id % 6""")
+def i2_resumed(spark, d):
+    """Six batches of the documents; one fails and one dies between write and commit in the first run, the second does these two alone."""
+    rows = table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 6).cast("long").alias("batch"))
+    measure = lambda own: own.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("signs"))
+    first = runs.BatchRun(spark, store.scratch(spark), "lengths-v1")
+
+    def unlucky(own):
+        if own.where("doc_id % 6 = 1").limit(1).count():
+            raise OSError("the source is away")
+        return measure(own)
+
+    class Dying(runs.BatchRun):
+        def _enter(self, **entry):
+            if entry["batch"] == 4 and entry["status"] == "SUCCESS":
+                raise SystemExit("killed between write and commit")
+            super()._enter(**entry)
+
+    try:
+        Dying(spark, first.path, first.contract).run(rows, unlucky)
+    except SystemExit:
+        pass
+    first.run(rows, measure)
+    log = first.log().groupBy("batch").agg(F.max("attempt").alias("attempts"), F.count(F.when(F.col("status") == "SUCCESS", 1)).alias("commits"))
+    return first.results(rows, "doc_id long, signs long").groupBy("batch").agg(F.count("*").alias("documents"), F.sum("signs").alias("signs")).join(log, "batch")
+
+
 @query("r8_window_rescoring", f"""WITH x AS (SELECT page_id AS id, html AS content, url AS anchor, {_NUM.format("html")} AS c, {_NUM.format("url")} AS a FROM pages),
 z AS (SELECT id, 1.0 / (1 + id) + 0.35 * CASE WHEN len(a) > 0 THEN least(1.0, len(list_intersect(a, c)) / len(a) + 0.1) ELSE 0.0 END AS score FROM x)
 SELECT id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY round(score, 6) DESC, id) AS INTEGER) AS rank FROM z ORDER BY round(score, 6) DESC, id LIMIT 20""")
