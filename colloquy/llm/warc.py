@@ -12,7 +12,7 @@ import base64
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -26,6 +26,9 @@ REVISIT_BYTES = 1000
 #: Records in a file: with the segment size, the bound of a file.
 FILE_RECORDS = 1000
 _END = "\r\n\r\n"
+_HEX, _OWN = re.compile(rb"[0-9A-Fa-f]{1,16}"), re.compile(r"<urn:page:(-?[0-9]{1,19})>")
+#: Bytes that a part of a decompressed file, a record's header and the blocks of a batch have at most.
+PART_BYTES, HEAD_BYTES, BATCH_BYTES = 65_536, 1 << 20, 8 << 20
 _UNSAFE = re.compile(r"[\x00-\x20\x7f-￿]")
 
 
@@ -42,7 +45,10 @@ def dechunked(framed: bytes) -> bytes:
         end = framed.find(b"\r\n", at)
         if end < 0:
             raise ValueError("chunk size without end")
-        size = int(framed[at:end].split(b";")[0], 16)
+        digits = framed[at:end].split(b";")[0].strip()
+        if not _HEX.fullmatch(digits):
+            raise ValueError("chunk size that is no number")
+        size = int(digits, 16)
         if not size:
             return b"".join(out)
         at = end + 2 + size
@@ -75,48 +81,91 @@ def records(page_id: int | None, url: str | None, html: str | None, refers_to: i
         yield ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode() + part
 
 
-def members(raw: bytes) -> tuple[bytes, str | None]:
-    """What an archive's file holds: all gzip members one after the other, or the bytes as they are; and what is wrong with it."""
+def members(raw: bytes) -> Iterator[bytes | str]:
+    """What an archive's file holds, part by part: all gzip members one after the other, or the bytes as they are; as text, what is wrong with it."""
+    view = memoryview(raw)
     if not raw.startswith(b"\x1f\x8b"):
-        return raw, None
-    out, at, view = [], 0, memoryview(raw)
+        yield from (bytes(view[at : at + PART_BYTES]) for at in range(0, len(raw), PART_BYTES))
+        return
+    at = 0
     while at < len(raw):
         one = zlib.decompressobj(31)
         while at < len(raw) and not one.eof:
-            part = view[at : at + 65_536]
+            part = view[at : at + PART_BYTES]
             try:
-                out.append(one.decompress(part))
+                got = one.decompress(part, 16 * PART_BYTES)
+                at += len(part) - len(one.unused_data) - len(one.unconsumed_tail)
+                if got:
+                    yield got
             except zlib.error as e:
-                return b"".join(out), f"broken gzip member: {e}"
-            at += len(part) - len(one.unused_data)
+                yield f"broken gzip member: {e}"
+                return
         if not one.eof:
-            return b"".join(out), "gzip member without end"
+            yield "gzip member without end"
+            return
         while at < len(raw) and raw[at] == 0:  # padding
             at += 1
-    return b"".join(out), None
 
 
-def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (lower-case names) and block of each record of an archive; no fields for bytes that are no record."""
-    at, size = 0, len(raw)
-    while at < size:
-        if raw.startswith(_END.encode(), at):
-            at += 4
+def parse(parts: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields (lower-case names) and block of each record of an archive; no fields for bytes that are no record, and their number as text.
+
+    One record is held at a time, and what follows it in its last part.
+    """
+    coming, held = iter(parts), bytearray()
+
+    def more() -> bool:
+        part = next(coming, None)
+        held.extend(part or b"")
+        return part is not None
+
+    def until(mark: bytes, start: int, most: int) -> int:
+        """Where the mark is, with what must be read for it; -1 if it isn't within so many bytes."""
+        while (at := held.find(mark, start)) < 0 and len(held) < most and more():
+            start = max(start, len(held) - len(mark) - PART_BYTES * 16)
+        return at
+
+    while True:
+        while len(held) < 5 and more():
+            pass
+        if not held:
+            return
+        if held.startswith(_END.encode()):
+            del held[:4]
             continue
-        end = raw.find(b"\r\n\r\n", at) if raw.startswith(b"WARC/", at) else -1
-        lines = raw[at:end].decode("utf-8", "replace").split("\r\n")[1:] if end >= 0 else []
+        end = until(b"\r\n\r\n", 0, HEAD_BYTES) if held.startswith(b"WARC/") else -1
+        lines = held[:end].decode("utf-8", "replace").split("\r\n")[1:] if end >= 0 else []
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        length = fields.get("content-length", "")
-        after = end + 4 + int(length) if length.isascii() and length.isdigit() else size + 1
-        if after <= size and "warc-type" in fields:
-            yield fields, raw[end + 4 : after]
-            at = after
-            continue
+        length = _number(fields.get("content-length"))
+        if length is not None and length >= 0 and "warc-type" in fields:
+            while len(held) < end + 4 + length and more():
+                pass
+            if len(held) >= end + 4 + length:
+                yield fields, bytes(held[end + 4 : end + 4 + length])
+                del held[: end + 4 + length]
+                continue
         # what isn't a record goes on to where the next one seems to begin
-        following = raw.find(b"\r\n\r\nWARC/", at + 1)
-        following = size if following < 0 else following + 4
-        yield {}, raw[at:following]
-        at = following
+        gone, mark = 0, b"\r\n\r\nWARC/"
+        while (at := held.find(mark, 0 if gone else 1)) < 0:
+            drop = max(0, len(held) - len(mark))
+            if drop and gone == 0:
+                drop -= 1
+            gone += drop
+            del held[:drop]
+            if not more():
+                gone, at = gone + len(held), None
+                held.clear()
+                break
+        if at is not None:
+            gone += at + 4
+            del held[: at + 4]
+        yield {}, str(gone).encode()
+
+
+def _number(text: str | None) -> int | None:
+    """A whole number of 64 bits in plain digits; null for anything else."""
+    plain = re.fullmatch("-?[0-9]{1,19}", text or "")
+    return value if plain and -(2**63) <= (value := int(plain[0])) < 2**63 else None
 
 
 def write(pages: DataFrame, path: str) -> None:
@@ -156,46 +205,64 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """page_id, record_type, refers_to, payload_bytes, payload_digest, error for each page in archives at path.
 
     payload_* are of the payload as reassembled; null in a revisit, whose record has the digest it names.
-    error tells what failed: a missing segment, a wrong total, broken framing, a wrong digest, bytes that are no
-    record or a broken gzip member; else null. Files are plain or of any number of gzip members, each file as large
-    as a task can hold. Records of other kinds than pages (requests, metadata) are left out.
+    error tells what failed: a missing segment, a wrong total, broken framing, a wrong digest, a number that is none,
+    bytes that are no record or a broken gzip member; else null. Nothing in a file makes reading stop or fail. refers_to
+    is the page of the record that a revisit names, null if that isn't in these archives. Files are plain or of any number of
+    gzip members; a file's own bytes are held, and of what is in it one record and a batch of bounded bytes. Records of other
+    kinds than pages (requests, metadata) are left out.
     """
     small_batches(spark, 1)  # a row is a file
-    arrow = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("digest", pa.string()), ("origin", pa.string()), ("segment", pa.int64()), ("total", pa.int64()), ("block", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("error", pa.string())])
+    arrow = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("refers", pa.string()), ("record_id", pa.string()), ("digest", pa.string()), ("origin", pa.string()), ("segment", pa.int64()), ("total", pa.int64()), ("block", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("error", pa.string())])
+    failed = lambda why: (*[None] * 12, why)
+
+    def row(f: dict[str, str], block: bytes) -> tuple | None:
+        kind = f["warc-type"]
+        if kind not in ("response", "revisit", "resource", "continuation"):
+            return None
+        numbers = {name: _number(f[name]) for name in ("x-page-id", "warc-segment-number", "warc-segment-total-length") if f.get(name)}
+        bad = next((name for name, value in numbers.items() if value is None), None)
+        if bad:
+            return failed(f"{bad} that is no number of 64 bits")
+        kind, digest, refers = None if kind == "continuation" else kind, _hex(f.get("warc-payload-digest")), f.get("warc-refers-to")
+        own = _number(m[1]) if (m := _OWN.fullmatch(refers or "")) else None
+        page, segment, total = (numbers.get(n) for n in ("x-page-id", "warc-segment-number", "warc-segment-total-length"))
+        # a whole record is decoded here; a segment's block moves on
+        found = (None, None, None) if segment is not None else _payload(block, kind, digest)
+        origin = f.get("warc-segment-origin-id") or f.get("warc-record-id")
+        return (page, kind, own, refers if own is None else None, f.get("warc-record-id") if kind else None, digest, origin, segment, total, block if segment is not None else None, *found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * len(arrow), arrow.types, strict=True)], schema=arrow)
+
         for b in batches:
             for raw in b.column(0).to_pylist():
-                out = []
-                archive, wrong = members(raw)
-                if wrong:
-                    out.append((*[None] * 10, wrong))
-                for f, block in parse(archive):
-                    if not f:
-                        out.append((*[None] * 10, f"{len(block)} bytes that are no record"))
-                        continue
-                    page, refers, kind = f.get("x-page-id"), re.search(r"-?\d+", f.get("warc-refers-to", "")), f["warc-type"]
-                    if kind not in ("response", "revisit", "resource", "continuation"):
-                        continue
-                    kind = None if kind == "continuation" else kind
-                    digest = _hex(f.get("warc-payload-digest"))
-                    segment, total = f.get("warc-segment-number"), f.get("warc-segment-total-length")
-                    # a whole record is decoded here; a segment's block moves on
-                    found = (None, None, None) if segment else _payload(block, kind, digest)
-                    out.append((int(page) if page else None, kind, int(refers[0]) if refers else None, digest, f.get("warc-segment-origin-id") or f.get("warc-record-id"), int(segment) if segment else None, int(total) if total else None, block if segment else None, *found))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * len(arrow), arrow.types, strict=True)], schema=arrow)
+                out, size, wrong = [], 0, []
+                parts = (p for p in members(raw) if isinstance(p, bytes) or wrong.append(p))
+                for f, block in parse(parts):
+                    got = row(f, block) if f else failed(f"{block.decode()} bytes that are no record")
+                    if got:
+                        out.append(got)
+                        size += len(block) if got[9] is not None else 0
+                    if size > BATCH_BYTES or len(out) > 10_000:
+                        yield batch(out)
+                        out, size = [], 0
+                yield batch([*out, *map(failed, wrong)])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").load(path).select("content")
     names = ["page_id", "record_type", "refers_to", "digest", "payload_bytes", "payload_digest", "error"]
-    read_once = materialize(files.mapInArrow(run, "page_id long, record_type string, refers_to long, digest string, origin string, segment long, total long, block binary, payload_bytes long, payload_digest string, error string"), "records")
+    read_once = materialize(files.mapInArrow(run, "page_id long, record_type string, refers_to long, refers string, record_id string, digest string, origin string, segment long, total long, block binary, payload_bytes long, payload_digest string, error string"), "records")
     small_batches(spark)
     # only segmented pages are shuffled with their blocks
     segments = read_once.where("segment is not null").groupBy("origin").agg(
-        F.max("page_id").alias("page_id"), F.max("record_type").alias("record_type"), F.max("refers_to").alias("refers_to"), F.max("digest").alias("digest"),
-        F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"),
+        *(F.max(c).alias(c) for c in ("page_id", "record_type", "refers_to", "refers", "digest", "total")), F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"),
     )
-    joined = segments.mapInArrow(_decode_parts, "page_id long, record_type string, refers_to long, digest string, payload_bytes long, payload_digest string, error string")
-    return read_once.where("segment is null").select(names).unionByName(joined.select(names))
+    joined = segments.mapInArrow(_decode_parts, "page_id long, record_type string, refers_to long, refers string, digest string, payload_bytes long, payload_digest string, error string")
+    told = read_once.where("segment is null").select(*names, "refers").unionByName(joined.select(*names, "refers"))
+    # another writer's revisit names a record: its page is looked up; one that isn't in these archives stays null
+    pages = read_once.where("record_id is not null and page_id is not null").groupBy(F.col("record_id").alias("refers")).agg(F.max("page_id").alias("named"))
+    other = told.where("refers is not null").join(pages, "refers", "left").withColumn("refers_to", F.col("named")).select(names)
+    return told.where("refers is null").select(names).unionByName(other)
 
 
 def _hex(digest: str | None) -> str | None:
@@ -238,7 +305,7 @@ def _decode_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             else:
                 got.append(_payload(block, kind, digest))
         cols = list(zip(*got, strict=True)) or [()] * 3
-        keep = ["page_id", "record_type", "refers_to", "digest"]
+        keep = ["page_id", "record_type", "refers_to", "refers", "digest"]
         yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *(pa.array(c, k) for c, k in zip(cols, _DECODED, strict=True))], [*keep, "payload_bytes", "payload_digest", "error"])
 
 

@@ -853,7 +853,7 @@ def test_framing():
 def test_broken_segments_are_told(spark):
     parts = list(warc.records(1, "u", "y" * 100_000, None, "0-0"))
     assert len(parts) == 4
-    fields = [next(iter(warc.parse(p + b"\r\n\r\n")))[0] for p in parts]
+    fields = [next(iter(warc.parse([p + b"\r\n\r\n"])))[0] for p in parts]
     assert [f["warc-type"] for f in fields] == ["response", *["continuation"] * 3] and "warc-segment-total-length" in fields[-1]
     import gzip
     import os
@@ -893,7 +893,7 @@ def test_archives_of_other_writers(spark, tmp_path):
     errors = sorted(e for _, _, e in got if e)
     assert len(errors) >= 2 and any("are no record" in e for e in errors) and any("gzip" in e for e in errors)
     many = b"".join(gzip.compress(record("response", page(i), X_Page_Id=i)) for i in range(2000))
-    assert sum(1 for f, _ in warc.parse(warc.members(many)[0]) if f) == 2000
+    assert sum(1 for f, _ in warc.parse(warc.members(many)) if f) == 2000
 
 
 # pipeline
