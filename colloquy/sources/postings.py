@@ -18,16 +18,19 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import scoring as sc, text as tx
 from ..operators.retrieval import SMALL, top
 from .digests import row_digest, summed
-from .store import _fs, scratch
+from .store import _fs, scratch, small_batches
 
-SPAN, SEGMENTS, BUCKETS = 256, 4096, 32
+SPAN, SEGMENTS, BUCKETS = 4096, 256, 32
 #: Scores that differ by less are ordered by id: segments so near the k-th score are read too.
 TIE = 1e-6
 
@@ -142,6 +145,15 @@ def _kept(rows: DataFrame, schema: str) -> DataFrame:
     return rows.sparkSession.read.schema(schema).parquet(path)
 
 
+def _down(number: str, by: int) -> Column:
+    """Whole division that rounds down, below zero too."""
+    return F.expr(f"{number} div {by} - int({number} < 0 and {number} % {by} <> 0)")
+
+
+def _part(span: int, segments: int) -> Column:
+    return _down("id", span * segments)
+
+
 def _checked(k1: float, b: float) -> None:
     if k1 <= 0 or not 0 <= b <= 1:
         raise ValueError("k1 must be positive and b within 0 and 1")
@@ -166,10 +178,10 @@ class LexicalIndex:
         """Write a version of documents (id, document) and return the parts that were written.
 
         Parts whose documents are those of the version before (whatever its name) are taken from it. Rows without an id
-        take no part; rows that share an id and text count as one document with the words of all; other columns aren't read.
+        take no part; rows that share an id are documents whose scores add up; other columns aren't read.
         """
         docs = documents.select(F.col("id").cast("long").alias("id"), F.coalesce(F.col("document").cast("string"), F.lit("")).alias("document")).where("id is not null")
-        docs = docs.withColumn("segment", F.expr(f"id div {span} - int(id < 0 and id % {span} <> 0)")).withColumn("part", F.expr(f"segment div {segments} - int(segment < 0 and segment % {segments} <> 0)"))
+        docs = docs.withColumn("part", _part(span, segments))
         now = {r.part: r for r in summed(docs.select("part", row_digest(F.col("id"), F.col("document")).alias("digest")), "part").collect()}  # a row for each part
         before = {r.part: r for r in self._manifest() if (r.span, r.segments, r.buckets) == (span, segments, buckets)}
         changed = sorted(p for p, r in now.items() if p not in before or before[p].digest != r.digest)
@@ -178,7 +190,8 @@ class LexicalIndex:
         lengths: dict[int, int] = {}
         if changed:
             own = docs if len(changed) == len(now) else docs.join(F.broadcast(self.spark.createDataFrame([(p,) for p in changed], "part long")), "part", "left_semi")
-            self._blocks(own, span, buckets).write.partitionBy("part", "bucket").parquet(folder)
+            with small_batches(self.spark):
+                self._blocks(own, span, segments, buckets).write.partitionBy("part", "bucket").parquet(folder)
             sizes = self.spark.read.schema(BLOCK).parquet(folder).groupBy("part").agg(F.sum(F.aggregate("tf", F.lit(0).cast("long"), lambda a, x: a + x)).alias("length"))
             lengths = {r.part: r.length for r in sizes.collect()}
         rows = [(version, build, p, folder, r.n, lengths.get(p, 0), r.digest, span, segments, buckets) if p in set(changed) else (version, build, p, before[p].folder, r.n, before[p].length, r.digest, span, segments, buckets) for p, r in now.items()]
@@ -186,20 +199,32 @@ class LexicalIndex:
         self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
         return changed
 
-    def _blocks(self, docs: DataFrame, span: int, buckets: int) -> DataFrame:
-        words = docs.select("part", "segment", "id", tx.tokens(F.col("document")).alias("t")).select("part", "segment", "id", F.size("t").alias("length"), F.explode("t").alias("term"))
-        p = words.groupBy("part", "segment", "term", "id", "length").agg(F.count("*").cast("int").alias("tf"))
+    def _blocks(self, docs: DataFrame, span: int, segments: int, buckets: int) -> DataFrame:
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids, lengths, terms, tfs = [], [], [], []
+                for i, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    own = Counter(words)
+                    ids += [i] * len(own)
+                    lengths += [len(words)] * len(own)
+                    terms += own.keys()
+                    tfs += own.values()
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.string()), pa.array(tfs, pa.int32()), pa.array(lengths, pa.int32())], ["id", "term", "tf", "length"])
+
+        # a document's words are counted where it is read, so postings move once, to the part and bucket they are written in
+        words = docs.select("id", tx.tokens(F.col("document")).alias("t")).mapInArrow(counted, "id long, term string, tf int, length int")
+        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+        p = words.withColumns({"part": _part(span, segments), "bucket": bucket}).repartition("part", "bucket").withColumn("segment", _down("id", span))
         place = (F.col("id") - F.col("segment") * span).cast("int")
         # a segment's ids bound a block
-        b = p.groupBy("part", "segment", "term").agg(F.sort_array(F.collect_list(F.struct(place.alias("at"), "tf", "length"))).alias("p"))
+        b = p.groupBy("part", "bucket", "segment", "term").agg(F.sort_array(F.collect_list(F.struct(place.alias("at"), "tf", "length"))).alias("p"))
         best = F.array_sort(F.transform("p", lambda x: F.struct((-x["tf"]).alias("less"), x["length"].alias("length"))))
         step = lambda acc, x: F.when((F.size(acc) == 0) | (F.element_at(acc, -1)["length"] > x["length"]), F.concat(acc, F.array(F.struct((-x["less"]).alias("tf"), x["length"].alias("length"))))).otherwise(acc)
         front = F.aggregate(best, F.array().cast("array<struct<tf:int,length:int>>"), step)
         alone = F.array(F.struct(F.col("p.tf")[0].alias("tf"), F.col("p.length")[0].alias("length")))
         front = F.when(F.size("p") == 1, alone).otherwise(front)
-        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
-        rows = b.select("part", bucket, "segment", "term", "p.at", "p.tf", "p.length", front.alias("frontier"))
-        return rows.repartition("part", "bucket").sortWithinPartitions("part", "bucket", "term", "segment")
+        rows = b.select("part", "bucket", "segment", "term", "p.at", "p.tf", "p.length", front.alias("frontier"))
+        return rows.sortWithinPartitions("part", "bucket", "term", "segment")
 
     def open(self, version: str) -> Snapshot:
         """A version as it was last written; versions written later don't change it."""

@@ -8,7 +8,8 @@ import re
 import tempfile
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -79,6 +80,20 @@ def _clean() -> None:
             return
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 256, size: int = 16 << 20) -> Iterator[None]:
+    """Within it, what goes to Python comes in batches of few rows and bytes, as texts may be long; the session's own settings come back after."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def _previous(path: str) -> str:
     return f"{path.rstrip('/')}.previous"
 
