@@ -15,7 +15,7 @@ QUERIES = (
     "g1_nodes", "g2_edges", "d18_label_assignments", "g10_evidence_bridge", "m1_frequent_questions", "m3_recurring_misconceptions", "m6_strategy_pairs", "m7_content_opportunities", "a1_label_ranking",
     "f2_redaction", "f8_token_estimate", "a11_document_frequency", "k2_bm25_top", "r2_hashed_vectors", "r6_hybrid_ranking", "r9_rrf_fusion", "r13_nearest", "b5_greedy_budget", "e1_citation_audit", "v1_ranking_metrics", "v7_chunk_recall", "a16_sliced_rollup", "i1_incremental_work",
 )
-LLM = ("op1_quality", "op2_decontaminate", "op3_ann", "op4_chat", "op5_secrets", "op6_packing", "op7_pii", "op8_simhash", "op9_warc", "op10_toxicity")
+LLM = ("op1_quality", "op2_decontaminate", "op3_ann", "op4_chat", "op5_secrets", "op6_packing", "op7_pii", "op8_simhash", "op9_warc", "op10_toxicity", "op11_minhash", "op12_kmv", "op13_collocations")
 
 
 def main() -> None:
