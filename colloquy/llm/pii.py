@@ -10,8 +10,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -336,8 +338,14 @@ def find(field: Field, texts: list[str]) -> Iterator[tuple[list[tuple[int, int,
     """Per text: the exact spans, and all spans: labelled ones that overlap no exact one are added."""
     for text, more in zip(texts, field_spans(field, texts), strict=True):
         base = base_spans(text)
-        new = [s for s in more if not any(s[0] < b[1] and b[0] < s[1] for b in base)]
-        yield base, sorted(base + new, key=lambda s: (s[0], KINDS.index(s[2])))
+        yield base, sorted(base + apart(more, base), key=lambda s: (s[0], KINDS.index(s[2])))
+
+
+def apart(spans: list[tuple[int, int, str]], others: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The spans that overlap none of others: of those that start before a span's end, none may reach past its start."""
+    held = sorted(others)
+    starts, reach = [b[0] for b in held], [0, *accumulate((b[1] for b in held), max)]
+    return [s for s in spans if reach[bisect_left(starts, s[1])] <= s[0]]
 
 
 def _parts(texts: list[str], most: int = 4_000_000) -> Iterator[list[str]]:
