@@ -14,7 +14,7 @@ def row_digest(*columns: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*named), {"ignoreNullFields": "false"}), 256)
 
 
-def sums(digest: str = "digest") -> list[Column]:
+def sums(digest: Column | str = "digest") -> list[Column]:
     """Aggregates of a group of row digests: sums of their four 64-bit lanes. Rows that repeat count as often as they are there."""
     lane = lambda i: F.conv(F.substring(digest, 16 * i + 1, 16), 16, 10).cast("decimal(20,0)")
     return [F.sum(lane(i)).alias(f"lane{i}") for i in range(LANES)]

@@ -11,9 +11,10 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ..operators import evidence, graph
+from . import digests
 
 _LONG, _INT, _TEXT = T.LongType(), T.IntegerType(), T.StringType()
 
@@ -162,19 +163,25 @@ class GraphStore:
         self.spark, self.path = spark, path.rstrip("/")
 
     def write(self, version: str, source_hash: str, nodes: DataFrame, edges: DataFrame, labels: DataFrame, built_at: str) -> None:
-        """Write a version. Repeated edge ids, dangling edges or counts that differ make it FAILED, with the reason."""
+        """Write a version. Repeated edge ids, dangling edges or content that isn't what was written make it FAILED, with the reason.
+
+        Rows are digested while they are written and again when they are read back.
+        """
         build = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
         at = f"{self.path}/{version}/{build}"
         frames = {"nodes": graph.merge_nodes(nodes), "edges": edges, "labels": labels}
+        content = lambda df: [F.count("*").alias("n"), *digests.sums(digests.row_digest(*[F.col(c) for c in df.columns]))]
+        seen = {name: Observation() for name in frames}
         for name, df in frames.items():
-            df.write.parquet(f"{at}/{name}")
+            df.observe(seen[name], *content(df)).write.parquet(f"{at}/{name}")
         kept = {name: self.spark.read.parquet(f"{at}/{name}") for name in frames}
-        reason = None
-        if kept["edges"].groupBy("edge_id").count().where("count > 1").first():
+        found = {name: df.agg(*content(df)).first().asDict() for name, df in kept.items()}
+        reason = next((f"{name} differ from what was written" for name in frames if found[name] != seen[name].get), None)
+        if reason is None and kept["edges"].groupBy("edge_id").count().where("count > 1").first():
             reason = "repeated edge id"
-        elif graph.dangling(kept["edges"], kept["nodes"]).first():
+        elif reason is None and graph.dangling(kept["edges"], kept["nodes"]).first():
             reason = "dangling edge"
-        counts = {name: df.count() for name, df in kept.items()}
+        counts = {name: f["n"] for name, f in found.items()}
         row = (version, build, source_hash, counts["nodes"], counts["edges"], counts["labels"], "FAILED" if reason else "READY", built_at, reason)
         manifest = self.spark.createDataFrame([row], "graph_version string, build string, source_hash string, node_count long, edge_count long, label_count long, build_status string, built_at_utc string, failure_reason string")
         manifest.coalesce(1).withColumn("built_at_utc", F.to_timestamp("built_at_utc")).write.mode("append").parquet(f"{self.path}/{version}/manifest")
