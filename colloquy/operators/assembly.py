@@ -76,7 +76,7 @@ def greedy_budget(units: DataFrame, budget: int, most: int) -> DataFrame:
 def best_subset(units: DataFrame, budget: int, most: int, tries: int = 25_000) -> DataFrame:
     """The subset of a query's units that covers most turns within the budget, fewer tokens first, then better ranks.
 
-    All subsets are tried while there are at most `tries`; beyond, units are taken greedily.
+    All subsets are tried while there are at most `tries`; beyond, units are taken greedily (proven_subset: the best at any number).
     """
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
@@ -104,6 +104,89 @@ def best_subset(units: DataFrame, budget: int, most: int, tries: int = 25_000) -
     return units.groupBy("query_id").applyInPandas(choose, "query_id long, id string")
 
 
+def proven_subset(units: DataFrame, budget: int, most: int) -> DataFrame:
+    """query_id, id of the subset that best_subset looks for, proven best at any number of units.
+
+    units: query_id, id, rank, tokens, turn_keys; a null counts as zero tokens or no turns, and of units with one rank
+    the smaller id comes first. Branch and bound: units are taken in order of rank, and a branch is left once no
+    completion of it can cover more turns, or as many with fewer tokens. An empty table gives no rows. A query's units,
+    which are a pool of a search, meet in one task.
+    """
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["rank", "id"]).reset_index(drop=True)
+        keys = [[] if k is None else [x for x in k if x is not None] for k in rows.turn_keys]
+        best = _proven([int(t) for t in rows.tokens.fillna(0)], _bits(keys), budget, most)
+        return pd.DataFrame([(rows.query_id[i], rows.id[i]) for i in best], columns=["query_id", "id"])
+
+    return units.groupBy("query_id").applyInPandas(choose, "query_id long, id string")
+
+
+def _proven(tokens: list[int], sets: list[int], budget: int, most: int) -> tuple[int, ...]:
+    """Places of the units of most coverage within the budget, then of fewest tokens, then the first in order of places.
+
+    What a unit adds can only shrink as others are taken, so two relaxations bound a branch: the most that the open
+    units could add if they overlapped nowhere and the last one could be cut, and the fewest tokens for which
+    they could add what is wanted.
+    """
+    n = len(tokens)
+    better = lambda j, i: sets[i] & ~sets[j] == 0 and (tokens[j] < tokens[i] or tokens[j] == tokens[i] > 0 and j < i)
+    able = [i for i in range(n) if tokens[i] <= budget and not any(better(j, i) for j in range(n) if j != i)]
+    # a first bound: what adds most for its tokens, again and again; equal results of the search still count as better
+    seed: list[int] = []
+    held = spent = 0
+    while len(seed) < most:
+        fits = [i for i in able if i not in seed and spent + tokens[i] <= budget and sets[i] & ~held]
+        if not fits:
+            break
+        i = max(fits, key=lambda i: ((sets[i] & ~held).bit_count() / max(tokens[i], 1), -i))
+        seed.append(i)
+        held, spent = held | sets[i], spent + tokens[i]
+    best: list = [held.bit_count(), spent + 0.5, tuple(sorted(seed))]
+
+    def reach(adds: list[tuple[int, int]], room: float, slots: int) -> float:
+        """The most that units (turns added, tokens) could add: the bound of tokens and that of slots, whichever is less."""
+        total, left = 0.0, room
+        for gain, cost in sorted(adds, key=lambda a: a[1] / a[0]):
+            if cost > left:
+                total += gain * left / cost
+                break
+            total, left = total + gain, left - cost
+        return min(total, sum(sorted((a[0] for a in adds), reverse=True)[:slots]))
+
+    def price(adds: list[tuple[int, int]], wanted: int) -> float:
+        """The fewest tokens for which units could add what is wanted."""
+        cost_of, left = 0.0, wanted
+        for gain, cost in sorted(adds, key=lambda a: a[1] / a[0]):
+            if gain >= left:
+                return cost_of + cost * left / gain
+            cost_of, left = cost_of + cost, left - gain
+        return float("inf")
+
+    def search(picked: tuple[int, ...], at: int, held: int, spent: int) -> None:
+        covered = held.bit_count()
+        if (-covered, spent) < (-best[0], best[1]):
+            best[:] = [covered, spent, picked]
+        if len(picked) == most:
+            return
+        for k in range(at, len(able)):
+            open_units = able[k:]
+            adds = [(g, tokens[i]) for i in open_units if spent + tokens[i] <= budget and (g := (sets[i] & ~held).bit_count())]
+            could = covered + int(reach(adds, budget - spent, most - len(picked)) + 1e-9)
+            union = held
+            for i in open_units:
+                union |= sets[i]
+            could = min(could, union.bit_count())
+            if could < best[0] or could == best[0] and (could == covered or spent + price(adds, best[0] - covered) >= best[1] - 1e-9):
+                return  # what equals the best was met before it, in order of places
+            i = able[k]
+            if spent + tokens[i] <= budget:
+                search((*picked, i), k + 1, held | sets[i], spent + tokens[i])
+
+    search((), 0, 0, 0)
+    return best[2]
+
+
 def coverage_subset(units: DataFrame, budget: int, most: int, tries: int = 25_000) -> DataFrame:
     """The subset of a query's units that covers most, within the budget: query_id, id, position.
 
@@ -111,7 +194,8 @@ def coverage_subset(units: DataFrame, budget: int, most: int, tries: int = 25_00
     points to), card_ids (parent cards it touches), roles. Compared are, in order: parent turns, cards, turns, ends of
     sessions, roles; then fewer sessions and better ranks. Subsets that hold both ends of every session come first, and
     among them turns and unbroken runs from the start, to the end and anywhere count before the rest. All subsets are
-    tried while there are at most `tries`; beyond, units are taken by rank while they fit.
+    tried while there are at most `tries`; beyond, units are taken by rank while they fit. Of more than max(20, 4 * most)
+    units, only the first so many are looked at. Both bounds belong to the rule that this function re-expresses; proven_subset has none.
     """
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:

@@ -1,13 +1,14 @@
-"""Queries of versions and audits, each with its SQL."""
+"""Queries of versions, audits and proven choices, each with its SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from ..operators import assembly, windows
 from ..operators.constraints import Holds, Parity, Refers, Unique, audit, gate
 from ..sources import merkle, store
 from . import surrogates as sg
-from .surrogates import GRAPH, table
+from .surrogates import GRAPH, S, T, table, windows_sql
 
 Q: dict = {}
 SQL: dict = {}
@@ -222,3 +223,22 @@ def topology_audit(spark, d):
     held["ends"] = held["edges"].select(F.explode(F.array("source_node_id", "target_node_id")).alias("node_id"))
     held["spoken"] = sg.turns(spark, d).select(F.concat_ws(":", F.lit("turn"), F.col("session_id").cast("string"), F.col("turn_id").cast("string")).alias("node_id"), "speaker")
     return audit(held, topology(), {"nodes": "node_id", "edges": "edge_id", "labels": "assignment_id"})
+
+
+# the best units of a pool within a budget
+
+_POOL, _BUDGET, _MOST = 30, 2500, 4
+_GROW = lambda a: f"SELECT a.query_id, list_append(a.picked, b.rank) AS picked, a.tokens + b.tokens AS tokens, list_distinct(list_concat(a.keys, b.keys)) AS keys FROM {a} a JOIN p b ON a.query_id = b.query_id AND b.rank > a.picked[-1] AND a.tokens + b.tokens <= {_BUDGET}"
+
+
+@query("k10_proven_subset", f"""WITH {T}, {S}, {windows_sql(6, 3)}, p AS (SELECT s.question_id AS query_id, w.session_id || '_' || w.start AS id, row_number() OVER (PARTITION BY s.question_id ORDER BY w.session_id, w.start) AS rank, length(w.content) AS tokens, list_transform(w.ids, lambda x: w.session_id || ':' || x) AS keys FROM w JOIN s USING (session_id) QUALIFY rank <= {_POOL}),
+k1 AS (SELECT query_id, [rank] AS picked, tokens, keys FROM p WHERE tokens <= {_BUDGET}), k2 AS ({_GROW("k1")}), k3 AS ({_GROW("k2")}), k4 AS ({_GROW("k3")}),
+b AS (SELECT query_id, unnest(picked) AS rank FROM (SELECT * FROM (SELECT * FROM k1 UNION ALL SELECT * FROM k2 UNION ALL SELECT * FROM k3 UNION ALL SELECT * FROM k4) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY len(keys) DESC, tokens, picked) = 1))
+SELECT query_id, id FROM b JOIN p USING (query_id, rank)""")
+def proven(spark, d):
+    """Of each question's first thirty windows those, at most four, that cover most turns in so many signs; by SQL all subsets are tried."""
+    w = windows.sliding_windows(sg.turns(spark, d)).join(sg.sessions(spark, d).select("session_id", "question_id"), "session_id")
+    sid = F.col("session_id").cast("string")
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy("session_id", "start"))
+    units = w.select(F.col("question_id").alias("query_id"), F.concat_ws("_", sid, "start").alias("id"), rank.alias("rank"), F.length("content").cast("long").alias("tokens"), F.transform("source_turn_ids", lambda t: F.concat_ws(":", sid, t.cast("string"))).alias("turn_keys"))
+    return assembly.proven_subset(units.where(F.col("rank") <= _POOL), _BUDGET, _MOST)
