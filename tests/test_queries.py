@@ -1,5 +1,9 @@
 """Every query with SQL gives the same rows as DuckDB, and the others run."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 
 from colloquy import queries
@@ -25,3 +29,9 @@ def test_flagship(spark):
     df = entry.entry(spark)
     assert df.columns == ["rank", "canonical_name", "event_count", "distinct_session_count", "session_share"] and df.count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_imports_without_a_session():
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=here, check=True, timeout=120)
