@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import text as tx
 from ..operators import analytics, assembly, evidence, metrics, micro, providers, retrieval as rt, windows
 from ..sources import store, tables
-from . import planner, queries_search as qs, router, surrogates as sg
+from . import planner, queries_search as qs, router, routing, surrogates as sg
 from .surrogates import CARDS, GRAPH, S, T, table, windows_sql
 
 Q: dict = {}
@@ -92,56 +92,100 @@ def s19(spark, d):
     return store.add_provenance(bare, p.nodes()).select("assignment_id", "source_session_id", joined("source_turn_ids"))
 
 
-# routing: each benchmark item asks one of these
-
-#: Question, then what is known of it: intent, status, scope, computation, top, strong intents, plan, operation, session, question ids, protected tokens.
-GOLD = (
-    ("What are the most common student questions? top 5", "STUDENT_FREQUENT_QUESTIONS", "RESOLVED", "CORPUS", "HYBRID", 5, "STUDENT_FREQUENT_QUESTIONS", "ANALYTICS_WITH_EVIDENCE", "frequent_student_questions", None, "", "5"),
-    ("Which recurring misconception is seen most?", "RECURRING_MISCONCEPTIONS", "RESOLVED", "CORPUS", "HYBRID", 3, "RECURRING_MISCONCEPTIONS", "ANALYTICS_WITH_EVIDENCE", "recurring_misconceptions", None, "", ""),
-    ("Why is 3/4 + 1/2 not 4/6?", "QUESTION_TUTORING", "RESOLVED", "QUESTION", "MICRO", 3, "QUESTION_TUTORING", "SOCRATIC_TUTORING", None, None, "", "3/4 + 1/2|4/6"),
-    ("谁教得最好", "UNSUPPORTED", "UNSUPPORTED", "CORPUS", "REJECT", 3, "", "REJECT", None, None, "", ""),
-    ("blue sky", "UNRESOLVED", "NEED_LLM", "CORPUS", "HYBRID", 3, "", "REJECT", None, None, "", ""),
-    ("misconception and strategy co-occurrence in session 17", "CONTENT_IMPROVEMENT", "RESOLVED", "QUESTION", "HYBRID", 3, "", "CONTENT_BRIEF", "misconception_strategy_pairs", 17, "", "17"),
-    ("question id 12345: how do i solve it", "QUESTION_TUTORING", "RESOLVED", "QUESTION", "MICRO", 3, "QUESTION_TUTORING", "SOCRATIC_TUTORING", None, None, "12345", "12345"),
-    ("what about retakers", "STUDENT_COHORT_PATTERNS", "RESOLVED", "CORPUS", "HYBRID", 3, "STUDENT_COHORT_PATTERNS", "REJECT", None, None, "", ""),
-)
-_NAMES = ("question", "intent", "status", "scope", "computation", "top_k", "strong", "plan", "operation", "session", "question_ids", "tokens")
-_lit = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-_GOLD = "gold(k, " + ", ".join(_NAMES) + ") AS (VALUES " + ", ".join(f"({i}, " + ", ".join(map(_lit, g)) + ")" for i, g in enumerate(GOLD)) + ")"
-
-
-def _asked(spark, d) -> DataFrame:
-    texts = F.array(*[F.lit(g[0]) for g in GOLD])
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.get(texts, (F.pmod("item_id", F.lit(len(GOLD)))).cast("int")).alias("query"))
-
-
-def _each(spark, d, schema: str, answer: Callable[[str], tuple]) -> DataFrame:
-    """query_id and an answer, in plain Python, to each question."""
-    names = ["query_id", *(x.split()[0] for x in schema.split(", "))]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame([(i, *answer(q)) for i, q in zip(f.query_id, f["query"], strict=True)], columns=names).astype(object)
-
-    return _asked(spark, d).mapInPandas(run, "query_id long, " + schema)
-
-
-def _gold(columns: str) -> str:
-    return f"WITH {_GOLD} SELECT item_id AS query_id, {columns} FROM benchmark JOIN gold ON item_id % {len(GOLD)} = k"
-
-
-def _ask(name: str, columns: str, schema: str, answer: Callable[[str], tuple]) -> None:
-    Q[name], SQL[name] = (lambda spark, d: _each(spark, d, schema, answer)), _gold(columns)
-
-
-def _route(q: str) -> tuple:
-    r = router.route(q)
-    return r.intent, r.status, r.scope, r.computation, r.top_k
-
-
-def _plan(q: str) -> tuple:
-    p = planner.plan(router.route(q), {"BUSINESS_ANALYTICS": "AVAILABLE", "DIALOGUE_EVIDENCE": "AVAILABLE"})
-    return p.kind, p.operation
+# routing: every text of the benchmark and of the documents, by words of the invented language
+
+#: The router's words in the language of the test tables; some stand inside others.
+VOCABULARY = routing.Vocabulary(
+    signals={
+        "STUDENT_FREQUENT_QUESTIONS": ("oneren", "ñc"),
+        "DIFFICULT_CONCEPTS": ("thand", "shand", "hand"),
+        "RECURRING_MISCONCEPTIONS": ("eauxeaux", "çé"),
+        "EXAM_ERROR_PATTERNS": ("lyanst", "güb"),
+        "STUDENT_COHORT_PATTERNS": ("verein", "rein"),
+        "TUTOR_STRATEGY_PATTERNS": ("teach", "üb"),
+        "CONTENT_IMPROVEMENT": ("ciónez",),
+        "QUESTION_TUTORING": ("whouth",),
+    },
+    strong={"RECURRING_MISCONCEPTIONS": ("euxaux",), "STUDENT_COHORT_PATTERNS": ("einerei",), "CONTENT_IMPROVEMENT": ("ciónci",), "QUESTION_TUTORING": ("onwhou",)},
+    marks={
+        "macro": ("thered",), "student": ("there",), "tutor": ("reedha",), "case": ("ndshan",), "corpus": ("thioner",), "subject": ("yquer",), "exercise": ("ation",), "asking": ("what",),
+        "question_id": ("token",), "this_one": ("eanes",), "solid": ("heon",), "asked_most": ("whounre",), "hardest": ("eaueux",), "additions": ("ramiar",), "tutor_way": ("lichge",),
+        "to_explain": ("gein",), "intervention": ("thsh",), "real_exercise": ("stwith",), "recurs": ("oionn",), "error": ("eauen",), "together": ("ierenß",), "error_or_strategy": ("chen",), "graph": ("ngenü",), "one_case": ("esan",), "outcome": ("reinge",),
+    },
+    short_strong=("çé",), unsupported=("rounding", "teacher", "elleelle"), elapsed=("haha",), together=("entionst", "ueasa"),
+    glossary=((("lyan", "onth"), "Number/Rounding"), (("eaux",), "Algebra/Equations"), (("ción",), "Geometry / Angles"), (("verein", "ungen"), "Algebra/Equations")),
+    top_words=("version", "mail"), session_words=("token", "haha"), id_words=("token", "with"),
+)
+READY = {"BUSINESS_ANALYTICS": "AVAILABLE", "DIALOGUE_EVIDENCE": "AVAILABLE"}
+_TEXTS = "texts AS (SELECT 'benchmark' AS origin, CAST(item_id AS BIGINT) AS id, text FROM benchmark UNION ALL SELECT 'documents', CAST(doc_id AS BIGINT), text FROM documents)"
+
+
+def _texts(spark, d) -> DataFrame:
+    one = lambda name, key: table(spark, d, name).select(F.lit(name).alias("origin"), F.col(key).cast("long").alias("id"), "text")
+    return one("benchmark", "item_id").unionByName(one("documents", "doc_id"))
+
+
+def _routes(spark, d, **more) -> DataFrame:
+    return routing.routes(_texts(spark, d), VOCABULARY, longest=None, **more)
+
+
+# The same in SQL: a word stands in its own right if it has more places than the longer words of its group that hold it.
+
+_lit = lambda v: "'" + v.replace("'", "''") + "'"
+_list = lambda values: "[" + ", ".join(map(_lit, values)) + "]"
+_has = lambda words: "(" + (" OR ".join(f"contains(x, {_lit(w)})" for w in words) or "false") + ")"
+_places = lambda w: f"((length(x) - length(replace(x, {_lit(w)}, ''))) // {len(w)})"
+_rule = lambda rule: "(" + " AND ".join(f'NOT "{p[1:]}"' if p[0] == "!" else "(" + " OR ".join(f'"{x}"' for x in p.split("|")) + ")" for p in rule.split()) + ")"
+_rules = lambda rules: "CASE " + " ".join(f"WHEN {_rule(rule)} THEN {_lit(name)}" for name, rule in rules) + " END"
+
+
+def _own(w: str, words: tuple[str, ...]) -> str:
+    longer = [y for y in words if w in y and y != w]
+    return " - ".join(map(_places, [w, *longer])) + " > 0"
+
+
+def _points(intent: str) -> str:
+    words = VOCABULARY.signals[intent]
+    return " + ".join(f"CASE WHEN {_own(w, words)} THEN {3 if len(w) > 2 or w in VOCABULARY.short_strong else 1} ELSE 0 END" for w in words)
+
+
+def _alternatives(words: tuple[str, ...]) -> str:
+    return "(?:" + "|".join(words) + ")"
+
+
+_INTENTS = router.PRIORITY
+_AT = {i: f"points[{n}]" for n, i in enumerate(_INTENTS, 1)}
+_STRONG = ", ".join([f"CASE WHEN {_has(w)} THEN {_lit(i)} END" for i, w in VOCABULARY.strong.items()] + [f"CASE WHEN {_rule(rule)} THEN {_lit(i)} END" for i, rule in router.SHAPES])
+_TOPICS = ", ".join(f"CASE WHEN {_has(w)} THEN {_lit(p)} END" for w, p in VOCABULARY.glossary)
+ROUTES = f"""{_TEXTS}, n AS (SELECT origin, id, text AS raw, coalesce(lower(text), '') AS x FROM texts),
+f AS (SELECT *, [{", ".join(map(_points, _INTENTS))}] AS points, {", ".join(f'{_has(VOCABULARY.marks[m])} AS "{m}"' for m in router.MARKS)},
+  {_has(VOCABULARY.unsupported)} AS unsupported, {_has(VOCABULARY.together)} AS both_named, [{_TOPICS}] AS topics,
+  regexp_matches(raw, '[0-9]|\\([^\\r\\n()]{{1,80}}\\)|(选项|(?i:option))\\s*[A-Da-d]|(^|[^A-Za-z])[pqnxyz]([^A-Za-z]|$)') AS tokens,
+  regexp_matches(raw, '[+-][0-9]|[0-9]\\.[0-9]|[0-9]\\s*/\\s*[+-]?[0-9]|[0-9]:[0-9][0-9]|\\([^\\r\\n()]{{1,80}}\\)|(选项|(?i:option))\\s*[A-Da-d]|(^|[^A-Za-z])[pqnxyz]([^A-Za-z]|$)') AS formula,
+  try_cast(nullif(regexp_extract(x, '{_alternatives(VOCABULARY.top_words)}\\s*([0-9]{{1,3}})', 1), '') AS INTEGER) AS top,
+  regexp_replace(nullif(regexp_extract(x, '{_alternatives(VOCABULARY.session_words)}[^0-9]{{0,12}}([0-9]+)', 1), ''), '^0+([0-9])', '\\1') AS session,
+  CASE WHEN {_has(VOCABULARY.id_words)} THEN regexp_extract_all(raw, '[0-9]{{5,}}') ELSE [] END AS ids FROM n),
+s AS (SELECT *, list_filter([{_STRONG}], lambda e: e IS NOT NULL) AS v, list_filter(topics, lambda e, n: e IS NOT NULL AND list_position(topics, e) = n) AS paths, {_rules(router.COMBINED)} AS combined FROM f),
+s2 AS (SELECT * REPLACE (coalesce(list_filter(v, lambda e, n: list_position(v, e) = n), []) AS v) FROM s),
+d AS (SELECT *, v AS strong, len(paths) > 0 AS filters, list_max(points) AS lead, list_sort(points, 'DESC')[2] AS next_, list_position(points, list_max(points)) AS best,
+  ({" OR ".join(f"{_AT[i]} > 1 AND NOT list_contains(v, {_lit(i)})" + (" AND v[1] <> 'QUESTION_TUTORING'" if i in ("TUTOR_STRATEGY_PATTERNS", "CONTENT_IMPROVEMENT") else "") for i in _INTENTS)}) AS rivals FROM s2),
+e AS (SELECT *, CASE WHEN len(strong) > 1 OR len(strong) = 1 AND rivals THEN NULL WHEN coalesce(combined, strong[1]) IS NOT NULL THEN coalesce(combined, strong[1])
+  WHEN lead = 0 THEN NULL WHEN next_ = 0 OR lead - next_ > 1 THEN {_list(_INTENTS)}[best] END AS chosen FROM d),
+g AS (SELECT *, {", ".join(f"coalesce(chosen = {_lit(i)}, false) AS {i}" for i in _INTENTS)},
+  CASE WHEN coalesce(combined, strong[1]) IS NOT NULL THEN greatest(points[list_position({_list(_INTENTS)}, chosen)], 4) ELSE lead END AS score,
+  CASE WHEN coalesce(combined, strong[1]) IS NOT NULL THEN 0 ELSE next_ END AS second FROM e),
+h AS (SELECT *, raw IS NULL OR regexp_matches(raw, '^\\s*$') AS invalid, coalesce({_rules(router.SCOPES)}, 'CORPUS') AS fit FROM g),
+k AS (SELECT *, CASE WHEN invalid THEN 'INVALID' WHEN unsupported THEN 'UNSUPPORTED' WHEN chosen IS NULL THEN 'NEED_LLM' ELSE 'RESOLVED' END AS status FROM h),
+r AS (SELECT *, CASE status WHEN 'RESOLVED' THEN chosen WHEN 'UNSUPPORTED' THEN 'UNSUPPORTED' ELSE 'UNRESOLVED' END AS intent, CASE WHEN status = 'RESOLVED' THEN fit ELSE 'CORPUS' END AS scope,
+  CASE WHEN status IN ('INVALID', 'UNSUPPORTED') THEN 'REJECT' WHEN status = 'NEED_LLM' THEN 'HYBRID' WHEN QUESTION_TUTORING OR fit IN ('CASE', 'QUESTION') AND one_case THEN 'MICRO' WHEN STUDENT_COHORT_PATTERNS AND outcome THEN 'REJECT' ELSE 'HYBRID' END AS computation,
+  CASE WHEN status = 'UNSUPPORTED' OR status = 'RESOLVED' AND score >= 4 AND score - second >= 2 THEN 'HIGH' WHEN status = 'RESOLVED' AND score >= 3 AND score - second >= 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence,
+  CASE WHEN top > 0 THEN least(top, 10) ELSE 3 END AS top_k FROM k)"""
+
+
+def _ask(name: str, columns: str, sql: str, make: Callable[[SparkSession, str], DataFrame] = _routes) -> None:
+    """A query of some columns of the routes: as Spark reads them, and in SQL."""
+    Q[name] = lambda spark, d: make(spark, d).selectExpr("origin", "id", *columns.split("; "))
+    SQL[name] = f"WITH {ROUTES} SELECT origin, id, {sql} FROM r"
 
 
 def _stub(messages: list[dict[str, str]]) -> str:
@@ -156,25 +200,46 @@ def _rewriter(messages: list[dict[str, str]]) -> str:
     return json.dumps({"misconception_query": f"m {q}", "strategy_query": f"s {q}", "curriculum_query": f"c {q}", "extracted_keywords": []}) if len(messages) > 1 else "no json"
 
 
-_GLOSSARY = [{"keywords": ["strategy"], "subject_path": "Teaching"}, {"keywords": ["sky", "blue"], "subject_path": "Nature/Sky"}]
-
-_ask("q5_routes", "intent, status, scope, computation, CAST(top_k AS BIGINT) AS top_k", "intent string, status string, scope string, computation string, top_k long", _route)
-_ask("q4_scopes", "scope", "scope string", lambda q: (router.route(q).scope,))
-_ask("q2_strong_intents", "strong", "strong string", lambda q: ("|".join(sorted(router.strong_intents(router.normal(q)))),))
-_ask("q7_plans", "plan, operation", "plan string, operation string", _plan)
-_ask("k8_requested_top", "CAST(top_k AS BIGINT) AS top_k", "top_k long", lambda q: (router.requested_top(q),))
-_ask("p10_session_hints", "CAST(session AS BIGINT) AS session", "session long", lambda q: (router.session_hint(q),))
-_ask("p11_question_ids", "question_ids", "question_ids string", lambda q: ("|".join(map(str, router.question_ids(q))),))
-_ask("f13_protected_tokens", "tokens", "tokens string", lambda q: ("|".join(router.protected_tokens(q)),))
-_ask("q3_subject_filters", "CASE k WHEN 4 THEN 'Nature/Sky' WHEN 5 THEN 'Teaching' ELSE '' END AS filters", "filters string", lambda q: ("|".join(router.subject_filters(q, _GLOSSARY)),))
-_ask("q6_strict_classifier", "CASE status WHEN 'NEED_LLM' THEN 'EXAM_ERROR_PATTERNS' ELSE intent END AS intent", "intent string", lambda q: (router.route(q, classifier=router.strict_classifier(_stub)).intent,))
-_ask("q10_rewrites", "'tutor strategy: ' || question AS strategy_start", "strategy_start string", lambda q: (planner.rewrite(q, [])["strategy"][: len("tutor strategy: " + q)],))
-_ask("q11_model_rewrites", "'m ' || question AS misconception", "misconception string", lambda q: (planner.rewrite_with(_rewriter, q, [])["misconception"],))
-
+def _rewritten(name: str, schema: str, answer: Callable[[str], tuple], sql: str) -> None:
+    """A query of what becomes of each item's text."""
+    names = ["query_id", *(x.split()[0] for x in schema.split(", "))]
 
-@query("q1_signal_scores")
-def q1(spark, d):
-    return _each(spark, d, "points string", lambda q: (json.dumps(router.scores(router.normal(q)), sort_keys=True),))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame([(i, *answer(q)) for i, q in zip(f.query_id, f["text"], strict=True)], columns=names).astype(object)
+
+    Q[name] = lambda spark, d: table(spark, d, "benchmark").where("trim(text) <> ''").select(F.col("item_id").alias("query_id"), "text").mapInPandas(run, "query_id long, " + schema)
+    SQL[name] = f"SELECT item_id AS query_id, {sql} FROM benchmark WHERE trim(text) <> ''"
+
+
+_GLOSSARY = [{"keywords": ["lyan", "onth"], "subject_path": "Number/Rounding"}, {"keywords": ["eaux"], "subject_path": "Algebra/Equations"}]
+_TERMS = "(CASE WHEN contains(lower(text), 'lyan') OR contains(lower(text), 'onth') THEN ' lyan onth' ELSE '' END || CASE WHEN contains(lower(text), 'eaux') THEN ' eaux' ELSE '' END)"
+
+_ask("q1_signal_scores", "array_join(transform(points, p -> string(p)), ',') AS points", "array_to_string(points, ',') AS points")
+_ask("q2_strong_intents", "array_join(strong, '|') AS strong", "array_to_string(strong, '|') AS strong")
+_ask("q3_subject_filters", "array_join(filters, '|') AS filters", "array_to_string(paths, '|') AS filters")
+_ask("q4_scopes", "scope", "scope")
+_ask("q5_routes", "intent; status; scope; computation; confidence; bigint(top_k) AS top_k", "intent, status, scope, computation, confidence, CAST(top_k AS BIGINT) AS top_k")
+_ask("q6_strict_classifier", "intent; source", "CASE WHEN status = 'NEED_LLM' THEN 'EXAM_ERROR_PATTERNS' ELSE intent END AS intent, CASE WHEN status = 'NEED_LLM' THEN 'classifier' ELSE 'deterministic' END AS source", lambda spark, d: _routes(spark, d, classifier=router.strict_classifier(_stub)))
+_LACKING = "status <> 'RESOLVED' OR computation = 'REJECT' OR STUDENT_COHORT_PATTERNS"
+_ask("q7_plans", "plan; operation; reason", f"""CASE WHEN {_LACKING} THEN 'REJECT' ELSE CASE intent {" ".join(f"WHEN '{i}' THEN '{p[0]}'" for i, p in planner.PLANS.items())} END END AS plan,
+  CASE WHEN {_LACKING} OR QUESTION_TUTORING THEN NULL WHEN both_named THEN 'misconception_strategy_pairs' ELSE CASE intent {" ".join(f"WHEN '{i}' THEN '{p[1]}'" for i, p in planner.PLANS.items() if p[1])} END END AS operation,
+  CASE WHEN status <> 'RESOLVED' THEN status WHEN computation = 'REJECT' THEN 'OUTCOME_NOT_MEASURED' WHEN STUDENT_COHORT_PATTERNS THEN 'NO_COHORT_DATA' END AS reason""", lambda spark, d: routing.plans(_routes(spark, d), READY))
+_ask("k8_requested_top", "bigint(top_k) AS top_k", "CAST(top_k AS BIGINT) AS top_k")
+_ask("p10_session_hints", "session", "session")
+_ask("p11_question_ids", "array_join(question_ids, '|') AS question_ids", "array_to_string(ids, '|') AS question_ids")
+_SHOWN = "coalesce(nullif(concat_ws('; ', CASE WHEN contains(lower(text), 'lyan') OR contains(lower(text), 'onth') THEN 'Number/Rounding' END, CASE WHEN contains(lower(text), 'eaux') THEN 'Algebra/Equations' END), ''), 'general')"
+_VARIABLES = r"regexp_extract_all(regexp_replace(text, '[^A-Za-z]+', '  ', 'g'), '(?:^| )([pqnxyz])(?: |$)', 1)"
+_MORE = f"' ' || {_TERMS} || ' ' || array_to_string(list_filter({_VARIABLES}, lambda e, n: list_position({_VARIABLES}, e) = n), ' ')"
+_whole = lambda start: f"trim(regexp_replace({start} || ' ' || text || {_MORE}, '\\s+', ' ', 'g'))"
+_rewritten("q10_rewrites", "misconception string, strategy string, curriculum string", lambda q: tuple(" ".join(planner.rewrite(q, _GLOSSARY)[k].split()) for k in ("misconception", "strategy", "curriculum")), ", ".join(f"{_whole(start)} AS {k}" for k, start in (("misconception", "'student misconception:'"), ("strategy", "'tutor strategy:'"), ("curriculum", f"'curriculum: ' || {_SHOWN}"))))
+_rewritten("q11_model_rewrites", "misconception string, strategy string, curriculum string", lambda q: tuple(planner.rewrite_with(_rewriter, q, [])[k] for k in ("misconception", "strategy", "curriculum")), ", ".join(f"'{k[0]} ' || split_part(text, chr(10) || chr(10), 1) AS {k}" for k in ("misconception", "strategy", "curriculum")))
+
+
+@query("f13_protected_tokens")
+def f13(spark, d):
+    """The protected tokens of each text, in order; tests hold them against a plain search."""
+    return _routes(spark, d).select("origin", "id", F.array_join("tokens", "|").alias("tokens"))
 
 
 @query("q8_capabilities", "SELECT * FROM (VALUES ('ABILITY_COHORT', false, 'historic_correctness,historic_question_count,measured_at,session_id,student_features,student_key'), ('BUSINESS_ANALYTICS', false, 'manifest:non_empty'), ('DIALOGUE_EVIDENCE', true, ''), ('RETAKE_COHORT', false, 'attempt_number,measured_at,session_id,student_features,student_key')) v(capability, available, missing)")

@@ -11,6 +11,19 @@ FIELDS = ("intent", "status", "scope", "computation", "confidence", "source", "s
 READY = {"BUSINESS_ANALYTICS": "AVAILABLE", "DIALOGUE_EVIDENCE": "AVAILABLE"}
 
 
+#: Question, then what is known of it: intent, status, scope, computation, top, strong intents, plan, operation, session, question ids, protected tokens.
+GOLD = (
+    ("What are the most common student questions? top 5", "STUDENT_FREQUENT_QUESTIONS", "RESOLVED", "CORPUS", "HYBRID", 5, "STUDENT_FREQUENT_QUESTIONS", "ANALYTICS_WITH_EVIDENCE", "frequent_student_questions", None, "", "5"),
+    ("Which recurring misconception is seen most?", "RECURRING_MISCONCEPTIONS", "RESOLVED", "CORPUS", "HYBRID", 3, "RECURRING_MISCONCEPTIONS", "ANALYTICS_WITH_EVIDENCE", "recurring_misconceptions", None, "", ""),
+    ("Why is 3/4 + 1/2 not 4/6?", "QUESTION_TUTORING", "RESOLVED", "QUESTION", "MICRO", 3, "QUESTION_TUTORING", "SOCRATIC_TUTORING", None, None, "", "3/4 + 1/2|4/6"),
+    ("谁教得最好", "UNSUPPORTED", "UNSUPPORTED", "CORPUS", "REJECT", 3, "", "REJECT", None, None, "", ""),
+    ("blue sky", "UNRESOLVED", "NEED_LLM", "CORPUS", "HYBRID", 3, "", "REJECT", None, None, "", ""),
+    ("misconception and strategy co-occurrence in session 17", "CONTENT_IMPROVEMENT", "RESOLVED", "QUESTION", "HYBRID", 3, "", "CONTENT_BRIEF", "misconception_strategy_pairs", 17, "", "17"),
+    ("question id 12345: how do i solve it", "QUESTION_TUTORING", "RESOLVED", "QUESTION", "MICRO", 3, "QUESTION_TUTORING", "SOCRATIC_TUTORING", None, None, "12345", "12345"),
+    ("what about retakers", "STUDENT_COHORT_PATTERNS", "RESOLVED", "CORPUS", "HYBRID", 3, "STUDENT_COHORT_PATTERNS", "REJECT", None, None, "", ""),
+)
+
+
 def vocabulary():
     o = routing.OWN
     return routing.Vocabulary(o.signals, o.strong, o.marks, o.short_strong, o.unsupported, o.elapsed, glossary=tuple((tuple(g["keywords"]), g["subject_path"]) for g in GLOSSARY))
@@ -87,3 +100,13 @@ def test_finder_equals_brute_force():
 def test_tokens_in_linear_time():
     text = "3/4 + 1/2 (a) option B 10:12 x 7 " * 20000
     assert router.protected_tokens(text) == router.protected_tokens(text[:33])
+
+
+@pytest.mark.parametrize("case", GOLD, ids=lambda g: g[0])
+def test_known_questions(case):
+    q, intent, status, scope, computation, top, strong, kind, operation, session, ids, tokens = case
+    r = router.route(q)
+    p = planner.plan(r, READY)
+    assert (r.intent, r.status, r.scope, r.computation, r.top_k, p.kind, p.operation) == (intent, status, scope, computation, top, kind, operation)
+    assert "|".join(sorted(router.strong_intents(router.normal(q)))) == strong and router.session_hint(q) == session
+    assert ("|".join(map(str, router.question_ids(q))), "|".join(router.protected_tokens(q))) == (ids, tokens)
