@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import text as tx
-from ..operators import assembly, evidence, metrics, retrieval as rt, vectors as vq, windows
+from ..operators import assembly, evidence, metrics, retrieval as rt, similarity, vectors as vq, windows
 from ..operators.quantiles import quantiles
 from ..sources import postings, runs, store
 from ..sources.tables import work_list
@@ -376,6 +376,27 @@ def f23(spark, d):
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
+#: Words with two blanks for what parts them, so that each has its own; dots at their ends don't belong to them.
+_SPACED = r"regexp_replace(lower(text), '[^\p{L}\p{N}_.]+', '  ', 'g')"
+_SIGNS = "regexp_extract_all(text, '[一-鿿]')"
+_TERMS = rf"regexp_extract_all({_SPACED}, '(?:^| )\.*([a-z0-9_](?:[a-z0-9_.]*[a-z0-9_])?)\.*(?: |$)', 1) || {_SIGNS} || list_transform(range(1, len({_SIGNS})), lambda i: {_SIGNS}[i] || {_SIGNS}[i + 1])"
+_NEAR = 0.3
+
+
+@query("f23_near_texts", f"""WITH p AS (SELECT doc_id AS id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents WHERE doc_id IS NOT NULL) GROUP BY 1, 2),
+i AS (SELECT term, ln(((SELECT count(DISTINCT doc_id) FROM documents) + 1) / (count(*) + 1)) + 1 AS idf FROM p GROUP BY term),
+w AS (SELECT id, term, tf * idf AS w FROM p JOIN i USING (term)), m AS (SELECT id, sqrt(sum(w * w)) AS m FROM w GROUP BY id),
+q AS (SELECT query_id, term, tf * idf AS w FROM (SELECT query_id, term, count(*) AS tf FROM (SELECT item_id AS query_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY 1, 2) JOIN i USING (term)),
+n AS (SELECT query_id, sqrt(sum(w * w)) AS m FROM q GROUP BY query_id)
+SELECT * FROM (SELECT q.query_id, w.id AS doc_id, round(sum(q.w * w.w) / (any_value(n.m) * any_value(m.m)), 6) AS similarity FROM q JOIN w USING (term) JOIN m ON m.id = w.id JOIN n ON n.query_id = q.query_id GROUP BY 1, 2) WHERE similarity >= {_NEAR}""")
+def f23_near(spark, d):
+    """Documents near each benchmark item by the cosine of tf-idf vectors; pairs below the bound are pruned by norms."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("document"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    found = similarity.near(docs, items, _NEAR - 1e-6).withColumn("similarity", F.round("similarity", 6))
+    return found.where(F.col("similarity") >= _NEAR).select("query_id", F.col("id").alias("doc_id"), "similarity")
+
+
 # assembly
 
 @query("b1_boosted_scores", f"""WITH {LANES}, f AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9) AS rrf, min(rank) FILTER (WHERE lane = 'lexical') AS raw_rank, count(*) AS lanes FROM lanes GROUP BY query_id, id)
