@@ -6,26 +6,49 @@ reach the wanted cosine by itself. So common terms, which would join everything,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import re
+from collections import Counter
+from collections.abc import Iterator
+from itertools import pairwise
 
-#: Commonest terms whose weights go to every task; of the others none is in more than one part in so many of the postings.
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
+
+#: Commonest terms, whose weights go to every task; none of the others holds more than one part in so many of the postings.
 COMMON = 100_000
 #: A pair this little below the bound is still compared, as sums are rounded.
 SLACK = 1e-9
+_WORD = re.compile(r"\b[a-z0-9_.]+\b")
+_SIGN = re.compile(r"[一-鿿]")
+
 
+def terms(text: str) -> list[str]:
+    """Words of letters a to z, digits, underscores and dots; CJK signs; and each CJK sign with the next one."""
+    low = text.lower()
+    signs = _SIGN.findall(low)
+    return _WORD.findall(low) + signs + [a + b for a, b in pairwise(signs)]
 
-def terms(text: Column) -> Column:
-    """Words of letters a to z, digits, underscores and dots; CJK signs; and each CJK sign with the next one. Null has none."""
-    low = F.lower(F.coalesce(text.cast("string"), F.lit("")))
-    words = F.regexp_extract_all(low, F.lit(r"(?U)\b[a-z0-9_.]+\b"), F.lit(0))
-    signs = F.regexp_extract_all(low, F.lit(r"[一-鿿]"), F.lit(0))
-    n = F.greatest(F.size(signs) - 1, F.lit(0))
-    return F.concat(words, signs, F.zip_with(F.slice(signs, F.lit(1), n), F.slice(signs, F.lit(2), n), lambda a, b: F.concat(a, b)))
+
+def single(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, text with a row a key: rows of one key are one text, in the order of their texts. Only keys that repeat are moved."""
+    rows = rows.select(key, F.col(text).cast("string").alias(text)).where(F.col(key).isNotNull())
+    again = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    merged = rows.join(again, key, "left_semi").groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(text)), "\n").alias(text))
+    return rows.join(again, key, "left_anti").unionByName(merged)
 
 
 def frequencies(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, tf."""
-    return texts.where(F.col(key).isNotNull()).select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """key, term, tf, counted where the texts are read; keys are not repeated."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, t in enumerate(b.column(1).to_pylist()):
+                found = Counter(terms(t)) if t else {}
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[at], len(found)), pa.array(list(found)), pa.array(list(found.values()), pa.int64())], [key, "term", "tf"])
+
+    kind = texts.schema[key].dataType.simpleString()
+    return texts.select(key, text).mapInArrow(count, f"`{key}` {kind}, term string, tf long")
 
 
 def inverse_frequencies(counted: DataFrame, documents: DataFrame) -> DataFrame:
@@ -35,38 +58,45 @@ def inverse_frequencies(counted: DataFrame, documents: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(total)).select("term", "df", (F.log((F.col("documents") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # one row
 
 
-def weighed(counted: DataFrame, idf: DataFrame) -> DataFrame:
-    """counted with df and w. The commonest terms' weights are broadcast, at most COMMON rows; no other term is a hot key of the join."""
-    common = idf.orderBy(F.desc("df"), "term").limit(COMMON)
-    marked = counted.join(F.broadcast(common.select("term", F.col("df").alias("c_df"), F.col("idf").alias("c_idf"))), "term", "left")
-    near = marked.where("c_idf is not null").withColumnsRenamed({"c_df": "df", "c_idf": "idf"})
-    far = marked.where("c_idf is null").drop("c_df", "c_idf").join(idf, "term")
-    return near.unionByName(far).withColumn("w", F.col("tf") * F.col("idf")).drop("tf", "idf")
-
-
 def early(rows: DataFrame, key: str, least: float) -> DataFrame:
-    """Terms, rarest first, of each key until the rest is shorter than `least` of its vector; rows: key, term, df, w, norm."""
+    """Terms, rarest first, of each key until the rest is shorter than `least` of its whole vector; rows: key, term, df, w, norm."""
     before = Window.partitionBy(key).orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
     square = F.col("w") * F.col("w")
-    left = F.col("norm") * F.col("norm") - F.coalesce(F.sum(square).over(before), F.lit(0.0))
+    left = F.sum(square).over(Window.partitionBy(key)) - F.coalesce(F.sum(square).over(before), F.lit(0.0))
     return rows.withColumn("left", left).where(F.col("left") >= (least * least - SLACK) * F.col("norm") * F.col("norm")).drop("left")
 
 
-def near(documents: DataFrame, queries: DataFrame, least: float) -> DataFrame:
+def near(documents: DataFrame, queries: DataFrame, least: float, folder: str) -> DataFrame:
     """query_id, id, similarity of each document (id, document) and query (query_id, query) whose cosine is `least` or more; exact.
 
     least is over 0 and at most 1. Terms that no document has don't count. A null or empty text is near nothing, rows
-    with a null id take no part, rows of one id are one text, and other columns aren't read. A hot group of copies
-    costs its documents times the queries near them, and pairs of documents are never made.
+    with a null id take no part, rows of one id are one text, and other columns aren't read. Counts are written below
+    `folder`, which all executors share. The commonest terms' weights are broadcast, at most COMMON rows, so no other
+    is a hot key, and a document's terms are summed where they were counted; only terms that a query has go on. A
+    document's bound covers those alone, as nothing else can add to a cosine. A hot group of copies costs its documents
+    times the queries near them, and pairs of documents are never made.
     """
     if not 0 < least <= 1:
         raise ValueError("least must be over 0 and at most 1")
-    own = documents.select("id", "document").where("id is not null")
-    counted = frequencies(own, "id", "document")
-    idf = inverse_frequencies(counted, own.select("id").distinct())
-    length = lambda key: F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    docs = weighed(counted, idf).withColumn("norm", length("id"))
-    asked = frequencies(queries, "query_id", "query").join(idf, "term").withColumn("w", F.col("tf") * F.col("idf")).withColumn("norm", length("query_id")).select("query_id", "term", "df", "w", "norm")
+    spark = documents.sparkSession
+    own = single(documents, "id", "document")
+    made = frequencies(own, "id", "document")
+    made.write.parquet(f"{folder}/counts")
+    counted = spark.read.schema(made.schema).parquet(f"{folder}/counts")
+    totals = inverse_frequencies(counted, documents.select("id").where("id is not null").distinct())
+    totals.write.parquet(f"{folder}/terms")
+    idf = spark.read.schema(totals.schema).parquet(f"{folder}/terms")
+
+    words = frequencies(single(queries, "query_id", "query"), "query_id", "query").join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    asked = words.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("query_id")))).select("query_id", "term", "df", "w", "norm")
+    marked = idf.join(words.select("term", F.lit(True).alias("asked")).distinct(), "term", "left")
+    common = marked.orderBy(F.desc("df"), "term").limit(COMMON)
+    met = counted.join(F.broadcast(common), "term", "left")
+    square = F.col("tf") * F.col("idf") * F.col("tf") * F.col("idf")
+    rest = met.where("idf is null").select("id", "term", "tf").join(marked.join(F.broadcast(common.select("term")), "term", "left_anti"), "term")
+    weighed = met.where("idf is not null").unionByName(rest)
+    norms = weighed.groupBy("id").agg(F.sqrt(F.sum(square)).alias("norm"), F.max("asked").alias("asked")).where("asked").drop("asked")
+    docs = weighed.where("asked").select("id", "term", "df", (F.col("tf") * F.col("idf")).alias("w")).join(norms, "id")
     # a query's early terms are few and rare; documents keep theirs before anything is joined
     pairs = early(docs, "id", least).select("id", "term").join(early(asked, "query_id", least).select("query_id", "term"), "term").select("query_id", "id").distinct()
     both = pairs.join(docs.select("id", "term", "w", "norm"), "id").join(asked.select("query_id", "term", F.col("w").alias("q"), F.col("norm").alias("q_norm")), ["query_id", "term"])

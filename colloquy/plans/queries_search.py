@@ -393,7 +393,7 @@ def f23_near(spark, d):
     """Documents near each benchmark item by the cosine of tf-idf vectors; pairs below the bound are pruned by norms."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("document"))
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    found = similarity.near(docs, items, _NEAR - 1e-6).withColumn("similarity", F.round("similarity", 6))
+    found = similarity.near(docs, items, _NEAR - 1e-6, store.scratch(spark)).withColumn("similarity", F.round("similarity", 6))
     return found.where(F.col("similarity") >= _NEAR).select("query_id", F.col("id").alias("doc_id"), "similarity")
 
 

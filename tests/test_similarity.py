@@ -34,12 +34,19 @@ def plain_near(docs, queries, least):
 
 def test_terms(spark):
     texts = ["A.b c_1 图谱分析, x", "é ab éa .b", "分a数", None, "", "1.5 a..", "ab" * 20000]
-    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", similarity.terms(F.col("t")).alias("x")).collect()
-    assert {r.i: r.x for r in rows} == {i: plain_terms(t) for i, t in enumerate(texts)}
+    rows = similarity.frequencies(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "i", "t").collect()
+    assert {(r.i, r.term): r.tf for r in rows} == {(i, w): n for i, t in enumerate(texts) for w, n in Counter(plain_terms(t)).items()}
+    assert similarity.terms("图谱 x.1 分 a.") == ["x.1", "a", "图", "谱", "分", "图谱", "谱分"]
+
+
+def test_rows_of_one_id_are_one_text(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a b"), (2, None), (None, "a b"), (3, "c")], "id long, document string")
+    got = similarity.near(docs, spark.createDataFrame([(7, "b a")], "query_id long, query string"), 0.9, f"file://{tmp_path}/x")
+    assert {(r.query_id, r.id): round(r.similarity, 9) for r in got.collect()} == {(7, 1): 1, (7, 2): 1}
 
 
 @pytest.mark.parametrize("least", [0.2, 0.6, 0.95])
-def test_near_equals_all_pairs(spark, monkeypatch, least):
+def test_near_equals_all_pairs(spark, monkeypatch, tmp_path, least):
     rnd = random.Random(5)
     words = ["the", "图", "谱", "分析", "代数", *[f"w{i}" for i in range(40)]]
     text = lambda n: " ".join(rnd.choices(words, weights=[40, 9, 9, 5, 5, *[1] * 40], k=n))
@@ -47,15 +54,15 @@ def test_near_equals_all_pairs(spark, monkeypatch, least):
     docs = list(enumerate([hot] * 40 + [hot + " " + text(1) for _ in range(30)] + [text(rnd.randint(1, 25)) for _ in range(120)] + [None, "", "。"]))
     queries = list(enumerate([hot, hot + " unseen", "图谱", "", None, *[text(6) for _ in range(15)], docs[75][1]]))
     monkeypatch.setattr(similarity, "COMMON", 4)  # terms beyond the bound go the other way
-    got = similarity.near(spark.createDataFrame(docs, "id long, document string").withColumn("term", F.lit("x")), spark.createDataFrame(queries, "query_id long, query string"), least)
+    got = similarity.near(spark.createDataFrame(docs, "id long, document string").withColumn("term", F.lit("x")), spark.createDataFrame(queries, "query_id long, query string"), least, f"file://{tmp_path}/x")
     want = plain_near(docs, queries, least)
     assert {(r.query_id, r.id): round(r.similarity, 9) for r in got.collect()} == {k: round(v, 9) for k, v in want.items()}
     assert len(want) > 70
 
 
-def test_empty_tables(spark):
+def test_empty_tables(spark, tmp_path):
     none = spark.createDataFrame([], "id long, document string")
     some = spark.createDataFrame([(1, "a")], "query_id long, query string")
-    assert similarity.near(none, some, 0.5).count() == 0
+    assert similarity.near(none, some, 0.5, f"file://{tmp_path}/x").count() == 0
     with pytest.raises(ValueError):
-        similarity.near(none, some, 0)
+        similarity.near(none, some, 0, "")
