@@ -14,6 +14,8 @@ from itertools import pairwise
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .retrieval import SMALL
+
 #: Commonest terms, whose weights go to every task; none of the others holds more than one part in so many of the postings.
 COMMON = 100_000
 #: A pair this little below the bound is still compared, as sums are rounded.
@@ -33,6 +35,10 @@ def single(rows: DataFrame, key: str, text: str) -> DataFrame:
     """key, text with a row a key: rows of one key are one text, in the order of their texts. Only keys that repeat are moved."""
     rows = rows.select(key, F.col(text).cast("string").alias(text)).where(F.col(key).isNotNull())
     again = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    n = again.limit(SMALL + 1).count()
+    if not n:
+        return rows
+    again = F.broadcast(again) if n <= SMALL else again
     merged = rows.join(again, key, "left_semi").groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(text)), "\n").alias(text))
     return rows.join(again, key, "left_anti").unionByName(merged)
 
@@ -96,7 +102,9 @@ def near(documents: DataFrame, queries: DataFrame, least: float, folder: str) ->
     rest = met.where("idf is null").select("id", "term", "tf").join(marked.join(F.broadcast(common.select("term")), "term", "left_anti"), "term")
     weighed = met.where("idf is not null").unionByName(rest)
     norms = weighed.groupBy("id").agg(F.sqrt(F.sum(square)).alias("norm"), F.max("asked").alias("asked")).where("asked").drop("asked")
-    docs = weighed.where("asked").select("id", "term", "df", (F.col("tf") * F.col("idf")).alias("w")).join(norms, "id")
+    kept = weighed.where("asked").select("id", "term", "df", (F.col("tf") * F.col("idf")).alias("w")).join(norms, "id")
+    kept.write.parquet(f"{folder}/kept")
+    docs = spark.read.schema(kept.schema).parquet(f"{folder}/kept")
     # a query's early terms are few and rare; documents keep theirs before anything is joined
     pairs = early(docs, "id", least).select("id", "term").join(early(asked, "query_id", least).select("query_id", "term"), "term").select("query_id", "id").distinct()
     both = pairs.join(docs.select("id", "term", "w", "norm"), "id").join(asked.select("query_id", "term", F.col("w").alias("q"), F.col("norm").alias("q_norm")), ["query_id", "term"])
