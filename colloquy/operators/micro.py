@@ -16,20 +16,25 @@ TUTOR_FIRST = ("导师", "老师", "tutor", "teacher")
 INTERVENTION, REASONING, REVIEW = ("干预", "intervention"), ("推理过程",), ("回顾",)
 VERBATIM = ("原声", "课堂证据", "实录", "课堂原话")
 #: How a turn begins that says nothing yet, and how long one is that says something.
-OPENING, TELLING = r"(?i)^(hi|hello|hey|good|how are you|i'?m great|im great)\b", 12
+OPENING, TELLING = r"(?i)^(hi|hello|hey|good|how are you|i'?m great|im great)(?![0-9A-Za-z_])", 12
 #: Turns and step of a window, parents of a question, cards whose turns may be cited, turns of each.
 SIZE, STEP, PARENTS, CITING, CITED_TURNS = 7, 3, 5, 2, 7
 #: Sections of the prompt.
 SECTIONS = ("【学生错因卡】", "【导师策略卡】", "【7轮课堂上下文】")
 
 
-def parents(cards: DataFrame, queries: DataFrame, limit: int = PARENTS) -> DataFrame:
+def _asks(words: tuple[str, ...], routed: bool) -> Column:
+    return rt._names(F.col("query"), words) if routed else F.lit(False)
+
+
+def parents(cards: DataFrame, queries: DataFrame, limit: int = PARENTS, routed: bool = True) -> DataFrame:
     """Cards of a query's one session, with parent_rank.
 
     cards: query_id, position, chunk_id, card_type, session_id and more. The session is that of the first card; a
-    question for both roles takes the first session that has cards of both, and then both kinds are parents.
+    question for both roles takes the first session that has cards of both, and then both kinds are parents. Not routed,
+    a question is a text to find, such as a student's own words, and what it happens to name asks for nothing.
     """
-    q = queries.select("query_id", rt._names(F.col("query"), BOTH_ROLES).alias("both"), rt._names(F.col("query"), TUTOR_FIRST).alias("lead"))
+    q = queries.select("query_id", _asks(BOTH_ROLES, routed).alias("both"), _asks(TUTOR_FIRST, routed).alias("lead"))
     query, session = Window.partitionBy("query_id"), Window.partitionBy("query_id", "session_id")
     rows = cards.join(q, "query_id").withColumn("pair", F.col("both") & (F.size(F.collect_set("card_type").over(session)) == 2))
     here = F.struct("position", "session_id", "card_type")
@@ -64,7 +69,7 @@ def _first(condition: Column) -> Column:
     return F.min(F.when(condition, F.col("turn_id")))
 
 
-def anchors(chosen: DataFrame, queries: DataFrame, turns: DataFrame) -> DataFrame:
+def anchors(chosen: DataFrame, queries: DataFrame, turns: DataFrame, routed: bool = True) -> DataFrame:
     """query_id, pointers, way, preferred, anchor: which turn a question's window should hold, by the way it asks.
 
     preferred is the first pointer that tells something. An intervention (asked of a session with both kinds of
@@ -77,7 +82,7 @@ def anchors(chosen: DataFrame, queries: DataFrame, turns: DataFrame) -> DataFram
         F.min_by("question_text", "parent_rank").alias("question"), F.min_by(F.coalesce("quotes", F.array().cast("array<string>")), "parent_rank").alias("quotes"),
         F.sort_array(F.collect_list(F.when(F.col("card_type") == "TUTOR_STRATEGY", F.struct("parent_rank", F.coalesce("key_aha_question", F.lit("")).alias("text"))))).alias("strategies"),
     )
-    asks = lambda words: rt._names(F.col("query"), words)
+    asks = lambda words: _asks(words, routed)
     rows = by.join(queries, "query_id")
     rows = rows.withColumn("way", F.when(F.col("paired") & asks(INTERVENTION), "intervention").when(asks(REASONING), "reasoning").when(asks(VERBATIM), "verbatim").otherwise("anchor"))
     rows = rows.withColumn("numbers", tx.signatures(F.coalesce("question", F.lit("")))).drop("query")
@@ -98,7 +103,7 @@ def anchors(chosen: DataFrame, queries: DataFrame, turns: DataFrame) -> DataFram
     return found.select("query_id", "pointers", "way", "preferred", anchor.alias("anchor"))
 
 
-def choose_window(pool: DataFrame, marks: DataFrame, queries: DataFrame) -> DataFrame:
+def choose_window(pool: DataFrame, marks: DataFrame, queries: DataFrame, routed: bool = True) -> DataFrame:
     """The one window of each query, with the columns of the pool.
 
     Windows that hold a number of the query come first, unless the way of asking forbids it; then those with the
@@ -106,7 +111,7 @@ def choose_window(pool: DataFrame, marks: DataFrame, queries: DataFrame) -> Data
     without a strategy's number takes the best window that holds most pointers.
     """
     by = Window.partitionBy("query_id")
-    plain = ~rt._names(F.col("query"), (*REVIEW, *REASONING, *INTERVENTION))
+    plain = ~_asks((*REVIEW, *REASONING, *INTERVENTION), routed)
     rows = pool.join(marks, "query_id").join(queries.select("query_id", plain.alias("plain")), "query_id")
     best = F.row_number().over(by.orderBy(F.desc("score"), F.desc(F.size(F.array_intersect("ids", "pointers"))), "first_turn")) == 1
     holds = lambda c: F.coalesce(F.array_contains("ids", F.col(c)), F.lit(False))
@@ -118,14 +123,14 @@ def choose_window(pool: DataFrame, marks: DataFrame, queries: DataFrame) -> Data
     return rows.withColumn("nth", F.row_number().over(by.orderBy(*order))).where("nth = 1").select(*pool.columns)
 
 
-def evidence(cards: DataFrame, queries: DataFrame, turns: DataFrame, events: DataFrame) -> DataFrame:
+def evidence(cards: DataFrame, queries: DataFrame, turns: DataFrame, events: DataFrame, routed: bool = True) -> DataFrame:
     """query_id, session_id, parent_ids, window_id, source_turn_ids, citations, prompt, status of each query with cards.
 
     events: source_card_id, source_session_id, source_turn_ids of the graph's event nodes. The first two parents that
     have an event may be cited by their first seven turns of their own role, as far as the window holds them; without
     such turns a query has NO_EVIDENCE and no window.
     """
-    chosen = parents(cards, queries)
+    chosen = parents(cards, queries, routed=routed)
     role = F.when(F.col("card_type") == "TUTOR_STRATEGY", "tutor").otherwise("student")
     own = events.select(F.col("source_card_id").alias("chunk_id"), F.col("source_session_id").alias("session_id"), F.explode("source_turn_ids").alias("turn_id")).distinct()
     points = chosen.where(F.col("parent_rank") <= CITING).select("query_id", "chunk_id", "session_id", role.alias("speaker")).join(own, ["chunk_id", "session_id"])
@@ -134,8 +139,8 @@ def evidence(cards: DataFrame, queries: DataFrame, turns: DataFrame, events: Dat
     cited = may.groupBy("query_id").agg(F.array_sort(F.collect_set(F.struct("turn_id", "speaker", "text"))).alias("may"))
     # an intervention is about the question, so its words count as asked
     first = chosen.groupBy("query_id").agg(F.min_by("question_text", "parent_rank").alias("question"))
-    asked = queries.join(first, "query_id").select("query_id", F.when(rt._names(F.col("query"), INTERVENTION), F.concat_ws(" ", "query", "question")).otherwise(F.col("query")).alias("query"))
-    window = choose_window(window_pool(chosen, asked, turns), anchors(chosen, queries, turns), asked)
+    asked = queries.join(first, "query_id").select("query_id", F.when(_asks(INTERVENTION, routed), F.concat_ws(" ", "query", "question")).otherwise(F.col("query")).alias("query"))
+    window = choose_window(window_pool(chosen, asked, turns), anchors(chosen, queries, turns, routed), asked, routed)
     title = F.coalesce("misconception_name", "pedagogical_goal", F.lit("")) if {"misconception_name", "pedagogical_goal"} <= set(chosen.columns) else F.lit("")
     lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("parent_rank", F.concat(F.col("chunk_id"), F.lit(": "), title).alias("line")))), lambda x: x["line"]), "\n")
     heads = [F.when(F.bool_or(F.col("card_type") == kind), F.lit(name)) for kind, name in (("MISCONCEPTION", SECTIONS[0]), ("TUTOR_STRATEGY", SECTIONS[1]))]
