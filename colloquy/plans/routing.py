@@ -19,6 +19,8 @@ from . import router
 from .planner import CO_OCCURRENCE, PLANS
 from .router import normal
 
+#: Texts whose finds a task holds at once.
+ROWS = 128
 #: What a task reports of a text.
 FOUND = "words array<struct<kind string, name string, word string, n long, first long>>, tokens array<string>, top int, session string, question_ids array<string>"
 
@@ -95,24 +97,28 @@ class Finder:
         return out
 
 
-def found(text: Column, vocabulary: Vocabulary = OWN) -> Column:
-    """What stands in a text (null: empty): FOUND. Bounded by the vocabulary, but for the tokens."""
-    groups, v = vocabulary.groups(), vocabulary
-
-    @F.pandas_udf(FOUND)
-    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        finder = Finder(groups)
-        for batch in batches:
+def _read(batches: Iterator[pd.Series], finder: Finder, v: Vocabulary) -> Iterator[pd.DataFrame]:
+    """FOUND of texts, at most ROWS at once: what is found in a text can be larger than the text."""
+    for batch in batches:
+        for start in range(0, len(batch), ROWS):
             rows = []
-            for raw in batch:
+            for raw in batch.iloc[start : start + ROWS]:
                 raw = raw or ""
                 plain = normal(raw)
                 words = finder.find(plain)
                 session = router.session_in(plain, v.session_words)
                 ids = re.findall(r"\d{5,}", raw) if any(w[0] == "id" for w in words) else []
                 rows.append(([dict(zip(("kind", "name", "word", "n", "first"), w, strict=True)) for w in words], router.protected_tokens(raw), router.top_in(plain, v.top_words), None if session is None else str(session), ids))
-            out = pd.DataFrame(rows, columns=["words", "tokens", "top", "session", "question_ids"])
-            yield out.astype({"top": "Int32"})
+            yield pd.DataFrame(rows, columns=["words", "tokens", "top", "session", "question_ids"]).astype({"top": "Int32"})
+
+
+def found(text: Column, vocabulary: Vocabulary = OWN) -> Column:
+    """What stands in a text (null: empty): FOUND. Bounded by the vocabulary, but for the tokens."""
+    groups, v = vocabulary.groups(), vocabulary
+
+    @F.pandas_udf(FOUND)
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from _read(batches, Finder(groups), v)
 
     return read(text.cast("string"))
 
