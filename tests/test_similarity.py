@@ -66,3 +66,18 @@ def test_empty_tables(spark, tmp_path):
     assert similarity.near(none, some, 0.5, f"file://{tmp_path}/x").count() == 0
     with pytest.raises(ValueError):
         similarity.near(none, some, 0, "")
+
+
+def test_few_queries_meet_documents_where_they_are_read(spark, monkeypatch, tmp_path):
+    rnd = random.Random(8)
+    text = lambda n: " ".join(rnd.choices("a b c d e f g h 图 谱".split(), k=n) + [f"only{rnd.random()}"] * rnd.randint(0, 2))
+    docs, queries = [(i, text(rnd.randint(0, 12))) for i in range(150)], [(q, text(5)) for q in range(12)]
+    want = plain_near(docs, queries, 0.4)
+    monkeypatch.setattr(similarity, "HELD", 5)  # counts go on early
+    for few, path in ((50_000, "few"), (0, "many")):
+        monkeypatch.setattr(similarity, "TERMS", few)
+        monkeypatch.setattr(similarity, "COMMON", 3)
+        got = similarity.near(spark.createDataFrame(docs, "id long, document string"), spark.createDataFrame(queries, "query_id long, query string"), 0.4, f"file://{tmp_path}/{path}")
+        assert {(r.query_id, r.id): round(r.similarity, 9) for r in got.collect()} == {k: round(v, 9) for k, v in want.items()}
+        assert (tmp_path / path / "counts").exists() != bool(few)  # a row a document and term is written for many queries only
+    assert len(want) > 50
