@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scoring as sc, text as tx
+from . import cards as met
 
 
 def metadata_matches(columns: dict[str, Column], where: dict) -> Column:
@@ -167,8 +168,13 @@ def _long_words(text: Column) -> Column:
     return F.filter(tx.word_set(text), lambda w: F.length(w) > 1)
 
 
+def _domain(text: Column) -> Column:
+    """Numbers of the domain words that stand in a text, within other words too."""
+    return F.array_compact(F.array(*[F.when(F.contains(F.lower(text), F.lit(w)), i) for i, w in enumerate(DOMAIN_WORDS)]))
+
+
 def _asked(queries: DataFrame) -> DataFrame:
-    """What scores need of a query, once a query: words, numbers, the question in it, ids, and the lane it names."""
+    """What scores need of a query, once a query: words, numbers, the question in it, ids, domain words, and the lane it names."""
     q = F.col("query")
     ids = F.transform(F.regexp_extract_all(q, F.lit(r"(?<!\d)\d{5,18}(?!\d)"), F.lit(0)), lambda x: x.cast("long"))
     tutor, student = _names(q, TUTOR_WORDS), _names(q, STUDENT_WORDS)
@@ -176,23 +182,23 @@ def _asked(queries: DataFrame) -> DataFrame:
         "query_id", "query", _long_words(q).alias("q_words"), tx.signatures(q).alias("q_numbers"), tx.compact(tx.question_fragment(q)).alias("q_fragment"), ids.alias("q_ids"),
         F.when(tutor, "TUTOR_STRATEGY").when(student, "MISCONCEPTION").alias("q_lane"),
         F.when(tutor & ~student, "TUTOR_STRATEGY").when(student & ~tutor, "MISCONCEPTION").alias("q_prefers"),
-        _names(q, REVIEW_WORDS).alias("q_reviews"), (_names(q, ID_WORDS) & (F.size(ids) > 0)).alias("q_by_id"),
+        _names(q, REVIEW_WORDS).alias("q_reviews"), (_names(q, ID_WORDS) & (F.size(ids) > 0)).alias("q_by_id"), _domain(q).alias("q_domain"),
     )
 
 
 def _described(cards: DataFrame) -> DataFrame:
     question = F.coalesce(F.col("question_text"), F.lit(""))
     more = cards if "question_id" in cards.columns else cards.withColumn("question_id", F.lit(None).cast("long"))
-    return more.select("chunk_id", "card_type", "session_id", "question_id", "searchable", _long_words(question).alias("c_question"), _long_words(F.col("searchable")).alias("c_words"), tx.compact(question).alias("c_fragment"), F.regexp_replace(question, r"\D", "").alias("c_digits"))
+    return more.select("chunk_id", "card_type", "session_id", "question_id", "searchable", _long_words(question).alias("c_question"), _long_words(F.col("searchable")).alias("c_words"), tx.compact(question).alias("c_fragment"), F.regexp_replace(question, r"\D", "").alias("c_digits"), _domain(F.col("searchable")).alias("c_domain"))
 
 
 def _pairs(cards: DataFrame, asked: DataFrame) -> DataFrame:
-    """query_id, chunk_id of cards that can score: they share a word, a question's beginning, two digits, an id or the lane."""
+    """query_id, chunk_id of cards that can score: they share a word, a word of the domain within others, a question's beginning, two digits, an id or the lane."""
     tag = lambda kind, values: F.transform(values, lambda x: F.concat(F.lit(kind), x.cast("string")))
     start = lambda c: F.when(F.length(c) >= FRAGMENT, F.array(F.substring(c, 1, FRAGMENT))).otherwise(F.array().cast("array<string>"))
     digits = F.transform(F.sequence(F.lit(1), F.greatest(F.length("c_digits") - 1, F.lit(1))), lambda i: F.substr(F.col("c_digits"), i, F.lit(2)))
-    of_card = F.concat(tag("w", F.array_union("c_question", "c_words")), tag("b", start(F.col("c_fragment"))), tag("n", digits), tag("i", F.array_compact(F.array("question_id"))), tag("l", F.array("card_type")))
-    of_query = F.concat(tag("w", F.col("q_words")), tag("b", start(F.col("q_fragment"))), tag("n", F.transform("q_numbers", lambda x: F.substring(x, 1, 2))), tag("i", F.col("q_ids")), tag("l", F.array_compact(F.array("q_lane"))))
+    of_card = F.concat(tag("w", F.array_union("c_question", "c_words")), tag("b", start(F.col("c_fragment"))), tag("n", digits), tag("i", F.array_compact(F.array("question_id"))), tag("d", F.col("c_domain")), tag("l", F.array("card_type")))
+    of_query = F.concat(tag("w", F.col("q_words")), tag("b", start(F.col("q_fragment"))), tag("n", F.transform("q_numbers", lambda x: F.substring(x, 1, 2))), tag("i", F.col("q_ids")), tag("d", F.col("q_domain")), tag("l", F.array_compact(F.array("q_lane"))))
     left = cards.select("chunk_id", F.explode(F.array_distinct(of_card)).alias("key"))
     right = small(asked.select("query_id", F.explode(F.array_distinct(of_query)).alias("key")))
     return left.join(right, "key").select("query_id", "chunk_id").distinct()
@@ -204,7 +210,7 @@ def _features(pairs: DataFrame, cards: DataFrame, asked: DataFrame) -> DataFrame
     numeric = F.size(F.filter("q_numbers", lambda s: F.contains(F.col("c_digits"), s)))
     prefix = F.when((F.length("q_fragment") >= FRAGMENT) & F.startswith("c_fragment", F.col("q_fragment")), F.length("q_fragment")).otherwise(0)
     shared = lambda c: F.size(F.array_intersect("q_words", c))
-    domain = sum([(F.contains(F.lower("query"), F.lit(w)) & F.contains(F.lower("searchable"), F.lit(w))).cast("int") for w in DOMAIN_WORDS], F.lit(0))
+    domain = F.when(F.col("query").isNotNull() & F.col("searchable").isNotNull(), F.size(F.array_intersect("q_domain", "c_domain")))
     rows = both.where(~F.col("q_by_id") | exact).select(
         "query_id", "chunk_id", "card_type", "session_id", "q_prefers", "q_reviews", exact.cast("int").alias("exact_question"), numeric.alias("numeric_overlap"), prefix.alias("question_prefix"),
         shared("c_question").alias("question_overlap"), domain.alias("domain_overlap"), shared("c_words").alias("lexical_overlap"), F.when(F.col("card_type") == F.col("q_lane"), 100).otherwise(0).alias("lane_bias"),
@@ -213,23 +219,30 @@ def _features(pairs: DataFrame, cards: DataFrame, asked: DataFrame) -> DataFrame
     return rows.withColumn("score", score.cast("long"))
 
 
-def card_scores(cards: DataFrame, queries: DataFrame) -> DataFrame:
+def card_scores(cards: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
     """Lexical scores of cards (chunk_id, card_type, session_id, question_text, searchable; question_id if there) for a set of queries.
 
     Seven weighted terms: the question's id or a number of the query in the question 1000 each, a shared beginning of
     eight characters or more 100 a character, words of the domain 20, shared question words 10, shared words 1, and 100
-    for the lane that the query names. A query that asks by id scores that question's cards alone. Cards are found by
-    what they share with a query, so no card meets a query that it has nothing in common with.
+    for the lane that the query names. A query that asks by id scores that question's cards alone. Queries that fit into a
+    task meet cards where these are read; others find cards by what they share. With a limit, cards that `rank_cards`
+    wouldn't keep under it may be left out.
     """
     own, asked = _described(cards), _asked(queries)
-    return _features(_pairs(own, asked), own, asked).where("score > 0")
+    kept = asked.where("query_id is not null and query is not null")
+    rows = kept.limit(met.QUERIES + 1).collect()  # no more than go to every task
+    if len(rows) > met.QUERIES or sum(len(r.q_words) + len(r.q_numbers) + len(r.q_ids) for r in rows) > met.WORDS:
+        return _features(_pairs(own, asked), own, asked).where("score > 0")
+    told = queries.sparkSession.createDataFrame([(i, r.query_id, r.q_prefers, r.q_reviews) for i, r in enumerate(rows)], f"number int, query_id {queries.schema['query_id'].dataType.simpleString()}, q_prefers string, q_reviews boolean")
+    found = met.scores(own.where("chunk_id is not null and searchable is not null"), rows, FRAGMENT, limit).join(F.broadcast(told), "number")  # a row a query
+    return found.select("query_id", "chunk_id", "card_type", "session_id", "q_prefers", "q_reviews", *met.FEATURES)
 
 
-def card_pool(cards: DataFrame, queries: DataFrame, dense: DataFrame) -> DataFrame:
+def card_pool(cards: DataFrame, queries: DataFrame, dense: DataFrame, limit: int | None = None) -> DataFrame:
     """Scored cards widened by dense hits (query_id, chunk_id, card_type, embedding_rank, embedding_score), with channels.
 
     A dense hit brings its card in without a lexical score and never changes one. A hit of an unknown card, or in
-    another lane than its card's, raises.
+    another lane than its card's, raises. With a limit, scored cards that `rank_cards` wouldn't keep may be left out.
     """
     own, asked = _described(cards), _asked(queries)
     lane = dense.join(own.select("chunk_id", F.col("card_type").alias("true_type")), "chunk_id", "left")
@@ -237,8 +250,8 @@ def card_pool(cards: DataFrame, queries: DataFrame, dense: DataFrame) -> DataFra
     if wrong:
         raise ValueError(f"dense hit {wrong.chunk_id} " + ("has no card" if wrong.true_type is None else "is of another lane"))
     hits = dense.groupBy("query_id", "chunk_id").agg(F.min("embedding_rank").alias("embedding_rank"), F.max("embedding_score").alias("embedding_score"))
-    pairs = _pairs(own, asked).unionByName(hits.select("query_id", "chunk_id")).distinct()
-    rows = _features(pairs, own, asked).join(hits, ["query_id", "chunk_id"], "left").where("score > 0 or embedding_rank is not null")
+    alone = _features(hits.select("query_id", "chunk_id"), own, asked).where("coalesce(score, 0) <= 0").join(hits, ["query_id", "chunk_id"]).where("embedding_rank is not null")
+    rows = card_scores(cards, queries, limit).join(hits, ["query_id", "chunk_id"], "left").unionByName(alone)
     channels = F.concat_ws("+", F.when(F.col("score") > 0, "lexical"), F.when(F.col("embedding_rank").isNotNull(), "dense"))
     return rows.withColumn("channels", channels)
 
