@@ -7,7 +7,8 @@ statistics of the collection are: these may change without touching a block.
 
 A part is a range of SEGMENTS segments and the unit of writing: a version's manifest names, for each part, the folder
 that holds it, and a new version writes only parts whose documents have another digest. In a part, blocks are
-dealt into BUCKETS by term, one folder each, so a query opens the buckets of its terms only.
+dealt into BUCKETS by term, one folder each, so a query opens the buckets of its terms only. Blocks are made where documents
+are read, so a block may come in pieces, one of each task that read documents of its segment.
 
 Segments are the same for all terms, so the blocks of a query's terms in a segment bound what a document there can
 have. The first k documents are found from the terms that a document needs for a place among them; blocks of the others,
@@ -18,11 +19,12 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import scoring as sc, text as tx
@@ -33,6 +35,10 @@ from .store import _fs, scratch, small_batches
 SPAN, SEGMENTS, BUCKETS = 4096, 256, 32
 #: Scores that differ by less are ordered by id: segments so near the k-th score are read too.
 TIE = 1e-6
+#: Queries that are searched together where blocks are, and their pairs of query and term; larger sets are joined.
+QUERIES, TERMS = 2_000, 50_000
+#: Postings that a task holds before it makes blocks of them; rows of blocks, and pairs of posting and query, at a time.
+HELD, ROWS, PAIRS = 1_500_000, 20_000, 4_000_000
 
 BLOCK = "part long, bucket int, segment long, term string, at array<int>, tf array<int>, length array<int>, frontier array<struct<tf:int,length:int>>"
 MANIFEST = "version string, build string, part long, folder string, documents long, length long, digest string, span int, segments int, buckets int"
@@ -79,7 +85,8 @@ class Snapshot:
         """term, segment, n, most: a block's number of documents and its largest score, from its frontier."""
         df = asked.select("term", "df").distinct()
         most = F.array_max(F.transform("frontier", lambda x: self._weight(x["tf"], F.col("df"), x["length"], k1, b)))
-        return own.select("term", "segment", "frontier", F.size("at").alias("n")).join(df, "term").select("term", "segment", "n", most.alias("most"))
+        pieces = own.select("term", "segment", "frontier", F.size("at").alias("n")).join(df, "term").select("term", "segment", "n", most.alias("most"))
+        return pieces.groupBy("term", "segment").agg(F.sum("n").cast("int").alias("n"), F.max("most").alias("most"))
 
     def _plan(self, queries: DataFrame, k: int, k1: float, b: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         """Blocks of the queries' terms; their maxima; the queries' terms (df, essential); candidates (query_id, segment, at, part) with their score from essential terms.
@@ -118,6 +125,12 @@ class Snapshot:
         Postings of terms that aren't essential are read only in segments where a document, with all that the segment's blocks
         of these terms could add, reaches the k-th score.
         """
+        _checked(k1, b)
+        terms = queries.select("query_id", F.explode(F.array_distinct(tx.tokens(F.col("query")))).alias("term")).distinct()
+        pairs = terms.limit(TERMS + 1).collect()  # no more than go to every task
+        if len(pairs) <= TERMS and len({r.query_id for r in pairs}) <= QUERIES:
+            rows = self._searched(pairs, queries, k, k1, b).select("query_id", "id", F.round("bm25", digits).alias("bm25"))
+            return top(rows, [F.desc("bm25"), F.asc("id")], k)
         own, _, known, found = self._plan(queries, k, k1, b)
         rest = own.join(self._others(known, found), ["term", "segment"])
         more = self._parts(rest, k1, b).join(found.select("query_id", "segment", "at"), ["query_id", "segment", "at"], "left_semi")
@@ -125,6 +138,107 @@ class Snapshot:
         rows = whole.select("query_id", (F.col("segment") * self.span + F.col("at")).alias("id"), F.round("bm25", digits).alias("bm25"))
         return top(rows, [F.desc("bm25"), F.asc("id")], k)
 
+    def _searched(self, pairs: list, queries: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+        """query_id, id, bm25 of all that can be among a query's first k: a segment's blocks meet in one task, which holds the k-th scores so far.
+
+        As they rise, more of a query's commonest terms can't lift a document to the k-th by themselves: only the others,
+        the essential ones, find candidates, and postings of common terms are read where there are candidates, for their queries.
+        """
+        spark = queries.sparkSession
+        asked = F.broadcast(spark.createDataFrame([(t,) for t in sorted({r.term for r in pairs})], "term string"))  # no more than TERMS
+        buckets = [r.bucket for r in asked.select(self._bucket(F.col("term")).alias("bucket")).distinct().collect()]  # no more than there are
+        own = self.blocks.where(F.col("bucket").isin(buckets)).join(asked, "term", "left_semi")
+        mean, span = max(self.length / max(self.documents, 1), 1e-9), self.span
+        gain = F.array_max(F.transform("frontier", lambda x: x["tf"] * (k1 + 1) / (x["tf"] + k1 * (1 - b + b * x["length"] / mean))))
+        known = {r.term: r for r in own.groupBy("term").agg(F.sum(F.size("at")).alias("df"), F.max(gain).alias("gain")).collect()}  # no more than the queries have
+        names = sorted({r.query_id for r in pairs if r.term in known}, key=lambda x: (x is None, x))
+        terms, place = sorted(known), {q: i for i, q in enumerate(names)}
+        number, many = {t: i for i, t in enumerate(terms)}, len(names)
+        df = np.array([known[t].df for t in terms], np.float64)
+        idf = np.log1p((self.documents - df + 0.5) / (df + 0.5))
+        most = idf * np.array([known[t].gain for t in terms], np.float64)
+        told = np.array([(number[r.term], place[r.query_id]) for r in pairs if r.term in known], np.int64).reshape(-1, 2)
+        told = told[np.lexsort((told[:, 0], most[told[:, 0]], told[:, 1]))]  # a query's terms, the least that matters first
+        term, query = told[:, 0], told[:, 1]
+        so_far = np.cumsum(most[term])
+        so_far -= np.concatenate([[0.0], so_far])[np.searchsorted(query, np.arange(many))][query]  # what a term and those before it can give
+        vocabulary = pa.array(terms, pa.string())
+
+        def found(t: np.ndarray, n: np.ndarray, at: np.ndarray, weight: np.ndarray, pair: np.ndarray) -> np.ndarray:
+            """Scores of a segment's places by query, from the chosen pairs of query and term; blocks t hold n places each."""
+            own = pair[np.argsort(term[pair], kind="stable")]
+            first = np.searchsorted(term[own], np.arange(len(terms) + 1))
+            wide = first[t + 1] - first[t]
+            total = np.zeros(span * many)
+            ends, cost = np.cumsum(n), np.cumsum(n * wide)
+            i = 0
+            while i < len(t):
+                j = max(i + 1, int(np.searchsorted(cost, (cost[i - 1] if i else 0) + PAIRS, "right")))
+                low, high = ends[i] - n[i], ends[j - 1]
+                block = np.repeat(np.arange(i, j), n[i:j])
+                each = np.repeat(np.arange(len(block)), wide[block])
+                mine = query[own[np.arange(len(each)) - np.repeat(np.cumsum(wide[block]) - wide[block], wide[block]) + first[t[block]][each]]]
+                total += np.bincount(at[low:high][each] * many + mine, weight[low:high][each], span * many)
+                i = j
+            return total.reshape(span, many)
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = np.full((k, many), -np.inf)
+
+            def one(segment: int, blocks: pa.Table) -> pa.RecordBatch:
+                nonlocal best
+                t = pc.index_in(blocks["term"].combine_chunks(), value_set=vocabulary).to_numpy(zero_copy_only=False).astype(np.int64)
+                lists = {c: blocks[c].combine_chunks() for c in ("at", "tf", "length", "frontier")}
+                n = pc.list_value_length(lists["at"]).to_numpy(zero_copy_only=False).astype(np.int64)
+                at, tf, length = (lists[c].flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "tf", "length"))
+                worth = lambda t, tf, length: idf[t] * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * length / mean))
+                edge, wide = lists["frontier"].flatten(), pc.list_value_length(lists["frontier"]).to_numpy(zero_copy_only=False)
+                edge = worth(np.repeat(t, wide), *(edge.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("tf", "length")))
+                here = np.zeros(len(terms))
+                np.maximum.at(here, np.repeat(t, wide), edge)  # the most that a term gives in this segment
+                least = np.maximum(best.min(axis=0), 0) - TIE
+                essential = so_far >= least[query]
+                weight = np.full(len(at), np.nan)
+
+                def read(pair: np.ndarray) -> np.ndarray:
+                    chosen = np.isin(t, term[pair])
+                    postings = np.repeat(chosen, n)
+                    weight[postings] = worth(np.repeat(t[chosen], n[chosen]), tf[postings], length[postings])
+                    return found(t[chosen], n[chosen], at[postings], weight[postings], pair)
+
+                total = read(np.nonzero(essential)[0])
+                others = np.bincount(query[~essential], here[term[~essential]], many)
+                close = (total > 0) & (total + others >= least)
+                there = close.any(axis=0)
+                rest = np.nonzero(~essential & there[query] & (here[term] > 0))[0]
+                if len(rest):
+                    total += read(rest)
+                close &= total >= least
+                best = np.partition(np.vstack([best, np.where(close, total, -np.inf)]), span, axis=0)[-k:]
+                close &= total >= best.min(axis=0) - TIE
+                i, q = np.nonzero(close)
+                return pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(segment * span + i.astype(np.int64)), pa.array(total[i, q])], ["number", "id", "bm25"])
+
+            now, held = None, []
+            for batch in batches:
+                segments = batch.column(0).to_numpy(zero_copy_only=False)
+                ends = [*(np.nonzero(np.diff(segments))[0] + 1), len(segments)] if len(segments) else []
+                start = 0
+                for end in ends:
+                    if segments[start] != now and held:
+                        yield one(now, pa.Table.from_batches(held))
+                        held = []
+                    now = int(segments[start])
+                    held.append(batch.slice(start, end - start))
+                    start = end
+            if held:
+                yield one(now, pa.Table.from_batches(held))
+
+        kind = queries.schema["query_id"].dataType.simpleString()
+        rows = own.select("segment", "term", "at", "tf", "length", "frontier").repartition("segment").sortWithinPartitions("segment")
+        told = spark.createDataFrame(list(enumerate(names)), f"number int, query_id {kind}")
+        return rows.mapInArrow(search, "number int, id long, bm25 double").join(F.broadcast(told), "number").select("query_id", "id", "bm25")  # a row a query
+
     def _others(self, known: DataFrame, found: DataFrame) -> DataFrame:
         """query_id, segment, term, df: blocks of terms that aren't essential, where candidates are."""
         return found.select("query_id", "segment").distinct().join(known.where("not essential").select("query_id", "term", "df"), "query_id")
@@ -200,30 +314,55 @@ class LexicalIndex:
         return changed
 
     def _blocks(self, docs: DataFrame, span: int, segments: int, buckets: int) -> DataFrame:
+        def made(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            ids, tf, length = (np.concatenate([h[i] for h in held]) for i in (0, 1, 2))
+            words = pa.chunked_array([h[3] for h in held]).unify_dictionaries()
+            term, names = np.concatenate([c.indices.to_numpy() for c in words.chunks]).astype(np.int64), words.chunk(0).dictionary
+            segment = ids // span
+            at = ids - segment * span
+            order = np.lexsort((length, tf, at, term, segment))
+            ids, tf, length, term, segment, at = (x[order] for x in (ids, tf, length, term, segment, at))
+            new = np.concatenate([[True], (term[1:] != term[:-1]) | (segment[1:] != segment[:-1])])
+            first = np.nonzero(new)[0]
+            block = np.cumsum(new) - 1
+            # within a block, by falling frequency, lengths that are below all before them
+            by = np.lexsort((length, -tf, block))
+            low = length[by] + (len(first) - block[by]) * (length.max() + 1)
+            edge = by[np.concatenate([[True], low[1:] < np.minimum.accumulate(low)[:-1]])]
+            lists = lambda starts, values: pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), values)
+            ints = lambda x: pa.array(x.astype(np.int32))
+            ends, edges = np.append(first, len(term)), np.append(np.searchsorted(block[edge], np.arange(len(first))), len(edge))
+            columns = [pa.array(segment[first]), names.take(pa.array(term[first])), *[lists(ends, ints(x)) for x in (at, tf, length)], lists(edges, pa.StructArray.from_arrays([ints(tf[edge]), ints(length[edge])], ["tf", "length"]))]
+            whole = pa.RecordBatch.from_arrays(columns, ["segment", "term", "at", "tf", "length", "frontier"])
+            for i in range(0, whole.num_rows, ROWS):
+                yield whole.slice(i, ROWS)
+
         def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ids, lengths, terms, tfs = [], [], [], []
-                for i, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    own = Counter(words)
-                    ids += [i] * len(own)
-                    lengths += [len(words)] * len(own)
-                    terms += own.keys()
-                    tfs += own.values()
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.string()), pa.array(tfs, pa.int32()), pa.array(lengths, pa.int32())], ["id", "term", "tf", "length"])
-
-        # a document's words are counted where it is read, so postings move once, to the part and bucket they are written in
-        words = docs.select("id", tx.tokens(F.col("document")).alias("t")).mapInArrow(counted, "id long, term string, tf int, length int")
+            held, n = [], 0
+            for batch in batches:
+                size = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+                words = pc.dictionary_encode(batch.column(1).flatten())
+                if not len(words):
+                    continue
+                row, many = np.repeat(np.arange(len(size)), size), len(words.dictionary)
+                found, tf = np.unique(row * many + words.indices.to_numpy(), return_counts=True)
+                row = found // many
+                held.append((batch.column(0).to_numpy(zero_copy_only=False)[row], tf, size[row], pa.DictionaryArray.from_arrays(pa.array((found % many).astype(np.int32)), words.dictionary)))
+                n += len(found)
+                if n > HELD:
+                    yield from made(held)
+                    held, n = [], 0
+            if held:
+                yield from made(held)
+
+        docs = docs.withColumn("segment", _down("id", span))
+        places = docs.select("segment", F.spark_partition_id().alias("task")).distinct()
+        seen = places.agg(F.count("*").alias("n"), F.count_distinct("segment").alias("segments"), F.count_distinct("task").alias("tasks")).first()
+        # where ids don't follow the order of reading, documents first go to their segments, so that blocks stay whole
+        docs = docs.repartition("segment") if seen.n > 2 * (seen.segments + seen.tasks) else docs
+        b = docs.select("id", tx.tokens(F.col("document")).alias("t")).mapInArrow(counted, ", ".join(c for c in BLOCK.split(", ") if c.split()[0] not in ("part", "bucket")))
         bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-        p = words.withColumns({"part": _part(span, segments), "bucket": bucket}).repartition("part", "bucket").withColumn("segment", _down("id", span))
-        place = (F.col("id") - F.col("segment") * span).cast("int")
-        # a segment's ids bound a block
-        b = p.groupBy("part", "bucket", "segment", "term").agg(F.sort_array(F.collect_list(F.struct(place.alias("at"), "tf", "length"))).alias("p"))
-        best = F.array_sort(F.transform("p", lambda x: F.struct((-x["tf"]).alias("less"), x["length"].alias("length"))))
-        step = lambda acc, x: F.when((F.size(acc) == 0) | (F.element_at(acc, -1)["length"] > x["length"]), F.concat(acc, F.array(F.struct((-x["less"]).alias("tf"), x["length"].alias("length"))))).otherwise(acc)
-        front = F.aggregate(best, F.array().cast("array<struct<tf:int,length:int>>"), step)
-        alone = F.array(F.struct(F.col("p.tf")[0].alias("tf"), F.col("p.length")[0].alias("length")))
-        front = F.when(F.size("p") == 1, alone).otherwise(front)
-        rows = b.select("part", "bucket", "segment", "term", "p.at", "p.tf", "p.length", front.alias("frontier"))
+        rows = b.withColumns({"part": _down("segment", segments), "bucket": bucket}).select("part", "bucket", "segment", "term", "at", "tf", "length", "frontier")
         return rows.sortWithinPartitions("part", "bucket", "term", "segment")
 
     def open(self, version: str) -> Snapshot:

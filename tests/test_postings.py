@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.operators import retrieval as rt
-from colloquy.sources import store
+from colloquy.sources import postings, store
 from colloquy.sources.postings import LexicalIndex
 
 R = random.Random(3)
@@ -114,3 +114,20 @@ def test_empty_tables(spark, index, queries):
     assert index.open("b").documents == 2 and index.open("b").scores(queries).collect() == []
     index.write("c", spark.createDataFrame([(1, "scarce")], "id long, document string"))
     assert index.open("c").top(queries.limit(0), 3).collect() == []
+
+
+def test_postings_stay_where_they_are_read_and_are_never_joined(spark, index, docs, queries, monkeypatch):
+    known = docs.where("id is not null")
+    in_order = known.repartitionByRange(4, "id")
+    for rows_of, moved in ((in_order.localCheckpoint(), False), (known.localCheckpoint(), True)):
+        plan = index._blocks(rows_of.withColumn("part", F.lit(0)), 8, 4, 3)._jdf.queryExecution().optimizedPlan().toString()
+        assert ("Repartition" in plan) == moved and "Aggregate" not in plan
+    index.write("a", in_order, 8, 4, 3)
+    snap = index.open("a")
+    few = rows(snap.top(queries, 3))
+    with monkeypatch.context() as m:
+        m.setattr(type(snap), "_parts", lambda *a: pytest.fail("postings were joined with a few queries"))
+        m.setattr(postings, "PAIRS", 5)
+        assert rows(snap.top(queries, 3)) == few
+    monkeypatch.setattr(postings, "QUERIES", 0)
+    assert rows(snap.top(queries, 3)) == few
